@@ -59,7 +59,7 @@ def cross_correlation(df: DataFrame, first: str, second: str, order: Sequence[st
     """
     spark = df.sparkSession
     known = df.select(*order, F.col(first).cast("double").alias("_a"),
-                      F.col(second).cast("double").alias("_b")).na.drop("any", ["_a", "_b"])
+                      F.col(second).cast("double").alias("_b")).na.drop(subset=["_a", "_b"])
     n, ma, mb, sa, sb = known.agg(F.count(F.lit(1)), F.avg("_a"), F.avg("_b"),
                                   F.stddev_samp("_a"), F.stddev_samp("_b")).first()
     if not n or not sa or not sb:
@@ -85,7 +85,7 @@ def autocorrelation(df: DataFrame, column: str, order: Sequence[str], max_lag: i
                     chunk_rows: int = 100_000, **index_options) -> DataFrame:
     """Autocorrelation for lags 1 to ``max_lag``, with the 95 % and 99 % bands of white noise."""
     spark = df.sparkSession
-    known = df.select(*order, F.col(column).cast("double").alias("_a")).na.drop("any", ["_a"])
+    known = df.select(*order, F.col(column).cast("double").alias("_a")).na.drop(subset=["_a"])
     n, mean, spread = known.agg(F.count(F.lit(1)), F.avg("_a"), F.var_pop("_a")).first()
     if not n or not spread:
         return spark.createDataFrame([], "lag long, autocorr double, band95 double, band99 double")

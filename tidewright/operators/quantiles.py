@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
               exact_rows: int | None = None) -> dict[str, list[float | None]]:
     """Quantiles of each column without its missing values, as {column: [one per prob]}.
 
-    Short columns share one aggregate. A long column is narrowed by a sketch to the
+    Short columns share one aggregate. A long column is narrowed by sketches to the
     few values around each rank, which are then ranked exactly; no task ever holds
     all values of a long column.
     """
@@ -35,62 +36,96 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
             out[c] = list(row[f"q{i}"])
     for c in columns:
         if sizes[c] > limit:
-            out[c] = _by_narrowing(df, c, sizes[c], probs, limit)
+            out[c] = _interpolated(df, c, sizes[c], probs, limit)
     return out
 
 
-def _by_narrowing(df, column, n, probs, limit) -> list[float]:
+def _interpolated(df, column, n, probs, limit) -> list[float]:
+    places = [p * (n - 1) for p in probs]
+    ranks = sorted({min(math.floor(x) + step, n - 1) for x in places for step in (0, 1)})
     values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
+    at = order_statistics(values, n, ranks, limit)
     out = []
-    for p in probs:
-        place = p * (n - 1)
-        low_rank = math.floor(place)
-        low, high = order_statistics(values, [low_rank, min(low_rank + 1, n - 1)], n, limit)
-        out.append(low + (high - low) * (place - low_rank))
+    for x in places:
+        low, high = at[math.floor(x)], at[min(math.floor(x) + 1, n - 1)]
+        out.append(low + (high - low) * (x - math.floor(x)))
     return out
 
 
-def order_statistics(values: DataFrame, ranks: list[int], n: int, limit: int) -> list[float]:
-    """Values at two neighbouring 0-based ranks of the column ``v``."""
-    below, inside, rows = 0, values, n
-    while rows > limit:
-        slack = 2.0 / SKETCH_ACCURACY
-        share = [max(0.0, (ranks[0] - below) / rows - slack),
-                 min(1.0, (ranks[-1] - below + 1) / rows + slack)]
-        low, high = inside.agg(F.percentile_approx("v", share, SKETCH_ACCURACY).alias("q")).first()["q"]
-        counts = inside.agg(
-            F.sum((F.col("v") < low).cast("long")).alias("under"),
-            F.sum(F.col("v").between(low, high).cast("long")).alias("kept"),
-        ).first()
-        under, kept = below + counts["under"], counts["kept"]
-        if not under <= ranks[0] or not ranks[-1] < under + kept or (kept == rows and low < high):
+@dataclass(frozen=True)
+class _Bracket:
+    """Value range that holds one rank: ``below`` rows lie under it and ``kept`` rows in it."""
+
+    rank: int
+    low: float
+    high: float
+    below: int
+    kept: int
+
+    @property
+    def inside(self):
+        return F.when(F.col("v").between(self.low, self.high), F.col("v"))
+
+
+def order_statistics(values: DataFrame, n: int, ranks: Sequence[int], limit: int) -> dict[int, float]:
+    """Values of the column ``v`` at 0-based ranks; every pass serves all ranks at once."""
+    low, high = values.agg(F.min("v"), F.max("v")).first()
+    brackets = [_Bracket(r, low, high, 0, n) for r in ranks]
+    while True:
+        wide = [b for b in brackets if b.kept > limit and b.low < b.high]
+        if not wide:
             break
-        inside, below, rows = inside.where(F.col("v").between(low, high)), under, kept
-        if low == high:
-            return [low for _ in ranks]
-    return _ranked(inside, [r - below for r in ranks])
-
-
-def _ranked(inside: DataFrame, ranks: list[int]) -> list[float]:
-    """Read the values at ``ranks`` from the counts of the distinct values, in sorted ranges."""
-    from tidewright.operators.index import with_position
-
-    counted = inside.groupBy("v").count()
-    placed = with_position(counted, ["v"], pos="_p", size="_n")
-    # Running totals per block of positions, then the one block that holds the rank.
-    block = F.expr("_p div 100000")
-    totals = placed.groupBy(block.alias("b")).agg(F.sum("count").alias("c")).orderBy("b")
-    starts, seen = {}, 0
-    for b, c in totals.toLocalIterator():
-        starts[b] = (seen, seen + c)
-        seen += c
+        narrowed = _cut(values, wide, _sketched(values, wide))
+        stuck = [b for b, c in zip(wide, narrowed) if c.kept > b.kept / 2 and c.low < c.high]
+        if stuck:
+            # A sketch cannot part these; halving the value range always can.
+            halved = _cut(values, stuck, [((b.low + b.high) / 2,) for b in stuck])
+            narrowed = [dict(zip(stuck, halved)).get(b, c) for b, c in zip(wide, narrowed)]
+        brackets = [dict(zip(wide, narrowed)).get(b, b) for b in brackets]
+    open_ = [b for b in brackets if b.low < b.high]
+    at = {b.rank: b.low for b in brackets if b.low == b.high}
+    if open_:
+        row = values.agg(*[F.expr(
+            f"percentile_disc({(b.rank - b.below + 0.5) / b.kept!r}D) WITHIN GROUP "
+            f"(ORDER BY CASE WHEN v BETWEEN {b.low!r}D AND {b.high!r}D THEN v END)").alias(f"v{i}")
+            for i, b in enumerate(open_)]).first()
+        at.update({b.rank: row[f"v{i}"] for i, b in enumerate(open_)})
+    return at
+
+
+def _sketched(values, brackets):
+    """Two values per bracket between which its rank lies, up to the error of the sketch."""
+    slack = 2.0 / SKETCH_ACCURACY
+    aggregates = []
+    for i, b in enumerate(brackets):
+        share = (b.rank - b.below) / b.kept
+        aggregates.append(F.percentile_approx(
+            b.inside, [max(0.0, share - slack), min(1.0, share + slack)], SKETCH_ACCURACY).alias(f"s{i}"))
+    row = values.agg(*aggregates).first()
+    return [tuple(row[f"s{i}"]) for i in range(len(brackets))]
+
+
+def _cut(values, brackets, cuts):
+    """Cut each bracket at the given values and keep the piece that holds its rank."""
+    pieces = []
+    for b, at in zip(brackets, cuts):
+        edges = sorted({b.low, b.high, *at})
+        own = []
+        for e, following in zip(edges, [*edges[1:], None]):
+            own.append((e, e))
+            if following is not None and math.nextafter(e, math.inf) < following:
+                own.append((math.nextafter(e, math.inf), math.nextafter(following, -math.inf)))
+        pieces.append(own)
+    aggregates = [F.sum(F.col("v").between(lo, hi).cast("long")).alias(f"c{i}_{j}")
+                  for i, own in enumerate(pieces) for j, (lo, hi) in enumerate(own)]
+    row = values.agg(*aggregates).first()
     out = []
-    for rank in ranks:
-        b = next(b for b, (lo, hi) in starts.items() if lo <= rank < hi)
-        at = starts[b][0]
-        for value, count in placed.where(block == b).orderBy("_p").select("v", "count").collect():
-            if rank < at + count:
-                out.append(value)
+    for i, (b, own) in enumerate(zip(brackets, pieces)):
+        below = b.below
+        for j, (lo, hi) in enumerate(own):
+            count = row[f"c{i}_{j}"]
+            if b.rank < below + count:
+                out.append(replace(b, low=lo, high=hi, below=below, kept=count))
                 break
-            at += count
+            below += count
     return out
