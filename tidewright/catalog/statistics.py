@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tidewright.catalog.base import (
     KNOWN, MEASURES, READINGS, SENSORS, clean_readings, events, known_sensors, query, readings, rounded,
     sensors, shown_time, sql, table)
-from tidewright.functions.scalar import from_micros  # noqa: F401
 from tidewright.operators import correlate as cr
 from tidewright.operators import profile as pr
 from tidewright.operators import resample as rp
@@ -318,10 +317,10 @@ def detect_time_column(spark, sf):
 
 
 @query("suggest_target", sql(SENSORS, """
-    SELECT name AS "column", round(0.6 + 0.2 + CASE WHEN cv > 0.1 AND cv < 2.0 THEN 0.2 ELSE 0 END, 6) AS confidence FROM (
+    SELECT name AS "column", CAST(round(0.6 + 0.2 + CASE WHEN cv > 0.1 AND cv < 2.0 THEN 0.2 ELSE 0 END, 6) AS DOUBLE) AS confidence FROM (
         SELECT 'quantity' AS name, stddev_samp(quantity) / abs(avg(quantity)) AS cv FROM sensors
         UNION ALL SELECT 'amount', stddev_samp(amount) / abs(avg(amount)) FROM sensors)
-    UNION ALL SELECT 'key', round(0.6 + CASE WHEN stddev_samp(key) / avg(key) BETWEEN 0.1 AND 2 THEN 0.2 ELSE 0 END, 6) FROM sensors"""))
+    UNION ALL SELECT 'key', CAST(0.6 + CASE WHEN stddev_samp(key) / avg(key) BETWEEN 0.1 AND 2 THEN 0.2 ELSE 0 END AS DOUBLE) FROM sensors"""))
 def suggest_target(spark, sf):
     return rounded(pr.target_candidates(sensors(spark, sf)), 6, "confidence").select("column", "confidence")
 
@@ -351,9 +350,9 @@ def expand_auto_features(spark, sf):
 
 
 @query("dataset_plan", """
-    SELECT 'ts' AS time, NULL::VARCHAR AS target, 'event_id,user_id,value' AS features,
+    SELECT 'ts' AS time, CAST(NULL AS VARCHAR) AS target, 'event_id,user_id,value' AS features,
         CAST(floor(date_diff('microsecond', min(ts), max(ts)) / 86400000000.0) AS BIGINT) AS days, '2024_01' AS periods
-    FROM events""".replace("NULL::VARCHAR", "'event_type_id'").replace("'event_type_id'", "CAST(NULL AS VARCHAR)"))
+    FROM events""")
 def dataset_plan(spark, sf):
     df = events(spark, sf)
     plan = pr.analyze(df, ties=["event_id"])
@@ -363,10 +362,6 @@ def dataset_plan(spark, sf):
 
 # ---------------------------------------------------------------- lagged correlation and grids
 
-_HOURLY = """hours AS (
-    SELECT date_trunc('hour', ts) AS ts, round(avg(value), 6) AS value, CAST(count(*) AS DOUBLE) AS load
-    FROM events GROUP BY 1)"""
-
 _PAIRED = """placed AS (
     SELECT row_number() OVER (ORDER BY ts, event_id) AS idx, value, CAST(user_id AS DOUBLE) AS load FROM readings
     WHERE value IS NOT NULL),
@@ -380,7 +375,7 @@ def _cross(spark, sf, **options):
     return cr.cross_correlation(df, "value", "load", ["ts", "event_id"], **options)
 
 
-@query("cross_correlation", sql(READINGS, _PAIRED, "SELECT lag, round(lag * 0.25, 6) AS hours, round(corr, 6) AS corr FROM lagged"))
+@query("cross_correlation", sql(READINGS, _PAIRED, "SELECT lag, CAST(lag AS DOUBLE) / 4 AS hours, round(corr, 6) AS corr FROM lagged"))
 def cross_correlation(spark, sf):
     return rounded(_cross(spark, sf), 6, "hours", "corr")
 

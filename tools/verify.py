@@ -19,6 +19,9 @@ from tidewright.session import build_session  # noqa: E402
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
+SPARK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+               "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
 
 def plain(value):
     if value is None or (isinstance(value, float) and math.isnan(value)):
@@ -51,13 +54,16 @@ def main():
             if name not in ORACLES:
                 print(f"rows  {name:28s} {len(got):8d} rows {took:6.1f}s", flush=True)
                 continue
+            cursor_types = duck.execute(f"DESCRIBE {ORACLES[name]}").fetchall()
             cursor = duck.execute(ORACLES[name])
             want, expected = rows_of([d[0] for d in cursor.description], cursor.fetchall())
-            same = got == want and columns == expected
+            kinds = {d[0]: str(d[1]) for d in cursor_types}
+            odd = {c: (t, kinds.get(c)) for c, t in df.dtypes if SPARK_TYPES.get(t) != kinds.get(c)}
+            same = got == want and columns == expected and not odd
             bad += not same
             print(f"{'ok   ' if same else 'DIFF '} {name:28s} {len(got):8d} rows {took:6.1f}s", flush=True)
             if not same:
-                print("   columns", columns, expected, len(got), len(want))
+                print("   columns", columns, expected, len(got), len(want), "types", odd)
                 for a, b in [(a, b) for a, b in zip(got, want) if a != b][:4]:
                     print("   got ", a, "\n   want", b)
         except Exception:
