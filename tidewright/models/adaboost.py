@@ -22,8 +22,14 @@ class AdaBoostRegressor:
 
     def fit(self, train: DataFrame) -> AdaBoostModel:
         """Trees are fitted with the row weights themselves instead of draws by weight."""
-        total = train.count()
-        frame = train.select("features", "label").withColumn("weight", F.lit(1.0 / total))
+        rows = train.select("features", "label").persist()
+        try:
+            return self._boost(rows)
+        finally:
+            rows.unpersist()
+
+    def _boost(self, rows: DataFrame) -> AdaBoostModel:
+        frame = rows.withColumn("weight", F.lit(1.0 / rows.count()))
         trees, weights = [], []
         for round_no in range(self.n_estimators):
             tree = DecisionTreeRegressor(maxDepth=self.max_depth, weightCol="weight", seed=self.seed).fit(frame)
@@ -47,10 +53,17 @@ class AdaBoostRegressor:
                 break
             power = (1 - F.col("_error") / F.lit(worst)) * F.lit(self.learning_rate)
             # Dividing by the mass keeps the weights from fading away over many rounds.
+            last = frame
             frame = scored.select("features", "label",
                                   (F.col("weight") / F.lit(mass) * F.pow(F.lit(beta), power)).alias("weight"))
+            # The weights build on each other, so they are kept, and their lineage is cut now and then.
             if (round_no + 1) % self.checkpoint_every == 0:
                 frame = checkpointed(frame)
+            else:
+                frame = frame.persist()
+                frame.count()
+            last.unpersist()
+        frame.unpersist()
         return AdaBoostModel(trees, weights)
 
 

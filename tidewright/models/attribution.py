@@ -64,10 +64,9 @@ def permutation_importance(model, frame: DataFrame, names: Sequence[str], repeat
         for r, (a, b) in enumerate(_multipliers(n, repeats, seed))])
     asked = rows.select("x", "label", F.explode(donors).alias("d")).select("x", "label", "d.*")
     paired = asked.join(rows.select(F.col("row_id").alias("donor"), F.col("x").alias("other")), "donor")
-    swapped = F.array(*[
-        F.struct(F.lit(f).alias("feature"),
-                 F.transform("x", lambda v, i, f=f: F.when(i == f, F.col("other")[f]).otherwise(v)).alias("x"))
-        for f in range(len(names))])
+    swapped = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda f: F.struct(
+        f.alias("feature"),
+        F.transform("x", lambda v, i: F.when(i == f, F.get("other", f)).otherwise(v)).alias("x")))
     trials = paired.select("repeat", "label", F.explode(swapped).alias("s")) \
         .select("repeat", "label", "s.feature", array_to_vector("s.x").alias("features"))
     scores = model.transform(trials).groupBy("feature", "repeat").agg(*metric_columns("label", "prediction"))
@@ -106,7 +105,7 @@ def tree_leaves(model, spark) -> tuple[list[Leaf], float]:
         nodes = nodes.select(F.lit(0).alias("treeID"), "*")
     table = nodes.select("treeID", "id", "prediction", "rawCount", "leftChild", "rightChild",
                          F.col("split.featureIndex").alias("feature"),
-                         F.element_at("split.leftCategoriesOrThreshold", 1).alias("cut")).collect()
+                         F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("cut")).collect()
     trees: dict[int, dict] = {}
     for row in table:
         trees.setdefault(row["treeID"], {})[row["id"]] = row

@@ -7,9 +7,10 @@ columns are scaled by the width of their prior, so one penalty stands for all pr
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -126,17 +127,35 @@ class ForecastModel:
                                 "yhat_upper": F.col("yhat") + F.lit(self.band[1])})
 
 
-def _ridge(df: DataFrame, columns: dict[str, Column], prior: dict[str, float], target: Column,
-           penalty: float) -> dict[str, float]:
-    scaled = F.array(*[(c * F.lit(prior[n])).cast("double") for n, c in columns.items()])
-    frame = df.select(array_to_vector(scaled).alias("features"), target.alias("label"))
+def _ridge(design: DataFrame, x: Column, y: Column, prior: Sequence[float], penalty: float) -> np.ndarray:
+    """Weights of the columns in the array ``x``, each scaled by its prior width."""
+    widths = F.array(*[F.lit(float(p)) for p in prior])
+    frame = design.select(array_to_vector(F.zip_with(x, widths, lambda v, w: v * w)).alias("features"),
+                          y.alias("label"))
     fit = LinearRegression(fitIntercept=False, standardization=False, elasticNetParam=0.0,
                            regParam=penalty, solver="normal").fit(frame)
-    return {n: float(w) * prior[n] for (n, w) in zip(columns, fit.coefficients)}
+    return fit.coefficients.toArray() * np.array(prior)
+
+
+def _inner(x: str, weights: np.ndarray) -> Column:
+    numbers = F.array(*[F.lit(float(w)) for w in weights])
+    return F.aggregate(F.zip_with(x, numbers, lambda v, w: v * w), F.lit(0.0), lambda a, v: a + v)
+
+
+def _by_turns(design: DataFrame, prior_t, prior_s, penalty, rounds, shares: np.ndarray):
+    """Trend given the seasonal shares, then shares given the trend, a few times over."""
+    # The factor is spread into an array first; inside a lambda it would be formed again per element.
+    scaled = lambda x, by, n: F.zip_with(x, F.array_repeat(by, n), lambda v, w: v * w)
+    for _ in range(rounds):
+        staged = design.withColumn("_f", 1 + _inner("_s", shares))
+        trend = _ridge(staged, scaled("_t", "_f", len(prior_t)), F.col("_y"), prior_t, penalty)
+        staged = design.withColumn("_f", _inner("_t", trend))
+        shares = _ridge(staged, scaled("_s", "_f", len(prior_s)), F.col("_y") - F.col("_f"), prior_s, penalty)
+    return trend, shares
 
 
 def fit_forecast(train: DataFrame, time: str, target: str, config: ForecastConfig = ForecastConfig(),
-                 rounds: int = 3) -> ForecastModel:
+                 rounds: int = 2) -> ForecastModel:
     """Fit trend and seasons. Each ridge fit adds up one small matrix in one pass over the rows.
 
     Multiplicative seasons are fitted by turns: trend given seasons, seasons given trend.
@@ -161,33 +180,33 @@ def fit_forecast(train: DataFrame, time: str, target: str, config: ForecastConfi
     season = {n: c for cols in groups.values() for n, c in cols.items()}
     prior = {n: TREND_SCALE if n in ("offset", "slope") else config.changepoint_prior_scale for n in trend}
     prior |= {n: REGRESSOR_SCALE if n in model.regressor_stats else config.seasonality_prior_scale for n in season}
-    y = F.col("_y") / F.lit(scale)
+    prior_t, prior_s = [prior[n] for n in trend], [prior[n] for n in season]
+    arrays = lambda cols: F.array(*[c.cast("double") for c in cols.values()]) if cols \
+        else F.array().cast("array<double>")
     known = known.persist()
     try:
+        # The arrays are formed anew in each pass: cheaper than keeping that many columns.
+        design = known.select((F.col("_y") / F.lit(scale)).alias("_y"),
+                              arrays(trend).alias("_t"), arrays(season).alias("_s"))
         # The first fit finds the noise, which sets the penalty of the second.
-        noise = 0.25
+        noise, shares = 0.25, np.zeros(len(season))
         for _ in range(2):
             penalty = noise * noise / stats["n"]
             if config.seasonality_mode == "additive" or not season:
-                weights = _ridge(known, {**trend, **season}, prior, y, penalty)
+                both = _ridge(design, F.concat("_t", "_s"), F.col("_y"), [*prior_t, *prior_s], penalty)
+                level, shares = both[:len(trend)], both[len(trend):]
+                fitted = _inner("_t", level) + _inner("_s", shares)
             else:
-                weights = {n: 0.0 for n in season}
-                for _ in range(rounds):
-                    factor = 1 + _dot(season, weights)
-                    weights |= _ridge(known, {n: c * factor for n, c in trend.items()}, prior, y, penalty)
-                    level = _dot(trend, weights)
-                    weights |= _ridge(known, {n: c * level for n, c in season.items()}, prior, y - level, penalty)
-            model = ForecastModel(
-                model.time, config, start, span, scale, model.changes, model.seasons, model.regressor_stats,
-                {n: weights[n] for n in trend}, {n: weights[n] for n in season})
-            errors = model.components(known).select((F.col("_y") - F.col("yhat")).alias("e"))
+                level, shares = _by_turns(design, prior_t, prior_s, penalty, rounds, shares)
+                fitted = _inner("_t", level) * (1 + _inner("_s", shares))
+            errors = design.select(((F.col("_y") - fitted) * F.lit(scale)).alias("e"))
             noise = max((errors.agg(F.stddev_pop("e")).first()[0] or 0.0) / scale, 1e-6)
         tail = (1 - config.interval_width) / 2
         band = tuple(quantiles(errors, ["e"], [tail, 1 - tail])["e"])
     finally:
         known.unpersist()
-    return ForecastModel(model.time, config, start, span, scale, model.changes, model.seasons,
-                         model.regressor_stats, model.trend_weights, model.season_weights, band)
+    return replace(model, band=band, trend_weights=dict(zip(trend, map(float, level))),
+                   season_weights=dict(zip(season, map(float, shares))))
 
 
 def forecast_periods(df: DataFrame, time: str, target: str, order: Sequence[str],
