@@ -34,7 +34,8 @@ def _frame(spark, sf):
     Fits read their rows several times, so the table is written once.
     """
     split = temporal_split(known_sensors(spark, sf), ["ts", "key"], 0.8).withColumn("row_id", F.col("pos"))
-    return materialize(assemble(split, FEATURES, "amount", keep=["row_id", "key", "split"]), "vectors")
+    return materialize(assemble(split, FEATURES, "amount", keep=["row_id", "key", "split"]), "vectors",
+                       spread="row_id")
 
 
 def _train(frame):

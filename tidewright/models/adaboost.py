@@ -30,12 +30,14 @@ class AdaBoostRegressor:
 
     def _boost(self, rows: DataFrame) -> AdaBoostModel:
         frame = rows.withColumn("weight", F.lit(1.0 / rows.count()))
-        trees, weights = [], []
+        trees, weights, last = [], [], None
         for round_no in range(self.n_estimators):
             tree = DecisionTreeRegressor(maxDepth=self.max_depth, weightCol="weight", seed=self.seed).fit(frame)
             scored = tree.transform(frame).withColumn("_error", F.abs(F.col("label") - F.col("prediction")))
             worst, mass, weighted = scored.agg(
                 F.max("_error"), F.sum("weight"), F.sum(F.col("weight") * F.col("_error"))).first()
+            if last is not None:
+                last.unpersist()
             if worst == 0:
                 trees.append(tree)
                 weights.append(1.0)
@@ -61,8 +63,6 @@ class AdaBoostRegressor:
                 frame = checkpointed(frame)
             else:
                 frame = frame.persist()
-                frame.count()
-            last.unpersist()
         frame.unpersist()
         return AdaBoostModel(trees, weights)
 

@@ -156,16 +156,37 @@ def _leaf_shapley(on: np.ndarray, kept: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shapley(leaves: Sequence[Leaf], x: np.ndarray) -> np.ndarray:
-    phi = np.zeros(x.shape)
+# Up to this many features on the way to a leaf, its values for all patterns are tabled once.
+_TABLED = 8
+
+
+def _with_tables(leaves: Sequence[Leaf]) -> list[tuple[Leaf, np.ndarray | None]]:
+    out = []
     for leaf in leaves:
+        m, table = len(leaf.features), None
+        if 0 < m <= _TABLED:
+            patterns = (np.arange(2 ** m)[:, None] >> np.arange(m)) & 1
+            table = _leaf_shapley(patterns.astype(float), np.array(leaf.kept)) * leaf.value
+        out.append((leaf, table))
+    return out
+
+
+def _shapley(leaves: Sequence[tuple[Leaf, np.ndarray | None]], x: np.ndarray) -> np.ndarray:
+    phi = np.zeros(x.shape)
+    for leaf, table in leaves:
         if not leaf.features:
             continue
-        columns = np.array(leaf.features)
-        inside = (x[:, columns] > np.array(leaf.low)) & (x[:, columns] <= np.array(leaf.high))
-        patterns, which = np.unique(inside, axis=0, return_inverse=True)
-        values = _leaf_shapley(patterns.astype(float), np.array(leaf.kept)) * leaf.value
-        phi[:, columns] += values[which.ravel()]
+        inside = [(x[:, f] > lo) & (x[:, f] <= hi) for f, lo, hi in zip(leaf.features, leaf.low, leaf.high)]
+        if table is not None:
+            pattern = np.zeros(len(x), dtype=np.int64)
+            for i, on in enumerate(inside):
+                pattern |= on.astype(np.int64) << i
+            values = table[pattern]
+        else:
+            patterns, which = np.unique(np.column_stack(inside), axis=0, return_inverse=True)
+            values = (_leaf_shapley(patterns.astype(float), np.array(leaf.kept)) * leaf.value)[which.ravel()]
+        for i, f in enumerate(leaf.features):
+            phi[:, f] += values[:, i]
     return phi
 
 
@@ -178,7 +199,8 @@ def shap_values(model, frame: DataFrame, keep: Sequence[str] = ("row_id",)) -> t
         raise ValueError("tree models only; use shap_sampled for others")
     spark = frame.sparkSession
     leaves, base = tree_leaves(model, spark)
-    shared = spark.sparkContext.broadcast(leaves)
+    # The size of the model, not of the data.
+    shared = spark.sparkContext.broadcast(_with_tables(leaves))
 
     @F.pandas_udf("array<double>")
     def explain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

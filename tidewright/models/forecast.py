@@ -1,18 +1,18 @@
 """Forecasts from a piecewise-linear trend and Fourier seasons (Taylor and Letham 2018).
 
-The design matrix is a set of column expressions and the fit a ridge regression on it:
-columns are scaled by the width of their prior, so one penalty stands for all priors.
+The design matrix is a set of column expressions and the fit a ridge regression on it,
+where each column's penalty follows from the width of its prior.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,10 +62,12 @@ def fourier_columns(time: str, name: str, waves: int | None = None) -> dict[str,
     return out
 
 
-def changepoint_days(df: DataFrame, time: str, share: float = 0.8, count: int = CHANGEPOINTS) -> list[float]:
+def changepoint_days(df: DataFrame, time: str, share: float = 0.8, count: int = CHANGEPOINTS,
+                     at_most: int | None = None) -> list[float]:
     """Times, in days, that cut the first share of the rows into equally full pieces."""
     days = df.select(days_since_epoch(time).alias("d"))
-    return quantiles(days, ["d"], [share * j / count for j in range(1, count + 1)])["d"]
+    return quantiles(days, ["d"], [share * j / count for j in range(1, count + 1)],
+                     at_most=at_most)["d"]
 
 
 def hinge_columns(t: Column, changes: Sequence[float]) -> dict[str, Column]:
@@ -127,39 +129,67 @@ class ForecastModel:
                                 "yhat_upper": F.col("yhat") + F.lit(self.band[1])})
 
 
-def _ridge(design: DataFrame, x: Column, y: Column, prior: Sequence[float], penalty: float) -> np.ndarray:
-    """Weights of the columns in the array ``x``, each scaled by its prior width."""
-    widths = F.array(*[F.lit(float(p)) for p in prior])
-    frame = design.select(array_to_vector(F.zip_with(x, widths, lambda v, w: v * w)).alias("features"),
-                          y.alias("label"))
-    fit = LinearRegression(fitIntercept=False, standardization=False, elasticNetParam=0.0,
-                           regParam=penalty, solver="normal").fit(frame)
-    return fit.coefficients.toArray() * np.array(prior)
+def _gram(design: DataFrame, combine) -> np.ndarray:
+    """Sum over all rows of a'a, where ``combine`` turns a block of the design into rows a.
 
+    Each task adds up one small matrix with NumPy; the matrices are added up on Spark.
+    """
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = 0.0
+        for batch in batches:
+            a = combine(batch.to_numpy(dtype=float))
+            total = total + a.T @ a
+        if not np.isscalar(total):
+            yield pd.DataFrame({"place": np.arange(total.size), "part": total.ravel()})
 
-def _inner(x: str, weights: np.ndarray) -> Column:
-    numbers = F.array(*[F.lit(float(w)) for w in weights])
-    return F.aggregate(F.zip_with(x, numbers, lambda v, w: v * w), F.lit(0.0), lambda a, v: a + v)
+    rows = design.mapInPandas(work, "place long, part double").groupBy("place").agg(F.sum("part").alias("s")).collect()
+    flat = np.empty(len(rows))
+    for r in rows:
+        flat[r["place"]] = r["s"]
+    return flat.reshape(math.isqrt(len(rows)), -1)
 
 
-def _by_turns(design: DataFrame, prior_t, prior_s, penalty, rounds, shares: np.ndarray):
-    """Trend given the seasonal shares, then shares given the trend, a few times over."""
-    # The factor is spread into an array first; inside a lambda it would be formed again per element.
-    scaled = lambda x, by, n: F.zip_with(x, F.array_repeat(by, n), lambda v, w: v * w)
-    for _ in range(rounds):
-        staged = design.withColumn("_f", 1 + _inner("_s", shares))
-        trend = _ridge(staged, scaled("_t", "_f", len(prior_t)), F.col("_y"), prior_t, penalty)
-        staged = design.withColumn("_f", _inner("_t", trend))
-        shares = _ridge(staged, scaled("_s", "_f", len(prior_s)), F.col("_y") - F.col("_f"), prior_s, penalty)
-    return trend, shares
+def _solve(gram: np.ndarray, prior: np.ndarray, noise: float) -> tuple[np.ndarray, float]:
+    """Ridge weights from the sums of products, the target in the last place, and the squared error left."""
+    xx, xy, yy = gram[:-1, :-1], gram[:-1, -1], gram[-1, -1]
+    weights = np.linalg.solve(xx + np.diag(noise * noise / prior ** 2), xy)
+    return weights, float(yy - 2 * weights @ xy + weights @ xx @ weights)
 
 
-def fit_forecast(train: DataFrame, time: str, target: str, config: ForecastConfig = ForecastConfig(),
-                 rounds: int = 2) -> ForecastModel:
-    """Fit trend and seasons. Each ridge fit adds up one small matrix in one pass over the rows.
+def _fit_weights(design: DataFrame, rows: int, prior_t: np.ndarray, prior_s: np.ndarray, mode: str, rounds: int):
+    """(trend weights, season weights). The design holds trend columns, season columns and the target.
 
-    Multiplicative seasons are fitted by turns: trend given seasons, seasons given trend.
+    The noise found by a first solution sets the penalty of the second. Sums are one pass
+    over the rows; additive models need one, multiplicative ones two per round.
     """
+    k = len(prior_t)
+    spread = lambda sse: math.sqrt(max(sse, 0.0) / rows) or 1e-6
+    noise = 0.25
+    if mode == "additive" or not len(prior_s):
+        gram, prior = _gram(design, lambda a: a), np.concatenate([prior_t, prior_s])
+        for _ in range(2):
+            weights, sse = _solve(gram, prior, noise)
+            noise = spread(sse)
+        return weights[:k], weights[k:]
+    shares = np.zeros(len(prior_s))
+    for _ in range(rounds):
+        gram = _gram(design, lambda a: np.column_stack([a[:, :k] * (1 + a[:, k:-1] @ shares)[:, None], a[:, -1]]))
+        for _ in range(2):
+            level, sse = _solve(gram, prior_t, noise)
+            noise = spread(sse)
+
+        def seasonal(a):
+            g = a[:, :k] @ level
+            return np.column_stack([a[:, k:-1] * g[:, None], a[:, -1] - g])
+
+        shares, sse = _solve(_gram(design, seasonal), prior_s, noise)
+        noise = spread(sse)
+    return level, shares
+
+
+def fit_forecast(train: DataFrame, time: str, target: str, config: ForecastConfig = ForecastConfig(),
+                 rounds: int = 3) -> ForecastModel:
+    """Fit trend and seasons; multiplicative seasons by turns: trend given seasons, seasons given trend."""
     known = train.select(time, F.col(target).cast("double").alias("_y"), *config.regressors).na.drop("any")
     stats = known.agg(
         F.min(days_since_epoch(time)).alias("lo"), F.max(days_since_epoch(time)).alias("hi"),
@@ -170,7 +200,7 @@ def fit_forecast(train: DataFrame, time: str, target: str, config: ForecastConfi
         raise ValueError("too few rows to fit a forecast")
     start, span, scale = stats["lo"], (stats["hi"] - stats["lo"]) or 1.0, stats["top"] or 1.0
     count = min(CHANGEPOINTS, max(1, int(stats["n"] * config.changepoint_range) - 1))
-    changes = changepoint_days(known, time, config.changepoint_range, count)
+    changes = changepoint_days(known, time, config.changepoint_range, count, stats["n"])
     model = ForecastModel(
         time, config, start, span, scale, tuple((c - start) / span for c in changes),
         tuple(active_seasons(config, span)),
@@ -180,33 +210,20 @@ def fit_forecast(train: DataFrame, time: str, target: str, config: ForecastConfi
     season = {n: c for cols in groups.values() for n, c in cols.items()}
     prior = {n: TREND_SCALE if n in ("offset", "slope") else config.changepoint_prior_scale for n in trend}
     prior |= {n: REGRESSOR_SCALE if n in model.regressor_stats else config.seasonality_prior_scale for n in season}
-    prior_t, prior_s = [prior[n] for n in trend], [prior[n] for n in season]
-    arrays = lambda cols: F.array(*[c.cast("double") for c in cols.values()]) if cols \
-        else F.array().cast("array<double>")
     known = known.persist()
     try:
-        # The arrays are formed anew in each pass: cheaper than keeping that many columns.
-        design = known.select((F.col("_y") / F.lit(scale)).alias("_y"),
-                              arrays(trend).alias("_t"), arrays(season).alias("_s"))
-        # The first fit finds the noise, which sets the penalty of the second.
-        noise, shares = 0.25, np.zeros(len(season))
-        for _ in range(2):
-            penalty = noise * noise / stats["n"]
-            if config.seasonality_mode == "additive" or not season:
-                both = _ridge(design, F.concat("_t", "_s"), F.col("_y"), [*prior_t, *prior_s], penalty)
-                level, shares = both[:len(trend)], both[len(trend):]
-                fitted = _inner("_t", level) + _inner("_s", shares)
-            else:
-                level, shares = _by_turns(design, prior_t, prior_s, penalty, rounds, shares)
-                fitted = _inner("_t", level) * (1 + _inner("_s", shares))
-            errors = design.select(((F.col("_y") - fitted) * F.lit(scale)).alias("e"))
-            noise = max((errors.agg(F.stddev_pop("e")).first()[0] or 0.0) / scale, 1e-6)
+        design = known.select(*trend.values(), *season.values(), F.col("_y") / F.lit(scale))
+        design = design.toDF(*[f"c{i}" for i in range(len(trend) + len(season) + 1)])
+        level, shares = _fit_weights(design, stats["n"], np.array([prior[n] for n in trend]),
+                                     np.array([prior[n] for n in season]), config.seasonality_mode, rounds)
+        model = replace(model, trend_weights=dict(zip(trend, map(float, level))),
+                        season_weights=dict(zip(season, map(float, shares))))
+        errors = model.components(known).select((F.col("_y") - F.col("yhat")).alias("e"))
         tail = (1 - config.interval_width) / 2
-        band = tuple(quantiles(errors, ["e"], [tail, 1 - tail])["e"])
+        band = tuple(quantiles(errors, ["e"], [tail, 1 - tail], at_most=stats["n"])["e"])
     finally:
         known.unpersist()
-    return replace(model, band=band, trend_weights=dict(zip(trend, map(float, level))),
-                   season_weights=dict(zip(season, map(float, shares))))
+    return replace(model, band=band)
 
 
 def forecast_periods(df: DataFrame, time: str, target: str, order: Sequence[str],

@@ -14,6 +14,9 @@ from tidewright.models.estimators import make_estimator
 from tidewright.operators.metrics import metric_columns
 from tidewright.operators.split import fold_bounds
 
+# Rows a task of a fit should have at least; fewer would cost more to schedule than to read.
+TASK_ROWS = 25_000
+
 
 def grid_points(grid: dict[str, list]) -> list[dict]:
     """Every combination of the listed values, the last parameter changing fastest."""
@@ -42,12 +45,15 @@ def grid_search(train: DataFrame, name: str, grid: dict[str, list], folds: int,
     """
     points = grid_points(grid)
     augment = augment or (lambda df: df)
-    train = train.persist()
+    rows = train.count()
+    tasks = min(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    # Rows are placed by a hash of their number, so the early rows of a fold are spread as well.
+    train = train.repartition(max(1, tasks), "row_id").persist()
     try:
         scores: list[tuple[dict, list[float]]] = []
         best = points[0]
         if len(points) > 1:
-            bounds = fold_bounds(train.count(), folds)
+            bounds = fold_bounds(rows, folds)
 
             def run(task):
                 point, (first, end) = task

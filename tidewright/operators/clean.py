@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.chi2 import chi2_quantile
 from tidewright.operators.quantiles import quantiles
+from tidewright.session import materialize
 
 
 def drop_missing(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
@@ -46,8 +47,9 @@ def drop_constant_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.drop(*set(columns).difference(varying_columns(df, columns)))
 
 
-def iqr_bounds(df: DataFrame, column: str, factor: float = 1.5) -> tuple[float, float] | None:
-    q1, q3 = quantiles(df, [column], [0.25, 0.75])[column]
+def iqr_bounds(df: DataFrame, column: str, factor: float = 1.5,
+               at_most: int | None = None) -> tuple[float, float] | None:
+    q1, q3 = quantiles(df, [column], [0.25, 0.75], at_most=at_most)[column]
     if q1 is None:
         return None
     return q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)
@@ -55,8 +57,9 @@ def iqr_bounds(df: DataFrame, column: str, factor: float = 1.5) -> tuple[float,
 
 def remove_outliers_iqr(df: DataFrame, columns: Sequence[str], factor: float = 1.5) -> DataFrame:
     """Column after column; the bounds of one come from the rows the earlier ones left."""
+    rows = df.count()
     for column in columns:
-        bounds = iqr_bounds(df, column, factor)
+        bounds = iqr_bounds(df, column, factor, rows)
         if bounds is None:
             return df.where(F.lit(False))
         df = df.where(F.col(column).between(*bounds))
@@ -127,13 +130,18 @@ def flag_mahalanobis(df: DataFrame, columns: Sequence[str], quantile: float = 0.
 
 @dataclass(frozen=True)
 class CleaningOptions:
-    """Which steps to run; ``outliers`` is 'iqr', 'mahalanobis', 'both' or None."""
+    """Which steps to run; ``outliers`` is 'iqr', 'mahalanobis', 'both' or None.
+
+    Outlier steps read their input once per column. With ``stage`` the rows the simple
+    filters leave are written once, so that those passes read only the columns they need.
+    """
 
     missing: bool = True
     negative: bool = True
     outliers: str | None = "both"
     iqr_factor: float = 1.5
     quantile: float = 0.99
+    stage: bool = True
 
     def __post_init__(self):
         if self.outliers not in (None, "iqr", "mahalanobis", "both"):
@@ -155,7 +163,10 @@ def cleaning_steps(columns: Sequence[str], options: CleaningOptions = CleaningOp
 
 
 def clean(df: DataFrame, columns: Sequence[str], options: CleaningOptions = CleaningOptions()) -> DataFrame:
-    for _, step in cleaning_steps(columns, options):
+    staged = not options.stage
+    for name, step in cleaning_steps(columns, options):
+        if name in ("iqr", "mahalanobis") and not staged:
+            df, staged = materialize(df, "cleaning"), True
         df = df.transform(step)
     return df
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidewright.session import materialize
 
 # A series up to this many rows is numbered by one window; longer ones by ranges.
-MAX_GROUP_ROWS = 2_000_000
+MAX_GROUP_ROWS = 1_000_000
 # Rows of one range, and of one chunk.
 RANGE_ROWS = 1_000_000
 CHUNK_ROWS = 250_000

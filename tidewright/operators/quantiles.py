@@ -16,16 +16,20 @@ SKETCH_ACCURACY = 10_000
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-              exact_rows: int | None = None) -> dict[str, list[float | None]]:
+              exact_rows: int | None = None, at_most: int | None = None) -> dict[str, list[float | None]]:
     """Quantiles of each column without its missing values, as {column: [one per prob]}.
+    ``at_most`` is a known bound of the row count and may spare the pass that counts.
 
     Short columns share one aggregate. A long column is narrowed by sketches to the
     few values around each rank, which are then ranked exactly; no task ever holds
     all values of a long column.
     """
     limit = EXACT_ROWS if exact_rows is None else exact_rows
-    counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    sizes = {c: counts[f"n{i}"] for i, c in enumerate(columns)}
+    if at_most is not None and 0 < at_most <= limit:
+        sizes = dict.fromkeys(columns, at_most)
+    else:
+        counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+        sizes = {c: counts[f"n{i}"] for i, c in enumerate(columns)}
     short = [c for c in columns if 0 < sizes[c] <= limit]
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
     if short:
@@ -33,7 +37,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
         row = df.agg(*[F.percentile(F.col(c).cast("double"), wanted).alias(f"q{i}")
                        for i, c in enumerate(short)]).first()
         for i, c in enumerate(short):
-            out[c] = list(row[f"q{i}"])
+            out[c] = list(row[f"q{i}"] or out[c])
     for c in columns:
         if sizes[c] > limit:
             out[c] = _interpolated(df, c, sizes[c], probs, limit)

@@ -17,6 +17,7 @@ def build_session(app: str = "tidewright", master: str | None = None, **conf: st
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         builder = builder.master(master)
@@ -47,18 +48,24 @@ def shared_folder(spark: SparkSession) -> str:
     return configured
 
 
-def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = (),
+                spread: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back.
 
     Cuts the lineage, survives the loss of executors and keeps column pruning
-    for the readers, which a row-wise checkpoint would not.
+    for the readers, which a row-wise checkpoint would not. ``spread`` names a
+    column by whose hash the rows are placed evenly, for tables that are read
+    many times and whose plan ends in few or uneven partitions.
     """
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if spread:
+        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), spread)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
