@@ -259,5 +259,15 @@ def test_experiment(spark, tmp_path, model, grid, extra):
     assert saved.where("period = 'Jan A'").count() == first.Test_Samples
 
 
+def test_experiment_with_features_first(spark):
+    df = season(spark, "additive")
+    config = ExperimentConfig(SeriesSpec("ds", (), (), "y", ("r",)), (), "DecisionTree", {"max_depth": [4]},
+                              FeaturePlan(lags={"r": [1]}, windows={"r": [3]}), features_first=True)
+    row = run_experiment(df, config).first()
+    rows = 24 * 28 - 2
+    assert (row.Period, row.Features_Count) == ("all", 1 + 4 + 1 + 2)
+    assert (row.Train_Samples, row.Test_Samples) == (int(rows * 0.8), rows - int(rows * 0.8))
+
+
 def test_sensor_plan_names():
     assert len(SENSOR_PLAN.names(["quantity", "lines"])) == 4 + 2 + 6

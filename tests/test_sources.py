@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright import session
 from tidewright.session import materialize, shared_folder
 from tidewright.sources import readers, writers
 
@@ -50,3 +51,27 @@ def test_materialize_reads_back(spark, tiny):
     out = materialize(tiny, "t", spread="w")
     assert out.schema.fieldNames() == tiny.schema.fieldNames() and out.count() == 8
     assert shared_folder(spark) == shared_folder(spark)
+
+
+def test_own_tables_can_be_dropped(spark, tiny, monkeypatch):
+    monkeypatch.setattr(session, "_written", [])
+    out = materialize(tiny, "gone")
+    session.drop_materialized(spark)
+    with pytest.raises(Exception, match="does not exist|PATH_NOT_FOUND|FileNotFound"):
+        spark.read.parquet(*out.inputFiles()).count()
+
+
+def test_stateless_steps_accept_a_stream(spark, tiny, tmp_path):
+    from tidewright.operators.clean import drop_missing, non_negative
+    from tidewright.operators.features import add_time_features
+    from tidewright.operators.scale import standard_scaler
+
+    path = str(tmp_path / "in")
+    tiny.write.parquet(path)
+    scaler = standard_scaler(tiny, ["w"])
+    stream = spark.readStream.schema(tiny.schema).parquet(path)
+    out = scaler.transform(add_time_features(non_negative(drop_missing(stream), ["v"]), "ts"))
+    running = out.writeStream.format("memory").queryName("stateless").option(
+        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    running.awaitTermination(60)
+    assert spark.table("stateless").count() == 5

@@ -155,6 +155,15 @@ def experiment_forest_augmented(spark, sf):
     return run_experiment(cleaned, config)
 
 
+@query("experiment_features_first")
+def experiment_features_first(spark, sf):
+    """The interactive variant: one period, features before the split, full windows, three folds."""
+    cleaned = clean(sensors(spark, sf), MEASURES, CleaningOptions(negative=False, outliers="iqr"))
+    config = ExperimentConfig(SENSOR_SERIES, (), "DecisionTree", {"max_depth": [10, 20]}, SENSOR_PLAN,
+                              folds=3, features_first=True)
+    return run_experiment(cleaned, config)
+
+
 # ---------------------------------------------------------------- forecasts
 
 _DAYS = "(epoch_us(ts) / CAST(86400000000 AS DOUBLE))"

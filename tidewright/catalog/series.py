@@ -10,7 +10,7 @@ from tidewright.catalog.base import (
 from tidewright.operators import periods as pe
 from tidewright.operators.augment import add_noise
 from tidewright.operators.features import add_features, add_split_features, add_time_features, time_gaps
-from tidewright.operators.metrics import regression_metrics
+from tidewright.operators.metrics import metric_columns
 from tidewright.operators.scale import SCALERS
 from tidewright.operators.split import cv_folds, temporal_split
 from tidewright.spec import FeaturePlan
@@ -183,10 +183,10 @@ def features_then_split(spark, sf):
     FROM complete GROUP BY period, split"""))
 def persistence_by_period(spark, sf):
     """Clean, assign to periods, split, add features, drop incomplete rows, score the reading before."""
-    complete = _scoped(spark, sf).na.drop("any")
-    scores = regression_metrics(complete, "value", "value_lag1", ["period", "split"])
-    hours = complete.groupBy("period", "split").agg(F.avg("hour_sin").alias("hour_sin"))
-    return rounded(scores.join(hours, ["period", "split"]), 6, "r2", "rmse", "mae", "hour_sin")
+    complete = _scoped(spark, sf).na.drop(subset=["value", *_MODEL_PLAN.names(["value"])])
+    scores = complete.groupBy("period", "split").agg(
+        F.count(F.lit(1)).alias("n"), *metric_columns("value", "value_lag1"), F.avg("hour_sin").alias("hour_sin"))
+    return rounded(scores, 6, "r2", "rmse", "mae", "hour_sin")
 
 
 # ---------------------------------------------------------------- scaling and augmentation

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressionModel, GBTRegressionModel, RandomForestRegressionModel)
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.operators.metrics import metric_columns
@@ -241,9 +241,10 @@ def shap_sampled(model, frame: DataFrame, names: Sequence[str], rows: int = 100,
     first rows are both what is explained and the background.
     """
     few = frame.orderBy("row_id").limit(rows).select("row_id", vector_to_array("features").alias("x"))
-    background = few.agg(F.array_sort(F.collect_list(F.struct("row_id", "x"))).alias("b"))
+    # A window over the chosen rows alone, which are as few as ``rows`` says.
+    background = F.array_sort(F.collect_list(F.struct("row_id", "x")).over(Window.partitionBy()))
     count = len(names)
-    trials = few.crossJoin(F.broadcast(background)) \
+    trials = few.withColumn("b", background) \
         .withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     draw = F.transform(F.sequence(F.lit(0), F.lit(count - 1)),
                        lambda i: F.struct(F.xxhash64(F.lit(seed), "row_id", "perm", i).alias("h"), i.alias("i")))

@@ -9,7 +9,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many rows one `percentile` aggregate holds the values of a column.
+# Up to this many values are held at once by `percentile` aggregates.
 EXACT_ROWS = 4_000_000
 # Resolution of the sketch that narrows longer columns down.
 SKETCH_ACCURACY = 10_000
@@ -20,7 +20,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
     """Quantiles of each column without its missing values, as {column: [one per prob]}.
     ``at_most`` is a known bound of the row count and may spare the pass that counts.
 
-    Short columns share one aggregate. A long column is narrowed by sketches to the
+    Short columns share aggregates. A long column is narrowed by sketches to the
     few values around each rank, which are then ranked exactly; no task ever holds
     all values of a long column.
     """
@@ -30,13 +30,12 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
     else:
         counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
         sizes = {c: counts[f"n{i}"] for i, c in enumerate(columns)}
-    short = [c for c in columns if 0 < sizes[c] <= limit]
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
-    if short:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    for group in _groups(sizes, limit):
         row = df.agg(*[F.percentile(F.col(c).cast("double"), wanted).alias(f"q{i}")
-                       for i, c in enumerate(short)]).first()
-        for i, c in enumerate(short):
+                       for i, c in enumerate(group)]).first()
+        for i, c in enumerate(group):
             out[c] = list(row[f"q{i}"] or out[c])
     for c in columns:
         if sizes[c] > limit:
@@ -44,6 +43,20 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
     return out
 
 
+def _groups(sizes: dict[str, int], limit: int) -> list[list[str]]:
+    """Short columns in groups that hold at most ``limit`` values together."""
+    out, held = [], limit + 1
+    for column, size in sizes.items():
+        if not 0 < size <= limit:
+            continue
+        if held + size > limit:
+            out.append([])
+            held = 0
+        out[-1].append(column)
+        held += size
+    return out
+
+
 def _interpolated(df, column, n, probs, limit) -> list[float]:
     places = [p * (n - 1) for p in probs]
     ranks = sorted({min(math.floor(x) + step, n - 1) for x in places for step in (0, 1)})

@@ -40,9 +40,11 @@ def resample_mean(df: DataFrame, rule: str, time: str, columns: Sequence[str],
         # Midnight is a bin border every day, so the first day need not be known.
         origin = F.lit(0).cast("long")
     else:
-        start = at.groupBy(*keys).agg(
-            F.expr(f"(min(_us) div {DAY_MICROS}) * {DAY_MICROS}").alias("_origin"))
-        at = at.join(start, list(keys)) if keys else at.crossJoin(F.broadcast(start))
+        midnight = F.expr(f"(min(_us) div {DAY_MICROS}) * {DAY_MICROS}").alias("_origin")
+        if keys:
+            at = at.join(at.groupBy(*keys).agg(midnight), list(keys))
+        else:
+            at = at.withColumn("_origin", F.lit(at.agg(midnight).first()["_origin"]).cast("long"))
         origin = F.col("_origin")
     bin_no = F.floor((F.col("_us") - origin) / F.lit(step)).cast("long")
     binned = at.withColumn("_bin", bin_no)
@@ -59,6 +61,9 @@ def _fill_grid(means, keys, aligned):
     bounds = means.groupBy(*keys).agg(F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi"), *extra)
     block = bounds.withColumn("_b", F.explode(F.sequence(
         F.lit(0).cast("long"), F.expr(f"(_hi - _lo) div {_GRID_BLOCK}"))))
+    # By number, as these rows are few bytes but each unrolls into a block of bins.
+    tasks = int(means.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = block.repartition(tasks, *keys, "_b")
     first = F.col("_lo") + F.col("_b") * _GRID_BLOCK
     grid = block.withColumn("_bin", F.explode(F.sequence(
         first, F.least(first + (_GRID_BLOCK - 1), F.col("_hi")))))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewright.models.tune import grid_search
 from tidewright.operators.augment import add_noise
 from tidewright.operators.columns import assemble
-from tidewright.operators.features import add_split_features
+from tidewright.operators.features import add_features, add_split_features, add_time_features
 from tidewright.operators.index import with_position
 from tidewright.operators.metrics import regression_metrics
 from tidewright.operators.periods import assign_periods, large_enough, pick_periods
@@ -27,6 +27,9 @@ from tidewright.spec import FeaturePlan, Period, SeriesSpec, lookup_override
 
 log = logging.getLogger(__name__)
 
+# Name of the only period when a series is not cut into seasons.
+WHOLE = "all"
+
 RESULT_SCHEMA = (
     "Period string, Model string, Train_R2 double, Test_R2 double, Train_RMSE double, Test_RMSE double, "
     "Train_MAE double, Test_MAE double, Best_Params string, Features_Count long, Train_Samples long, "
@@ -35,7 +38,11 @@ RESULT_SCHEMA = (
 
 @dataclass(frozen=True)
 class ExperimentConfig:
-    """One model on one series. Plans and rules may differ by model and period."""
+    """One model on one series. Plans and rules may differ by model and period.
+
+    With ``features_first``, the interactive variant, the whole series is one period,
+    features are made before the split and rolling windows must be full.
+    """
 
     spec: SeriesSpec
     periods: Sequence[Period]
@@ -55,6 +62,7 @@ class ExperimentConfig:
     folds: int = 5
     scoring: str = "r2"
     seed: int = 42
+    features_first: bool = False
     predictions_path: str | None = None
     models_path: str | None = None
 
@@ -107,6 +115,16 @@ def prepare(df: DataFrame, config: ExperimentConfig) -> DataFrame:
     return with_position(complete, ["split_pos"], ["period", "split"], pos="row_id", size="rows").drop("split_pos")
 
 
+def prepare_whole(df: DataFrame, config: ExperimentConfig) -> DataFrame:
+    """The same for the interactive variant: features, complete rows, then the split."""
+    spec, plan = config.spec, config.plan
+    measures = [*spec.features, spec.target]
+    rows = add_time_features(df.select(*spec.order, *measures), spec.time, plan.hour, plan.day_of_year)
+    rows = add_features(rows, plan, spec.order, full=True).na.drop("any")
+    split = temporal_split(rows, spec.order, config.split_ratio).withColumn("period", F.lit(WHOLE))
+    return split.withColumnRenamed("split_pos", "row_id").drop("pos", "n_rows")
+
+
 def run_experiment(df: DataFrame, config: ExperimentConfig) -> DataFrame:
     """Tune, fit and score the model for each period; one result row per period that worked.
 
@@ -114,23 +132,26 @@ def run_experiment(df: DataFrame, config: ExperimentConfig) -> DataFrame:
     split, so each fit reads only its own rows.
     """
     spark = df.sparkSession
-    table = materialize(prepare(df, config), "experiment", ("period", "split"))
+    whole = config.features_first
+    rows = prepare_whole(df, config) if whole else prepare(df, config)
+    table = materialize(rows, "experiment", ("period", "split"))
     present = {r["period"] for r in table.select("period").distinct().collect()}
     results = []
-    for period in pick_periods(config.periods, config.only):
-        if period.name not in present:
-            log.warning("period %s has too few rows and is skipped", period.name)
+    names = [WHOLE] if whole else [p.name for p in pick_periods(config.periods, config.only)]
+    for name in names:
+        if name not in present:
+            log.warning("period %s has too few rows and is skipped", name)
             continue
         try:
-            results.append(_run_period(table.where(F.col("period") == period.name), period.name, config))
+            results.append(_run_period(table.where(F.col("period") == name), name, config))
         except Exception:
-            log.exception("period %s failed and is skipped", period.name)
+            log.exception("period %s failed and is skipped", name)
     return spark.createDataFrame(results, RESULT_SCHEMA)
 
 
 def _run_period(rows: DataFrame, period: str, config: ExperimentConfig):
     spec, plan = config.spec, config.plan_for(period)
-    features = [*spec.features, *plan.names([*spec.features, spec.target])]
+    features = [*spec.features, *plan.names([*spec.features, spec.target], config.features_first)]
     scaler = SCALERS[config.scaler](rows.where(F.col("split") == "train"), features)
     scaled = scaler.transform(rows)
     train = scaled.where(F.col("split") == "train")
@@ -139,12 +160,13 @@ def _run_period(rows: DataFrame, period: str, config: ExperimentConfig):
     def augmented(frame):
         return add_noise(frame, features, ["row_id"], config.copies, config.noise, config.seed)
 
-    vectors = assemble(train, features, spec.target, keep=["row_id"])
     if config.copies and config.noise:
         found = grid_search(assemble(train, features, spec.target, keep=["row_id", *features]), config.model,
-                            config.grid, config.folds, config.scoring, augment=lambda df: _noisy(df, features, augmented))
+                            config.grid, config.folds, config.scoring,
+                            augment=lambda df: _noisy(df, features, config.copies, augmented))
     else:
-        found = grid_search(vectors, config.model, config.grid, config.folds, config.scoring)
+        found = grid_search(assemble(train, features, spec.target, keep=["row_id"]), config.model,
+                            config.grid, config.folds, config.scoring)
     fitted = clock.monotonic()
     keep = ["split", "row_id", spec.time]
     # Train and test rows are numbered apart, so models that join on row_id get one number for both.
@@ -169,9 +191,9 @@ def _run_period(rows: DataFrame, period: str, config: ExperimentConfig):
             round(predicted - fitted, 4), f"{config.copies}x{config.noise}", config.rule_for(period) or "None")
 
 
-def _noisy(frame: DataFrame, features: Sequence[str], augmented) -> DataFrame:
+def _noisy(frame: DataFrame, features: Sequence[str], copies: int, augmented) -> DataFrame:
     """Noisy copies of an assembled frame that still carries its feature columns."""
     noisy = augmented(frame.drop("features"))
     # Copies are rows of their own, so they get ids of their own.
-    distinct = noisy.withColumn("row_id", F.col("row_id") * F.lit(1000) + F.col("copy"))
+    distinct = noisy.withColumn("row_id", F.col("row_id") * F.lit(copies + 1) + F.col("copy"))
     return assemble(distinct, features, "label", keep=["row_id"])

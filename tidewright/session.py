@@ -28,6 +28,9 @@ def build_session(app: str = "tidewright", master: str | None = None, **conf: st
     return spark
 
 
+_written: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -65,6 +68,7 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = (),
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _written.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -72,3 +76,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint for loops that refine one frame round after round."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete the tables this process wrote with ``materialize``, once nothing reads them any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)

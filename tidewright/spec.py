@@ -85,8 +85,11 @@ class FeaturePlan:
         window = max((w for steps in self.windows.values() for w in steps), default=1)
         return max(lag, window - 1)
 
-    def names(self, columns: list[str]) -> list[str]:
-        """Names of the columns the plan adds to a frame with ``columns``, in order."""
+    def names(self, columns: list[str], full: bool = False) -> list[str]:
+        """Names of the columns the plan adds to a frame with ``columns``, in order.
+
+        ``full`` asks for the names of the variant whose windows must be full.
+        """
         out = []
         if self.hour:
             out += ["hour_sin", "hour_cos"]
@@ -94,7 +97,7 @@ class FeaturePlan:
             out += ["doy_sin", "doy_cos"]
         out += [f"{c}_lag{k}" for c, steps in self.lags.items() if c in columns for k in steps]
         out += [
-            f"{c}_{ROLLING_SUFFIX[s]}{w}"
+            f"{c}_roll{w}_{s}" if full else f"{c}_{ROLLING_SUFFIX[s]}{w}"
             for c, steps in self.windows.items()
             if c in columns
             for w in steps
