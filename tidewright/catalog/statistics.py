@@ -70,7 +70,7 @@ def negative_counts(spark, sf):
 
 @query("summary_stats", sql(SENSORS, _union("""
     SELECT '{c}' AS "column", round(stddev_samp({c}), 3) AS std, round(kurtosis({c}), 3) AS kurtosis,
-        max({c}) AS max, min({c}) AS min, round(avg({c}), 3) AS mean, median({c}) AS median,
+        max({c}) AS max, min({c}) AS min, round(avg({c}), 3) AS mean, round(median({c}), 3) AS median,
         round(max({c}) - min({c}), 3) AS range FROM sensors""", ["amount", "quantity"])))
 def summary_stats(spark, sf):
     return st.summary(sensors(spark, sf), ["amount", "quantity"])

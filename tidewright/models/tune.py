@@ -36,7 +36,7 @@ def score(model, frame: DataFrame, metric: str = "r2") -> float:
 
 
 def grid_search(train: DataFrame, name: str, grid: dict[str, list], folds: int, metric: str = "r2",
-                augment: Callable[[DataFrame], DataFrame] | None = None, parallel: int = 4) -> SearchResult:
+                augment: Callable[[DataFrame], DataFrame] | None = None, parallel: int = 8) -> SearchResult:
     """Fit every grid point on every fold, keep the best mean score, refit on all train rows.
 
     ``train`` has row_id (positions from 0), features and label. Fits run as concurrent
