@@ -88,7 +88,10 @@ def _by_setting(periods, setting):
 
 
 def prepare(df: DataFrame, config: ExperimentConfig) -> DataFrame:
-    """Split feature rows of all periods in one table, complete rows only, numbered per period and split."""
+    """Split feature rows of all periods in one table, complete rows only.
+
+    ``split_pos`` tells the order within a period and split; it has gaps where rows were incomplete.
+    """
     spec = config.spec
     measures = [*spec.features, spec.target]
     periods = pick_periods(config.periods, config.only)
@@ -111,8 +114,7 @@ def prepare(df: DataFrame, config: ExperimentConfig) -> DataFrame:
         part = add_split_features(part, plan, spec.time, ["period"])
         needed = [*measures, *plan.names(measures)]
         parts.append(part.na.drop(subset=needed))
-    complete = union_results(*parts).drop("pos", "n_rows")
-    return with_position(complete, ["split_pos"], ["period", "split"], pos="row_id", size="rows").drop("split_pos")
+    return union_results(*parts).drop("pos", "n_rows")
 
 
 def prepare_whole(df: DataFrame, config: ExperimentConfig) -> DataFrame:
@@ -122,7 +124,7 @@ def prepare_whole(df: DataFrame, config: ExperimentConfig) -> DataFrame:
     rows = add_time_features(df.select(*spec.order, *measures), spec.time, plan.hour, plan.day_of_year)
     rows = add_features(rows, plan, spec.order, full=True).na.drop("any")
     split = temporal_split(rows, spec.order, config.split_ratio).withColumn("period", F.lit(WHOLE))
-    return split.withColumnRenamed("split_pos", "row_id").drop("pos", "n_rows")
+    return split.drop("pos", "n_rows")
 
 
 def run_experiment(df: DataFrame, config: ExperimentConfig) -> DataFrame:
@@ -154,7 +156,8 @@ def _run_period(rows: DataFrame, period: str, config: ExperimentConfig):
     features = [*spec.features, *plan.names([*spec.features, spec.target], config.features_first)]
     scaler = SCALERS[config.scaler](rows.where(F.col("split") == "train"), features)
     scaled = scaler.transform(rows)
-    train = scaled.where(F.col("split") == "train")
+    # Folds are cut by position, so the complete train rows are numbered without gaps.
+    train = with_position(scaled.where(F.col("split") == "train"), ["split_pos"], pos="row_id")
     began = clock.monotonic()
 
     def augmented(frame):
@@ -168,10 +171,9 @@ def _run_period(rows: DataFrame, period: str, config: ExperimentConfig):
         found = grid_search(assemble(train, features, spec.target, keep=["row_id"]), config.model,
                             config.grid, config.folds, config.scoring)
     fitted = clock.monotonic()
-    keep = ["split", "row_id", spec.time]
-    # Train and test rows are numbered apart, so models that join on row_id get one number for both.
-    both = assemble(scaled, features, spec.target, keep=keep).withColumn(
-        "row_id", F.col("row_id") * 2 + (F.col("split") == "test").cast("long"))
+    # Positions start anew in each split; models that join on row_id need one number for both.
+    both = assemble(scaled, features, spec.target, keep=["split", "split_pos", spec.time]).withColumn(
+        "row_id", F.col("split_pos") * 2 + (F.col("split") == "test").cast("long"))
     scored = found.model.transform(both).persist()
     try:
         metrics = {r["split"]: r for r in regression_metrics(scored, by=["split"]).collect()}
