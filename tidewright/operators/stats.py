@@ -86,25 +86,30 @@ def sample_kurtosis(column: str) -> Column:
 
 
 def summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Spread, kurtosis, extremes, mean, median and range, rounded to three digits."""
-    medians = quantiles(df, columns, [0.5])
-    aggregates = []
-    for i, c in enumerate(columns):
-        aggregates += [F.stddev_samp(c).alias(f"std{i}"), sample_kurtosis(c).alias(f"kurtosis{i}"),
-                       F.max(c).alias(f"max{i}"), F.min(c).alias(f"min{i}"), F.avg(c).alias(f"mean{i}"),
-                       F.lit(medians[c][0]).alias(f"median{i}"), (F.max(c) - F.min(c)).alias(f"range{i}")]
-    parts = ["std", "kurtosis", "max", "min", "mean", "median", "range"]
-    long = _long(df.agg(*aggregates), columns, {p: "double" for p in parts})
-    return long.select("column", *[F.round(p, 3).alias(p) for p in parts])
+    """Spread, kurtosis, extremes, mean, median and range, rounded to three digits.
+
+    Two passes: one for everything but the medians, whose row counts the second one needs.
+    """
+    parts = {"std": F.stddev_samp, "kurtosis": sample_kurtosis, "max": F.max, "min": F.min, "mean": F.avg}
+    row = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
+                 *[f(c).cast("double").alias(f"{p}{i}") for i, c in enumerate(columns) for p, f in parts.items()]).first()
+    medians = quantiles(df, columns, [0.5], at_most=max(row[f"n{i}"] for i in range(len(columns))))
+    table = [(c, *[row[f"{p}{i}"] for p in parts], medians[c][0]) for i, c in enumerate(columns)]
+    schema = "column string, " + ", ".join(f"{p} double" for p in [*parts, "median"])
+    out = df.sparkSession.createDataFrame(table, schema).withColumn("range", F.col("max") - F.col("min"))
+    shown = ["std", "kurtosis", "max", "min", "mean", "median", "range"]
+    return out.select("column", *[F.round(p, 3).alias(p) for p in shown])
 
 
 def target_stats(df: DataFrame, target: str) -> DataFrame:
     """Count, mean, spread, extremes and quartiles of the known target values."""
-    q25, q50, q75 = quantiles(df, [target], [0.25, 0.5, 0.75])[target]
-    return df.agg(
-        F.count(target).alias("count"), F.avg(target).alias("mean"), F.stddev_samp(target).alias("std"),
-        F.min(target).alias("min"), F.lit(q25).alias("q25"), F.lit(q50).alias("q50"),
-        F.lit(q75).alias("q75"), F.max(target).alias("max"))
+    parts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    row = df.agg(*[f(target).alias(p) for p, f in parts.items()]).first()
+    q25, q50, q75 = quantiles(df, [target], [0.25, 0.5, 0.75], at_most=row["count"])[target]
+    known = lambda v: None if v is None else float(v)
+    table = [(row["count"], known(row["mean"]), row["std"], known(row["min"]), q25, q50, q75, known(row["max"]))]
+    return df.sparkSession.createDataFrame(
+        table, "count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double")
 
 
 def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
