@@ -20,7 +20,7 @@ from tidewright.operators.metrics import regression_metrics
 from tidewright.operators.periods import filter_dates
 from tidewright.operators.reshape import top_k
 from tidewright.operators.split import temporal_split
-from tidewright.plans.experiment import ExperimentConfig, run_experiment
+from tidewright.plans.experiment import ExperimentConfig, prepare, run_experiment
 from tidewright.session import materialize, shared_folder
 from tidewright.sources.writers import save_model
 from tidewright.spec import FeaturePlan, SeriesSpec
@@ -136,6 +136,38 @@ SENSOR_SERIES = SeriesSpec("ts", ("key",), (), "amount", tuple(FEATURES))
 SENSOR_PLAN = FeaturePlan(lags={"quantity": [1, 2]}, windows={"quantity": [3, 6], "lines": [3]})
 
 
+_SEASONS = ", ".join(f"('{p.name}', '{p.start}', '{p.end}')" for p in ORDER_PERIODS)
+
+_SEASON_FEATURES = f"""assigned AS (
+    SELECT period, known.* FROM known JOIN (VALUES {_SEASONS}) AS p(period, a, b)
+    ON strftime(ts, '%m-%d') BETWEEN a AND b),
+    placed AS (
+    SELECT *, row_number() OVER (PARTITION BY period ORDER BY ts, key) - 1 AS pos,
+           count(*) OVER (PARTITION BY period) AS n FROM assigned),
+    split AS (SELECT *, CASE WHEN pos < floor(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM placed),
+    features AS (
+    SELECT *, lag(quantity, 1) OVER w AS lag1, lag(quantity, 2) OVER w AS lag2, avg(quantity) OVER w3 AS roll3,
+           stddev_samp(quantity) OVER w6 AS std6, avg(lines) OVER w3 AS lines3, cos(2 * pi() * dayofyear(ts) / 365) AS doy
+    FROM split WINDOW w AS (PARTITION BY period, split ORDER BY ts, key),
+        w3 AS (PARTITION BY period, split ORDER BY ts, key ROWS BETWEEN 2 PRECEDING AND CURRENT ROW),
+        w6 AS (PARTITION BY period, split ORDER BY ts, key ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))"""
+
+
+@query("experiment_features", sql(SENSORS, KNOWN, _SEASON_FEATURES, """
+    SELECT period, split, count(*) AS rows, round(avg(amount), 4) AS amount, round(avg(lag1), 6) AS lag1,
+        round(avg(lag2), 6) AS lag2, round(avg(roll3), 6) AS roll3, round(avg(std6), 6) AS std6,
+        round(avg(lines3), 6) AS lines3, round(avg(doy), 6) AS doy
+    FROM features WHERE lag2 IS NOT NULL GROUP BY period, split"""))
+def experiment_features(spark, sf):
+    """The feature table of the experiment, summed up per season and split."""
+    config = ExperimentConfig(SENSOR_SERIES, ORDER_PERIODS, "DecisionTree", {}, SENSOR_PLAN)
+    table = prepare(known_sensors(spark, sf), config)
+    means = {"amount": "amount", "quantity_lag1": "lag1", "quantity_lag2": "lag2", "quantity_roll3": "roll3",
+             "quantity_std6": "std6", "lines_roll3": "lines3", "doy_cos": "doy"}
+    return table.groupBy("period", "split").agg(F.count(F.lit(1)).alias("rows"), *[
+        F.round(F.avg(c), 4 if c == "amount" else 6).alias(name) for c, name in means.items()])
+
+
 @query("experiment")
 def experiment(spark, sf):
     """Clean the wide series, then run every season: the whole pipeline with a tuned tree."""
