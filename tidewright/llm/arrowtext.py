@@ -9,7 +9,6 @@ hashes in every process.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -112,19 +111,21 @@ def byte_grams(data: np.ndarray, size: int) -> np.ndarray:
     return gram_hashes(_BYTES[data], size)
 
 
-def covered(starts: np.ndarray, size: int, total: int) -> np.ndarray:
-    """Mask of the positions that lie in ``[s, s + size)`` of some start."""
-    steps = np.zeros(total + 1, np.int64)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, np.minimum(starts + size, total), -1)
-    return np.cumsum(steps[:-1]) > 0
+def covered(begins: np.ndarray, size: int) -> np.ndarray:
+    """Mask of the positions that lie in ``[b, b + size)`` of some position b that is marked."""
+    count = np.cumsum(begins, dtype=np.int64)
+    count[size:] -= count[:-size].copy()
+    return count > 0
 
 
-def tables(rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: pa.Schema):
-    """A function for ``mapInArrow`` from one on batches; batches without rows are passed over."""
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                out = rows(batch)
-                yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_arrays(out, schema=schema)
-    return run
+def marked(positions: np.ndarray, total: int) -> np.ndarray:
+    out = np.zeros(total, bool)
+    out[positions] = True
+    return out
+
+
+def pieces(batches, rows: int = 512):
+    """The batches in slices of a few rows each, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.arrowtext import pieces
+
 #: Bytes of text that are handed to the library at once; bounds the memory of its results.
 BLOCK_BYTES = 1 << 20
 #: Splitting pattern of the byte-level vocabularies here, which the library has built in.
@@ -100,7 +102,7 @@ def encode(df: DataFrame, ranks: str, text: str = "text", keep: tuple[str, ...]
     def run(batches):
         made = tokenizer(ranks)
         many = made.encode_batch if offsets else made.encode_batch_fast
-        for batch in batches:
+        for batch in pieces(batches):
             columns = [[] for _ in packed]
             for block in _blocks([t or "" for t in batch.column(len(keep)).to_pylist()]):
                 for got in many(block, add_special_tokens=False):
@@ -123,7 +125,7 @@ def decode(df: DataFrame, ranks: str, ids: str = "ids", into: str = "decoded") -
 
     def run(batches):
         table = np.array([*token_bytes(ranks)], object)
-        for batch in batches:
+        for batch in pieces(batches):
             joined = [b"".join(table[np.frombuffer(x or b"", "<u4")].tolist()) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(joined, pa.binary())], names=[*batch.schema.names, into])
 

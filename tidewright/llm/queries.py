@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidewright.llm import byte_bpe, quality
+from pyspark.sql import functions as F
+
+from tidewright.llm import byte_bpe, decontaminate, minhash, quality, secrets, shards, substrings, suffixes, toxicity, urls
 from tidewright.llm.registry import query, read
 
 DOCUMENTS = ("doc_id", "text", "lang", "source")
@@ -75,3 +77,57 @@ QUALITY_SQL = rf"""WITH d AS (
 @query("op3_quality_rules", QUALITY_SQL)
 def op3_quality_rules(spark, sf):
     return quality.apply_rules(read(spark, sf, "documents", *DOCUMENTS))
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark, sf):
+    return secrets.report(read(spark, sf, "documents", "doc_id", "text"))
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark, sf):
+    return toxicity.report(read(spark, sf, "documents", "doc_id", "text"), read(spark, sf, "labels", "doc_id", "toxic"))
+
+
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+#: Parts of host names that label a URL as one to be blocked, for fitting; a page's own words are no feature.
+SPAM = "ads adult bet bets casino cheap free loan pills poker porn prize track viagra win xxx".split()
+
+
+def labelled_urls(pages):
+    """Labels for URLs with a host: blocked if a part of the host name is on the list above."""
+    host, _ = urls.host_and_path()
+    parts = F.split(host, "[.-]")
+    return pages.where(host != "").select("url", F.arrays_overlap(parts, F.array(*map(F.lit, SPAM))).cast("int").alias("blocked"))
+
+
+@query("op6_url_filter")
+def op6_url_filter(spark, sf):
+    pages = read(spark, sf, "pages", "page_id", "url")
+    return urls.judge(pages, URL_RULES, urls.fit(labelled_urls(pages)))
+
+
+@query("op1_decontamination")
+def op1_decontamination(spark, sf):
+    return decontaminate.find_items(
+        read(spark, sf, "documents", "doc_id", "text"), read(spark, sf, "benchmark", "item_id", "text"))
+
+
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark, sf):
+    return substrings.report(read(spark, sf, "documents", "doc_id", "text"))
+
+
+@query("op10_minhash")
+def op10_minhash(spark, sf):
+    return minhash.report(read(spark, sf, "documents", "doc_id", "text"))
+
+
+@query("op2_suffix_array_dedup")
+def op2_suffix_array_dedup(spark, sf):
+    return suffixes.report(read(spark, sf, "documents", "doc_id", "text"))
+
+
+@query("op9_binary_shards")
+def op9_binary_shards(spark, sf):
+    return shards.report(read(spark, sf, "documents", "text"))
