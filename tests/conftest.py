@@ -9,8 +9,10 @@ from tidewright.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__driver__memory="8g")
+def spark(tmp_path_factory):
+    session = build_session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__driver__memory="8g",
+                            spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
+                            spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")))
     yield session
     session.stop()
 

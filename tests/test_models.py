@@ -12,11 +12,13 @@ from tidewright.models import attribution as at
 from tidewright.models import forecast as fc
 from tidewright.models.adaboost import AdaBoostModel
 from tidewright.models.estimators import make_estimator
+from tidewright.models import knn
 from tidewright.models.knn import KnnRegressor, split_cells
 from tidewright.models.tune import grid_points, grid_search
 from tidewright.operators.metrics import metric_columns, regression_metrics
+from tidewright import session
 from tidewright.plans.experiment import ExperimentConfig, run_experiment
-from tidewright.sources import readers
+from tidewright.sources import readers, writers
 from tidewright.spec import DateRange, FeaturePlan, Period, SeriesSpec
 
 NAMES = ["x1", "x2", "x3"]
@@ -72,9 +74,10 @@ def test_knn_equals_brute_force(spark, weights, metric, k, cells):
     query = pd.DataFrame({"x1": rng.integers(-2, 14, 150) / 2, "x2": rng.normal(0, 4, 150).round(1),
                           "y": 0.0, "row_id": np.arange(150)})
     query.loc[:50, ["x1", "x2"]] = [1.5, 0.2]
-    model = KnnRegressor(k, weights, metric, cell_rows=cells).fit(vectors(spark, pdf, NAMES[:2]))
-    got = model.transform(vectors(spark, query, NAMES[:2])).orderBy("row_id").toPandas()["prediction"]
-    np.testing.assert_allclose(got, brute_force(pdf, query, k, 1 if metric == "manhattan" else 2, weights), rtol=1e-9)
+    for sent in (0, knn.BROADCAST_BYTES):  # searched by joins, and with all train rows at hand
+        model = KnnRegressor(k, weights, metric, cell_rows=cells, broadcast_bytes=sent).fit(vectors(spark, pdf, NAMES[:2]))
+        got = model.transform(vectors(spark, query, NAMES[:2])).orderBy("row_id").toPandas()["prediction"]
+        np.testing.assert_allclose(got, brute_force(pdf, query, k, 1 if metric == "manhattan" else 2, weights), rtol=1e-9)
 
 
 def test_knn_with_fewer_rows_than_neighbours(spark):
@@ -235,6 +238,66 @@ def test_forecast_regressor_and_periods(spark):
     assert [r.period for r in table.collect()] == ["1"] and "test_r2" in table.columns
 
 
+def readers_model(name, folder):
+    return writers.load_model(name, writers.model_path(str(folder / "m"), name, "Jan A"))
+
+
+def test_no_table_is_left_after_an_experiment(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(session, "_written", written)
+    config = ExperimentConfig(SeriesSpec("ds", (), (), "y", ("r",)), [Period("Jan", "01-01", "01-20")], "KNN", {"n_neighbors": [3, 5]}, folds=2)
+    assert run_experiment(season(spark, "additive"), config).first().Status == "ok" and written == []
+
+
+def test_bad_settings_are_an_error_before_any_work():
+    spec = SeriesSpec("ds", (), (), "y", ("r",))
+    with pytest.raises(ValueError, match="does not know"):
+        ExperimentConfig(spec, (), "DNN", {"hidden_layers": [[8]], "layers": [1]})
+    with pytest.raises(ValueError, match="deepest"):
+        ExperimentConfig(spec, (), "RandomForest", {"max_depth": [50]})
+    assert ExperimentConfig(spec, (), "KNN").grid == {"n_neighbors": [3, 5, 7]}
+
+
+def test_settings_of_the_network_have_two_names():
+    a = make_estimator("DNN", hidden_layers=[{"units": 64}, 32], dropout_rate=0.2, early_stopping_patience=10, epochs=3)
+    assert (a.hidden, a.dropout, a.patience, a.epochs) == ((64, 32), 0.2, 10, 3)
+    with pytest.raises(ValueError, match="two names"):
+        make_estimator("DNN", dropout=0.1, dropout_rate=0.2)
+
+
+@pytest.mark.parametrize("name,params", [("KNN", {"n_neighbors": 4, "weights": "distance"}), ("DNN", {"hidden": (8,), "epochs": 3}),
+                                         ("AdaBoost", {"n_estimators": 2}), ("XGBoost", {"n_estimators": 2, "max_depth": 3})])
+def test_every_model_comes_back_from_its_folder(planted, tmp_path, name, params):
+    model = make_estimator(name, **params).fit(planted)
+    again = writers.load_model(name, writers.save_model(model, str(tmp_path), name, "all rows"))
+    both = [{r.row_id: r.prediction for r in m.transform(planted).collect()} for m in (model, again)]
+    assert both[0] == pytest.approx(both[1])
+
+
+def test_attribution_of_neighbours(planted):
+    """The label depends on x1 most, on x3 not at all; rows of equal number with other features must not mix."""
+    model = make_estimator("KNN", n_neighbors=5).fit(planted)
+    for table in (at.permutation_importance(model, planted, NAMES, repeats=2), at.shap_sampled(model, planted, NAMES, 40, 4)):
+        rows = {r.feature: r.importance for r in table.collect()}
+        assert rows["x1"] > rows["x2"] > 3 * abs(rows["x3"]) and rows["x2"] > 0.1
+    twice = planted.where("row_id < 2").withColumn("row_id", F.lit(7))
+    got = sorted(r.prediction for r in model.transform(twice).collect())
+    assert got == pytest.approx(sorted(r.prediction for r in model.transform(planted.where("row_id < 2")).collect()))
+
+
+def test_shap_adds_up_over_groups_of_trees(spark, planted, monkeypatch):
+    model = make_estimator("RandomForest", n_estimators=6, max_depth=4).fit(planted)
+    some = planted.where("row_id < 20")
+    whole, base = at.shap_values(model, some)
+    monkeypatch.setattr(at, "GROUP_NODES", 40)
+    assert len(list(at.leaf_groups(model, spark))) > 2
+    parts, again = at.shap_values(model, some)
+    assert base == pytest.approx(again)
+    want = {r.row_id: r.phi for r in whole.collect()}
+    for r in parts.collect():
+        assert r.phi == pytest.approx(want[r.row_id])
+
+
 @pytest.mark.parametrize("model,grid,extra", [
     ("DecisionTree", {"max_depth": [3, 6]}, {}), ("KNN", {"n_neighbors": [3]}, {"resampling": "1H"}),
     ("DecisionTree", {"max_depth": [3, 4]}, {"copies": 2, "noise": 0.01, "scaler": "minmax"})])
@@ -246,7 +309,8 @@ def test_experiment(spark, tmp_path, model, grid, extra):
         model, grid, FeaturePlan(lags={"r": [1]}, windows={"r": [3]}), folds=3,
         predictions_path=str(tmp_path / "p"), models_path=str(tmp_path / "m"), **extra)
     rows = {r.Period: r for r in run_experiment(df, config).collect()}
-    assert set(rows) == {"Jan A", "B"}
+    assert {n: r.Status for n, r in rows.items()} == {"Jan A": "ok", "B": "ok", "empty": "too few rows"}
+    assert rows["empty"].Train_R2 is None and readers_model(model, tmp_path).transform is not None
     first = rows["Jan A"]
     hours = 24 * 20
     train = int(hours * 0.8)

@@ -16,7 +16,7 @@ def quarter_hours(spark):
 
 
 def test_known_plan(quarter_hours):
-    plan = pr.analyze(quarter_hours, rows=10_000)
+    plan = pr.analyze(quarter_hours)
     assert (plan.time, plan.target, plan.features) == ("TIME", "N2O", ["DO"])
     assert (plan.resolution, plan.days) == ("15T", 104)
     assert plan.lags == {AUTO: [1, 4, 16, 64]} and plan.windows == {AUTO: [4, 24, 96, 672]}
@@ -26,9 +26,23 @@ def test_known_plan(quarter_hours):
 
 
 def test_windows_of_other_resolutions():
-    assert [pr.suggest_windows(m) for m in (1, 60, 1440)] == [[60, 360], [1, 6, 24, 168], [1, 7]]
-    assert pr.suggest_lags(60) == [1, 4, 16, 64]
-    assert [pr.resolution_minutes(r) for r in ("30S", "15T", "2H", "1D", "unknown", None)] == [1, 15, 120, 1440, 15, 15]
+    minute = 60_000_000
+    assert [pr.suggest_windows(m * minute) for m in (1, 60, 1440)] == [[60, 360], [1, 6, 24, 168], [1, 7]]
+    assert pr.suggest_windows(90 * minute) == pr.suggest_windows(60 * minute)
+    assert pr.suggest_windows(30_000_000) == pr.suggest_windows(0) == pr.suggest_windows(minute)
+    assert pr.suggest_windows(None) == pr.suggest_windows(15 * minute) == [4, 24, 96, 672]
+    assert pr.suggest_lags() == [1, 4, 16, 64]
+
+
+def test_labels_of_gaps(spark):
+    gaps = [0, 30_000_000, 59_999_999, 60_000_000, 5_400_000_000, 86_400_000_000, 200_000_000_000]
+    df = spark.createDataFrame([(g,) for g in gaps], "g long").select(pr.resolution_label(F.col("g")).alias("label"))
+    assert [r.label for r in df.collect()] == ["0S", "30S", "59S", "1T", "1H", "1D", "2D"]
+
+
+def test_one_late_value_makes_a_column_no_time(spark):
+    df = spark.range(5000).select(F.when(F.col("id") < 4999, "2016-01-01").otherwise("soon").alias("t"), F.lit("2016-01-01").alias("u"))
+    assert pr.datetime_columns(df.coalesce(1)) == ["u"]
 
 
 def test_periods_by_length():

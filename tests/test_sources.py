@@ -31,6 +31,28 @@ def test_many_files_with_other_columns(spark, tmp_path):
     assert out.count() == 5 and dict(out.dtypes)["model"] == "string"
 
 
+def test_patterns_unite_files_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("model,periode,r2\nRF,p1,0.5\n")
+    (tmp_path / "b.csv").write_text("model,r2,periode\n7,0.7,p2\n")
+    (tmp_path / "c.csv").write_text("r2,model\n1,KNN\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "_hidden.csv").write_text("x\n1\n")
+    for schema in (None, "model string, periode string, r2 double"):
+        out = readers.read_many(spark, [str(tmp_path / "*.csv")], as_text=("model",), schema=schema)
+        assert sorted((r.model, r.periode or "", r.r2) for r in out.collect()) == [("7", "p2", 0.7), ("KNN", "", 1.0), ("RF", "p1", 0.5)]
+    with pytest.raises(FileNotFoundError):
+        readers.read_many(spark, [str(tmp_path / "none*.csv")])
+
+
+def test_types_come_from_every_value(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("x\n" + "1\n" * 2000 + "1.5\n")
+    (tmp_path / "y.csv").write_text("x\n1\n")
+    assert readers.read_csv(spark, str(tmp_path / "x.csv")).agg(F.max("x")).first()[0] == 1.5
+    assert dict(readers.read_csv(spark, str(tmp_path / "y.csv")).dtypes) == {"x": "int"}
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        readers.read_csv(spark, str(tmp_path / "x.csv"), "x int", strict=True).collect()
+
+
 def test_sinks(spark, tiny, tmp_path):
     path = str(tmp_path / "predictions")
     scored = tiny.withColumn("prediction", F.col("w") + 1)

@@ -183,7 +183,7 @@ def experiment_forest_augmented(spark, sf):
     cleaned = clean(sensors(spark, sf), MEASURES, CleaningOptions(negative=False, outliers=None))
     config = ExperimentConfig(
         SENSOR_SERIES, ORDER_PERIODS, "RandomForest", {"n_estimators": [10], "max_depth": [6]}, SENSOR_PLAN,
-        only=["januar–märz"], copies=2, noise=0.05, scaler="robust")
+        copies=2, noise=0.05, scaler="robust")
     return run_experiment(cleaned, config)
 
 

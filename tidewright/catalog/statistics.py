@@ -226,46 +226,41 @@ def date_range_profile(spark, sf):
                        "days", "daily", "weekly", "yearly")
 
 
-_MINUTES = """minutes AS (SELECT DISTINCT date_trunc('minute', ts) AS ts FROM events),
-    gaps AS (SELECT date_diff('microsecond', lag(ts) OVER (ORDER BY ts), ts) AS gap_us FROM minutes),
+_GAPS = """gaps AS (SELECT date_diff('microsecond', lag(ts) OVER (ORDER BY ts, event_id), ts) AS gap_us FROM events),
     top AS (SELECT gap_us, count(*) AS gaps FROM gaps WHERE gap_us IS NOT NULL
             GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
     res AS (SELECT gap_us, gaps, CASE WHEN gap_us < 60000000 THEN CAST(gap_us // 1000000 AS BIGINT) || 'S'
         WHEN gap_us < 3600000000 THEN CAST(gap_us // 60000000 AS BIGINT) || 'T'
         WHEN gap_us < 86400000000 THEN CAST(gap_us // 3600000000 AS BIGINT) || 'H'
         ELSE CAST(gap_us // 86400000000 AS BIGINT) || 'D' END AS resolution FROM top),
-    step AS (SELECT CAST(gap_us // 60000000 AS BIGINT) AS minutes FROM res)"""
-
-
-def _minute_series(spark, sf):
-    """The minutes in which anything happened, as a series with a clear resolution."""
-    return events(spark, sf).select(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts")).distinct()
+    step AS (SELECT greatest(1, CAST(gap_us // 60000000 AS BIGINT)) AS minutes FROM res),
+    horizons AS (SELECT DISTINCT greatest(1, m // minutes) AS step
+        FROM step, (VALUES (60::BIGINT), (360::BIGINT), (1440::BIGINT), (10080::BIGINT)) AS v(m)
+        WHERE greatest(1, m // minutes) <= 1000)"""
 
 
 def _resolution(spark, sf):
-    return pr.time_resolution(_minute_series(spark, sf), "ts", ["ts"])
+    return pr.time_resolution(events(spark, sf), "ts", ["ts", "event_id"])
 
 
-@query("time_resolution", sql(_MINUTES, "SELECT gap_us, gaps, resolution FROM res"))
+@query("time_resolution", sql(_GAPS, "SELECT gap_us, gaps, resolution FROM res"))
 def time_resolution(spark, sf):
     return _resolution(spark, sf)
 
 
-@query("suggest_lags", sql(_MINUTES, """
-    SELECT DISTINCT greatest(1, minutes * m // minutes) AS step
-    FROM step, (VALUES (1::BIGINT), (4::BIGINT), (16::BIGINT), (64::BIGINT)) AS v(m)"""))
+@query("suggest_lags", """SELECT step, count(value) AS known FROM events, (VALUES (1::BIGINT), (4::BIGINT), (16::BIGINT), (64::BIGINT)) AS v(step)
+    GROUP BY step""")
 def suggest_lags(spark, sf):
-    minutes = pr.resolution_minutes(_resolution(spark, sf).first()["resolution"])
-    return spark.createDataFrame([(k,) for k in pr.suggest_lags(minutes)], "step long")
+    """Lags proposed for the series, each with the values it can be taken of."""
+    plan = pr.analyze(events(spark, sf), ties=["event_id"])
+    steps = F.explode(F.array(*[F.lit(k).cast("long") for k in plan.lags[AUTO]]))
+    return events(spark, sf).select("value", steps.alias("step")).groupBy("step").agg(F.count("value").alias("known"))
 
 
-@query("suggest_windows", sql(_MINUTES, """
-    SELECT DISTINCT greatest(1, m // minutes) AS step
-    FROM step, (VALUES (60::BIGINT), (360::BIGINT), (1440::BIGINT), (10080::BIGINT)) AS v(m)
-    WHERE greatest(1, m // minutes) <= 1000"""))
+@query("suggest_windows", sql(_GAPS, "SELECT step FROM horizons"))
 def suggest_windows(spark, sf):
-    minutes = pr.resolution_minutes(_resolution(spark, sf).first()["resolution"])
-    return spark.createDataFrame([(k,) for k in pr.suggest_windows(minutes)], "step long")
+    gap = _resolution(spark, sf).first()["gap_us"]
+    return spark.createDataFrame([(k,) for k in pr.suggest_windows(gap)], "step long")
 
 
 @query("suggest_periods_monthly", """
@@ -276,14 +271,21 @@ def suggest_periods_monthly(spark, sf):
     return pr.suggested_periods_table(events(spark, sf), "ts")
 
 
-@query("suggest_periods_quarterly", """
+_HALF = 181  # days; the dates of all orders are folded into so many
+
+
+@query("suggest_periods_quarterly", f"""
     SELECT year(a) || '_' || q AS name, s AS start_date, e AS end_date,
         q || ' ' || year(a) || ' (' || s || ' to ' || e || ')' AS description
-    FROM (SELECT min(o_orderdate) AS a FROM orders WHERE o_orderdate < TIMESTAMP '1995-07-01'),
-        (VALUES ('Q1', '01-01', '03-31'), ('Q2', '04-01', '06-30'), ('Q3', '07-01', '09-30'), ('Q4', '10-01', '12-31')) AS v(q, s, e)""")
+    FROM (SELECT min(d) AS a, date_diff('day', min(d), max(d)) AS days FROM (
+            SELECT DATE '1995-01-01' + CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) % {_HALF} AS INTEGER) AS d FROM orders)),
+        (VALUES ('Q1', '01-01', '03-31'), ('Q2', '04-01', '06-30'), ('Q3', '07-01', '09-30'), ('Q4', '10-01', '12-31')) AS v(q, s, e)
+    WHERE days BETWEEN 91 AND 365""")
 def suggest_periods_quarterly(spark, sf):
-    half = table(spark, sf, "orders").where(F.col("o_orderdate") < F.lit("1995-07-01").cast("timestamp_ntz"))
-    return pr.suggested_periods_table(half, "o_orderdate")
+    """All orders, with their dates folded into half a year."""
+    first = F.lit("1995-01-01").cast("date")
+    folded = F.date_add(first, (F.datediff(F.col("o_orderdate").cast("date"), first) % _HALF).cast("int"))
+    return pr.suggested_periods_table(table(spark, sf, "orders").select(folded.cast("timestamp_ntz").alias("day")), "day")
 
 
 @query("suggest_periods_season", """
@@ -304,7 +306,10 @@ def _dated_text(spark, sf):
 @query("detect_datetime_columns", """
     SELECT 'order_date' AS "column", count(TRY_CAST(strftime(o_orderdate, '%Y-%m-%d') AS TIMESTAMP)) AS parsed FROM orders""")
 def detect_datetime_columns(spark, sf):
+    """One text column of dates; another whose latest rows alone are none."""
     df = _dated_text(spark, sf)
+    last = df.agg(F.max("o_orderkey")).first()[0]
+    df = df.withColumn("shipped", F.when(F.col("o_orderkey") < last, F.col("order_date")).otherwise("not yet"))
     names = pr.datetime_columns(df)
     return df.agg(*[F.count(F.try_to_timestamp(c)).alias(c) for c in names]).unpivot([], names, "column", "parsed")
 
@@ -349,15 +354,20 @@ def expand_auto_features(spark, sf):
     return df.agg(*[F.count(c).alias(c) for c in plan]).select(F.explode(points).alias("p")).select("p.*")
 
 
-@query("dataset_plan", """
-    SELECT 'ts' AS time, CAST(NULL AS VARCHAR) AS target, 'event_id,user_id,value' AS features,
-        CAST(floor(date_diff('microsecond', min(ts), max(ts)) / 86400000000.0) AS BIGINT) AS days, '2024_01' AS periods
-    FROM events""")
+@query("dataset_plan", sql(_GAPS, """
+    SELECT 'ts' AS time, CAST(NULL AS VARCHAR) AS target, 'event_id,user_id,value' AS features, 'event_id,user_id,value' AS numeric,
+        'ts,event_type' AS categorical, 'ts' AS datetimes, (SELECT resolution FROM res) AS resolution,
+        CAST(floor(date_diff('microsecond', min(ts), max(ts)) / 86400000000.0) AS BIGINT) AS days, '1,4,16,64' AS lags,
+        (SELECT string_agg(step, ',' ORDER BY step) FROM horizons) AS windows,
+        strftime(min(ts), '%Y_%m') AS periods
+    FROM events"""))
 def dataset_plan(spark, sf):
-    df = events(spark, sf)
-    plan = pr.analyze(df, ties=["event_id"])
-    row = (plan.time, plan.target, ",".join(plan.features), plan.days, ",".join(p.name for p in plan.periods))
-    return spark.createDataFrame([row], "time string, target string, features string, days long, periods string")
+    plan = pr.analyze(events(spark, sf), ties=["event_id"])
+    shown = lambda values: ",".join(str(v) for v in values)
+    row = (plan.time, plan.target, shown(plan.features), shown(plan.numeric), shown(plan.categorical), shown(plan.datetimes),
+           plan.resolution, plan.days, shown(plan.lags[AUTO]), shown(plan.windows[AUTO]), shown(p.name for p in plan.periods))
+    return spark.createDataFrame([row], "time string, target string, features string, numeric string, categorical string, "
+                                 "datetimes string, resolution string, days long, lags string, windows string, periods string")
 
 
 # ---------------------------------------------------------------- lagged correlation and grids

@@ -52,19 +52,22 @@ def scan_csv(spark, sf):
 
 @query("scan_csv_inferred", sql(READINGS, _BY_TYPE))
 def scan_csv_inferred(spark, sf):
+    """One file without decimals until its last rows, whose type has to come from all of them."""
     path = _scratch(spark, "csv")
-    readings(spark, sf).write.option("header", True).csv(path)
+    whole = F.col("value") == F.floor("value")
+    readings(spark, sf).coalesce(1).sortWithinPartitions(F.coalesce(whole, F.lit(True)).desc(), "event_id") \
+        .write.option("header", True).csv(path)
     return _by_type(readers.load_series(spark, path, "ts"))
 
 
 @query("scan_glob", sql(READINGS, _BY_TYPE))
 def scan_glob(spark, sf):
+    """A pattern over files whose columns differ in order and number."""
     folder = _scratch(spark, "glob")
     df = readings(spark, sf)
-    df.where(F.col("user_id") <= 10).write.option("header", True).csv(f"{folder}/low")
-    df.where(F.col("user_id") > 10).drop("ts").write.option("header", True).csv(f"{folder}/high")
-    parts = readers.read_many(spark, [f"{folder}/low", f"{folder}/high"], as_text=("event_type",))
-    return _by_type(parts)
+    for k, columns in enumerate((["event_id", "ts", "value", "event_type"], ["event_type", "value"], ["value", "user_id", "event_type"])):
+        df.where(F.col("user_id") % 3 == k).select(*columns).write.option("header", True).csv(f"{folder}/part{k}")
+    return _by_type(readers.read_many(spark, [f"{folder}/part*/*.csv"], as_text=("event_type",)))
 
 
 @query("scan_sample", sql(READINGS, "SELECT event_id, value FROM readings ORDER BY ts, event_id LIMIT 10"))

@@ -48,11 +48,6 @@ def safe_label(label: Column | str) -> Column:
     return F.coalesce(spelled, F.lit("unknown"))
 
 
-def contains_any(text: Column, words: list[str]) -> Column:
-    lowered = F.lower(text)
-    return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in words])
-
-
 def _uniform(digest: Column, start: int) -> Column:
     """13 hex digits of a digest as a number in (0, 1)."""
     number = F.conv(F.substring(digest, start, 13), 16, 10).cast("double")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressionModel, GBTRegressionModel, RandomForestRegressionModel)
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.operators.metrics import metric_columns
@@ -51,29 +51,41 @@ def permutation_importance(model, frame: DataFrame, names: Sequence[str], repeat
                            seed: int = 42) -> DataFrame:
     """Mean loss of R2 when one feature's values are given to other rows, largest first.
 
+    Features that no split of a tree model uses lose nothing and need no trial. Every trial has a
+    ``row_id`` of its own, for models that ask for one.
+
     ``frame`` has row_id (positions from 0), features and label. Each repeat is one
     permutation of the rows, found by arithmetic on row_id and one equi-join on it, so
     no shuffle by random numbers and no sort of the rows takes place.
     """
     rows = frame.select("row_id", vector_to_array("features").alias("x"), "label")
     n = rows.count()
+    used = list(range(len(names)))
+    if isinstance(model, TREE_MODELS):
+        used = [i for i, v in enumerate(model.featureImportances.toArray()) if v > 0]
     big = lambda v: F.lit(v).cast("decimal(19,0)")
     donors = F.array(*[
         F.struct(F.lit(r).alias("repeat"),
                  F.pmod(F.col("row_id").cast("decimal(19,0)") * big(a) + big(b), big(n)).cast("long").alias("donor"))
         for r, (a, b) in enumerate(_multipliers(n, repeats, seed))])
-    asked = rows.select("x", "label", F.explode(donors).alias("d")).select("x", "label", "d.*")
+    asked = rows.select("row_id", "x", "label", F.explode(donors).alias("d")).select("row_id", "x", "label", "d.*")
     paired = asked.join(rows.select(F.col("row_id").alias("donor"), F.col("x").alias("other")), "donor")
-    swapped = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda f: F.struct(
+    swapped = F.transform(F.array(*map(F.lit, used)).cast("array<int>"), lambda f: F.struct(
         f.alias("feature"),
         F.transform("x", lambda v, i: F.when(i == f, F.get("other", f)).otherwise(v)).alias("x")))
-    trials = paired.select("repeat", "label", F.explode(swapped).alias("s")) \
-        .select("repeat", "label", "s.feature", array_to_vector("s.x").alias("features"))
+    number = (F.col("row_id") * repeats + F.col("repeat")) * len(names) + F.col("feature")
+    trials = paired.select("row_id", "repeat", "label", F.explode(swapped).alias("s")) \
+        .select("row_id", "repeat", "label", "s.feature", array_to_vector("s.x").alias("features")) \
+        .withColumn("row_id", number)
     scores = model.transform(trials).groupBy("feature", "repeat").agg(*metric_columns("label", "prediction"))
     base = model.transform(frame).agg(*metric_columns("label", "prediction")).first()["r2"]
-    return scores.groupBy("feature").agg(
+    found = scores.groupBy("feature").agg(
         F.avg(F.lit(base) - F.col("r2")).alias("importance"),
-        F.stddev_pop(F.lit(base) - F.col("r2")).alias("std")) \
+        F.stddev_pop(F.lit(base) - F.col("r2")).alias("std"))
+    unused = [(i, 0.0, 0.0) for i in range(len(names)) if i not in used]
+    if unused:
+        found = found.unionByName(frame.sparkSession.createDataFrame(unused, "feature int, importance double, std double"))
+    return found \
         .select(F.element_at(_features(names), F.col("feature") + 1).alias("feature"), "importance", "std") \
         .orderBy(F.col("importance").desc(), "feature")
 
@@ -93,9 +105,22 @@ class Leaf:
     kept: tuple[float, ...]
 
 
+# Nodes of the trees that are held and sent at once, and bytes of their tables of Shapley values.
+GROUP_NODES, TABLE_BYTES = 200_000, 32 << 20
+
+
 def tree_leaves(model, spark) -> tuple[list[Leaf], float]:
-    """Leaves of all trees, with values scaled so that the model's prediction is a sum over trees,
-    and the expected prediction. The size is that of the model, which is on the driver anyway."""
+    """Leaves of all trees, and the expected prediction."""
+    leaves = [leaf for group in leaf_groups(model, spark) for leaf in group]
+    return leaves, sum(leaf.value * leaf.share for leaf in leaves)
+
+
+def leaf_groups(model, spark, limit: int | None = None) -> Iterator[list[Leaf]]:
+    """Leaves of the trees, with values scaled so that the model's prediction is a sum over trees.
+
+    The nodes are written as a table and read back for as many trees at a time as have about ``limit``
+    nodes, so a large forest is never held whole.
+    """
     path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data")
@@ -105,16 +130,29 @@ def tree_leaves(model, spark) -> tuple[list[Leaf], float]:
         nodes = nodes.select(F.lit(0).alias("treeID"), "*")
     table = nodes.select("treeID", "id", "prediction", "rawCount", "leftChild", "rightChild",
                          F.col("split.featureIndex").alias("feature"),
-                         F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("cut")).collect()
-    trees: dict[int, dict] = {}
-    for row in table:
-        trees.setdefault(row["treeID"], {})[row["id"]] = row
+                         F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("cut"))
+    sizes = dict(map(tuple, table.groupBy("treeID").count().orderBy("treeID").collect()))
     if isinstance(model, GBTRegressionModel):
         weight = dict(enumerate(model.treeWeights))
     elif isinstance(model, RandomForestRegressionModel):
-        weight = {t: 1 / len(trees) for t in trees}
+        weight = {t: 1 / len(sizes) for t in sizes}
     else:
-        weight = {t: 1.0 for t in trees}
+        weight = {t: 1.0 for t in sizes}
+    group, held = [], 0
+    for tree, size in sizes.items():
+        if group and held + size > (limit or GROUP_NODES):
+            yield _leaves_of(table, group, weight)
+            group, held = [], 0
+        group.append(tree)
+        held += size
+    if group:
+        yield _leaves_of(table, group, weight)
+
+
+def _leaves_of(table: DataFrame, group: Sequence[int], weight: dict[int, float]) -> list[Leaf]:
+    trees: dict[int, dict] = {}
+    for row in table.where(F.col("treeID").isin(list(group))).collect():
+        trees.setdefault(row["treeID"], {})[row["id"]] = row
     leaves: list[Leaf] = []
     for tree, by_id in trees.items():
         stack = [(by_id[0], {}, 1.0)]
@@ -131,7 +169,7 @@ def tree_leaves(model, spark) -> tuple[list[Leaf], float]:
                                   (by_id[node["rightChild"]], (max(low, cut), high))):
                 part = child["rawCount"] / node["rawCount"]
                 stack.append((child, {**limits, f: (*bounds, kept * part)}, share * part))
-    return leaves, sum(leaf.value * leaf.share for leaf in leaves)
+    return leaves
 
 
 def _leaf_shapley(on: np.ndarray, kept: np.ndarray) -> np.ndarray:
@@ -161,10 +199,11 @@ _TABLED = 8
 
 
 def _with_tables(leaves: Sequence[Leaf]) -> list[tuple[Leaf, np.ndarray | None]]:
-    out = []
+    out, held = [], 0
     for leaf in leaves:
         m, table = len(leaf.features), None
-        if 0 < m <= _TABLED:
+        if 0 < m <= _TABLED and held + 8 * m * 2 ** m <= TABLE_BYTES:
+            held += 8 * m * 2 ** m
             patterns = (np.arange(2 ** m)[:, None] >> np.arange(m)) & 1
             table = _leaf_shapley(patterns.astype(float), np.array(leaf.kept)) * leaf.value
         out.append((leaf, table))
@@ -198,16 +237,22 @@ def shap_values(model, frame: DataFrame, keep: Sequence[str] = ("row_id",)) -> t
     if not isinstance(model, TREE_MODELS):
         raise ValueError("tree models only; use shap_sampled for others")
     spark = frame.sparkSession
-    leaves, base = tree_leaves(model, spark)
-    # The size of the model, not of the data.
-    shared = spark.sparkContext.broadcast(_with_tables(leaves))
+    out, base = frame.select(*keep, vector_to_array("features").alias("_x")), 0.0
+    for number, leaves in enumerate(leaf_groups(model, spark)):
+        base += sum(leaf.value * leaf.share for leaf in leaves)
+        # Trees of GROUP_NODES nodes and TABLE_BYTES of tables; a larger model adds up over several groups.
+        explained = _explainer(spark.sparkContext.broadcast(_with_tables(leaves)))(F.col("_x"))
+        out = out.withColumn("phi", explained if not number else F.zip_with("phi", explained, lambda a, b: a + b))
+    return out.drop("_x"), base
+
 
+def _explainer(shared):
     @F.pandas_udf("array<double>")
     def explain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(list(_shapley(shared.value, np.vstack(batch))) if len(batch) else [], dtype=object)
 
-    return frame.select(*keep, explain(vector_to_array("features")).alias("phi")), base
+    return explain
 
 
 def _mean_abs(values: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -232,19 +277,24 @@ def shap_selected(model, frame: DataFrame, names: Sequence[str], selected: Seque
     return table.withColumn("place", place).where(F.col("place") > 0).orderBy("place")
 
 
-def shap_sampled(model, frame: DataFrame, names: Sequence[str], rows: int = 100,
-                 permutations: int = 16, seed: int = 42) -> DataFrame:
-    """Mean absolute Shapley value per feature for any model, on the first rows by row_id.
+def shap_sampled(model, frame: DataFrame, names: Sequence[str], rows: int | None = None,
+                 permutations: int = 16, seed: int = 42, background: int = 100) -> DataFrame:
+    """Mean absolute Shapley value per feature for any model.
 
     Each row is turned into a background row feature by feature, in orders drawn from a
     hash; the change of the prediction at each step is that feature's contribution. The
-    first rows are both what is explained and the background.
+    background is the first rows by row_id, as many as asked for. All rows are explained, or the
+    first ``rows``. Every step has a ``row_id`` of its own, for models that ask for one.
     """
-    few = frame.orderBy("row_id").limit(rows).select("row_id", vector_to_array("features").alias("x"))
-    # A window over the chosen rows alone, which are as few as ``rows`` says.
-    background = F.array_sort(F.collect_list(F.struct("row_id", "x")).over(Window.partitionBy()))
+    vectors = frame.select("row_id", vector_to_array("features").alias("x"))
+    # As few rows as asked for, in one row.
+    held = vectors.orderBy("row_id").limit(background).agg(F.array_sort(F.collect_list(F.struct("row_id", "x"))).alias("b")).first()["b"]
+    if not held:
+        return frame.sparkSession.createDataFrame([], "feature string, importance double")
+    others = F.array(*[F.struct(F.array(*map(F.lit, map(float, h["x"]))).alias("x")) for h in held])
+    few = vectors if rows is None else vectors.orderBy("row_id").limit(rows)
     count = len(names)
-    trials = few.withColumn("b", background) \
+    trials = few.withColumn("b", others) \
         .withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     draw = F.transform(F.sequence(F.lit(0), F.lit(count - 1)),
                        lambda i: F.struct(F.xxhash64(F.lit(seed), "row_id", "perm", i).alias("h"), i.alias("i")))
@@ -254,8 +304,10 @@ def shap_sampled(model, frame: DataFrame, names: Sequence[str], rows: int = 100,
     steps = trials.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(count))))
     mixed = F.transform("x", lambda v, i: F.when(
         F.array_position("order", i) <= F.col("step"), v).otherwise(F.get("other", i)))
-    scored = model.transform(steps.select("row_id", "perm", "step", "order", array_to_vector(mixed).alias("features")))
-    walks = scored.groupBy("row_id", "perm").agg(
+    own = (F.col("row_id") * permutations + F.col("perm")) * (count + 1) + F.col("step")
+    scored = model.transform(steps.select(F.col("row_id").alias("of"), "perm", "step", "order", own.alias("row_id"),
+                                          array_to_vector(mixed).alias("features")))
+    walks = scored.groupBy(F.col("of").alias("row_id"), "perm").agg(
         F.first("order").alias("order"), F.array_sort(F.collect_list(F.struct("step", "prediction"))).alias("walk"))
     change = F.transform("order", lambda f, s: F.struct(
         f.alias("feature"), (F.get("walk", s + 1)["prediction"] - F.get("walk", s)["prediction"]).alias("delta")))
@@ -284,21 +336,22 @@ def partial_dependence(model, frame: DataFrame, names: Sequence[str], feature: s
                        points: int = 100) -> DataFrame:
     """Average prediction as one feature takes each grid value.
 
-    Trees and forests are averaged over their own node counts and need no pass over the
+    Trees, boosted or not, are averaged over their own node counts and need no pass over the
     rows. Other models score every row once per grid value, in one job.
     """
     spark = frame.sparkSession
     index = list(names).index(feature)
     grid = _grid(frame, index, points)
-    if isinstance(model, (DecisionTreeRegressionModel, RandomForestRegressionModel)):
-        leaves, _ = tree_leaves(model, spark)
-        return spark.createDataFrame([(float(g), _expected(leaves, index, g)) for g in grid],
-                                     "value double, average double")
+    if isinstance(model, TREE_MODELS):
+        average = np.zeros(len(grid))
+        for leaves in leaf_groups(model, spark):
+            average += [_expected(leaves, index, g) for g in grid]
+        return spark.createDataFrame([(float(g), float(v)) for g, v in zip(grid, average)], "value double, average double")
     x = vector_to_array("features")
-    trials = frame.select(x.alias("x"), F.explode(F.array(*[F.lit(float(g)) for g in grid])).alias("value"))
+    trials = frame.select("row_id", x.alias("x"), F.posexplode(F.array(*[F.lit(float(g)) for g in grid])).alias("at", "value"))
     fixed = F.transform("x", lambda v, i: F.when(i == index, F.col("value")).otherwise(v))
     trials = trials.select("value", array_to_vector(fixed).alias("features"),
-                           F.monotonically_increasing_id().alias("row_id"))
+                           (F.col("row_id") * len(grid) + F.col("at")).alias("row_id"))
     return model.transform(trials).groupBy("value").agg(F.avg("prediction").alias("average")).orderBy("value")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import fields
 
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 
@@ -12,6 +13,8 @@ from tidewright.models.mlp import MlpRegressor
 
 # Trees of Spark end at this depth; "no limit" means this.
 DEEPEST = 30
+# Places at which a column may be split, at most: quantiles of its values, all values if they are fewer.
+MAX_BINS = 256
 SEED = 42
 
 # Grids used when none are configured.
@@ -24,16 +27,36 @@ DEFAULT_GRIDS = {
     "DNN": {},
 }
 
+# Names that configurations of the network use for its settings.
+NETWORK_NAMES = {"hidden_layers": "hidden", "dropout_rate": "dropout", "early_stopping_patience": "patience",
+                 "validation_split": "validation_share"}
+
 
 def _tree_limits(params: dict) -> dict:
-    """Depth and node sizes. A node of s rows may be split if both halves can hold s / 2."""
+    """Depth, node sizes and split places. A node of s rows may be split if both halves can hold s / 2."""
     depth = params.pop("max_depth", None)
+    if depth is not None and depth > DEEPEST:
+        raise ValueError(f"max_depth {depth} is beyond {DEEPEST}, the deepest tree Spark grows")
     leaf = params.pop("min_samples_leaf", 1)
     split = params.pop("min_samples_split", 2)
-    return {"maxDepth": DEEPEST if depth is None else min(depth, DEEPEST),
+    return {"maxDepth": DEEPEST if depth is None else depth, "maxBins": params.pop("max_bins", MAX_BINS),
             "minInstancesPerNode": max(leaf, math.ceil(split / 2))}
 
 
+def _network(params: dict) -> dict:
+    """Settings of the network under either of their names; layers may be a list of numbers or of {units: n}."""
+    out = {NETWORK_NAMES.get(k, k): v for k, v in params.items()}
+    if len(out) < len(params):
+        raise ValueError(f"DNN: a setting is given under two names in {sorted(params)}")
+    unknown = set(out) - {f.name for f in fields(MlpRegressor)}
+    if unknown:
+        raise ValueError(f"DNN does not know the parameters {sorted(unknown)}")
+    if "hidden" in out:
+        layers = [out["hidden"]] if isinstance(out["hidden"], int) else out["hidden"]
+        out["hidden"] = tuple(h["units"] if isinstance(h, dict) else h for h in layers)
+    return out
+
+
 def _share(value: float) -> str:
     return "all" if value >= 1 else str(value)
 
@@ -47,7 +70,7 @@ def make_estimator(name: str, **params):
     elif name == "DecisionTree":
         made = DecisionTreeRegressor(seed=SEED, **_tree_limits(params))
     elif name == "XGBoost":
-        limits = _tree_limits({"max_depth": params.pop("max_depth", 6),
+        limits = _tree_limits({"max_depth": params.pop("max_depth", 6), "max_bins": params.pop("max_bins", MAX_BINS),
                                "min_samples_leaf": params.pop("min_child_weight", 1)})
         made = GBTRegressor(maxIter=params.pop("n_estimators", 100), stepSize=params.pop("learning_rate", 0.3),
                             subsamplingRate=params.pop("subsample", 1.0),
@@ -58,7 +81,7 @@ def make_estimator(name: str, **params):
     elif name == "KNN":
         return KnnRegressor(**params)
     elif name == "DNN":
-        return MlpRegressor(**params)
+        return MlpRegressor(**_network(params))
     else:
         raise ValueError(f"unknown model {name!r}")
     if params:

@@ -3,18 +3,23 @@
 Train rows are cut into cells by median splits (found on a bounded sample; the sample
 shapes the cells, not the result). A query first searches its own cell; the distance of
 its k-th neighbour there then rules out every cell whose bounding box is further away.
-Queries and train rows meet in packed blocks, so a crowded cell becomes many small tasks.
+Equal queries are searched once, and the answer is joined back by their features.
+
+Train rows whose size was found to fit ``broadcast_bytes`` are sent to the queries, which then
+move nowhere, however many cells they have to visit. Larger ones stay where they are: queries and
+train rows meet in packed blocks, and a cell that many queries visit is salted into many small tasks.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.session import materialize
@@ -23,6 +28,10 @@ SAMPLE_PER_CELL = 16
 MAX_CELLS = 16_384
 CELL_ROWS = 512
 BLOCK_ROWS = 2048
+# Packs of queries that visit a cell in one task, and queries that one task searches at once.
+PACKS_PER_SALT, TILE_QUERIES = 8, 4096
+# Train rows up to this size are sent to the queries.
+BROADCAST_BYTES = 64 << 20
 # Numbers a NumPy task works on at once, small enough for a processor cache.
 TILE = 250_000
 
@@ -102,6 +111,38 @@ def _nearest(x: np.ndarray, points: np.ndarray, ids: np.ndarray, kept: int, p: f
     return q[first], c[first], dist[q[first], c[first]]
 
 
+class _Nearest:
+    """The nearest points of a tile of queries so far: distances, ids and labels, nearest first, ties by id."""
+
+    def __init__(self, n: int, k: int):
+        self.d = np.full((n, k), np.inf)
+        self.id = np.full((n, k), np.iinfo(np.int64).max)
+        self.y = np.zeros((n, k))
+
+    def meet(self, rows: np.ndarray, x: np.ndarray, points: np.ndarray, ids: np.ndarray, ys: np.ndarray, p: float) -> None:
+        """Take the points of a cell into account for some of the queries."""
+        k = self.d.shape[1]
+        kept, size = min(k, len(ids)), max(1, TILE // len(ids))
+        for at in range(0, len(rows), size):
+            own = rows[at:at + size]
+            q, c, dist = _nearest(x[own], points, ids, kept, p)
+            place = k + np.arange(len(q)) - np.searchsorted(q, q)
+            d = np.hstack([self.d[own], np.full((len(own), kept), np.inf)])
+            i = np.hstack([self.id[own], np.full((len(own), kept), np.iinfo(np.int64).max)])
+            y = np.hstack([self.y[own], np.zeros((len(own), kept))])
+            d[q, place], i[q, place], y[q, place] = dist, ids[c], ys[c]
+            order = np.lexsort((i, d), axis=1)[:, :k]
+            self.d[own], self.id[own], self.y[own] = (np.take_along_axis(v, order, 1) for v in (d, i, y))
+
+
+def _box_distances(x: np.ndarray, low: np.ndarray, high: np.ndarray, p: float) -> np.ndarray:
+    out = np.zeros((len(x), len(low)))
+    for d in range(x.shape[1]):
+        gap = np.maximum(low[:, d] - x[:, d, None], x[:, d, None] - high[:, d])
+        out += _powered(np.maximum(gap, 0), p)
+    return out
+
+
 @dataclass(frozen=True)
 class KnnRegressor:
     """Parameters; ``fit`` wants the columns row_id (unique), features and label."""
@@ -111,6 +152,7 @@ class KnnRegressor:
     metric: str = "minkowski"
     p: float = 2.0
     cell_rows: int = CELL_ROWS
+    broadcast_bytes: int = BROADCAST_BYTES
 
     def __post_init__(self):
         if self.n_neighbors < 1 or self.weights not in ("uniform", "distance") or self.metric not in POWERS:
@@ -134,7 +176,7 @@ class KnnRegressor:
         size = max(20_000, SAMPLE_PER_CELL * wanted)
         share = 1.5 * size / total
         sampled = rows.select("x").sample(share, 42) if share < 1 else rows.select("x")
-        sample = np.vstack(sampled.limit(2 * size).toPandas()["x"])
+        sample = np.vstack(sampled.toPandas()["x"])
         cells = split_cells(sample, wanted)
         width = sample.shape[1]
         placed = materialize(_with_cell(rows, cells), "knn-placed")
@@ -146,7 +188,7 @@ class KnnRegressor:
         high = bounds[[f"hi{i}" for i in range(width)]].to_numpy()
         packed = _pack(placed, ["row_id", "x", "y"]).select(
             "cell", F.col("m.row_id").alias("ids"), F.flatten("m.x").alias("xs"), F.col("m.y").alias("ys"))
-        return KnnModel(self, cells, bounds["cell"].to_numpy(), low, high, materialize(packed, "knn-blocks"))
+        return KnnModel(self, cells, bounds["cell"].to_numpy(), low, high, materialize(packed, "knn-blocks"), total)
 
 
 @dataclass(frozen=True)
@@ -157,21 +199,14 @@ class KnnModel:
     low: np.ndarray
     high: np.ndarray
     blocks: DataFrame
+    rows: int
 
     def neighbors(self, queries: DataFrame) -> DataFrame:
-        """row_id and ``near``: the k nearest as (distance, id, y), nearest first, ties by id."""
-        k = self.params.n_neighbors
-        asked = queries.select("row_id", vector_to_array("features").alias("x"))
-        home = materialize(_with_cell(asked, self.cells), "knn-queries")
-        first = self._visit(home).join(home, "row_id", "right")
-        first = materialize(first, "knn-home")
-        reach = F.when(F.size("near") >= k, F.get("near", F.lit(k - 1))["d"])
-        others = first.select("row_id", "x", "cell", reach.alias("reach")).mapInPandas(
-            self._other_cells(), "row_id long, x array<double>, cell long")
-        more = self._visit(others)
-        both = first.select("row_id", "near").unionAll(more)
-        best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
-        return both.groupBy("row_id").agg(best.alias("near"))
+        """``x`` and ``near`` for the distinct features of ``queries``: the k nearest as (d, id, y), ties by id."""
+        asked = queries.select(vector_to_array("features").alias("x")).distinct()
+        if self.rows * (self.low.shape[1] + 2) * 8 <= self.params.broadcast_bytes:
+            return self._search_all(asked)
+        return self._search_cells(asked)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``prediction``, the mean of the neighbours, plain or weighted by 1 / distance."""
@@ -184,7 +219,58 @@ class KnnModel:
                 1 / F.when(e["d"] == 0, F.lit(None)).otherwise(F.pow(e["d"], F.lit(1 / self.params.power))))
             value = F.aggregate("near", F.lit(0.0), lambda a, e: a + weight(e) * e["y"]) \
                 / F.aggregate("near", F.lit(0.0), lambda a, e: a + weight(e))
-        return df.join(near.select("row_id", value.alias("prediction")), "row_id")
+        # Written, so that both sides of the join are plain and a point asked by very many rows can be split.
+        found = materialize(near.select(F.col("x").alias("_x"), value.alias("prediction")), "knn-answers")
+        columns = [c for c in df.columns if c != "prediction"]
+        return df.select(*columns, vector_to_array("features").alias("_own")) \
+            .join(found, F.col("_own") == F.col("_x")).select(*columns, "prediction")
+
+    def _search_all(self, asked: DataFrame) -> DataFrame:
+        """Search with all train rows at hand; their size was checked."""
+        parts: dict[int, list] = {}
+        for row in self.blocks.collect():
+            parts.setdefault(row["cell"], []).append((np.array(row["ids"]), np.array(row["xs"]), np.array(row["ys"])))
+        held = {cell: tuple(np.concatenate(p) for p in zip(*blocks)) for cell, blocks in parts.items()}
+        sent = asked.sparkSession.sparkContext.broadcast(held)
+        cells, ids, low, high = self.cells, self.cell_ids, self.low, self.high
+        k, p, width = self.params.n_neighbors, self.params.power, self.low.shape[1]
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            train = {c: (xs.reshape(-1, width), own, ys) for c, (own, xs, ys) in sent.value.items()}
+            size = max(1, min(TILE_QUERIES, 16 * TILE // len(ids)))
+            for batch in batches:
+                for at in range(0, len(batch), size):
+                    x = np.vstack(batch["x"].iloc[at:at + size])
+                    best, home = _Nearest(len(x), k), cells.locate(x)
+                    for cell in np.unique(home):
+                        best.meet(np.flatnonzero(home == cell), x, *train[cell], p)
+                    far = _box_distances(x, low, high, p)
+                    for place in np.argsort(far.min(axis=0)):
+                        # The slack covers the rounding of sums taken in another order.
+                        open_ = (far[:, place] <= best.d[:, -1] * (1 + 1e-12)) & (home != ids[place])
+                        if open_.any():
+                            best.meet(np.flatnonzero(open_), x, *train[ids[place]], p)
+                    known = np.isfinite(best.d)
+                    near = [[{"d": d, "id": i, "y": y} for d, i, y in zip(best.d[r][known[r]], best.id[r][known[r]], best.y[r][known[r]])]
+                            for r in range(len(x))]
+                    yield pd.DataFrame({"x": pd.Series(list(x), dtype=object), "near": pd.Series(near, dtype=object)})
+
+        return asked.mapInPandas(search, "x array<double>, near array<struct<d:double,id:long,y:double>>")
+
+    def _search_cells(self, asked: DataFrame) -> DataFrame:
+        """Search by joins of packed queries and train blocks."""
+        k = self.params.n_neighbors
+        # The numbers are written with the rows, so every later step sees the same ones.
+        numbered = asked.withColumn("row_id", F.monotonically_increasing_id())
+        home = materialize(_with_cell(numbered, self.cells), "knn-queries")
+        first = materialize(self._visit(home).join(home, "row_id", "right"), "knn-home")
+        reach = F.when(F.size("near") >= k, F.get("near", F.lit(k - 1))["d"])
+        others = first.select("row_id", "x", "cell", reach.alias("reach")).mapInPandas(
+            self._other_cells(), "row_id long, x array<double>, cell long")
+        more = self._visit(materialize(others, "knn-visits"))
+        both = first.select("row_id", "near").unionAll(more)
+        best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
+        return both.groupBy("row_id").agg(best.alias("near")).join(home.select("row_id", "x"), "row_id").select("x", "near")
 
     def _other_cells(self):
         """Cells besides the own one that can hold a nearer (or equally near) point."""
@@ -196,12 +282,7 @@ class KnnModel:
                     rows = batch.iloc[at:at + max(1, TILE // len(ids))]
                     x = np.vstack(rows["x"])
                     reach = rows["reach"].astype(float).fillna(np.inf).to_numpy()
-                    nearest = np.zeros((len(x), len(ids)))
-                    for d in range(x.shape[1]):
-                        gap = np.maximum(low[:, d] - x[:, d, None], x[:, d, None] - high[:, d])
-                        nearest += _powered(np.maximum(gap, 0), p)
-                    # The slack covers the rounding of sums taken in another order.
-                    open_ = nearest <= reach[:, None] * (1 + 1e-12)
+                    open_ = _box_distances(x, low, high, p) <= reach[:, None] * (1 + 1e-12)
                     open_ &= ids[None, :] != rows["cell"].to_numpy()[:, None]
                     q, c = np.nonzero(open_)
                     yield pd.DataFrame({"row_id": rows["row_id"].to_numpy()[q],
@@ -223,16 +304,42 @@ class KnnModel:
                         q, c, dist = _nearest(x[at:at + size], points, ids, kept, p)
                         yield pd.DataFrame({"row_id": asked[at + q], "d": dist, "id": ids[c], "y": ys[c]})
 
-        packs = _pack(queries.select("row_id", "x", "cell"), ["row_id", "x"]).select(
-            "cell", F.col("m.row_id").alias("asked"), F.flatten("m.x").alias("qs"))
-        # Packs are few bytes but much work, so they are spread by number rather than by size.
-        tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        packs = packs.repartition(tasks, F.xxhash64("asked"))
-        found = packs.join(self.blocks, "cell").mapInPandas(search, "row_id long, d double, id long, y double")
+        salt = F.expr(f"_block div {PACKS_PER_SALT}")
+        packs = materialize(_pack(queries.select("row_id", "x", "cell"), ["row_id", "x"]).select(
+            "cell", salt.alias("salt"), F.col("m.row_id").alias("asked"), F.flatten("m.x").alias("qs")), "knn-packs")
+        # One row per visited cell; a block is repeated for every salt of its cell.
+        salts = packs.groupBy("cell").agg(F.max("salt").alias("last"))
+        blocks = self.blocks.join(salts, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).drop("last")
+        # Packs are few bytes but much work, so they are dealt by number rather than by size.
+        tasks = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), packs.count() // PACKS_PER_SALT)
+        found = packs.repartition(tasks, "cell", "salt").join(blocks.repartition(tasks, "cell", "salt"), ["cell", "salt"]) \
+            .select("ids", "xs", "ys", "asked", "qs").mapInPandas(search, "row_id long, d double, id long, y double")
         # At most k entries per visited block, so this list stays short.
         best = F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "y"))), 1, k)
         return found.groupBy("row_id").agg(best.alias("near"))
 
+    def save(self, path: str) -> None:
+        spark = SparkSession.active()
+        self.blocks.write.mode("overwrite").parquet(f"{path}/blocks")
+        c = self.cells
+        nodes = zip(*(v.tolist() for v in (c.dim, c.cut, c.left, c.right, c.leaf)))
+        spark.createDataFrame([(i, *n) for i, n in enumerate(nodes)], "node long, dim long, cut double, left long, right long, leaf long") \
+            .write.mode("overwrite").parquet(f"{path}/cells")
+        spark.createDataFrame([(int(i), lo.tolist(), hi.tolist()) for i, lo, hi in zip(self.cell_ids, self.low, self.high)],
+                              "cell long, low array<double>, high array<double>").write.mode("overwrite").parquet(f"{path}/boxes")
+        spark.createDataFrame([(json.dumps(asdict(self.params)), self.rows)], "params string, rows long") \
+            .write.mode("overwrite").parquet(f"{path}/params")
+
+    @staticmethod
+    def load(path: str) -> KnnModel:
+        spark = SparkSession.active()
+        nodes = spark.read.parquet(f"{path}/cells").orderBy("node").toPandas()
+        boxes = spark.read.parquet(f"{path}/boxes").orderBy("cell").collect()
+        kept = spark.read.parquet(f"{path}/params").first()
+        return KnnModel(KnnRegressor(**json.loads(kept["params"])), Cells(*[nodes[c].to_numpy() for c in ("dim", "cut", "left", "right", "leaf")]),
+                        np.array([b["cell"] for b in boxes]), np.array([b["low"] for b in boxes]), np.array([b["high"] for b in boxes]),
+                        spark.read.parquet(f"{path}/blocks"), kept["rows"])
+
 
 def _with_cell(df: DataFrame, cells: Cells) -> DataFrame:
     @F.pandas_udf("long")

@@ -2,7 +2,10 @@
 
 In each epoch every partition runs mini-batch Adam from the current weights; the
 partitions' weights are then averaged by their row counts, on Spark, in two steps. The
-same job measures the validation loss of the weights it started from.
+same job measures the validation loss of the weights it started from. A partition has about
+``PART_ROWS`` rows, dealt by a hash of their number and in order, so the result follows from
+the rows alone: up to that many rows it is plain mini-batch training, and beyond it every
+part takes some hundreds of steps between two averages.
 """
 
 from __future__ import annotations
@@ -13,9 +16,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Train rows of a partition, about.
+PART_ROWS = 50_000
 # Partial sums of weights pass through this many tasks before they reach the driver.
 COMBINERS = 16
 
@@ -95,7 +100,7 @@ class MlpRegressor:
         spread = spread or 1.0
         cut = first + int(count * (1 - self.validation_share))
         # Random placement, so that every partition sees all parts of the series.
-        rows = rows.repartition(F.xxhash64("row_id")) \
+        rows = rows.repartition(max(1, -(-count // PART_ROWS)), F.xxhash64("row_id")).sortWithinPartitions("row_id") \
             .select("x", ((F.col("y") - F.lit(mean)) / F.lit(spread)).alias("y"),
                     (F.col("row_id") >= F.lit(cut)).alias("held")).persist()
         sizes = (width, *self.hidden, 1)
@@ -189,6 +194,17 @@ class MlpModel:
     spread: float = 1.0
     history: tuple[float, ...] = ()
 
+    def save(self, path: str) -> None:
+        row = (list(self.sizes), self.weights.tolist(), float(self.mean), float(self.spread), list(self.history))
+        SparkSession.active().createDataFrame(
+            [row], "sizes array<long>, weights array<double>, mean double, spread double, history array<double>") \
+            .write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(path: str) -> MlpModel:
+        row = SparkSession.active().read.parquet(path).first()
+        return MlpModel(tuple(row["sizes"]), np.array(row["weights"]), row["mean"], row["spread"], tuple(row["history"]))
+
     def transform(self, df: DataFrame) -> DataFrame:
         sizes, weights, mean, spread = self.sizes, self.weights, self.mean, self.spread
 

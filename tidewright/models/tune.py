@@ -46,9 +46,8 @@ def grid_search(train: DataFrame, name: str, grid: dict[str, list], folds: int,
     points = grid_points(grid)
     augment = augment or (lambda df: df)
     rows = train.count()
-    tasks = min(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
-    # Rows are placed by a hash of their number, so the early rows of a fold are spread as well.
-    train = train.repartition(max(1, tasks), "row_id").persist()
+    # As many tasks as the rows need. They are placed by a hash of their number, so the early rows of a fold are spread too.
+    train = train.repartition(max(1, -(-rows // TASK_ROWS)), "row_id").persist()
     try:
         scores: list[tuple[dict, list[float]]] = []
         best = points[0]

@@ -55,8 +55,14 @@ def iqr_bounds(df: DataFrame, column: str, factor: float = 1.5,
     return q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)
 
 
-def remove_outliers_iqr(df: DataFrame, columns: Sequence[str], factor: float = 1.5) -> DataFrame:
-    """Column after column; the bounds of one come from the rows the earlier ones left."""
+def remove_outliers_iqr(df: DataFrame, columns: Sequence[str], factor: float = 1.5, stage: bool = True) -> DataFrame:
+    """Column after column; the bounds of one come from the rows the earlier ones left.
+
+    With ``stage`` the rows are written once, so that what made them runs once and every
+    pass reads the columns it needs.
+    """
+    if stage:
+        df = materialize(df, "outliers")
     rows = df.count()
     for column in columns:
         bounds = iqr_bounds(df, column, factor, rows)
@@ -95,8 +101,11 @@ def mahalanobis_distance(m: Moments, inverse: np.ndarray) -> Column:
     return F.sqrt(F.greatest(reduce(lambda a, b: a + b, terms), F.lit(0.0)))
 
 
-def remove_outliers_mahalanobis(df: DataFrame, columns: Sequence[str], quantile: float = 0.99) -> DataFrame:
-    """Keep rows whose distance is at most the given quantile of all distances."""
+def remove_outliers_mahalanobis(df: DataFrame, columns: Sequence[str], quantile: float = 0.99,
+                                stage: bool = True) -> DataFrame:
+    """Keep rows whose distance is at most the given quantile of all distances; ``stage`` as above."""
+    if stage:
+        df = materialize(df, "outliers")
     m = moments(df, columns)
     try:
         inverse = np.linalg.inv(m.cov)
@@ -116,6 +125,7 @@ def flag_mahalanobis(df: DataFrame, columns: Sequence[str], quantile: float = 0.
     Constant columns take no part; a singular covariance is inverted in the
     least-squares sense.
     """
+    df = materialize(df.select(*keep, *[c for c in columns if c not in keep]), "outliers")
     used = varying_columns(df, columns)
     complete = drop_missing(df.select(*keep, *used), used)
     m = moments(complete, used)
@@ -156,9 +166,9 @@ def cleaning_steps(columns: Sequence[str], options: CleaningOptions = CleaningOp
     if options.negative:
         steps.append(("negative", lambda df: non_negative(df, columns)))
     if options.outliers in ("iqr", "both"):
-        steps.append(("iqr", lambda df: remove_outliers_iqr(df, columns, options.iqr_factor)))
+        steps.append(("iqr", lambda df: remove_outliers_iqr(df, columns, options.iqr_factor, False)))
     if options.outliers in ("mahalanobis", "both"):
-        steps.append(("mahalanobis", lambda df: remove_outliers_mahalanobis(df, columns, options.quantile)))
+        steps.append(("mahalanobis", lambda df: remove_outliers_mahalanobis(df, columns, options.quantile, False)))
     return steps
 
 
@@ -171,15 +181,23 @@ def clean(df: DataFrame, columns: Sequence[str], options: CleaningOptions = Clea
     return df
 
 
-def cleaning_audit(df: DataFrame, columns: Sequence[str],
-                   options: CleaningOptions = CleaningOptions()) -> DataFrame:
-    """Rows left after each step, counted on the side while the cleaning runs."""
+def audited_clean(df: DataFrame, columns: Sequence[str],
+                  options: CleaningOptions = CleaningOptions()) -> tuple[DataFrame, DataFrame]:
+    """The cleaned rows, written once, and the rows left after each step, counted in the same run."""
     counters = [("input", Observation())]
     rows = F.count(F.lit(1)).alias("rows")
-    df = df.observe(counters[0][1], rows)
+    df, staged = df.observe(counters[0][1], rows), not options.stage
     for name, step in cleaning_steps(columns, options):
+        if name in ("iqr", "mahalanobis") and not staged:
+            df, staged = materialize(df, "cleaning"), True
         counters.append((name, Observation()))
         df = df.transform(step).observe(counters[-1][1], rows)
-    df.write.format("noop").mode("overwrite").save()
+    cleaned = materialize(df, "cleaned")
     table = [(i, name, counter.get["rows"]) for i, (name, counter) in enumerate(counters)]
-    return df.sparkSession.createDataFrame(table, "step long, name string, rows long")
+    return cleaned, df.sparkSession.createDataFrame(table, "step long, name string, rows long")
+
+
+def cleaning_audit(df: DataFrame, columns: Sequence[str],
+                   options: CleaningOptions = CleaningOptions()) -> DataFrame:
+    """Rows left after each step."""
+    return audited_clean(df, columns, options)[1]

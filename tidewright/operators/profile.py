@@ -28,30 +28,30 @@ SEASONS = [("Winter", "12-01", "02-28", "Winter period (Dec-Feb)"),
 QUARTERS = [("Q1", "01-01", "03-31"), ("Q2", "04-01", "06-30"),
             ("Q3", "07-01", "09-30"), ("Q4", "10-01", "12-31")]
 
-# Lag scales as multiples of the resolution, window scales in minutes, and their limits.
-LAG_MULTIPLES = [1, 4, 16, 64]
+# Lags in rows, horizons of windows in minutes, and the limits of both.
+LAG_ROWS = [1, 4, 16, 64]
 WINDOW_MINUTES = [60, 360, 1440, 10080]
 MAX_LAG, MAX_LAGS, MAX_WINDOW, MAX_WINDOWS = 100, 6, 1000, 4
 DEFAULT_MINUTES = 15
 
 _SECOND_US, _MINUTE_US, _HOUR_US = 1_000_000, 60_000_000, 3_600_000_000
-_MINUTES_PER_UNIT = {"T": 1, "H": 60, "D": 1440}
+#: Units a resolution is told in, coarsest first.
+_UNITS = ((DAY_MICROS, "D"), (_HOUR_US, "H"), (_MINUTE_US, "T"), (_SECOND_US, "S"))
 
 
-def datetime_columns(df: DataFrame, sample: int = 100) -> list[str]:
-    """Timestamp and date columns, and text columns whose first known values all parse.
+def datetime_columns(df: DataFrame) -> list[str]:
+    """Timestamp and date columns, and text columns all of whose known values parse.
 
-    Numbers never count as times. The texts are looked at in one small job.
+    Numbers never count as times. All texts are looked at in one pass.
     """
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    parses = {}
-    for name in texts:
-        seen = df.select(F.col(name).alias("v")).where(F.col("v").isNotNull()).limit(sample)
-        row = seen.agg(F.count("v").alias("n"), F.count(F.try_to_timestamp("v")).alias("ok")).first()
-        parses[name] = 0 < row["n"] == row["ok"]
+    parses = set()
+    if texts:
+        row = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(texts)],
+                     *[F.count(F.try_to_timestamp(c)).alias(f"ok{i}") for i, c in enumerate(texts)]).first()
+        parses = {c for i, c in enumerate(texts) if 0 < row[f"n{i}"] == row[f"ok{i}"]}
     return [f.name for f in df.schema.fields
-            if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
-            or parses.get(f.name, False)]
+            if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)) or f.name in parses]
 
 
 def detect_time_column(df: DataFrame, candidates: Sequence[str] | None = None) -> str | None:
@@ -66,25 +66,20 @@ def likely_target(name: str) -> bool:
 
 
 def target_candidates(df: DataFrame) -> DataFrame:
-    """Numeric columns named like a target with a confidence, best first; ties keep column order."""
-    spark = df.sparkSession
+    """Numeric columns named like a target with a confidence, best first; ties keep column order.
+
+    The name alone gives 0.6; a column of fractions and a moderate spread around its mean add 0.2 each.
+    """
     names = [c for c in numeric_columns(df) if likely_target(c)]
-    schema = "ordinal long, column string, confidence double"
     if not names:
-        return spark.createDataFrame([], schema)
-    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)],
-                 *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(names)]).first()
-    table = []
-    for i, name in enumerate(names):
-        confidence = 0.6
-        if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-            confidence += 0.2
-        mean, std = row[f"m{i}"], row[f"s{i}"]
-        if mean and std is not None and 0.1 < std / abs(mean) < 2.0:
-            confidence += 0.2
-        table.append((i, name, min(confidence, 1.0)))
-    table.sort(key=lambda r: (-r[2], r[0]))
-    return spark.createDataFrame(table, schema)
+        return df.sparkSession.createDataFrame([], "ordinal long, column string, confidence double")
+    fractions = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    entries = [F.struct(F.lit(i).cast("long").alias("ordinal"), F.lit(c).alias("column"), F.lit(0.2 * (c in fractions)).alias("kind"),
+                        (F.stddev_samp(c) / F.abs(F.nullif(F.avg(c), F.lit(0.0)))).alias("cv")) for i, c in enumerate(names)]
+    moderate = F.when((F.col("cv") > 0.1) & (F.col("cv") < 2.0), 0.2).otherwise(0.0)
+    return df.agg(F.array(*entries).alias("e")).select(F.explode("e").alias("e")).select("e.*") \
+        .select("ordinal", "column", (F.lit(0.6) + F.col("kind") + moderate).alias("confidence")) \
+        .orderBy(F.desc("confidence"), "ordinal")
 
 
 def recommended_features(df: DataFrame) -> list[str]:
@@ -99,12 +94,12 @@ def date_range(df: DataFrame, time: str) -> DataFrame:
 
 
 def resolution_label(gap_us: Column) -> Column:
-    """Gap as seconds, minutes, hours or days, cut to whole units."""
-    def whole(unit, mark):
-        return F.concat(F.floor(gap_us / F.lit(unit)).cast("string"), F.lit(mark))
-
-    return (F.when(gap_us < _MINUTE_US, whole(_SECOND_US, "S")).when(gap_us < _HOUR_US, whole(_MINUTE_US, "T"))
-            .when(gap_us < DAY_MICROS, whole(_HOUR_US, "H")).otherwise(whole(DAY_MICROS, "D")))
+    """Gap as seconds, minutes, hours or days, cut to whole units; for show."""
+    label = None
+    for unit, mark in _UNITS:
+        text = F.concat(F.floor(gap_us / F.lit(unit)).cast("string"), F.lit(mark))
+        label = F.when(gap_us >= unit, text) if label is None else label.when(gap_us >= unit, text)
+    return label.otherwise("0S")
 
 
 def time_resolution(df: DataFrame, time: str, order: Sequence[str], **index_options) -> DataFrame:
@@ -115,24 +110,21 @@ def time_resolution(df: DataFrame, time: str, order: Sequence[str], **index_opti
                       resolution_label(F.col("gap_us")).alias("resolution"))
 
 
-def resolution_minutes(label: str | None) -> int:
-    """Minutes of a resolution label; 15 when it is unknown, at least 1 for seconds."""
-    if not label or label == "unknown":
-        return DEFAULT_MINUTES
-    count, unit = int(label[:-1]), label[-1]
-    if unit == "S":
-        return max(1, count // 60)
-    return count * _MINUTES_PER_UNIT[unit] if unit in _MINUTES_PER_UNIT else DEFAULT_MINUTES
+def suggest_lags() -> list[int]:
+    """Lags in rows, the same for every resolution."""
+    return [k for k in LAG_ROWS if k <= MAX_LAG][:MAX_LAGS]
 
 
-def suggest_lags(minutes: int) -> list[int]:
-    steps = {max(1, minutes * m // minutes) for m in LAG_MULTIPLES}
-    return sorted(s for s in steps if s <= MAX_LAG)[:MAX_LAGS]
+def suggest_windows(gap_us: int | None) -> list[int]:
+    """Rows that make up each horizon, for rows ``gap_us`` microseconds apart.
 
-
-def suggest_windows(minutes: int) -> list[int]:
-    steps = {max(1, m // minutes) for m in WINDOW_MINUTES}
-    return sorted(s for s in steps if s <= MAX_WINDOW)[:MAX_WINDOWS]
+    A gap counts in whole units of its label and as a minute at least; an unknown one as a quarter of an hour.
+    """
+    step = DEFAULT_MINUTES * _MINUTE_US
+    if gap_us is not None:
+        step = max(_MINUTE_US, next((gap_us - gap_us % unit for unit, _ in _UNITS if gap_us >= unit), 0))
+    rows = {max(1, minutes * _MINUTE_US // step) for minutes in WINDOW_MINUTES}
+    return sorted(r for r in rows if r <= MAX_WINDOW)[:MAX_WINDOWS]
 
 
 def suggest_periods(start, end, days: int) -> list[Period]:
@@ -175,15 +167,13 @@ class DatasetPlan:
     periods: list[Period] = field(default_factory=list)
 
 
-def analyze(df: DataFrame, ties: Sequence[str] = (), rows: int | None = None) -> DatasetPlan:
-    """Profile a table, or its first ``rows`` rows, and propose a plan."""
-    if rows is not None:
-        df = df.limit(rows)
+def analyze(df: DataFrame, ties: Sequence[str] = ()) -> DatasetPlan:
+    """Profile a whole table and propose a plan."""
     found = datetime_columns(df)
     time = detect_time_column(df, found)
     numeric = numeric_columns(df)
     best = target_candidates(df).first()
-    resolution, days, periods = "unknown", None, []
+    resolution, gap_us, days, periods = "unknown", None, None, []
     if time:
         if isinstance(df.schema[time].dataType, T.StringType):
             df = df.withColumn(time, F.try_to_timestamp(time).cast("timestamp_ntz"))
@@ -192,10 +182,10 @@ def analyze(df: DataFrame, ties: Sequence[str] = (), rows: int | None = None) ->
             days = span["days"]
             periods = suggest_periods(span["start"], span["end"], days)
         top = time_resolution(df.where(F.col(time).isNotNull()), time, [time, *ties]).first()
-        resolution = top["resolution"] if top else "unknown"
-    minutes = resolution_minutes(resolution)
+        if top:
+            resolution, gap_us = top["resolution"], top["gap_us"]
     return DatasetPlan(
         time=time, target=best["column"] if best else None, features=recommended_features(df),
         numeric=numeric, categorical=[c for c in df.columns if c not in numeric], datetimes=found,
-        resolution=resolution, days=days, lags={AUTO: suggest_lags(minutes)},
-        windows={AUTO: suggest_windows(minutes)}, periods=periods)
+        resolution=resolution, days=days, lags={AUTO: suggest_lags()},
+        windows={AUTO: suggest_windows(gap_us)}, periods=periods)

@@ -101,12 +101,17 @@ def order_statistics(values: DataFrame, n: int, ranks: Sequence[int], limit: int
         brackets = [dict(zip(wide, narrowed)).get(b, b) for b in brackets]
     open_ = [b for b in brackets if b.low < b.high]
     at = {b.rank: b.low for b in brackets if b.low == b.high}
-    if open_:
+    # As many brackets at a time as hold ``limit`` values together, so that bounds what a pass holds.
+    while open_:
+        held, n = 0, 0
+        while n < len(open_) and (not n or held + open_[n].kept <= limit):
+            held, n = held + open_[n].kept, n + 1
+        group, open_ = open_[:n], open_[n:]
         row = values.agg(*[F.expr(
             f"percentile_disc({(b.rank - b.below + 0.5) / b.kept!r}D) WITHIN GROUP "
             f"(ORDER BY CASE WHEN v BETWEEN {b.low!r}D AND {b.high!r}D THEN v END)").alias(f"v{i}")
-            for i, b in enumerate(open_)]).first()
-        at.update({b.rank: row[f"v{i}"] for i, b in enumerate(open_)})
+            for i, b in enumerate(group)]).first()
+        at.update({b.rank: row[f"v{i}"] for i, b in enumerate(group)})
     return at
 
 

@@ -30,11 +30,11 @@ def resample_mean(df: DataFrame, rule: str, time: str, columns: Sequence[str],
                   keys: Sequence[str] = (), dense: bool = True) -> DataFrame:
     """Mean of each column per time bin; with ``dense``, bins without rows are kept as missing.
 
-    Bins start at midnight of the first day of the series. Rows are combined
-    before the shuffle, so a crowded bin is no hot spot.
+    Bins start at midnight of the first day of the series; rows without a time are in none. Rows
+    are combined before the shuffle, so a crowded bin is no hot spot.
     """
     step = rule_micros(rule)
-    at = df.select(*keys, micros(time).alias("_us"), *columns)
+    at = df.where(F.col(time).isNotNull()).select(*keys, micros(time).alias("_us"), *columns)
     aligned = DAY_MICROS % step == 0
     if aligned:
         # Midnight is a bin border every day, so the first day need not be known.

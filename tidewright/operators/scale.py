@@ -27,8 +27,11 @@ class Scaler:
 def _two_aggregates(train, columns, center, width):
     row = train.agg(*[center(c).alias(f"a{i}") for i, c in enumerate(columns)],
                     *[width(c).alias(f"b{i}") for i, c in enumerate(columns)]).first()
+    empty = [c for i, c in enumerate(columns) if row[f"a{i}"] is None]
+    if empty:
+        raise ValueError(f"no known values to scale by in {empty}")
     return Scaler({c: float(row[f"a{i}"]) for i, c in enumerate(columns)},
-                  {c: float(row[f"b{i}"]) for i, c in enumerate(columns)})
+                  {c: float(row[f"b{i}"] or 0.0) for i, c in enumerate(columns)})
 
 
 def standard_scaler(train: DataFrame, columns: Sequence[str]) -> Scaler:
@@ -43,6 +46,9 @@ def minmax_scaler(train: DataFrame, columns: Sequence[str]) -> Scaler:
 def robust_scaler(train: DataFrame, columns: Sequence[str]) -> Scaler:
     """Median and interquartile range."""
     cuts = quantiles(train, columns, [0.25, 0.5, 0.75])
+    empty = [c for c, q in cuts.items() if q[1] is None]
+    if empty:
+        raise ValueError(f"no known values to scale by in {empty}")
     return Scaler({c: q[1] for c, q in cuts.items()}, {c: q[2] - q[0] for c, q in cuts.items()})
 
 

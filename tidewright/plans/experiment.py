@@ -5,12 +5,14 @@ from __future__ import annotations
 import logging
 import time as clock
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.models.tune import grid_search
+from tidewright.models.estimators import DEFAULT_GRIDS, make_estimator
+from tidewright.models.tune import grid_points, grid_search
 from tidewright.operators.augment import add_noise
 from tidewright.operators.columns import assemble
 from tidewright.operators.features import add_features, add_split_features, add_time_features
@@ -21,7 +23,7 @@ from tidewright.operators.resample import resample_mean
 from tidewright.operators.reshape import union_results
 from tidewright.operators.scale import SCALERS
 from tidewright.operators.split import temporal_split
-from tidewright.session import materialize
+from tidewright.session import materialize, scratch
 from tidewright.sources.writers import predictions_frame, save_model, write_predictions
 from tidewright.spec import FeaturePlan, Period, SeriesSpec, lookup_override
 
@@ -33,13 +35,17 @@ WHOLE = "all"
 RESULT_SCHEMA = (
     "Period string, Model string, Train_R2 double, Test_R2 double, Train_RMSE double, Test_RMSE double, "
     "Train_MAE double, Test_MAE double, Best_Params string, Features_Count long, Train_Samples long, "
-    "Test_Samples long, Training_Time_s double, Prediction_Time_s double, Augmentation string, Resampling string")
+    "Test_Samples long, Training_Time_s double, Prediction_Time_s double, Augmentation string, Resampling string, Status string")
+OK, TOO_FEW = "ok", "too few rows"
 
 
 @dataclass(frozen=True)
 class ExperimentConfig:
     """One model on one series. Plans and rules may differ by model and period.
 
+    Without a grid the model's usual one is searched; a parameter that the model does not know
+    is an error before any work.
+
     With ``features_first``, the interactive variant, the whole series is one period,
     features are made before the split and rolling windows must be full.
     """
@@ -47,7 +53,7 @@ class ExperimentConfig:
     spec: SeriesSpec
     periods: Sequence[Period]
     model: str = "KNN"
-    grid: dict[str, list] = field(default_factory=dict)
+    grid: dict[str, list] | None = None
     plan: FeaturePlan = FeaturePlan()
     plan_overrides: dict = field(default_factory=dict)
     only: Sequence[str] | None = None
@@ -65,6 +71,13 @@ class ExperimentConfig:
     features_first: bool = False
     predictions_path: str | None = None
     models_path: str | None = None
+    parallel: int = 4
+
+    def __post_init__(self):
+        if self.grid is None:
+            object.__setattr__(self, "grid", DEFAULT_GRIDS.get(self.model, {}))
+        for point in grid_points(self.grid):
+            make_estimator(self.model, **point)
 
     def plan_for(self, period: str) -> FeaturePlan:
         return lookup_override(self.plan_overrides, self.model, period, self.plan)
@@ -102,7 +115,8 @@ def prepare(df: DataFrame, config: ExperimentConfig) -> DataFrame:
         if rule:
             rows = resample_mean(rows, rule, spec.time, measures, ["period"])
         parts.append(rows)
-    rows = union_results(*parts)
+    # Written, as sizes and positions each read them.
+    rows = materialize(union_results(*parts), "assigned")
     order = [c for c in spec.order if c in rows.columns]
     rows = large_enough(rows, ["period"], config.min_rows)
     split = temporal_split(rows, order, config.split_ratio, ["period"])
@@ -128,29 +142,39 @@ def prepare_whole(df: DataFrame, config: ExperimentConfig) -> DataFrame:
 
 
 def run_experiment(df: DataFrame, config: ExperimentConfig) -> DataFrame:
-    """Tune, fit and score the model for each period; one result row per period that worked.
+    """Tune, fit and score the model for each period; one result row per period, with what became of it.
 
     The feature table is written once to the shared folder, partitioned by period and
-    split, so each fit reads only its own rows.
+    split, so each fit reads only its own rows; it and all other tables of the run are gone at the
+    end. Periods run at the same time. The status of a period is ``ok``, ``too few rows``, or the error it
+    ended with, which does not keep the others from their results.
     """
     spark = df.sparkSession
     whole = config.features_first
-    rows = prepare_whole(df, config) if whole else prepare(df, config)
-    table = materialize(rows, "experiment", ("period", "split"))
-    present = {r["period"] for r in table.select("period").distinct().collect()}
-    results = []
     names = [WHOLE] if whole else [p.name for p in pick_periods(config.periods, config.only)]
-    for name in names:
-        if name not in present:
-            log.warning("period %s has too few rows and is skipped", name)
-            continue
-        try:
-            results.append(_run_period(table.where(F.col("period") == name), name, config))
-        except Exception:
-            log.exception("period %s failed and is skipped", name)
+    with scratch(spark):
+        rows = prepare_whole(df, config) if whole else prepare(df, config)
+        table = materialize(rows, "experiment", ("period", "split"))
+        present = {r["period"] for r in table.select("period").distinct().collect()}
+
+        def run(name: str):
+            if name not in present:
+                return _unfinished(name, config, TOO_FEW)
+            try:
+                return (*_run_period(table.where(F.col("period") == name), name, config), OK)
+            except Exception as error:
+                log.exception("period %s failed", name)
+                return _unfinished(name, config, f"{type(error).__name__}: {error}".splitlines()[0])
+
+        with ThreadPoolExecutor(config.parallel) as pool:
+            results = list(pool.map(run, names))
     return spark.createDataFrame(results, RESULT_SCHEMA)
 
 
+def _unfinished(period: str, config: ExperimentConfig, status: str) -> tuple:
+    return (period, config.model, *[None] * 12, f"{config.copies}x{config.noise}", config.rule_for(period) or "None", status)
+
+
 def _run_period(rows: DataFrame, period: str, config: ExperimentConfig):
     spec, plan = config.spec, config.plan_for(period)
     features = [*spec.features, *plan.names([*spec.features, spec.target], config.features_first)]
@@ -184,7 +208,7 @@ def _run_period(rows: DataFrame, period: str, config: ExperimentConfig):
                               config.predictions_path)
     finally:
         scored.unpersist()
-    if config.models_path and hasattr(found.model, "write"):
+    if config.models_path:
         save_model(found.model, config.models_path, config.model, period)
     tr, te = metrics["train"], metrics["test"]
     multiple = 1 + (config.copies if config.noise else 0)

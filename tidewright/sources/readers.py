@@ -2,18 +2,52 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_csv(spark: SparkSession, path, schema: T.StructType | str | None = None,
-             sampling_ratio: float = 0.1) -> DataFrame:
-    """CSV with a header. Types come from ``schema``; without one, a share of the rows is looked at."""
-    reader = spark.read.option("header", True)
+def read_csv(spark: SparkSession, path, schema: T.StructType | str | None = None, strict: bool = False) -> DataFrame:
+    """CSV with a header. Types come from ``schema``; without one from every value, which costs a pass.
+
+    Large inputs should have a schema. With ``strict`` a value that does not fit it is an
+    error when the rows are read, not a missing value.
+    """
+    reader = spark.read.option("header", True).option("mode", "FAILFAST" if strict else "PERMISSIVE")
     if schema is not None:
         return reader.schema(schema).csv(path)
-    return reader.option("inferSchema", True).option("samplingRatio", sampling_ratio).csv(path)
+    return reader.option("inferSchema", True).option("samplingRatio", 1.0).csv(path)
+
+
+def _csv_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Files below everything that a path or pattern names, in order; hidden ones and marks are left out."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, out = list(system.globStatus(root) or []), []
+    if not found:
+        raise FileNotFoundError(f"nothing is named {pattern}")
+    while found:
+        status = found.pop()
+        if status.getPath().getName().startswith(("_", ".")):
+            continue
+        if status.isDirectory():
+            found += list(system.listStatus(status.getPath()))
+        elif status.getLen():
+            out.append(status.getPath().toString())
+    return sorted(out)
+
+
+def _first_line(spark: SparkSession, path: str) -> str:
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        return (lines.readLine() or "").removeprefix("\ufeff")
+    finally:
+        stream.close()
 
 
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -25,26 +59,33 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 def read_many(spark: SparkSession, paths: list[str], as_text: tuple[str, ...] = (),
               schema: T.StructType | str | None = None) -> DataFrame:
-    """Several CSV files or patterns as one table.
+    """Several CSV files or patterns as one table, united by the names in their headers.
 
-    With a schema, one scan reads all of them. Without one the files may differ in
-    their columns, so each is read by its own header and they are united by name.
-    ``as_text`` names label columns which must stay text even when a file holds digits.
+    The files may differ in their columns and in the order of them, so the first line of each is
+    looked at, and files with the same header are one scan. ``as_text`` names label columns
+    which stay text even when a file holds digits. A schema gives the types by name; columns
+    that a file lacks are missing there.
     """
+    by_header: dict[str, list[str]] = {}
+    for path in dict.fromkeys(f for p in paths for f in _csv_files(spark, p)):
+        by_header.setdefault(_first_line(spark, path), []).append(path)
+    if not by_header:
+        raise ValueError(f"only empty files below {paths}")
+    fields = {}
     if schema is not None:
-        out = read_csv(spark, paths, schema)
-    else:
-        out = None
-        for path in paths:
-            part = read_csv(spark, path)
-            for name in as_text:
-                if name in part.columns:
-                    part = part.withColumn(name, F.col(name).cast("string"))
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    for name in as_text:
-        if name in out.columns:
-            out = out.withColumn(name, F.col(name).cast("string"))
-    return out
+        parsed = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        fields = {f.name: f.dataType for f in parsed.fields}
+
+    def part(files):
+        if not fields:
+            df = read_csv(spark, files)
+        else:
+            names = spark.read.option("header", True).csv(files[:1]).columns
+            df = read_csv(spark, files, T.StructType([T.StructField(n, fields.get(n, T.StringType())) for n in names]))
+            df = df.select(*[n for n in names if n in fields])
+        return df.withColumns({n: F.col(n).cast("string") for n in as_text if n in df.columns})
+
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(part, by_header.values()))
 
 
 def head_sample(df: DataFrame, rows: int, order: tuple[str, ...] = ()) -> DataFrame:

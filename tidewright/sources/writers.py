@@ -47,6 +47,25 @@ def model_path(folder: str, model: str, period: str) -> str:
 
 
 def save_model(fitted, folder: str, model: str, period: str) -> str:
+    """Save any model of this package or of Spark ML; one that cannot be saved is an error."""
     path = model_path(folder, model, period)
-    fitted.write().overwrite().save(path)
+    if hasattr(fitted, "write"):
+        fitted.write().overwrite().save(path)
+    else:
+        fitted.save(path)
     return path
+
+
+def load_model(name: str, path: str):
+    """The fitted model of the given name (as for ``make_estimator``) that ``save_model`` wrote."""
+    from pyspark.ml.regression import DecisionTreeRegressionModel, GBTRegressionModel, RandomForestRegressionModel
+
+    from tidewright.models.adaboost import AdaBoostModel
+    from tidewright.models.knn import KnnModel
+    from tidewright.models.mlp import MlpModel
+
+    kinds = {"RandomForest": RandomForestRegressionModel, "DecisionTree": DecisionTreeRegressionModel,
+             "XGBoost": GBTRegressionModel, "AdaBoost": AdaBoostModel, "KNN": KnnModel, "DNN": MlpModel}
+    if name not in kinds:
+        raise ValueError(f"unknown model {name!r}")
+    return kinds[name].load(path)
