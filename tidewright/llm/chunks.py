@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidewright.llm.arrowtext import U64
 
 #: Bytes of text in a chunk, and of all texts per bucket, roughly.
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 32 << 20
 #: Id by which rows without an id are ordered: after all others.
 LAST = np.iinfo(np.int64).max
 
