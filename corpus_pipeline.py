@@ -1,25 +1,60 @@
 """The corpus pipeline: documents in, token ids of the documents worth training on out.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as
-Parquet to the shared folder and reads again as the next stage's documents.
+Parquet to the shared folder and reads again as the next stage's documents. All stages but
+the last return the columns they were given. Each handles missing values, empty texts, repeated
+rows, empty tables and further columns as its operator does.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewright.llm import byte_bpe
-from tidewright.session import materialize
+from tidewright.llm import byte_bpe, decontaminate, minhash, secrets, toxicity
+from tidewright.session import materialize, ship_package
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the toxicity model accepts; it learns from the labels that are not held out."""
+    ship_package(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.drop_toxic(docs, labels)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by 80 % of their five-word shingles: the one with the least id."""
+    ship_package(spark)
+    return minhash.drop_near_duplicates(docs, size=5, percent=80, trees=24)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark, nor one within a fifth of its length in edits."""
+    ship_package(spark)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return decontaminate.drop_contaminated(docs, items)
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret in their text replaced by a mark; ``n_chars`` follows the text."""
+    hidden = secrets.redact(docs)
+    return hidden.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else hidden
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the digests that prove them reversible."""
+    """``doc_id``, the packed ``ids`` of the text, their number, and digests of the ids and of the bytes they decode to."""
+    ship_package(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return byte_bpe.decode(byte_bpe.encode(docs, ranks), ranks)
+    back = byte_bpe.decode(byte_bpe.encode(docs, ranks), ranks)
+    return back.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
+STAGES = [("toxicity", drop_toxic), ("near-duplicates", drop_near_duplicates), ("benchmark decontamination", drop_benchmark),
+          ("secrets", hide_secrets), ("byte-level BPE", tokens)]
 
-STAGES = [("byte-level BPE", tokens)]
+#: A fitted model, MinHash, edit distance and BPE are beyond SQL; the stages are tested against plain Python instead.
 ORACLE_SQL = None
 
 
