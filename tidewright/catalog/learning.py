@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.regression import DecisionTreeRegressionModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tidewright.catalog.base import (
@@ -22,8 +22,8 @@ from tidewright.operators.reshape import top_k
 from tidewright.operators.split import temporal_split
 from tidewright.plans.experiment import ExperimentConfig, prepare, run_experiment
 from tidewright.session import materialize, shared_folder
-from tidewright.sources.writers import save_model
-from tidewright.spec import FeaturePlan, SeriesSpec
+from tidewright.sources.writers import load_model, save_model
+from tidewright.spec import FeaturePlan, Period, SeriesSpec
 
 FEATURES = ["quantity", "discount", "tax", "lines"]
 
@@ -105,6 +105,109 @@ def knn_regress_distance(spark, sf):
     return _knn(spark, sf, n_neighbors=3, weights="distance", metric="manhattan")
 
 
+_MEAN_OF_FIVE = "(list[1].y + list[2].y + list[3].y + list[4].y + list[5].y) / 5"
+
+# A third of all queries ask for one and the same point.
+_HOT = {"quantity": 100.0, "discount": 0.05, "tax": 0.03, "lines": 4.0}
+
+
+def _hot_square(c):
+    own = f"(CASE WHEN q.pos % 3 = 0 THEN CAST({_HOT[c]} AS DOUBLE) ELSE q.{c} END - t.{c})"
+    return f"{own} * {own}"
+
+
+@query("knn_regress_hot", _near_sql(5, " + ".join(_hot_square(c) for c in FEATURES), _MEAN_OF_FIVE))
+def knn_regress_hot(spark, sf):
+    """Also the search that moves queries to the train rows, as for models too large to be sent."""
+    frame = _frame(spark, sf)
+    model = make_estimator("KNN", n_neighbors=5, broadcast_bytes=0).fit(_train(frame))
+    point = F.array(*[F.lit(v) for v in _HOT.values()])
+    asked = frame.where(F.col("split") == "test").withColumn("features", array_to_vector(
+        F.when(F.col("row_id") % 3 == 0, point).otherwise(vector_to_array("features"))))
+    return model.transform(asked).select("key", "prediction")
+
+
+# Ten features, as lags and rolling statistics would give.
+_WIDE = {**{c: c for c in FEATURES}, "q2": "quantity * quantity / 100", "l2": "lines * lines", "ql": "quantity * lines / 50",
+         "dq": "discount * quantity", "tq": "tax * quantity", "dl": "discount * lines"}
+
+
+@query("knn_regress_wide", sql(SENSORS, f"known AS (SELECT ts, key, amount, {', '.join(f'{e} AS {n}' for n, e in _WIDE.items())} "
+                               "FROM sensors WHERE amount IS NOT NULL)", _VECTORS.replace(
+    "quantity, discount, tax, lines,", ", ".join(_WIDE) + ","), f"""near AS (
+        SELECT q.key, min({{'d': {' + '.join(_square(c) for c in _WIDE)}, 'id': t.pos, 'y': t.amount}}, 5) AS list
+        FROM test q, train t GROUP BY q.key)""", f"SELECT key, {_MEAN_OF_FIVE} AS prediction FROM near"))
+def knn_regress_wide(spark, sf):
+    wide = known_sensors(spark, sf).select("ts", "key", "amount", *[F.expr(e).alias(n) for n, e in _WIDE.items()])
+    split = temporal_split(wide, ["ts", "key"], 0.8).withColumn("row_id", F.col("pos"))
+    frame = materialize(assemble(split, list(_WIDE), "amount", keep=["row_id", "key", "split"]), "vectors", spread="row_id")
+    model = make_estimator("KNN", n_neighbors=5).fit(_train(frame))
+    return model.transform(frame.where(F.col("split") == "test")).select("key", "prediction")
+
+
+# A tree of one split over a column of few values: the best place can be found in SQL.
+_STUMP = """parts AS (SELECT lines AS v, count(*) AS n, sum(amount) AS s, sum(amount * amount) AS q FROM train GROUP BY lines),
+    sides AS (SELECT a.v, sum(b.n) FILTER (b.v <= a.v) AS nl, sum(b.s) FILTER (b.v <= a.v) AS sl, sum(b.q) FILTER (b.v <= a.v) AS ql,
+                     sum(b.n) FILTER (b.v > a.v) AS nr, sum(b.s) FILTER (b.v > a.v) AS sr, sum(b.q) FILTER (b.v > a.v) AS qr
+              FROM parts a, parts b GROUP BY a.v),
+    stump AS (SELECT v, sl / nl AS low, sr / nr AS high, (sl + sr) / (nl + nr) AS mean FROM sides WHERE nr > 0
+              ORDER BY ql - sl * sl / nl + qr - sr * sr / nr LIMIT 1),
+    stumped AS (SELECT placed.*, CASE WHEN lines <= v THEN low ELSE high END AS p, mean FROM placed, stump)"""
+
+
+def _stump(spark, sf):
+    split = temporal_split(known_sensors(spark, sf), ["ts", "key"], 0.8).withColumn("row_id", F.col("pos"))
+    frame = materialize(assemble(split, ["lines"], "amount", keep=["row_id", "key", "split"]), "stump", spread="row_id")
+    return make_estimator("DecisionTree", max_depth=1).fit(_train(frame)), frame
+
+
+@query("fit_stump", sql(SENSORS, KNOWN, _VECTORS, _STUMP, "SELECT key, round(p, 4) AS prediction FROM stumped"))
+def fit_stump(spark, sf):
+    model, frame = _stump(spark, sf)
+    return rounded(model.transform(frame).select("key", "prediction"), 4, "prediction")
+
+
+@query("stump_shap", sql(SENSORS, KNOWN, _VECTORS, _STUMP, "SELECT key, round(p - mean, 4) AS phi FROM stumped"))
+def stump_shap(spark, sf):
+    """With one feature its Shapley value is what the prediction differs from the mean of the train rows."""
+    values, _ = at.shap_values(*_stump(spark, sf), ["key"])
+    return values.select("key", F.round(F.col("phi")[0], 4).alias("phi"))
+
+
+@query("stump_partial_dependence", sql(SENSORS, KNOWN, _VECTORS, _STUMP, """
+    SELECT lines AS value, round(any_value(p), 4) AS average FROM stumped GROUP BY lines"""))
+def stump_partial_dependence(spark, sf):
+    return rounded(at.partial_dependence(*_stump(spark, sf), ["lines"], "lines"), 4, "average")
+
+
+@query("stump_importance", sql(SENSORS, KNOWN, "SELECT 'lines' AS feature, CAST(1 AS DOUBLE) AS importance, count(*) AS rows FROM known"))
+def stump_importance(spark, sf):
+    model, frame = _stump(spark, sf)
+    return at.tree_importance(model, ["lines"], spark).withColumn("rows", F.lit(frame.count()).cast("long"))
+
+
+@query("stump_grid_search", sql(SENSORS, KNOWN, _VECTORS, """
+    bounds AS (SELECT f, m - (3 - f) * (m // 4) AS first, m - (2 - f) * (m // 4) AS last
+               FROM (SELECT count(*) AS m FROM train), (SELECT unnest(range(3)) AS f)),
+    parts AS (SELECT f, lines AS v, count(*) AS n, sum(amount) AS s, sum(amount * amount) AS q FROM train, bounds WHERE pos < first GROUP BY ALL),
+    sides AS (SELECT a.f, a.v, sum(b.n) FILTER (b.v <= a.v) AS nl, sum(b.s) FILTER (b.v <= a.v) AS sl, sum(b.q) FILTER (b.v <= a.v) AS ql,
+                     sum(b.n) FILTER (b.v > a.v) AS nr, sum(b.s) FILTER (b.v > a.v) AS sr, sum(b.q) FILTER (b.v > a.v) AS qr
+              FROM parts a JOIN parts b ON a.f = b.f GROUP BY a.f, a.v),
+    stump AS (SELECT f, v, sl / nl AS low, sr / nr AS high, (sl + sr) / (nl + nr) AS mean FROM sides WHERE nr > 0
+              QUALIFY row_number() OVER (PARTITION BY f ORDER BY ql - sl * sl / nl + qr - sr * sr / nr) = 1),
+    tested AS (SELECT f, amount, mean, CASE WHEN lines <= v THEN low ELSE high END AS p
+               FROM train JOIN bounds ON pos >= first AND pos < last JOIN stump USING (f)),
+    scores AS (SELECT f, 1 - sum(pow(amount - mean, 2)) / (var_pop(amount) * count(*)) AS r0,
+                      1 - sum(pow(amount - p, 2)) / (var_pop(amount) * count(*)) AS r1 FROM tested GROUP BY f)""", """
+    SELECT max_depth, round(r2, 6) AS mean_r2, r2 >= best AS best FROM (
+        SELECT unnest([0::BIGINT, 1::BIGINT]) AS max_depth, unnest([avg(r0), avg(r1)]) AS r2, greatest(avg(r0), avg(r1)) AS best FROM scores)"""))
+def stump_grid_search(spark, sf):
+    _, frame = _stump(spark, sf)
+    found = grid_search(_train(frame).drop("key", "split"), "DecisionTree", {"max_depth": [0, 1]}, folds=3)
+    rows = [(p["max_depth"], sum(s) / len(s), p == found.best) for p, s in found.scores]
+    return rounded(spark.createDataFrame(rows, "max_depth long, mean_r2 double, best boolean"), 6, "mean_r2")
+
+
 @query("grid_search")
 def grid_search_query(spark, sf):
     found = grid_search(_train(_frame(spark, sf)).drop("key", "split"), "DecisionTree",
@@ -120,16 +223,25 @@ def score(spark, sf):
     return model.transform(frame).select("key", "split", "label", "prediction")
 
 
-@query("model_round_trip", sql(SENSORS, KNOWN, """
-    SELECT count(*) AS n, count(*) AS same FROM known"""))
-def model_round_trip(spark, sf):
-    frame = _frame(spark, sf)
-    model = make_estimator("DecisionTree", max_depth=4).fit(_train(frame))
-    folder = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
-    loaded = DecisionTreeRegressionModel.load(save_model(model, folder, "DecisionTree", "all rows"))
-    both = loaded.setPredictionCol("again").transform(model.transform(frame))
-    return both.agg(F.count(F.lit(1)).alias("n"),
-                    F.sum((F.col("again") == F.col("prediction")).cast("long")).alias("same"))
+def _round_trip_query(suffix, name, **params):
+    @query(f"model_round_trip{suffix}", sql(SENSORS, KNOWN, "SELECT count(*) AS n, count(*) AS same FROM known"))
+    def run(spark, sf):
+        """Predictions of a fitted model, and of the same model saved and loaded."""
+        frame = _frame(spark, sf)
+        model = make_estimator(name, **params).fit(_train(frame))
+        folder = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+        loaded = load_model(name, save_model(model, folder, name, "all rows"))
+        again = loaded.transform(frame).select("row_id", F.col("prediction").alias("again"))
+        both = model.transform(frame).join(again, "row_id")
+        return both.agg(F.count(F.lit(1)).alias("n"),
+                        F.sum((F.col("again") == F.col("prediction")).cast("long")).alias("same"))
+    return run
+
+
+_round_trip_query("", "DecisionTree", max_depth=4)
+_round_trip_query("_knn", "KNN", n_neighbors=3)
+_round_trip_query("_adaboost", "AdaBoost", n_estimators=2)
+_round_trip_query("_mlp", "DNN", hidden=(8,), epochs=2)
 
 
 SENSOR_SERIES = SeriesSpec("ts", ("key",), (), "amount", tuple(FEATURES))
@@ -178,6 +290,19 @@ def experiment(spark, sf):
     return run_experiment(cleaned, config)
 
 
+@query("experiment_status", sql(SENSORS, KNOWN, _SEASON_FEATURES, """
+    sizes AS (SELECT period, count(*) AS n FROM assigned GROUP BY period)""", """
+    SELECT status, count(*) AS periods FROM (
+        SELECT CASE WHEN n >= 50 THEN 'ok' ELSE 'too few rows' END AS status FROM sizes
+        UNION ALL SELECT 'too few rows') GROUP BY status"""))
+def experiment_status(spark, sf):
+    """What became of every season, one of which is a single day that no order can fall on."""
+    config = ExperimentConfig(SENSOR_SERIES, [*ORDER_PERIODS, Period("no day", "02-30", "02-30")], "DecisionTree",
+                              {"max_depth": [2]}, SENSOR_PLAN)
+    return run_experiment(known_sensors(spark, sf), config).groupBy(F.col("Status").alias("status")).agg(
+        F.count(F.lit(1)).alias("periods"))
+
+
 @query("experiment_forest_augmented")
 def experiment_forest_augmented(spark, sf):
     cleaned = clean(sensors(spark, sf), MEASURES, CleaningOptions(negative=False, outliers=None))
@@ -254,6 +379,18 @@ def forecast_components(spark, sf):
     return model.components(split).select("event_id", "trend", *model.seasons, "yhat")
 
 
+@query("forecast_adds_up", "SELECT count(*) AS n, count(*) AS additive, count(*) AS ordered FROM events")
+def forecast_adds_up(spark, sf):
+    """Trend and seasons make up the forecast, which lies within its interval."""
+    split, model = _forecast(spark, sf, FORECASTS[1])
+    total = sum((F.col(s) for s in model.seasons), F.col("trend"))
+    parts = model.components(split).select("event_id", "yhat", (F.abs(total - F.col("yhat")) < 1e-6).alias("additive"))
+    bands = model.transform(split).select("event_id", F.col("yhat").between(F.col("yhat_lower"), F.col("yhat_upper")).alias("ordered"))
+    both = parts.join(bands, "event_id")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("additive").cast("long")).alias("additive"),
+                    F.sum(F.col("ordered").cast("long")).alias("ordered"))
+
+
 @query("forecast_metrics")
 def forecast_metrics(spark, sf):
     return fc.forecast_periods(events(spark, sf), "ts", "value", ["ts", "event_id"], RANGES, FORECASTS)
@@ -313,6 +450,29 @@ def shap_additivity(spark, sf):
     return values.agg(F.count(F.lit(1)).alias("n"), F.sum(close.cast("long")).alias("additive"))
 
 
+@query("shap_additivity_boosted", sql(SENSORS, KNOWN, "SELECT count(*) AS n, count(*) AS additive FROM known"))
+def shap_additivity_boosted(spark, sf):
+    model, frame = _explained(spark, sf, "XGBoost", n_estimators=5, max_depth=3)
+    values, base = at.shap_values(model, model.transform(frame), ["prediction"])
+    total = F.aggregate("phi", F.lit(float(base)), lambda a, v: a + v)
+    close = F.abs(total - F.col("prediction")) < 1e-6 * F.greatest(F.abs("prediction"), F.lit(1.0))
+    return values.agg(F.count(F.lit(1)).alias("n"), F.sum(close.cast("long")).alias("additive"))
+
+
+@query("permutation_importance_knn")
+def permutation_importance_knn(spark, sf):
+    model, frame = _explained(spark, sf, "KNN", n_neighbors=5)
+    test = frame.where(F.col("split") == "test")
+    first = test.agg(F.min("row_id")).first()[0]
+    return at.permutation_importance(model, test.withColumn("row_id", F.col("row_id") - F.lit(first)), FEATURES, repeats=2)
+
+
+@query("shap_sampled_knn")
+def shap_sampled_knn(spark, sf):
+    model, frame = _explained(spark, sf, "KNN", n_neighbors=5)
+    return at.shap_sampled(model, frame, FEATURES, rows=100, permutations=4)
+
+
 @query("shap_selected")
 def shap_selected(spark, sf):
     return at.shap_selected(*_explained(spark, sf), FEATURES, ["tax", "no_such_feature", "quantity"])
@@ -321,7 +481,7 @@ def shap_selected(spark, sf):
 @query("shap_sampled")
 def shap_sampled(spark, sf):
     model, frame = _explained(spark, sf, "AdaBoost", n_estimators=3)
-    return at.shap_sampled(model, frame, FEATURES)
+    return at.shap_sampled(model, frame, FEATURES, rows=100)
 
 
 @query("partial_dependence")
