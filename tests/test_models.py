@@ -235,7 +235,18 @@ def test_forecast_regressor_and_periods(spark):
     assert regression_metrics(model.transform(df), "y", "yhat").first().r2 > 0.97
     ranges = [DateRange("1", "2024-01-01", "2024-01-20"), DateRange("2", "2025-01-01", "2025-01-20")]
     table = fc.forecast_periods(df, "ds", "y", ["ds"], ranges, [fc.ForecastConfig(), fc.ForecastConfig()])
-    assert [r.period for r in table.collect()] == ["1"] and "test_r2" in table.columns
+    rows = {r.period: r for r in table.collect()}
+    assert rows["1"].status == "ok" and rows["1"].test_r2 is not None
+    assert rows["2"].status == "too few rows" and rows["2"].test_r2 is None
+    none = fc.forecast_periods(df, "ds", "y", ["ds"], ranges[1:], [fc.ForecastConfig()])
+    assert none.columns == table.columns and none.count() == 1
+
+
+def test_forecast_interval_widens(spark):
+    df = season(spark, "additive").withColumn("y", F.col("y") + F.abs(F.hour("ds") - 12) + F.dayofmonth("ds") % 5)
+    model = fc.fit_forecast(df.where("ds < '2024-01-15'"), "ds", "y", fc.ForecastConfig(daily=True))
+    width = model.transform(df).select("ds", (F.col("yhat_upper") - F.col("yhat_lower")).alias("w")).orderBy("ds").toPandas()["w"].to_numpy()
+    assert np.allclose(width[:24 * 14], width[0]) and (np.diff(width[24 * 14 + 1:]) > 0).all()
 
 
 def readers_model(name, folder):

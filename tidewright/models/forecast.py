@@ -30,6 +30,10 @@ CHANGEPOINTS = 25
 TREND_SCALE, REGRESSOR_SCALE = 5.0, 10.0
 
 
+# Standard deviations from the middle to either end of an interval that holds four fifths of a normal spread.
+INTERVAL_DEVIATIONS = 1.2815515655446004
+
+
 @dataclass(frozen=True)
 class ForecastConfig:
     changepoint_prior_scale: float = 0.05
@@ -123,10 +127,24 @@ class ForecastModel:
         return df.withColumns({"trend": trend, **parts, "yhat": yhat})
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Add yhat and the interval around it."""
+        """Add yhat and the interval around it, which widens behind the train rows.
+
+        Within them it is the residual band. Behind them the trend may change its rate as often and by as
+        much as it did; the spread such changes have reached is added in squares.
+        """
         out = self.components(df).drop("trend", *self.season_columns())
-        return out.withColumns({"yhat_lower": F.col("yhat") + F.lit(self.band[0]),
-                                "yhat_upper": F.col("yhat") + F.lit(self.band[1])})
+        ahead = F.greatest(self.trend_columns()["slope"] - 1, F.lit(0.0))
+        drift = F.pow(ahead, 3) * F.lit(self._drift_rate())
+        lower, upper = (F.sqrt(F.lit(b * b) + drift) * math.copysign(1.0, b) for b in (min(self.band[0], -0.0), max(self.band[1], 0.0)))
+        return out.withColumns({"yhat_lower": F.col("yhat") + lower, "yhat_upper": F.col("yhat") + upper})
+
+    def _drift_rate(self) -> float:
+        """Squared half-width of the trend's interval at one train span ahead, per its cube."""
+        if not self.changes or max(self.changes) <= 0:
+            return 0.0
+        jumps = [abs(v) for n, v in self.trend_weights.items() if n not in ("offset", "slope")]
+        per_span = len(self.changes) / max(self.changes)
+        return 2 * (sum(jumps) / len(jumps) * self.scale) ** 2 * per_span / 3 * INTERVAL_DEVIATIONS ** 2
 
 
 def _gram(design: DataFrame, combine) -> np.ndarray:
@@ -229,7 +247,7 @@ def fit_forecast(train: DataFrame, time: str, target: str, config: ForecastConfi
 def forecast_periods(df: DataFrame, time: str, target: str, order: Sequence[str],
                      ranges: Sequence[DateRange], configs: Sequence[ForecastConfig],
                      ratio: float = 0.8, min_rows: int = 10) -> DataFrame:
-    """Fit and score each period with its own configuration; periods with too few rows are left out."""
+    """Fit and score each period with its own configuration; a period with too few rows has a status instead of metrics."""
     parts = []
     for period, config in zip(ranges, configs):
         rows = filter_dates(df, time, period.start, period.end)
@@ -240,6 +258,9 @@ def forecast_periods(df: DataFrame, time: str, target: str, order: Sequence[str]
         scored = model.transform(split)
         metrics = regression_metrics(scored, target, "yhat", ["split"])
         parts.append(metrics.withColumn("period", F.lit(period.name)))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "period string")
-    return wide_metrics(reduce(DataFrame.unionByName, parts), ["period"])
+    spark = df.sparkSession
+    metrics = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame(
+        [], "split string, n long, r2 double, rmse double, mae double, period string")
+    named = spark.createDataFrame([(p.name,) for p in ranges], "period string")
+    status = F.when(F.coalesce("train_n", "test_n").isNull(), "too few rows").otherwise("ok")
+    return named.join(wide_metrics(metrics, ["period"]), "period", "left").withColumn("status", status)
