@@ -13,7 +13,8 @@ edit distance (Myers' bit vectors, in characters, best place within the text aro
 passage counts if that is at most ``SHARE`` of the item's length.
 
 A tenth of the words changed, a probe agrees with its item in a sampled place with chance
-0.65 or so and with a key of three with 0.27; 12 keys and two probes miss one passage in 2,000.
+0.65 or so and with a key of six with 0.075; 56 keys and two probes miss one passage in 5,000.
+Keys of fewer places would often be met by chance, by texts that repeat frequent words.
 
 Items are sent to the workers in blocks of bounded size, each compared with all texts. Items with fewer
 than ``LEAST_WORDS`` words prove nothing and are passed over, as are missing ones; missing texts
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from tidewright.llm.arrowtext import U64, Words, flat, mix, pieces, words
 
 LEAST_WORDS = 8
-WALKS, SAMPLES, BITS = 3, 4, 3
+WALKS, SAMPLES, BITS = 4, 14, 6
+#: Steps of a walk from which places are taken, in words of the window.
+REACH = 1.25
 SHARE = 0.2
 #: Bytes of item texts that are compared with all documents at once.
 BLOCK_BYTES = 8 << 20
@@ -41,7 +44,7 @@ _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
 for _c in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
     _PLAIN[_c] = 32
-_FILTER_BITS = 22
+_FILTER_BITS = 20
 
 
 def plain_words(column: pa.Array) -> Words:
@@ -60,23 +63,33 @@ def window_of(n_words: int) -> int:
 
 
 def _places(size: int, walk: int) -> np.ndarray:
-    """Sampled steps of each key. Late steps of a walk mostly stand behind the window's end, so they are left out."""
+    """Sampled steps of each key, one from each of ``BITS`` equal parts of the walk.
+
+    A walk stays on a word for two steps on average, so steps side by side say little. The latest steps mostly
+    stand behind the window's end, and an edit is likelier to lie before a late step than an early one.
+    """
     rng = np.random.default_rng([size, walk, 11])
-    return np.array([np.sort(rng.choice(max(BITS, int(1.8 * size)), BITS, replace=False)) for _ in range(SAMPLES)])
+    edges = np.linspace(0, REACH * size, BITS + 1).astype(int)
+    return np.array([[rng.integers(a, max(b, a + 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)] for _ in range(SAMPLES)])
 
 
 def keys(hashes: np.ndarray, starts: np.ndarray, size: int, walk: int) -> np.ndarray:
     """(``SAMPLES``, windows) keys of the embedded windows ``hashes[s:s + size]``."""
     places = _places(size, walk)
-    seeds = [mix(hashes ^ U64(1 + walk + 64 * part)) | U64(0) for part in range(int(places.max()) // 64 + 1)]
+    seeds = [mix(hashes ^ U64(1 + walk + 64 * part)) for part in range(int(places.max()) // 64 + 1)]
+    seeds = [np.concatenate([s, np.zeros(size, U64)]) for s in seeds]  # a walk may end behind the last word
     at, stop = starts.astype(np.int64), starts + size
     out = np.zeros((SAMPLES, len(starts)), U64)
-    last = len(hashes) - 1
     for step in range(int(places.max()) + 1):
-        word = np.where(at < stop, seeds[step // 64][np.minimum(at, last)], U64(0))
+        word = seeds[step // 64].take(at)
+        if step >= size:
+            word[at >= stop] = 0
         for sample in np.flatnonzero((places == step).any(1)):
-            out[sample] = mix(out[sample] * U64(3) + word)
-        at += ((word >> U64(step % 64)) & U64(1)).astype(np.int64)
+            out[sample] *= U64(0x9E3779B97F4A7C15)
+            out[sample] += word
+        word >>= U64(step % 64)
+        word &= U64(1)
+        at += word.view(np.int64)
     return out
 
 
@@ -145,7 +158,7 @@ class ItemIndex:
             for walk in range(WALKS):
                 for sample, column in enumerate(keys(hashes, at, size, walk)):
                     table = self.places[size, walk, sample]
-                    for k in np.flatnonzero(self.filters[size, walk, sample][column >> U64(64 - _FILTER_BITS)]):
+                    for k in np.flatnonzero(self.filters[size, walk, sample].take((column >> U64(64 - _FILTER_BITS)).view(np.int64))):
                         for item, offset in table.get(int(column[k]), ()):
                             out[int(text[k])].add((item, int(at[k] - first[text[k]]) - offset))
         return out
