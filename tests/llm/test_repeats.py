@@ -102,6 +102,8 @@ def test_repeated_words(docs):
 def test_many_chunks_and_buckets_change_nothing(docs, monkeypatch):
     rows, df = docs
     monkeypatch.setattr(chunks, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(suffixes, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(suffixes, "BLOCK", 300)
     monkeypatch.setattr(chunks, "BUCKET_BYTES", 5000)
     assert sorted_rows(substrings.report(df).collect()) == sorted_rows(repeated_words(rows))
     assert sorted_rows(suffixes.report(df).collect()) == sorted_rows(known_bytes(rows))

@@ -36,9 +36,12 @@ def _grown(kind: str, n: int) -> np.ndarray:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every input bit over all 64 output bits."""
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    x = x ^ (x >> U64(30))
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(27)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(31)
+    return x
 
 
 def flat(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -58,8 +61,11 @@ def span_hash(weights: np.ndarray, start: np.ndarray | slice, stop: np.ndarray |
     """Hash of ``weights[start:stop]`` for each pair of positions, from one running sum."""
     n = len(weights)
     total = np.zeros(n + 1, U64)
-    np.cumsum(weights * _grown("up", n), out=total[1:])
-    return mix((total[stop] - total[start]) * _grown("down", n + 1)[start])
+    np.multiply(weights, _grown("up", n), out=total[1:])
+    np.cumsum(total, out=total)
+    out = total[stop] - total[start]
+    out *= _grown("down", n + 1)[start]
+    return mix(out)
 
 
 @dataclass

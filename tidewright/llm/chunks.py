@@ -24,12 +24,12 @@ CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 32 << 20
 LAST = np.iinfo(np.int64).max
 
 
-def chunked(df: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
+def chunked(df: DataFrame, id: str = "doc_id", text: str = "text", chunk_bytes: int | None = None) -> tuple[DataFrame, int]:
     """(``chunk``, ``doc_id``, ``text``) dealt by chunk, and the number of buckets that suits the amount of text."""
     rows = df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(least, -(-total // CHUNK_BYTES))
+    n = max(least, -(-total // (chunk_bytes or CHUNK_BYTES)))
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk")
     return rows.select(chunk, "doc_id", "text").repartition(n, "chunk"), max(least, -(-total // BUCKET_BYTES))
 

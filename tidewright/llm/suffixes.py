@@ -37,6 +37,8 @@ from tidewright.llm.substrings import runs
 LENGTH, TRIGGER = 50, 26
 OFFSETS = LENGTH - TRIGGER + 1  # places at which a string can begin, counted back from a trigger in it
 BEFORE, WIDTH = OFFSETS - 1, OFFSETS - 1 + LENGTH
+#: Bytes of text in a chunk, and of those that are hashed at once; each takes some dozens of bytes then.
+CHUNK_BYTES, BLOCK = 2 << 20, 1 << 18
 _TRIGGERS = "bucket int, chunk int, prints binary, spread binary"
 _PHRASES = "bucket int, chunk int, triggers binary, phrases binary, ids binary"
 _SUFFIXES = "bucket int, chunk int, triggers binary, bytes binary, before binary, after binary, ids binary"
@@ -63,16 +65,45 @@ def triggers(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> np.nd
     return np.flatnonzero(_sliding(padded, OFFSETS, np.maximum) == order)
 
 
+def blocks(total: int, before: int, after: int):
+    """(a, b, lo, hi): positions a to b, and what has to be seen of their surroundings."""
+    for a in range(0, total, BLOCK):
+        b = min(total, a + BLOCK)
+        yield a, b, max(0, a - before), min(total, b + after)
+
+
+def all_triggers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the triggers of all texts, found block by block."""
+    at, hashes = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+    for a, b, lo, hi in blocks(len(data), BEFORE, BEFORE + TRIGGER):
+        here = byte_grams(data[lo:hi], TRIGGER)
+        if len(here):
+            texts = slice(max(0, np.searchsorted(offsets, lo, "right") - 1), np.searchsorted(offsets, hi, "left") + 1)
+            found = triggers(data[lo:hi], np.clip(offsets[texts] - lo, 0, hi - lo), here)
+            found = found[(found >= a - lo) & (found < b - lo)]
+            at.append(found + lo)
+            hashes.append(here[found])
+    return np.concatenate(at), np.concatenate(hashes)
+
+
+def content_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of ``data[begin:end]`` around ascending positions ``at``, block by block."""
+    out = np.zeros(len(at), U64)
+    for a, b, lo, hi in blocks(len(data), BEFORE, LENGTH):
+        i, j = np.searchsorted(at, (a, b))
+        if i < j:
+            out[i:j] = span_hash(data[lo:hi].astype(U64) + U64(977), begin[i:j] - lo, end[i:j] - lo)
+    return out
+
+
 class _Chunk:
     """Triggers of one chunk, then its phrases, then those of its phrases whose suffixes are in question."""
 
     def __init__(self, texts: pa.Table, buckets: int):
         self.texts, self.buckets, self.id = texts, buckets, ids(texts)
         self.data, self.offsets = flat(texts.column("text"))
-        hashes = byte_grams(self.data, TRIGGER)
-        self.at = triggers(self.data, self.offsets, hashes) if len(hashes) else np.zeros(0, np.int64)
+        self.at, self.hash = all_triggers(self.data, self.offsets)
         self.text = np.searchsorted(self.offsets, self.at, "right") - 1
-        self.hash = hashes[self.at]
         order = np.argsort(self.hash, kind="stable")
         ordered = self.hash[order]
         begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
@@ -88,11 +119,8 @@ class _Chunk:
         self.at, self.text, self.hash = self.at[held], self.text[held], self.hash[held]
         self.before = np.minimum(BEFORE, self.at - self.offsets[self.text])
         self.after = np.minimum(LENGTH, self.offsets[self.text + 1] - self.at)
-        if len(self.at):
-            content = span_hash(self.data.astype(U64) + U64(977), self.at - self.before, self.at + self.after)
-            content = mix(content ^ (self.before * 64 + self.after).astype(U64))
-        else:
-            content = np.zeros(0, U64)
+        content = content_hashes(self.data, self.at - self.before, self.at + self.after, self.at)
+        content = mix(content ^ (self.before * 64 + self.after).astype(U64))
         own = self.id[self.text]
         order = np.lexsort((own, content, self.hash))
         a, b = self.hash[order], content[order]
@@ -220,7 +248,7 @@ def _cut(buckets: int):
 
 def remove_known_bytes(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: bytes, removed bytes and their ``spans``, and the ``kept`` bytes."""
-    texts, buckets = chunked(df, id, text)
+    texts, buckets = chunked(df, id, text, CHUNK_BYTES)
     shared = meet(ask(texts, None, _send_triggers(buckets), _TRIGGERS), _shared)
     known = shared.unionByName(meet(ask(texts, shared, _send_phrases(buckets), _PHRASES), _known))
     ordered = known.unionByName(meet(ask(texts, known, _send_suffixes(buckets), _SUFFIXES), _ordered))
