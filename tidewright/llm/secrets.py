@@ -171,8 +171,11 @@ def report(df: DataFrame) -> DataFrame:
                         shown("spans").alias("spans"))
 
 
-def redact(df: DataFrame, text: str = "text", mask: str = "[secret]") -> DataFrame:
-    """All columns of ``df``, with every span of ``text`` replaced by ``mask``; overlapping spans give one mask."""
+def redact(df: DataFrame, text: str = "text", mask: str = "[secret]", length: str | None = None) -> DataFrame:
+    """All columns of ``df``, with every span of ``text`` replaced by ``mask``; overlapping spans give one mask.
+
+    ``length`` names a column with the length of the text, which then follows; rows without a span stay as they are.
+    """
     found = find_secrets(df.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text")), "text", ("row",))
     own = F.col("row").getField(text)
     cut = lambda a, s: F.struct(
@@ -180,5 +183,7 @@ def redact(df: DataFrame, text: str = "text", mask: str = "[secret]") -> DataFra
         .otherwise(a["out"]).alias("out"), F.greatest(a["end"], s["stop"]).alias("end"))
     cleaned = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("end")), cut,
                           lambda a: F.concat(a["out"], F.substring(own, a["end"] + 1, F.length(own))))
-    return found.select(*[(F.when(F.size("spans") > 0, cleaned).otherwise(own) if c == text else F.col("row").getField(c)).alias(c)
-                          for c in df.columns])
+    some = F.size("spans") > 0
+    changed = {text: cleaned} | ({length: F.length(cleaned).cast(df.schema[length].dataType)} if length else {})
+    return found.select(*[(F.when(some, changed[c]).otherwise(F.col("row").getField(c)) if c in changed
+                           else F.col("row").getField(c)).alias(c) for c in df.columns])
