@@ -31,13 +31,29 @@ def missing_count(df: DataFrame, column: str) -> Column:
     return F.coalesce(F.sum(empty.cast("long")), F.lit(0))
 
 
+def distinct_counts(df: DataFrame) -> dict[int, int]:
+    """Exact number of known values of each column, by its place.
+
+    Rows become (place, value) pairs that are combined before the shuffle, so a wide table is
+    not copied whole for each of its columns.
+    """
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    # Adding zero makes one number of 0.0 and -0.0.
+    value = lambda c: ((F.col(c) + 0.0) if c in floats else F.col(c)).cast("string")
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), value(c).alias("v")) for i, c in enumerate(df.columns)])).alias("p")).select("p.*")
+    found = pairs.where(F.col("v").isNotNull()).distinct().groupBy("i").count().collect()
+    return {r["i"]: r["count"] for r in found}
+
+
 def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Type, missing and distinct counts of every column; mean, spread and range of numeric ones."""
     numeric = set(numeric_columns(df))
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
+    exact = {} if approximate else distinct_counts(df)
     aggregates = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(df.columns):
-        aggregates += [missing_count(df, c).alias(f"null_count{i}"), distinct(c).alias(f"unique_count{i}")]
+        unique = F.approx_count_distinct(c) if approximate else F.lit(exact.get(i, 0)).cast("long")
+        aggregates += [missing_count(df, c).alias(f"null_count{i}"), unique.alias(f"unique_count{i}")]
         if c in numeric:
             aggregates += [F.avg(c).alias(f"mean{i}"), F.stddev_samp(c).alias(f"std{i}"),
                            F.min(c).alias(f"min{i}"), F.max(c).alias(f"max{i}")]
