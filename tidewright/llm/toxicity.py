@@ -40,7 +40,8 @@ from tidewright.session import materialize
 SAMPLE = 20_000
 #: Terms of the lexicon at most, the most significant ones; bounds what is sent to the workers.
 MAX_TERMS = 4_000
-#: Likelihood ratio (G squared) and log odds a term must reach, and its length.
+#: Likelihood ratio (G squared) and log odds a term must reach, and its length. Of n words that are tested a ratio of
+#: 2 ln n is asked for, so that hardly any is taken by chance.
 LEAST_G2, LEAST_ODDS, LEAST_LENGTH = 15.0, 1.5, 3
 #: Words in a context window.
 CONTEXT = 20
@@ -191,12 +192,24 @@ class Matcher:
                 math.log1p(100 * (sums["plain"] + sums["misspelt"] / 2) / len(words))]
 
 
+_last: list = [None, None]
+
+
+def _matcher(weights: dict[str, float]) -> Matcher:
+    """The matcher of a lexicon, kept with all it has learned for the next task of this worker."""
+    if _last[0] is not weights:
+        _last[:] = weights, Matcher(LexiconAutomaton(weights))
+    return _last[1]
+
+
 def figures(df: DataFrame, weights: dict[str, float], text: str, keep: tuple[str, ...]) -> DataFrame:
     """``keep`` and the ``FEATURES`` of every text."""
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"`{f}` double" for f in FEATURES])
 
+    sent = df.sparkSession.sparkContext.broadcast(weights)  # MAX_TERMS words at most
+
     def run(batches):
-        matcher = Matcher(LexiconAutomaton(weights))
+        matcher = _matcher(sent.value)
         for batch in pieces(batches):
             rows = [matcher.figures(t or "") for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -233,11 +246,13 @@ def lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
     """Weights of the words that toxic texts of ``sample`` (text, toxic) use significantly more often."""
     counts = sample.select("text", "toxic").mapInArrow(_counted, "word string, toxic long, clean long") \
         .groupBy("word").agg(F.sum("toxic").cast("double").alias("t"), F.sum("clean").cast("double").alias("c")).where("t > 1")
+    counts = materialize(counts, "toxicity-words")
+    least = max(LEAST_G2, 2 * math.log(max(counts.count(), 1)))
     share = n_toxic / (n_toxic + n_clean)
     g2 = 2 * (F.col("t") * F.log(F.col("t") / ((F.col("t") + F.col("c")) * share))
               + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / ((F.col("t") + F.col("c")) * (1 - share)))).otherwise(0.0))
     odds = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1))
-    kept = counts.select("word", g2.alias("g2"), odds.alias("odds")).where((F.col("g2") >= LEAST_G2) & (F.col("odds") >= LEAST_ODDS))
+    kept = counts.select("word", g2.alias("g2"), odds.alias("odds")).where((F.col("g2") >= least) & (F.col("odds") >= LEAST_ODDS))
     return {r.word: r.odds for r in kept.orderBy(F.desc("g2"), "word").limit(MAX_TERMS).collect()}
 
 
