@@ -205,25 +205,48 @@ def _send_suffixes(buckets: int):
     return run
 
 
+#: Phrases whose suffixes are put in order at once, if no trigger has more.
+ORDERED_ROWS = 16_384
+
+
 def _ordered(rows: pa.Table) -> pa.Table:
     """For each phrase the offsets (bits) at which a smaller id has the same 50 bytes."""
     trigger, sizes = unpacked(rows.column("triggers"), "<u8")
     before, after, id = (unpacked(rows.column(c), k)[0] for c, k in (("before", "u1"), ("after", "u1"), ("ids", "<i8")))
-    content = unpacked(rows.column("bytes"), "u1")[0].astype(U64) + U64(977)
-    row = np.arange(len(trigger)) * WIDTH
+    content = unpacked(rows.column("bytes"), "u1")[0].reshape(-1, WIDTH)
     masks = np.zeros(len(trigger), "<u4")
+    order = np.argsort(trigger, kind="stable")
+    begins = np.flatnonzero(np.diff(trigger[order], prepend=trigger[order][:1] ^ U64(1))) if len(order) else np.zeros(0, np.int64)
+    at = 0
+    while at < len(order):
+        # Whole triggers, as many as there is room for.
+        upto = np.searchsorted(begins, at + ORDERED_ROWS, "right") - 1
+        end = len(order) if at + ORDERED_ROWS >= len(order) else int(begins[upto])
+        if end <= at:
+            later = begins[begins > at]
+            end = int(later[0]) if len(later) else len(order)
+        own = order[at:end]
+        masks[own] = _suffix_masks(trigger[own], content[own], before[own], after[own], id[own])
+        at = end
+    return answers(rows, 3, sizes, masks)
+
+
+def _suffix_masks(trigger, content, before, after, id) -> np.ndarray:
+    masks = np.zeros(len(trigger), np.uint32)
+    weights = content.astype(U64).ravel() + U64(977)
+    row = np.arange(len(trigger)) * WIDTH
+    begin = row[None, :] + BEFORE - np.arange(OFFSETS)[:, None]
+    suffixes = span_hash(weights, begin, begin + LENGTH)
     for back in range(OFFSETS):
         some = np.flatnonzero((before >= back) & (after >= LENGTH - back))
         if not len(some):
             continue
-        begin = row[some] + BEFORE - back
-        suffix = span_hash(content, begin, begin + LENGTH)
-        order = np.lexsort((id[some], suffix, trigger[some]))
-        t, s, i = trigger[some][order], suffix[order], id[some][order]
+        order = np.lexsort((id[some], suffixes[back][some], trigger[some]))
+        t, s, i = trigger[some][order], suffixes[back][some][order], id[some][order]
         new = np.concatenate([[True], (t[1:] != t[:-1]) | (s[1:] != s[:-1])])
         least = i[np.flatnonzero(new)][np.cumsum(new) - 1]
         masks[some[order[i > least]]] |= np.uint32(1 << back)
-    return answers(rows, 3, sizes, masks)
+    return masks
 
 
 def _cut(buckets: int):
