@@ -73,8 +73,9 @@ def byte_ids(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("ids"))
 
 
-def sequences(tokens: DataFrame, length: int, width: int, end: int, fill: int) -> tuple[DataFrame, int]:
-    """(``number``, ``record``) of all sequences of ``length`` ids of ``width`` bytes, and how many there are."""
+def sequences(tokens: DataFrame, key: int, length: int, width: int, end: int, fill: int,
+              shard_records: int) -> tuple[DataFrame, int]:
+    """(``shard``, ``slot``, ``record``) of all sequences of ``length`` ids of ``width`` bytes, and how many there are."""
     tokens = tokens.select("ids")
     counted = tokens.groupBy(F.spark_partition_id().alias("part")).agg(
         F.sum(F.coalesce(F.octet_length("ids"), F.lit(0)) / width + 1).cast("long").alias("n"))
@@ -96,9 +97,10 @@ def sequences(tokens: DataFrame, length: int, width: int, end: int, fill: int) -
 
         def cut(data: bytes, number: int):
             whole = len(data) // size
+            slot = permuted(np.arange(number, number + whole), total, key)
             return pa.RecordBatch.from_arrays([
-                pa.array(np.arange(number, number + whole)), pa.array([data[k * size:(k + 1) * size] for k in range(whole)], pa.binary())],
-                names=["number", "record"]), whole
+                pa.array(slot // shard_records), pa.array(slot), pa.array([data[k * size:(k + 1) * size] for k in range(whole)], pa.binary())],
+                names=["shard", "slot", "record"]), whole
 
         for batch in pieces(batches):
             data = rest + b"".join((x or b"") + stop for x in batch.column(0).to_pylist())
@@ -111,25 +113,16 @@ def sequences(tokens: DataFrame, length: int, width: int, end: int, fill: int) -
         if rest:
             yield cut(rest + pad * (length - len(rest) // width), number)[0]
 
-    return tokens.mapInArrow(run, "number long, record binary"), total
+    return tokens.mapInArrow(run, "shard long, slot long, record binary"), total
 
 
 def write_shards(tokens: DataFrame, folder: str, key: int, length: int = LENGTH, width: int = 1, end: int = END,
                  fill: int = FILL, shard_records: int = SHARD_RECORDS) -> int:
     """Write the packed ``ids`` of all rows as shards below ``folder``; returns the number of records."""
-    records, total = sequences(tokens, length, width, end, fill)
+    placed, total = sequences(tokens, key, length, width, end, fill, shard_records)
     if not total:
         return 0
-    shards = -(-total // shard_records)
-
-    def place(batches):
-        for batch in pieces(batches):
-            slot = permuted(batch.column(0).to_numpy(), total, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot // shard_records), pa.array(slot), batch.column(1)],
-                                             names=["shard", "slot", "record"])
-
-    placed = records.mapInArrow(place, "shard long, slot long, record binary")
-    placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot") \
+    placed.repartition(-(-total // shard_records), "shard").sortWithinPartitions("shard", "slot") \
         .select("shard", F.col("record").cast("string").alias("value")) \
         .write.partitionBy("shard").option("lineSep", "\n").text(folder)
     return total
