@@ -105,6 +105,7 @@ def test_many_chunks_and_buckets_change_nothing(docs, monkeypatch):
     monkeypatch.setattr(suffixes, "CHUNK_BYTES", 2000)
     monkeypatch.setattr(suffixes, "BLOCK", 300)
     monkeypatch.setattr(suffixes, "ORDERED_ROWS", 7)
+    monkeypatch.setattr(suffixes, "HASHED_ROWS", 3)
     monkeypatch.setattr(chunks, "BUCKET_BYTES", 5000)
     assert sorted_rows(substrings.report(df).collect()) == sorted_rows(repeated_words(rows))
     assert sorted_rows(suffixes.report(df).collect()) == sorted_rows(known_bytes(rows))

@@ -205,8 +205,8 @@ def _send_suffixes(buckets: int):
     return run
 
 
-#: Phrases whose suffixes are put in order at once, if no trigger has more.
-ORDERED_ROWS = 16_384
+#: Phrases whose suffixes are put in order at once, if no trigger has more, and of those that are hashed at once.
+ORDERED_ROWS, HASHED_ROWS = 16_384, 4_096
 
 
 def _ordered(rows: pa.Table) -> pa.Table:
@@ -233,10 +233,11 @@ def _ordered(rows: pa.Table) -> pa.Table:
 
 def _suffix_masks(trigger, content, before, after, id) -> np.ndarray:
     masks = np.zeros(len(trigger), np.uint32)
-    weights = content.astype(U64).ravel() + U64(977)
-    row = np.arange(len(trigger)) * WIDTH
-    begin = row[None, :] + BEFORE - np.arange(OFFSETS)[:, None]
-    suffixes = span_hash(weights, begin, begin + LENGTH)
+    suffixes = np.empty((OFFSETS, len(trigger)), U64)
+    for a in range(0, len(trigger), HASHED_ROWS):
+        part = content[a:a + HASHED_ROWS]
+        begin = np.arange(len(part)) * WIDTH + BEFORE - np.arange(OFFSETS)[:, None]
+        suffixes[:, a:a + HASHED_ROWS] = span_hash(part.astype(U64).ravel() + U64(977), begin, begin + LENGTH)
     for back in range(OFFSETS):
         some = np.flatnonzero((before >= back) & (after >= LENGTH - back))
         if not len(some):
