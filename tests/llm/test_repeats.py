@@ -111,6 +111,14 @@ def test_many_chunks_and_buckets_change_nothing(docs, monkeypatch):
     assert sorted_rows(suffixes.report(df).collect()) == sorted_rows(known_bytes(rows))
 
 
+@pytest.mark.parametrize("most", [0, 1, 4])
+def test_strings_around_common_triggers(docs, monkeypatch, most):
+    rows, df = docs
+    monkeypatch.setattr(suffixes, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(suffixes, "HOT_CHUNKS", most)
+    assert sorted_rows(suffixes.report(df).collect()) == sorted_rows(known_bytes(rows))
+
+
 def test_a_repeat_within_one_text_only(spark):
     passage = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(1, f"{passage} x {passage}"), (2, "y " * 30)], "doc_id long, text string")

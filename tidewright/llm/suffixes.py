@@ -17,7 +17,9 @@ suffixes of the corpus, as deep as 50 bytes, which is what the repeats need; a p
 answer for each of the 25 offsets stands for all its places.
 
 Triggers, phrases and suffixes meet by hash, in buckets; no bucket grows with the copies of a
-text, as every chunk of texts sends each distinct entry once.
+text, as every chunk of texts sends each distinct entry once. A trigger that more than ``HOT_CHUNKS`` chunks
+have, such as one of a very common line, may begin any number of phrases. Its phrases do not meet at the
+trigger: the 50-byte strings around it meet by their own hashes, each once per chunk.
 
 A missing text counts as empty. Texts of equal id, such as repeated rows, do not remove each other's
 bytes. A missing id is larger than all others. An empty table gives an empty result.
@@ -27,11 +29,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.arrowtext import U64, byte_grams, covered, flat, inside, mix, span_hash
-from tidewright.llm.chunks import answered, answers, ask, bounds, chunked, ids, meet, packed, unpacked, unpacked_bits
+from tidewright.llm.arrowtext import U64, byte_grams, covered, flat, inside, marked, mix, span_hash
+from tidewright.llm.chunks import LAST, answered, answers, ask, bounds, chunked, ids, meet, packed, unpacked, unpacked_bits
 from tidewright.llm.substrings import runs
 
 LENGTH, TRIGGER = 50, 26
@@ -40,7 +43,9 @@ BEFORE, WIDTH = OFFSETS - 1, OFFSETS - 1 + LENGTH
 #: Bytes of text in a chunk, and of those that are hashed at once; each takes some dozens of bytes then.
 CHUNK_BYTES, BLOCK = 2 << 20, 1 << 18
 _TRIGGERS = "bucket int, chunk int, prints binary, spread binary"
-_PHRASES = "bucket int, chunk int, triggers binary, phrases binary, ids binary"
+#: Chunks that may have a trigger whose phrases meet at one place.
+HOT_CHUNKS = 64
+_PHRASES = "bucket int, chunk int, triggers binary, phrases binary, ids binary, strings binary"
 _SUFFIXES = "bucket int, chunk int, triggers binary, bytes binary, before binary, after binary, ids binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary"
 
@@ -114,8 +119,10 @@ class _Chunk:
         self.spread = self.text[order[begins]] != self.text[order[ends - 1]] if len(begins) else np.zeros(0, bool)
         self.edges = bounds(self.distinct, buckets)
 
-    def phrases(self, shared: np.ndarray) -> None:
-        held = shared[self.group]
+    def phrases(self, code: np.ndarray) -> None:
+        """Phrases of the triggers with code 1, and the strings around those with code 2."""
+        self._strings(self.at[code[self.group] == 2])
+        held = code[self.group] == 1
         self.at, self.text, self.hash = self.at[held], self.text[held], self.hash[held]
         self.before = np.minimum(BEFORE, self.at - self.offsets[self.text])
         self.after = np.minimum(LENGTH, self.offsets[self.text + 1] - self.at)
@@ -131,18 +138,32 @@ class _Chunk:
         self.of[order] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(a))))
         self.phrase_edges = bounds(self.phrase_hash, self.buckets)
 
+    def _strings(self, at: np.ndarray) -> None:
+        """Distinct 50-byte strings that hold one of the given triggers, with the least id, and where they begin."""
+        self.begin = np.zeros(0, np.int64)
+        if len(at):
+            valid = inside(self.offsets, LENGTH)
+            near = covered(marked(np.maximum(at - BEFORE, 0), len(self.data)), OFFSETS)
+            self.begin = np.flatnonzero(near[:len(valid)] & valid)
+        hashes = content_hashes(self.data, self.begin, self.begin + LENGTH, self.begin)
+        self.begin_id = self.id[np.searchsorted(self.offsets, self.begin, "right") - 1]
+        self.string, self.string_of = np.unique(hashes, return_inverse=True)
+        self.string_least = np.full(len(self.string), LAST)
+        np.minimum.at(self.string_least, self.string_of, self.begin_id)
+        self.string_edges = bounds(self.string, self.buckets)
+
     def open(self, code: np.ndarray) -> None:
         """Phrases that no smaller id has, but whose trigger other phrases share."""
         self.first = (code & 1) == 0
         self.asked = np.flatnonzero(code == 2)
         self.asked_edges = bounds(self.phrase_hash[self.asked], self.buckets)
 
-    def removed(self, masks: np.ndarray) -> np.ndarray:
+    def removed(self, masks: np.ndarray, known: np.ndarray) -> np.ndarray:
         """Mask of the bytes that repeats cover."""
         whole = ~self.first[self.of] | (self.id[self.text] > self.least[self.of])
         per_phrase = np.zeros(len(self.phrase), np.uint32)
         per_phrase[self.asked] = masks
-        starts = np.zeros(len(self.data), bool)
+        starts = marked(self.begin[known[self.string_of] | (self.begin_id > self.string_least[self.string_of])], len(self.data))
         for back in range(OFFSETS):
             some = (self.before >= back) & (self.after >= LENGTH - back) & (
                 whole | ((per_phrase[self.of] >> np.uint32(back)) & np.uint32(1)).astype(bool))
@@ -165,18 +186,42 @@ def _shared(rows: pa.Table) -> pa.Table:
     prints, sizes = unpacked(rows.column("prints"), "<u4")
     _, where = np.unique(prints, return_inverse=True)
     seen = np.bincount(where, 1 + unpacked_bits(rows.column("spread"), sizes))
-    return answers(rows, 1, sizes, (seen >= 2)[where])
+    chunks = np.bincount(where)
+    return answers(rows, 1, sizes, ((seen >= 2) + (chunks > HOT_CHUNKS)).astype(np.uint8)[where])
 
 
 def _send_phrases(buckets: int):
     def run(texts, replies):
         c = _Chunk(texts, buckets)
-        c.phrases(answered(replies, 1, c.edges))
-        return packed(_number(texts), c.phrase_edges, triggers=c.phrase_hash.astype("<u8"),
-                      phrases=c.phrase.astype("<u8"), ids=c.least.astype("<i8"))
+        c.phrases(answered(replies, 1, c.edges, "u1"))
+        phrases = packed(_number(texts), c.phrase_edges, triggers=c.phrase_hash.astype("<u8"),
+                         phrases=c.phrase.astype("<u8"), ids=c.least.astype("<i8"))
+        strings = packed(_number(texts), c.string_edges, strings=c.string.astype("<u8"), ids=c.string_least.astype("<i8"))
+        # Strings have buckets of their own, numbered on from those of the phrases.
+        own = pc.add(strings.column("bucket"), pa.scalar(buckets, pa.int32()))
+        strings = strings.set_column(0, "bucket", own)
+        return pa.concat_tables([phrases, strings], promote_options="default").select(
+            ["bucket", "chunk", "triggers", "phrases", "ids", "strings"])
+    return run
+
+
+def _meet_second(buckets: int):
+    def run(rows):
+        return _known(rows) if rows.column("bucket")[0].as_py() < buckets else _repeated(rows, buckets)
     return run
 
 
+def _repeated(rows: pa.Table, buckets: int) -> pa.Table:
+    """For each string whether a smaller id has it."""
+    string, sizes = unpacked(rows.column("strings"), "<u8")
+    id = unpacked(rows.column("ids"), "<i8")[0]
+    distinct, where = np.unique(string, return_inverse=True)
+    least = np.full(len(distinct), LAST)
+    np.minimum.at(least, where, id)
+    own = pc.subtract(rows.column("bucket"), pa.scalar(buckets, pa.int32()))
+    return answers(rows.set_column(rows.schema.get_field_index("bucket"), "bucket", own), 4, sizes, id > least[where])
+
+
 def _known(rows: pa.Table) -> pa.Table:
     """Bit 1: a smaller id has the phrase. Bit 2: its trigger begins other phrases too."""
     trigger, sizes = unpacked(rows.column("triggers"), "<u8")
@@ -195,7 +240,7 @@ def _known(rows: pa.Table) -> pa.Table:
 def _send_suffixes(buckets: int):
     def run(texts, replies):
         c = _Chunk(texts, buckets)
-        c.phrases(answered(replies, 1, c.edges))
+        c.phrases(answered(replies, 1, c.edges, "u1"))
         c.open(answered(replies, 2, c.phrase_edges, "u1"))
         at = c.example[c.asked]
         reach = c.at[at][:, None] + np.arange(-BEFORE, LENGTH)
@@ -253,9 +298,9 @@ def _suffix_masks(trigger, content, before, after, id) -> np.ndarray:
 def _cut(buckets: int):
     def run(texts, replies):
         c = _Chunk(texts, buckets)
-        c.phrases(answered(replies, 1, c.edges))
+        c.phrases(answered(replies, 1, c.edges, "u1"))
         c.open(answered(replies, 2, c.phrase_edges, "u1"))
-        gone = c.removed(answered(replies, 3, c.asked_edges, "u4"))
+        gone = c.removed(answered(replies, 3, c.asked_edges, "u4"), answered(replies, 4, c.string_edges))
         spans, kept, removed = [], [], []
         for a, b in zip(c.offsets[:-1], c.offsets[1:], strict=True):
             own, text = gone[a:b], c.data[a:b]
@@ -274,7 +319,7 @@ def remove_known_bytes(df: DataFrame, id: str = "doc_id", text: str = "text") ->
     """Per row: bytes, removed bytes and their ``spans``, and the ``kept`` bytes."""
     texts, buckets = chunked(df, id, text, CHUNK_BYTES)
     shared = meet(ask(texts, None, _send_triggers(buckets), _TRIGGERS), _shared)
-    known = shared.unionByName(meet(ask(texts, shared, _send_phrases(buckets), _PHRASES), _known))
+    known = shared.unionByName(meet(ask(texts, shared, _send_phrases(buckets), _PHRASES), _meet_second(buckets)))
     ordered = known.unionByName(meet(ask(texts, known, _send_suffixes(buckets), _SUFFIXES), _ordered))
     return ask(texts, ordered, _cut(buckets), RESULT)
 
