@@ -89,19 +89,25 @@ def _blocks(texts: list[str]):
         yield block
 
 
+def _joined(table: np.ndarray, ids: bytes | None) -> bytes:
+    """The bytes that packed ids stand for."""
+    return b"".join(table[np.frombuffer(ids or b"", "<u4")].tolist())
+
+
 def encode(df: DataFrame, ranks: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
-           offsets: bool = False) -> DataFrame:
-    """``keep``, ``ids`` (little-endian unsigned 32-bit integers) and, if asked for, ``starts`` and ``stops``.
+           offsets: bool = False, decoded: bool = False) -> DataFrame:
+    """``keep``, ``ids`` (little-endian unsigned 32-bit integers) and, if asked for, ``starts`` and ``stops``, and ``decoded``.
 
     ``starts``/``stops`` are the characters each token covers, packed likewise; the tokens
-    of a split character all cover that character.
+    of a split character all cover that character. ``decoded`` is what ``decode`` makes of the ids, in the same task.
     """
-    packed = [("ids", pa.binary())] + [("starts", pa.binary()), ("stops", pa.binary())] * offsets
+    packed = [("ids", pa.binary())] + [("starts", pa.binary()), ("stops", pa.binary())] * offsets + [("decoded", pa.binary())] * decoded
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"{n} binary" for n, _ in packed])
 
     def run(batches):
         made = tokenizer(ranks)
         many = made.encode_batch if offsets else made.encode_batch_fast
+        table = np.array([*token_bytes(ranks)], object) if decoded else None
         for batch in pieces(batches):
             columns = [[] for _ in packed]
             for block in _blocks([t or "" for t in batch.column(len(keep)).to_pylist()]):
@@ -111,6 +117,8 @@ def encode(df: DataFrame, ranks: str, text: str = "text", keep: tuple[str, ...]
                         spans = np.array(got.offsets, "<u4").reshape(-1, 2)
                         columns[1].append(spans[:, 0].tobytes())
                         columns[2].append(spans[:, 1].tobytes())
+                    if decoded:
+                        columns[-1].append(_joined(table, columns[0][-1]))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(keep)], *(pa.array(c, kind) for c, (_, kind) in zip(columns, packed, strict=True))],
                 names=[*keep, *(n for n, _ in packed)])
@@ -126,7 +134,7 @@ def decode(df: DataFrame, ranks: str, ids: str = "ids", into: str = "decoded") -
     def run(batches):
         table = np.array([*token_bytes(ranks)], object)
         for batch in pieces(batches):
-            joined = [b"".join(table[np.frombuffer(x or b"", "<u4")].tolist()) for x in batch.column(at).to_pylist()]
+            joined = [_joined(table, x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(joined, pa.binary())], names=[*batch.schema.names, into])
 
     return df.mapInArrow(run, schema)
@@ -134,7 +142,7 @@ def decode(df: DataFrame, ranks: str, ids: str = "ids", into: str = "decoded") -
 
 def encode_decode_report(df: DataFrame, ranks: str) -> DataFrame:
     """Per row of ``documents``: count and digest of its ids, and the digest of what they decode to."""
-    back = decode(encode(df, ranks), ranks)
+    back = encode(df, ranks, decoded=True)
     return back.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -44,7 +44,7 @@ _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
 for _c in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
     _PLAIN[_c] = 32
-_FILTER_BITS = 20
+_FILTER_BITS = 18
 
 
 def plain_words(column: pa.Array) -> Words:
@@ -121,8 +121,8 @@ class ItemIndex:
         found = plain_words(pa.array([t for _, t in items], pa.string()))
         hashes, first = found.hashes(), found.first
         self.items: list[tuple[int, str, int]] = []
-        self.places: dict[tuple[int, int, int], dict[int, list[tuple[int, int]]]] = {}
-        self.filters: dict[tuple[int, int, int], np.ndarray] = {}
+        #: Per table the sorted keys, the items and the words at which their windows begin, and a filter of leading bits.
+        self.tables: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         by_size = defaultdict(list)
         for i, (item_id, _) in enumerate(items):
             a, b = first[i], first[i + 1]
@@ -136,11 +136,11 @@ class ItemIndex:
             owner = np.concatenate([np.full(first[i + 1] - first[i] - size + 1, i) for i in members])
             for walk in range(WALKS):
                 for sample, column in enumerate(keys(hashes, at, size, walk)):
-                    table = self.places[size, walk, sample] = defaultdict(list)
-                    for key, i, s in zip(column.tolist(), owner.tolist(), at.tolist(), strict=True):
-                        table[key].append((i, s - int(first[i])))
-                    bits = self.filters[size, walk, sample] = np.zeros(1 << _FILTER_BITS, bool)
+                    order = np.argsort(column, kind="stable")
+                    bits = np.zeros(1 << _FILTER_BITS, bool)
                     bits[column >> U64(64 - _FILTER_BITS)] = True
+                    self.tables[size, walk, sample] = (
+                        column[order], owner[order].astype(np.int32), (at - first[owner])[order].astype(np.int32), bits)
 
     def probe(self, found: Words) -> dict[int, set[tuple[int, int]]]:
         """Per text: the items it may hold, each with the words at which the item would begin."""
@@ -157,10 +157,13 @@ class ItemIndex:
             at = first[text] + (np.arange(len(text)) - begin) * stride
             for walk in range(WALKS):
                 for sample, column in enumerate(keys(hashes, at, size, walk)):
-                    table = self.places[size, walk, sample]
-                    for k in np.flatnonzero(self.filters[size, walk, sample].take((column >> U64(64 - _FILTER_BITS)).view(np.int64))):
-                        for item, offset in table.get(int(column[k]), ()):
-                            out[int(text[k])].add((item, int(at[k] - first[text[k]]) - offset))
+                    key, owner, offset, bits = self.tables[size, walk, sample]
+                    some = np.flatnonzero(bits.take((column >> U64(64 - _FILTER_BITS)).view(np.int64)))
+                    low, high = (np.searchsorted(key, column[some], side) for side in ("left", "right"))
+                    met = low < high
+                    for k, a, b in zip(some[met].tolist(), low[met].tolist(), high[met].tolist(), strict=True):
+                        begin = int(at[k] - first[text[k]])
+                        out[int(text[k])].update((int(owner[i]), begin - int(offset[i])) for i in range(a, b))
         return out
 
     def matches(self, column: pa.Array, share: float) -> dict[int, list[tuple[int, int, int, int, int]]]:

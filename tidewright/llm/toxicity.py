@@ -46,7 +46,7 @@ LEAST_G2, LEAST_ODDS, LEAST_LENGTH = 15.0, 1.5, 3
 #: Words in a context window.
 CONTEXT = 20
 #: Words and automaton states that a worker remembers before it starts anew.
-MEMORY = 400_000
+MEMORY = 200_000
 WORD = re.compile(r"\w+(?:[*@$!'’]+\w+)*")
 QUOTED = re.compile(r"\"[^\"\n]{0,400}\"|“[^”\n]{0,400}”|„[^“”\n]{0,400}[“”]|«[^»\n]{0,400}»")
 FEATURES = ("plain", "plain_best", "misspelt", "misspelt_best", "quoted", "burst", "density")
