@@ -45,7 +45,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, the packed ``ids`` of the text, their number, and digests of the ids and of the bytes they decode to."""
     ship_package(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    back = byte_bpe.decode(byte_bpe.encode(docs, ranks), ranks)
+    back = byte_bpe.encode(docs, ranks, decoded=True)
     return back.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
