@@ -130,7 +130,18 @@ def marked(positions: np.ndarray, total: int) -> np.ndarray:
     return out
 
 
-def pieces(batches, rows: int = 512):
+#: Rows of an Arrow batch. Texts are long rows; the usual ten thousand would be some dozens of megabytes.
+BATCH_ROWS = 512
+
+
+def small_batches(spark) -> None:
+    """Let the session send few rows at a time to Python workers, on either side the memory of one batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def pieces(batches, rows: int = BATCH_ROWS):
     """The batches in slices of a few rows each, so that what is made of one stays small."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewright.llm.arrowtext import small_batches
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,4 +24,5 @@ def query(name: str, sql: str | None = None):
 
 
 def read(spark: SparkSession, sf: str, table: str, *columns: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf}/{table}.parquet").select(*columns)

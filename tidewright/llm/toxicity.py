@@ -46,7 +46,7 @@ LEAST_G2, LEAST_ODDS, LEAST_LENGTH = 15.0, 1.5, 3
 #: Words in a context window.
 CONTEXT = 20
 #: Words and automaton states that a worker remembers before it starts anew.
-MEMORY = 200_000
+MEMORY, STATES = 100_000, 30_000
 WORD = re.compile(r"\w+(?:[*@$!'’]+\w+)*")
 QUOTED = re.compile(r"\"[^\"\n]{0,400}\"|“[^”\n]{0,400}”|„[^“”\n]{0,400}[“”]|«[^»\n]{0,400}»")
 FEATURES = ("plain", "plain_best", "misspelt", "misspelt_best", "quoted", "burst", "density")
@@ -151,7 +151,7 @@ class Matcher:
         if len(self.seen) > MEMORY:
             self.seen.clear()
             self.hits.clear()
-        if len(self.automaton.states) > MEMORY:
+        if len(self.automaton.states) > STATES:
             self.automaton.forget()
         for word in set(words) - self.seen:
             self.seen.add(word)
