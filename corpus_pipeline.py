@@ -13,25 +13,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import byte_bpe, decontaminate, minhash, secrets, toxicity
+from tidewright.llm.arrowtext import small_batches
 from tidewright.session import materialize, ship_package
 
 
+def _ready(spark: SparkSession) -> None:
+    """Workers that can import the package, and batches of few texts."""
+    ship_package(spark)
+    small_batches(spark)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the toxicity model accepts; it learns from the labels that are not held out."""
-    ship_package(spark)
+    _ready(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return toxicity.drop_toxic(docs, labels)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 80 % of their five-word shingles: the one with the least id."""
-    ship_package(spark)
+    _ready(spark)
     return minhash.drop_near_duplicates(docs, size=5, percent=80, trees=24)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark, nor one within a fifth of its length in edits."""
-    ship_package(spark)
+    _ready(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return decontaminate.drop_contaminated(docs, items)
 
@@ -43,7 +50,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, the packed ``ids`` of the text, their number, and digests of the ids and of the bytes they decode to."""
-    ship_package(spark)
+    _ready(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     back = byte_bpe.encode(docs, ranks, decoded=True)
     return back.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
