@@ -46,14 +46,14 @@ LEAST_G2, LEAST_ODDS, LEAST_LENGTH = 15.0, 1.5, 3
 #: Words in a context window.
 CONTEXT = 20
 #: Words and automaton states that a worker remembers before it starts anew.
-MEMORY, STATES = 100_000, 30_000
+MEMORY, STATES = 100_000, 100_000
 WORD = re.compile(r"\w+(?:[*@$!'’]+\w+)*")
 QUOTED = re.compile(r"\"[^\"\n]{0,400}\"|“[^”\n]{0,400}”|„[^“”\n]{0,400}[“”]|«[^»\n]{0,400}»")
 FEATURES = ("plain", "plain_best", "misspelt", "misspelt_best", "quoted", "burst", "density")
 
 
 def edits_allowed(length: int) -> int:
-    return 0 if length < 5 else 1 if length < 9 else 2
+    return 0 if length < 5 else 1 if length < 12 else 2
 
 
 class LexiconAutomaton:
