@@ -9,6 +9,7 @@ hashes in every process.
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -142,7 +143,17 @@ def small_batches(spark) -> None:
 
 
 def pieces(batches, rows: int = BATCH_ROWS):
-    """The batches in slices of a few rows each, so that what is made of one stays small."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+    """The batches in slices of a few rows each, so that what is made of one stays small.
+
+    At the end of a task its freed memory goes back to the system: a worker lives on, and what it once
+    needed would otherwise count against the executor for good.
+    """
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)

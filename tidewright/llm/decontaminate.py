@@ -201,16 +201,6 @@ class ItemIndex:
         return out
 
 
-_last: list = [None, None]
-
-
-def _index(block: list[tuple[int, str]]) -> ItemIndex:
-    """The index of a block, kept for the next task of this worker."""
-    if _last[0] is not block:
-        _last[:] = block, ItemIndex(block)
-    return _last[1]
-
-
 def blocks(items: DataFrame, id: str = "item_id", text: str = "text") -> list[list[tuple[int, str]]]:
     """The items in blocks of about ``BLOCK_BYTES``, one job per block; items without text are left out."""
     rows = items.where(F.col(text).isNotNull()).select(F.col(id).cast("long").alias("item"), F.col(text).cast("string").alias("words"))
@@ -232,7 +222,7 @@ def find_items(df: DataFrame, items: DataFrame, share: float = SHARE) -> DataFra
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches):
-            index = _index(sent.value)
+            index = ItemIndex(sent.value)
             for batch in pieces(batches):
                 out = [[] for _ in names]
                 for text, found in index.matches(batch.column(1), share).items():
@@ -259,7 +249,7 @@ def drop_contaminated(df: DataFrame, items: DataFrame, share: float = SHARE) ->
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches):
-            index = _index(sent.value)
+            index = ItemIndex(sent.value)
             for batch in pieces(batches):
                 held = index.matches(batch.column(0), share)
                 clean = np.ones(batch.num_rows, bool)
