@@ -30,6 +30,36 @@ def test_automaton_equals_edit_distance(weights, words):
         assert automaton.match(word) == (best and (best[0], -best[1]))
 
 
+def swap_distance(a, b):
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                row[-1] = min(row[-1], rows[-2][j - 2] + 1)
+        rows.append(row)
+    return rows[-1][-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.text("abc", min_size=1, max_size=10), st.floats(0.5, 9), min_size=1, max_size=8),
+       st.lists(st.text("abcz", max_size=12), min_size=1, max_size=12))
+def test_swapped_neighbours_are_one_edit(weights, words):
+    automaton = LexiconAutomaton(weights, swaps=True)
+    for word in words:
+        near = [(swap_distance(word, t), -w) for t, w in weights.items() if swap_distance(word, t) <= edits_allowed(len(t))]
+        best = min(near, default=None)
+        assert automaton.match(word) == (best and (best[0], -best[1]))
+
+
+def test_misspellings_that_the_query_matches():
+    match = toxicity._matcher({"worthless": 3.0, "idiot": 2.0, "scum": 1.0}).automaton.match
+    assert match("w0rthles5") == (2, 3.0) and match("wrothlses") == (2, 3.0)
+    assert match("idoit") == (1, 2.0) and match("idito") == (1, 2.0) and match("idoti") is None
+    assert match("scum") == (0, 1.0) and match("scm") is None
+
+
 def test_quotation_counts_apart():
     figures = lambda t: dict(zip(toxicity.FEATURES, Matcher(LexiconAutomaton({"moron": 4.0, "worthless": 3.0})).figures(t), strict=True))
     assert figures("nothing here") == dict.fromkeys(toxicity.FEATURES, 0.0)

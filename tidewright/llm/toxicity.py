@@ -6,8 +6,9 @@ more often become the lexicon, with their log odds as weights.
 
 Matching. The lexicon is a trie. A Levenshtein automaton for one or two edits, by length of
 the term, runs over the trie and the word at once, so a word is compared with all terms in
-one walk that ends as soon as no term can be reached. The pairs (place in the trie, edits)
-that a prefix leads to are one state; states and their successors are kept, so the product
+one walk that ends as soon as no term can be reached. Two edits are allowed from nine letters,
+one from five, none below, where most words are one edit from another; two neighbours that
+changed places are one edit. The pairs (place in the trie, edits) that a prefix leads to are one state; states and their successors are kept, so the product
 becomes a deterministic automaton as far as the words need it.
 
 Context. A match within quotation marks counts apart from the others, and the largest sum
@@ -53,26 +54,33 @@ FEATURES = ("plain", "plain_best", "misspelt", "misspelt_best", "quoted", "burst
 
 
 def edits_allowed(length: int) -> int:
-    return 0 if length < 5 else 1 if length < 12 else 2
+    return 0 if length < 5 else 1 if length < 9 else 2
 
 
 class LexiconAutomaton:
-    """Deterministic product of a lexicon trie and Levenshtein automata, grown as words need it."""
+    """Deterministic product of a lexicon trie and Levenshtein automata, grown as words need it.
 
-    def __init__(self, weights: dict[str, float]):
+    With ``swaps`` two neighbours that changed places are one edit. Of such a pair a state holds, after its first
+    letter, the place behind both as a negative number; only the letter that is still due leads there.
+    """
+
+    def __init__(self, weights: dict[str, float], swaps: bool = False):
+        self.swaps = swaps
         self.children: list[dict[str, int]] = [{}]
+        self.due = [""]  # the letter before the one that leads to a place
         self.limit = [0]
         self.weight: list[tuple[float, int] | None] = [None]
         for term, weight in weights.items():
-            node, allowed = 0, edits_allowed(len(term))
+            node, allowed, last = 0, edits_allowed(len(term)), ""
             self.limit[0] = max(self.limit[0], allowed)
             for c in term:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
+                    self.due.append(last)
                     self.limit.append(0)
                     self.weight.append(None)
-                node = self.children[node][c]
+                node, last = self.children[node][c], c
                 self.limit[node] = max(self.limit[node], allowed)
             self.weight[node] = (weight, allowed)
         self.letters = {c for children in self.children for c in children}
@@ -90,7 +98,7 @@ class LexiconAutomaton:
         queue = list(state.items())
         while queue:
             node, edits = queue.pop()
-            if edits > state[node]:
+            if node < 0 or edits > state[node]:
                 continue
             for child in self.children[node].values():
                 if edits < self.limit[child] and edits + 1 < state.get(child, 99):
@@ -100,7 +108,8 @@ class LexiconAutomaton:
 
     def _accept(self, state: dict[int, int]) -> tuple[int, float] | None:
         """Fewest edits, then highest weight, of the terms that end here."""
-        ends = [(edits, -self.weight[n][0]) for n, edits in state.items() if self.weight[n] and edits <= self.weight[n][1]]
+        ends = [(edits, -self.weight[n][0]) for n, edits in state.items()
+                if n >= 0 and self.weight[n] and edits <= self.weight[n][1]]
         best = min(ends, default=None)
         return best and (best[0], -best[1])
 
@@ -108,13 +117,19 @@ class LexiconAutomaton:
         out: dict[int, int] = {}
 
         def reach(node: int, edits: int) -> None:
-            if edits <= self.limit[node] and edits < out.get(node, 99):
+            if edits <= self.limit[abs(node)] and edits < out.get(node, 99):
                 out[node] = edits
 
         for node, edits in state.items():
+            if node < 0:
+                if self.due[-node] == letter:
+                    reach(-node, edits)
+                continue
             reach(node, edits + 1)
             for c, child in self.children[node].items():
                 reach(child, edits + (c != letter))
+                if self.swaps and c != letter and letter in self.children[child]:
+                    reach(-self.children[child][letter], edits + 1)
         return self._closed(out)
 
     def match(self, word: str) -> tuple[int, float] | None:
@@ -198,7 +213,7 @@ _last: list = [None, None]
 def _matcher(weights: dict[str, float]) -> Matcher:
     """The matcher of a lexicon, kept with all it has learned for the next task of this worker."""
     if _last[0] is not weights:
-        _last[:] = weights, Matcher(LexiconAutomaton(weights))
+        _last[:] = weights, Matcher(LexiconAutomaton(weights, swaps=True))
     return _last[1]
 
 
