@@ -71,6 +71,22 @@ def test_quotation_counts_apart():
     assert near["burst"] > far["burst"] and near["plain"] == far["plain"]
 
 
+@pytest.mark.parametrize("begin, end", ['""', "“”", "„“", "„”", "«»"])
+def test_quotations_of_any_length(begin, end):
+    figures = lambda t: dict(zip(toxicity.FEATURES, Matcher(LexiconAutomaton({"moron": 4.0})).figures(t), strict=True))
+    far = "word " * 200
+    long = begin + far + "moron " + far + end
+    for quoted in (long, f"{long} and {long}", f"{begin}you\nmoron{end}"):
+        assert figures(quoted)["plain"] == 0.0 < figures(quoted)["quoted"]
+    between = figures(f"{begin}{far}{end} moron {begin}{far}{end}")
+    assert between["quoted"] == 0.0 < between["plain"]
+
+
+def test_unpaired_marks_quote_nothing():
+    assert toxicity.quotations('a “b "c" d') == [(5, 8)] and toxicity.quotations('"a" "b') == [(0, 3)]
+    assert toxicity.quotations("”a“ »b« „c") == [] and toxicity.quotations("«a “b» c”") == [(0, 6)]
+
+
 @pytest.fixture(scope="module")
 def planted(spark):
     rng = random.Random(12)

@@ -11,7 +11,8 @@ one from five, none below, where most words are one edit from another; two neigh
 changed places are one edit. The pairs (place in the trie, edits) that a prefix leads to are one state; states and their successors are kept, so the product
 becomes a deterministic automaton as far as the words need it.
 
-Context. A match within quotation marks counts apart from the others, and the largest sum
+Context. A match within quotation marks counts apart from the others; an opening mark pairs with the next
+closing one at any distance, and a mark without one quotes nothing. Also, the largest sum
 of weights in any window of ``CONTEXT`` words tells a burst of abuse from a word in passing.
 A logistic regression on these figures gives the score; language, source and id are no input.
 
@@ -49,7 +50,9 @@ CONTEXT = 20
 #: Words and automaton states that a worker remembers before it starts anew.
 MEMORY, STATES = 100_000, 100_000
 WORD = re.compile(r"\w+(?:[*@$!'’]+\w+)*")
-QUOTED = re.compile(r"\"[^\"\n]{0,400}\"|“[^”\n]{0,400}”|„[^“”\n]{0,400}[“”]|«[^»\n]{0,400}»")
+MARK = re.compile("[\"“”„«»]")
+#: The marks that end what each mark begins.
+CLOSING = {'"': '"', "“": "”", "„": "“”", "«": "»"}
 FEATURES = ("plain", "plain_best", "misspelt", "misspelt_best", "quoted", "burst", "density")
 
 
@@ -154,6 +157,24 @@ class LexiconAutomaton:
         return self.accepts[at]
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Begin and end of each quotation, in order."""
+    marks = [(m.group(), m.start()) for m in MARK.finditer(text)]
+    out, k, unpaired = [], 0, set()
+    while k < len(marks):
+        mark, begin = marks[k]
+        k += 1
+        if mark not in CLOSING or mark in unpaired:
+            continue
+        end = next((j for j in range(k, len(marks)) if marks[j][0] in CLOSING[mark]), None)
+        if end is None:
+            unpaired.add(mark)  # nor has any later one of its kind
+        else:
+            out.append((begin, marks[end][1] + 1))
+            k = end + 1
+    return out
+
+
 @dataclass
 class Matcher:
     """Matches of words, remembered: most words of a corpus come back."""
@@ -180,7 +201,7 @@ class Matcher:
         self.learn(words)
         if self.hits.keys().isdisjoint(words):
             return [0.0] * len(FEATURES)
-        quotes = [m.span() for m in QUOTED.finditer(lowered)]
+        quotes = quotations(lowered)
         sums = dict.fromkeys(("plain", "misspelt", "quoted"), 0.0)
         best = dict.fromkeys(("plain", "misspelt", "quoted"), 0.0)
         places: list[tuple[int, float]] = []
