@@ -136,6 +136,23 @@ def test_stage_drops_toxic_rows_and_keeps_columns(planted):
     assert sum(truth.get(i) == 0 for i in ids) >= 0.99 * sum(v == 0 for v in truth.values())
 
 
+@pytest.mark.parametrize("hint", ["mild", "w3"])
+def test_the_bound_on_labels_keeps_their_shares(spark, monkeypatch, hint):
+    rng = random.Random(5)
+    docs, labels = [], []
+    for i in range(2000):
+        toxic = int(i % 10 == 0)
+        words = [f"w{rng.randrange(9)}" for _ in range(20)] + ["mild"] * (rng.random() < (0.6 if toxic else 0.1)) * (hint == "mild")
+        docs.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    text = spark.createDataFrame([(1, "w1 " * 20 + hint)], "doc_id long, text string")
+    whole = toxicity.fit(docs, labels).score(text).first().score
+    monkeypatch.setattr(toxicity, "SAMPLE", 120)
+    bounded = toxicity.fit(docs, labels).score(text).first().score
+    assert 0.05 < whole < 0.5 and abs(bounded - whole) < 0.15
+
+
 @pytest.mark.parametrize("labels, predicted", [([], 0), ([(0, 0), (1, 0)], 0), ([(0, 1), (1, 1)], 1)])
 def test_labels_of_one_kind(spark, labels, predicted):
     docs = spark.createDataFrame([(i, "words and more") for i in range(4)] + [(9, None)], "doc_id long, text string")

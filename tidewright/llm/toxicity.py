@@ -1,7 +1,7 @@
 """Toxicity scores from misspelled lexicon terms and their context (operator 4).
 
 Learning. From the labelled rows (at most ``SAMPLE`` of each label, those with the smallest
-hash of their id) the words are counted per label; words that toxic texts use significantly
+hash of their id, each with the weight known / taken of its label) the words are counted per label; words that toxic texts use significantly
 more often become the lexicon, with their log odds as weights.
 
 Matching. The lexicon is a trie. A Levenshtein automaton for one or two edits, by length of
@@ -260,10 +260,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def labelled(labels: DataFrame) -> DataFrame:
-    """(``doc_id``, ``toxic``) of the rows to learn from: not held out, at most ``SAMPLE`` of each label."""
+    """(``doc_id``, ``toxic``, ``weight``) of the rows to learn from: not held out, at most ``SAMPLE`` of each label.
+
+    A row stands for ``weight`` known ones, so the labels keep their shares whatever is left out.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()) \
         .groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    part = lambda k: known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    n = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    part = lambda k: known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) \
+        .withColumn("weight", F.lit(max(1.0, n.get(k, 0) / SAMPLE)))
     return part(0).unionByName(part(1))
 
 
@@ -309,19 +314,19 @@ class ToxicityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> ToxicityModel:
-    # The sample has at most two times SAMPLE rows of two numbers, so its join may be broadcast.
+    # The sample has at most two times SAMPLE rows of three numbers, so its join may be broadcast.
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col(text).cast("string").alias("text")) \
         .join(F.broadcast(labelled(labels)), "doc_id")
-    sample = materialize(rows.select("text", "toxic"), "toxicity-sample")
-    n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
+    sample = materialize(rows.select("text", "toxic", "weight"), "toxicity-sample")
+    n = {r.toxic: r for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("known")).collect()}
+    n_toxic, n_clean = (n[k].rows if k in n else 0 for k in (1, 0))
     weights = lexicon(sample, n_toxic, n_clean) if n_toxic and n_clean else {}
     if not weights:
-        odds = math.log(n_toxic / n_clean) if n_toxic and n_clean else 700.0 if n_toxic else -700.0
+        odds = math.log(n[1].known / n[0].known) if n_toxic and n_clean else 700.0 if n_toxic else -700.0
         return ToxicityModel({}, odds, ())
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
-        figures(sample, weights, "text", ("toxic",))).select("features", "toxic")
-    found = LogisticRegression(labelCol="toxic", regParam=0.003, maxIter=50).fit(materialize(vectors, "toxicity-vectors"))
+        figures(sample, weights, "text", ("toxic", "weight"))).select("features", "toxic", "weight")
+    found = LogisticRegression(labelCol="toxic", weightCol="weight", regParam=0.003, maxIter=50).fit(materialize(vectors, "toxicity-vectors"))
     return ToxicityModel(weights, float(found.intercept), tuple(float(c) for c in found.coefficients))
 
 
