@@ -64,6 +64,23 @@ def test_planted_passages_are_found(spark, planted):
             assert plain == " ".join(dict(items)[r.item_id].split())
 
 
+@pytest.mark.parametrize("n", [8, 11, 23, 31, 47, 62])
+@pytest.mark.parametrize("percent, least", [(10, 0.99), (20, 0.95)])
+def test_items_of_any_length_are_met_up_to_the_share(n, percent, least):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(7))
+    items, texts = [], []
+    for i in range(200):
+        item = [word() for _ in range(n)]
+        passage = list(item)
+        for k in rng.sample(range(n), n * percent // 100):
+            passage[k] = word()
+        items.append((i, " ".join(item)))
+        texts.append(" ".join([word() for _ in range(rng.randint(0, 150))] + passage + [word() for _ in range(80)]))
+    met = decontaminate.ItemIndex(items).probe(decontaminate.plain_words(pa.array(texts)))
+    assert sum(any(item == i for item, _ in met.get(i, ())) for i in range(200)) >= least * 200
+
+
 def test_stage_drops_those_rows_only(spark, planted):
     items, docs, truth = planted
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, row string")

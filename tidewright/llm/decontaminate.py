@@ -7,14 +7,15 @@ distance so agree in most places, whatever was inserted or left out. Repeated bi
 LSH takes ``BITS`` places as a key, ``SAMPLES`` times for each of ``WALKS`` walks.
 
 Windows are sized by the item: the largest power of two w with 1.5 w - 1 words or fewer than the item has.
-An item is indexed at every word, texts are probed at every half window, so a passage with a whole item holds two
-or more probes that begin where a window of the item begins. A probe that meets a key is followed by the exact
+An item is indexed at every word, texts are probed at every eighth of a window, so a passage with a whole item holds
+four or more probes (two, of windows of four words) that begin where a window of the item begins. A probe that meets a key is followed by the exact
 edit distance (Myers' bit vectors, in characters, best place within the text around it); a
 passage counts if that is at most ``SHARE`` of the item's length.
 
-A tenth of the words changed, a probe agrees with its item in a sampled place with chance
-0.65 or so and with a key of six with 0.075; 56 keys and two probes miss one passage in 5,000.
-Keys of fewer places would often be met by chance, by texts that repeat frequent words.
+Of 300 passages each, of 8 to 62 words, all were met with a tenth of the words changed, and 97.7 % or more with a fifth.
+Typos that reach many more words than that, and items of few or long words without blanks, are met less often: keys are of
+whole words, while ``SHARE`` counts characters. Keys of fewer places would often be met by chance, by texts that repeat
+frequent words.
 
 Items are sent to the workers in blocks of bounded size, each compared with all texts. Items with fewer
 than ``LEAST_WORDS`` words prove nothing and are passed over, as are missing ones; missing texts
@@ -25,6 +26,7 @@ repeat; an empty table on either side gives an empty result.
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from tidewright.llm.arrowtext import U64, Words, flat, mix, pieces, words
 
 LEAST_WORDS = 8
-WALKS, SAMPLES, BITS = 4, 14, 6
+WALKS, SAMPLES, BITS = 4, 14, 5
 #: Steps of a walk from which places are taken, in words of the window.
 REACH = 1.25
 SHARE = 0.2
@@ -45,6 +47,8 @@ _PLAIN[65:91] += 32
 for _c in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
     _PLAIN[_c] = 32
 _FILTER_BITS = 18
+#: Probes whose keys are held at once.
+_PROBES = 1 << 16
 
 
 def plain_words(column: pa.Array) -> Words:
@@ -148,22 +152,22 @@ class ItemIndex:
         out = defaultdict(set)
         for size in self.sizes:
             n = np.diff(first)
-            stride = size // 2
+            stride = max(1, size // 8)
             count = np.maximum(0, (n - size) // stride + 1) * (n >= size)
             if not count.sum():
                 continue
             text = np.repeat(np.arange(len(n)), count)
             begin = np.repeat(np.cumsum(count) - count, count)
             at = first[text] + (np.arange(len(text)) - begin) * stride
-            for walk in range(WALKS):
-                for sample, column in enumerate(keys(hashes, at, size, walk)):
+            for walk, a in product(range(WALKS), range(0, len(at), _PROBES)):
+                for sample, column in enumerate(keys(hashes, at[a:a + _PROBES], size, walk)):
                     key, owner, offset, bits = self.tables[size, walk, sample]
                     some = np.flatnonzero(bits.take((column >> U64(64 - _FILTER_BITS)).view(np.int64)))
                     low, high = (np.searchsorted(key, column[some], side) for side in ("left", "right"))
                     met = low < high
-                    for k, a, b in zip(some[met].tolist(), low[met].tolist(), high[met].tolist(), strict=True):
+                    for k, i, j in zip((a + some[met]).tolist(), low[met].tolist(), high[met].tolist(), strict=True):
                         begin = int(at[k] - first[text[k]])
-                        out[int(text[k])].update((int(owner[i]), begin - int(offset[i])) for i in range(a, b))
+                        out[int(text[k])].update((int(owner[m]), begin - int(offset[m])) for m in range(i, j))
         return out
 
     def matches(self, column: pa.Array, share: float) -> dict[int, list[tuple[int, int, int, int, int]]]:
