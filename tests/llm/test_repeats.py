@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +143,32 @@ def test_very_long_text(spark):
     assert got == {1: (len(long), 0), 2: (405, got[2][1])} and got[2][1] >= 400
 
 
+@pytest.mark.parametrize("block", [64, 300, suffixes.BLOCK])
+def test_triggers_of_every_length(monkeypatch, block):
+    """Short texts, and blocks of which few bytes are left, have the triggers they would have in one piece."""
+    rng = np.random.default_rng(7)
+    data = rng.integers(97, 123, block + 121).astype(np.uint8)
+    for length in [*range(121), *range(block, block + 121)]:
+        offsets = np.array([0, length // 3, length, length])
+        monkeypatch.setattr(suffixes, "BLOCK", block)
+        at, hashes = suffixes.all_triggers(data[:length], offsets)
+        monkeypatch.setattr(suffixes, "BLOCK", 1 << 30)
+        whole, same = suffixes.all_triggers(data[:length], offsets)
+        assert at.tolist() == whole.tolist() and hashes.tolist() == same.tolist()
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            begins = np.arange(a, b - suffixes.LENGTH + 1)
+            assert (np.searchsorted(at, begins + suffixes.OFFSETS) > np.searchsorted(at, begins)).all()
+
+
+def test_texts_of_every_length(spark, monkeypatch):
+    passage = corpus()[0][1] + " ".join(str(i) for i in range(100))
+    rows = [(i, passage[:i]) for i in range(121)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (150, 4000):
+        monkeypatch.setattr(suffixes, "CHUNK_BYTES", size)
+        assert sorted_rows(suffixes.report(df).collect()) == sorted_rows(known_bytes(rows))
+
+
 def test_words_like_split():
     import pyarrow as pa
 

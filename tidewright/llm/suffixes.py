@@ -64,6 +64,8 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
 def triggers(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Positions whose hash is the least of some 25 in a row that lie within 50 bytes of one text."""
     order = (hashes >> U64(32)).astype(np.uint32) | np.uint32(1)
+    if len(order) < OFFSETS:  # no 50 bytes: what is left of a text or of a block is too short to begin a string
+        return np.zeros(0, np.int64)
     least = _sliding(order, OFFSETS, np.minimum)
     least = np.where(inside(offsets, LENGTH)[:len(least)], least, np.uint32(0))
     padded = np.concatenate([np.zeros(BEFORE, np.uint32), least, np.zeros(BEFORE, np.uint32)])
