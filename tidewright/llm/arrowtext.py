@@ -157,3 +157,16 @@ def pieces(batches, rows: int = BATCH_ROWS):
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
         if trim:
             trim(0)
+
+
+#: Bytes of text that are looked at together where each byte takes much memory.
+PIECE_BYTES = 1 << 20
+
+
+def sized(batches, column: int, most: int = PIECE_BYTES, rows: int = BATCH_ROWS):
+    """``pieces`` that end where the texts of a column pass another ``most`` bytes; a longer text is a piece by itself."""
+    for batch in pieces(batches, rows):
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        edges = np.flatnonzero(np.diff(upto // most)) + 1
+        for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+            yield batch.slice(a, b - a)

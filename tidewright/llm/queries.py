@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from tidewright.llm import byte_bpe, decontaminate, minhash, quality, secrets, shards, substrings, suffixes, toxicity, urls
+from tidewright.llm import byte_bpe, decontaminate, minhash, periodic, quality, secrets, shards, substrings, suffixes, toxicity, urls
 from tidewright.llm.registry import query, read
 
 DOCUMENTS = ("doc_id", "text", "lang", "source")
@@ -131,3 +131,40 @@ def op2_suffix_array_dedup(spark, sf):
 @query("op9_binary_shards")
 def op9_binary_shards(spark, sf):
     return shards.report(read(spark, sf, "documents", "text"))
+
+
+#: Runs by brute force over equal 6-word strings: a run of 12 words or more repeats one at its period.
+PERIODIC_SQL = r"""WITH RECURSIVE bits AS (
+        SELECT b AS byte, b::BIGINT AS c, 0 AS k FROM range(256) t(b)
+        UNION ALL
+        SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+    tab AS (SELECT list(c ORDER BY byte) AS tab FROM bits WHERE k = 8),
+    crc AS (SELECT doc_id, 0 AS k, 4294967295::BIGINT AS c, doc_id::VARCHAR AS s FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+        UNION ALL
+        SELECT doc_id, k + 1, xor(c >> 8, tab[1 + (xor(c, ascii(s[k + 1])) & 255)]), s FROM crc, tab WHERE k < length(s)),
+    h AS (SELECT doc_id, xor(c, 4294967295) AS h FROM crc WHERE k = length(s)),
+    d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, h % 10 = 0 AS planted, h // 10 AS g
+          FROM documents LEFT JOIN h USING (doc_id)),
+    s AS (SELECT *, len(w) AS n, (CASE WHEN len(w) > 0 THEN g % len(w) END)::BIGINT AS a FROM d),
+    o AS (SELECT r, doc_id, n, CASE WHEN planted AND n > 0
+                 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END])
+                 ELSE w END AS w FROM s),
+    grams AS (SELECT r, n, i, hash(list_slice(w, i + 1, i + 6)) AS k FROM (SELECT r, n, w, unnest(range(n - 5)) AS i FROM o WHERE n >= 12)),
+    pairs AS (SELECT x.r AS r, y.i - x.i AS q, x.i AS i FROM grams x JOIN grams y ON x.r = y.r AND x.k = y.k AND y.i > x.i AND 2 * (y.i - x.i) <= x.n),
+    stretches AS (SELECT r, q, min(i) AS a, max(i) + 6 - min(i) + q AS size
+                  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs) GROUP BY r, q, island),
+    runs AS (SELECT r, a, size, min(q) AS q FROM stretches WHERE size >= greatest(12, 2 * q) GROUP BY r, a, size),
+    listed AS (SELECT r, count(*) AS n_runs, string_agg(a || ',' || size || ',' || q || chr(10), '' ORDER BY a, q) AS runs,
+                      min({'x': -size, 'a': a, 'q': q}) AS best FROM runs GROUP BY r),
+    gone AS (SELECT DISTINCT r, unnest(range(a + q, a + size)) AS i FROM runs),
+    kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS text
+             FROM (SELECT r, unnest(w) AS word, unnest(range(n)) AS i FROM o) ANTI JOIN gone USING (r, i) GROUP BY r)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.a AS "start", -best.x AS length, best.q AS period,
+           -1000 * best.x // best.q AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256,
+           sha256(coalesce(text, '')) AS collapsed_sha256
+    FROM o LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)"""
+
+
+@query("op11_periodic_runs", PERIODIC_SQL)
+def op11_periodic_runs(spark, sf):
+    return periodic.report(periodic.replayed(read(spark, sf, "documents", "doc_id", "text")))
