@@ -142,21 +142,24 @@ def small_batches(spark) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def pieces(batches, rows: int = BATCH_ROWS):
-    """The batches in slices of a few rows each, so that what is made of one stays small.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on, and what it once needed would count against the executor for good."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
-    At the end of a task its freed memory goes back to the system: a worker lives on, and what it once
-    needed would otherwise count against the executor for good.
-    """
+
+def pieces(batches, rows: int = BATCH_ROWS):
+    """The batches in slices of a few rows each, so that what is made of one stays small; at the end memory is given back."""
     try:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 yield batch.slice(at, rows)
     finally:
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim:
-            trim(0)
+        give_back()
 
 
 #: Bytes of text that are looked at together where each byte takes much memory.

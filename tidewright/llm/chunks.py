@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.arrowtext import U64
+from tidewright.llm.arrowtext import U64, give_back
 
 #: Bytes of text in a chunk, and of all texts per bucket, roughly.
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 32 << 20
@@ -90,13 +90,26 @@ def answered(replies: pa.Table, step: int, edges: np.ndarray, dtype: str = "bool
     return out
 
 
+def _lean(function):
+    """The function, which gives its memory back after every group."""
+    def run(*tables):
+        try:
+            return function(*tables)
+        finally:
+            give_back()
+    return run
+
+
 def ask(texts: DataFrame, replies: DataFrame | None, function, schema: str) -> DataFrame:
     """Run ``function(texts, replies)`` on the Arrow tables of every chunk; the first step has no replies."""
     if replies is None:
-        return texts.groupBy("chunk").applyInArrow(lambda t: function(t, None), schema)
-    return texts.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(function, schema)
+        first = _lean(lambda t: function(t, None))
+        return texts.groupBy("chunk").applyInArrow(lambda t: first(t), schema)
+    both = _lean(function)
+    return texts.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(lambda t, r: both(t, r), schema)
 
 
 def meet(sent: DataFrame, function) -> DataFrame:
     """Run ``function`` on all rows of every bucket; it answers each."""
-    return sent.groupBy("bucket").applyInArrow(function, ANSWER)
+    lean = _lean(function)
+    return sent.groupBy("bucket").applyInArrow(lambda t: lean(t), ANSWER)

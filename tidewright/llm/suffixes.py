@@ -245,8 +245,10 @@ def _send_suffixes(buckets: int):
         c.phrases(answered(replies, 1, c.edges, "u1"))
         c.open(answered(replies, 2, c.phrase_edges, "u1"))
         at = c.example[c.asked]
-        reach = c.at[at][:, None] + np.arange(-BEFORE, LENGTH)
-        window = c.data[np.clip(reach, 0, max(0, len(c.data) - 1))] if len(at) else np.zeros((0, WIDTH), np.uint8)
+        window = np.zeros((len(at), WIDTH), np.uint8)
+        for a in range(0, len(at), HASHED_ROWS):
+            reach = c.at[at[a:a + HASHED_ROWS]][:, None] + np.arange(-BEFORE, LENGTH)
+            window[a:a + HASHED_ROWS] = c.data[np.clip(reach, 0, len(c.data) - 1)]
         return packed(_number(texts), c.asked_edges, triggers=c.phrase_hash[c.asked].astype("<u8"), bytes=window,
                       before=c.before[at].astype(np.uint8), after=c.after[at].astype(np.uint8), ids=c.least[c.asked].astype("<i8"))
     return run
