@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from tidewright.llm import byte_bpe, decontaminate, minhash, periodic, quality, secrets, shards, substrings, suffixes, toxicity, urls
+from tidewright.llm import byte_bpe, decontaminate, histogram, minhash, periodic, quality, secrets, shards, substrings, suffixes, toxicity, urls
 from tidewright.llm.registry import query, read
 
 DOCUMENTS = ("doc_id", "text", "lang", "source")
@@ -168,3 +168,8 @@ PERIODIC_SQL = r"""WITH RECURSIVE bits AS (
 @query("op11_periodic_runs", PERIODIC_SQL)
 def op11_periodic_runs(spark, sf):
     return periodic.report(periodic.replayed(read(spark, sf, "documents", "doc_id", "text")))
+
+
+@query("op12_histogram_shards")
+def op12_histogram_shards(spark, sf):
+    return histogram.report(read(spark, sf, "documents", "doc_id", "text"))
