@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from tidewright.llm import byte_bpe, decontaminate, histogram, minhash, periodic, quality, secrets, shards, substrings, suffixes, toxicity, urls
+from tidewright.llm import byte_bpe, codes, decontaminate, histogram, minhash, periodic, quality, secrets, shards, substrings, suffixes, toxicity, urls
 from tidewright.llm.registry import query, read
 
 DOCUMENTS = ("doc_id", "text", "lang", "source")
@@ -173,3 +173,37 @@ def op11_periodic_runs(spark, sf):
 @query("op12_histogram_shards")
 def op12_histogram_shards(spark, sf):
     return histogram.report(read(spark, sf, "documents", "doc_id", "text"))
+
+
+def _round(k: int) -> str:
+    """DuckDB: the entries after round k, from the nearest ones before it."""
+    return f"""near{k} AS MATERIALIZED (
+        SELECT r, part, min({{'d': d, 'entry': entry}}) AS best FROM (
+            SELECT p.r, p.part, b.entry, sum((p.x - b.x) * (p.x - b.x))::BIGINT AS d
+            FROM pieces p JOIN book{k - 1} b ON p.part = b.part AND p.pos = b.pos GROUP BY p.r, p.part, b.entry)
+        GROUP BY r, part),
+    book{k} AS MATERIALIZED (
+        SELECT b.part, b.entry, b.pos, CASE WHEN n IS NULL THEN b.x ELSE (s - ((s % n) + n) % n) // n END AS x
+        FROM book{k - 1} b LEFT JOIN (SELECT p.part, best.entry AS entry, pos, sum(x)::BIGINT AS s, count(*) AS n
+                                      FROM pieces p JOIN near{k} USING (r, part) GROUP BY ALL) USING (part, entry, pos))"""
+
+
+CODES_SQL = f"""WITH kept AS MATERIALIZED (
+        SELECT row_number() OVER (ORDER BY vec_id, v) AS r, * FROM (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+    pieces AS MATERIALIZED (
+        SELECT r, i // (len(v) // {codes.PARTS}) AS part, i % (len(v) // {codes.PARTS}) AS pos, x
+        FROM (SELECT r, v, unnest(range(len(v))) AS i, unnest(v) AS x FROM kept)),
+    book0 AS MATERIALIZED (SELECT part, r - 1 AS entry, pos, x FROM pieces WHERE r <= {codes.ENTRIES}),
+    {", ".join(map(_round, range(1, codes.ROUNDS + 2)))},
+    coded AS (SELECT r, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error
+              FROM near{codes.ROUNDS + 1} GROUP BY r),
+    digest AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM book{codes.ROUNDS})
+    SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+    FROM kept JOIN coded USING (r), digest"""
+
+
+@query("op13_vector_codes", CODES_SQL)
+def op13_vector_codes(spark, sf):
+    return codes.report(read(spark, sf, "embeddings", "vec_id", "embedding", "label"))
