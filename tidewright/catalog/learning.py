@@ -208,6 +208,57 @@ def stump_grid_search(spark, sf):
     return rounded(spark.createDataFrame(rows, "max_depth long, mean_r2 double, best boolean"), 6, "mean_r2")
 
 
+def _rounds_sql(rounds: int, rate: float, penalty: float, least: float) -> list[str]:
+    """Boosting by stumps over ``lines``: what is left after each round, and what the rows' leaves are."""
+    out = ["left0 AS (SELECT placed.*, pos < floor(n * 0.8) AS seen, amount - (SELECT avg(amount) FROM train) AS e FROM placed)"]
+    for k in range(rounds):
+        out.append(f"""sides{k} AS (SELECT a.v, sum(b.n) FILTER (b.v <= a.v) AS nl, sum(b.s) FILTER (b.v <= a.v) AS sl,
+                            sum(b.n) FILTER (b.v > a.v) AS nr, sum(b.s) FILTER (b.v > a.v) AS sr
+                     FROM (SELECT DISTINCT lines AS v FROM train) a, (SELECT lines AS v, count(*) AS n, sum(e) AS s FROM left{k} WHERE seen GROUP BY lines) b
+                     GROUP BY a.v),
+            leaf{k} AS (SELECT v, {rate} * sl / (nl + {penalty}) AS low, {rate} * sr / (nr + {penalty}) AS high FROM sides{k}
+                     WHERE nl >= {least} AND nr >= {least}
+                     ORDER BY sl * sl / (nl + {penalty}) + sr * sr / (nr + {penalty}) DESC LIMIT 1),
+            left{k + 1} AS (SELECT left{k}.* EXCLUDE (e), e - CASE WHEN lines <= v THEN low ELSE high END AS e FROM left{k}, leaf{k})""")
+    return out
+
+
+@query("boost_one_round", sql(SENSORS, KNOWN, _VECTORS, *_rounds_sql(1, 0.3, 1.0, 3.0), """
+    SELECT key, round(amount - e, 4) AS prediction FROM left1"""))
+def boost_one_round(spark, sf):
+    """Leaves of the first round are the sum of the residuals over their number and the penalty."""
+    _, frame = _stump(spark, sf)
+    model = make_estimator("XGBoost", n_estimators=1, max_depth=1, learning_rate=0.3, min_child_weight=3).fit(_train(frame))
+    return rounded(model.transform(frame).select("key", "prediction"), 4, "prediction")
+
+
+@query("boost_rounds", sql(SENSORS, KNOWN, _VECTORS, *_rounds_sql(6, 0.5, 2.0, 40.0), """
+    SELECT key, round(amount - e, 4) AS prediction FROM left6"""))
+def boost_rounds(spark, sf):
+    _, frame = _stump(spark, sf)
+    model = make_estimator("XGBoost", n_estimators=6, max_depth=1, learning_rate=0.5, min_child_weight=40, reg_lambda=2.0).fit(_train(frame))
+    return rounded(model.transform(frame).select("key", "prediction"), 4, "prediction")
+
+
+@query("tree_min_split", sql(SENSORS, KNOWN, _VECTORS, _STUMP, """
+    halves AS (SELECT train.*, lines <= v AS low, count(*) OVER (PARTITION BY lines <= v) AS m FROM train, stump),
+    again AS (SELECT low, lines AS v, any_value(m) AS m, count(*) AS n, sum(amount) AS s, sum(amount * amount) AS q FROM halves GROUP BY low, lines),
+    cuts AS (SELECT a.low, a.m, a.v, sum(b.n) FILTER (b.v <= a.v) AS nl, sum(b.s) FILTER (b.v <= a.v) AS sl,
+                    sum(b.n) FILTER (b.v > a.v) AS nr, sum(b.s) FILTER (b.v > a.v) AS sr
+             FROM again a JOIN again b ON a.low = b.low GROUP BY a.low, a.m, a.v),
+    second AS (SELECT low, v AS w, sl / nl AS below, sr / nr AS above FROM cuts
+               WHERE nr > 0 AND m >= (SELECT count(*) // 2 FROM train)
+               QUALIFY row_number() OVER (PARTITION BY low ORDER BY sl * sl / nl + sr * sr / nr DESC) = 1)""", """
+    SELECT key, round(CASE WHEN w IS NULL THEN p WHEN lines <= w THEN below ELSE above END, 4) AS prediction
+    FROM (SELECT stumped.*, lines <= v AS low FROM stumped, stump) LEFT JOIN second USING (low)"""))
+def tree_min_split(spark, sf):
+    """Two levels, but only nodes with half of the rows or more are split: the root and its larger side."""
+    _, frame = _stump(spark, sf)
+    train = _train(frame)
+    model = make_estimator("DecisionTree", max_depth=2, min_samples_split=train.count() // 2).fit(train)
+    return rounded(model.transform(frame).select("key", "prediction"), 4, "prediction")
+
+
 @query("grid_search")
 def grid_search_query(spark, sf):
     found = grid_search(_train(_frame(spark, sf)).drop("key", "split"), "DecisionTree",
@@ -452,7 +503,9 @@ def shap_additivity(spark, sf):
 
 @query("shap_additivity_boosted", sql(SENSORS, KNOWN, "SELECT count(*) AS n, count(*) AS additive FROM known"))
 def shap_additivity_boosted(spark, sf):
-    model, frame = _explained(spark, sf, "XGBoost", n_estimators=5, max_depth=3)
+    """As many trees as a production run has; they are explained group by group."""
+    model, frame = _explained(spark, sf, "XGBoost", n_estimators=1200, max_depth=3, learning_rate=0.01, min_child_weight=3,
+                              subsample=0.8, colsample_bytree=0.8)
     values, base = at.shap_values(model, model.transform(frame), ["prediction"])
     total = F.aggregate("phi", F.lit(float(base)), lambda a, v: a + v)
     close = F.abs(total - F.col("prediction")) < 1e-6 * F.greatest(F.abs("prediction"), F.lit(1.0))

@@ -3,23 +3,16 @@
 from __future__ import annotations
 
 import math
-import uuid
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import (
-    DecisionTreeRegressionModel, GBTRegressionModel, RandomForestRegressionModel)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.models.trees import Tree, TreeModel
 from tidewright.operators.metrics import metric_columns
 from tidewright.operators.quantiles import quantiles
-from tidewright.session import shared_folder
-
-TREE_MODELS = (DecisionTreeRegressionModel, GBTRegressionModel, RandomForestRegressionModel)
 
 
 def _features(names: Sequence[str]) -> Column:
@@ -27,8 +20,8 @@ def _features(names: Sequence[str]) -> Column:
 
 
 def tree_importance(model, names: Sequence[str], spark, top: int = 15) -> DataFrame:
-    """Impurity importance the model kept from fitting, largest first."""
-    rows = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray())]
+    """Importance by the gains of a tree model's splits, largest first."""
+    rows = [(n, float(v)) for n, v in zip(names, model.feature_importances())]
     return spark.createDataFrame(rows, "feature string, importance double") \
         .orderBy(F.col("importance").desc(), "feature").limit(top)
 
@@ -61,8 +54,8 @@ def permutation_importance(model, frame: DataFrame, names: Sequence[str], repeat
     rows = frame.select("row_id", vector_to_array("features").alias("x"), "label")
     n = rows.count()
     used = list(range(len(names)))
-    if isinstance(model, TREE_MODELS):
-        used = [i for i, v in enumerate(model.featureImportances.toArray()) if v > 0]
+    if isinstance(model, TreeModel):
+        used = [i for i, v in enumerate(model.feature_importances()) if v > 0]
     big = lambda v: F.lit(v).cast("decimal(19,0)")
     donors = F.array(*[
         F.struct(F.lit(r).alias("repeat"),
@@ -92,167 +85,69 @@ def permutation_importance(model, frame: DataFrame, names: Sequence[str], repeat
 
 # ---------------------------------------------------------------- trees
 
-@dataclass(frozen=True)
-class Leaf:
-    """A leaf seen from the root: its value, and per feature on the way the interval and the share of
-    rows that stays on the way when the feature is unknown."""
-
-    value: float
-    share: float
-    features: tuple[int, ...]
-    low: tuple[float, ...]
-    high: tuple[float, ...]
-    kept: tuple[float, ...]
-
-
-# Nodes of the trees that are held and sent at once, and bytes of their tables of Shapley values.
-GROUP_NODES, TABLE_BYTES = 200_000, 32 << 20
-
-
-def tree_leaves(model, spark) -> tuple[list[Leaf], float]:
-    """Leaves of all trees, and the expected prediction."""
-    leaves = [leaf for group in leaf_groups(model, spark) for leaf in group]
-    return leaves, sum(leaf.value * leaf.share for leaf in leaves)
+def tree_shapley(tree: Tree, x: np.ndarray) -> np.ndarray:
+    """Path-dependent Shapley values of one tree, a row per row of ``x``.
 
-
-def leaf_groups(model, spark, limit: int | None = None) -> Iterator[list[Leaf]]:
-    """Leaves of the trees, with values scaled so that the model's prediction is a sum over trees.
-
-    The nodes are written as a table and read back for as many trees at a time as have about ``limit``
-    nodes, so a large forest is never held whole.
-    """
-    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data")
-    if "nodeData" in nodes.columns:
-        nodes = nodes.select("treeID", "nodeData.*")
-    else:
-        nodes = nodes.select(F.lit(0).alias("treeID"), "*")
-    table = nodes.select("treeID", "id", "prediction", "rawCount", "leftChild", "rightChild",
-                         F.col("split.featureIndex").alias("feature"),
-                         F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("cut"))
-    sizes = dict(map(tuple, table.groupBy("treeID").count().orderBy("treeID").collect()))
-    if isinstance(model, GBTRegressionModel):
-        weight = dict(enumerate(model.treeWeights))
-    elif isinstance(model, RandomForestRegressionModel):
-        weight = {t: 1 / len(sizes) for t in sizes}
-    else:
-        weight = {t: 1.0 for t in sizes}
-    group, held = [], 0
-    for tree, size in sizes.items():
-        if group and held + size > (limit or GROUP_NODES):
-            yield _leaves_of(table, group, weight)
-            group, held = [], 0
-        group.append(tree)
-        held += size
-    if group:
-        yield _leaves_of(table, group, weight)
-
-
-def _leaves_of(table: DataFrame, group: Sequence[int], weight: dict[int, float]) -> list[Leaf]:
-    trees: dict[int, dict] = {}
-    for row in table.where(F.col("treeID").isin(list(group))).collect():
-        trees.setdefault(row["treeID"], {})[row["id"]] = row
-    leaves: list[Leaf] = []
-    for tree, by_id in trees.items():
-        stack = [(by_id[0], {}, 1.0)]
-        while stack:
-            node, limits, share = stack.pop()
-            if node["leftChild"] < 0:
-                order = sorted(limits)
-                leaves.append(Leaf(weight[tree] * node["prediction"], share, tuple(order),
-                                   *[tuple(limits[f][i] for f in order) for i in range(3)]))
-                continue
-            f, cut = node["feature"], node["cut"]
-            low, high, kept = limits.get(f, (-math.inf, math.inf, 1.0))
-            for child, bounds in ((by_id[node["leftChild"]], (low, min(high, cut))),
-                                  (by_id[node["rightChild"]], (max(low, cut), high))):
-                part = child["rawCount"] / node["rawCount"]
-                stack.append((child, {**limits, f: (*bounds, kept * part)}, share * part))
-    return leaves
-
-
-def _leaf_shapley(on: np.ndarray, kept: np.ndarray) -> np.ndarray:
-    """Shapley values of the game 'value 1 if the leaf is reached', one row per pattern of ``on``.
-
-    A coalition reaches the leaf with the product of on (members) and kept (others), so
-    the weighted sum over coalitions is read from the coefficients of a product of
-    linear polynomials, one per other feature.
+    A coalition reaches a leaf with the product, over the features on the way, of one or nothing for members and the share of the
+    rows that stays on the way for others. Divided by the shares, a feature's factor is q: 0, or 1 / share. Its
+    Shapley value is (q - 1) times the integral from 0 to 1 of the product of 1 + (q - 1) t over the other features, since
+    the weight of a coalition is a Beta integral; Gauss's rule makes it exact with half as many places as there are features
+    on the way. The product is extended at every node by its feature's factor and, on the way back, divided by it; a
+    feature met again takes its earlier factor back. So a node costs one pass over the rows, however many leaves lie below.
     """
-    rows, m = on.shape
-    out = np.zeros((rows, m))
-    weight = np.array([math.factorial(s) * math.factorial(m - 1 - s) / math.factorial(m) for s in range(m)])
-    for j in range(m):
-        poly = np.zeros((rows, m))
-        poly[:, 0] = 1
-        for i in range(m):
-            if i != j:
-                shifted = np.zeros_like(poly)
-                shifted[:, 1:] = poly[:, :-1] * on[:, i:i + 1]
-                poly = poly * kept[i] + shifted
-        out[:, j] = (poly * weight).sum(axis=1) * (on[:, j] - kept[j])
-    return out
-
-
-# Up to this many features on the way to a leaf, its values for all patterns are tabled once.
-_TABLED = 8
-
-
-def _with_tables(leaves: Sequence[Leaf]) -> list[tuple[Leaf, np.ndarray | None]]:
-    out, held = [], 0
-    for leaf in leaves:
-        m, table = len(leaf.features), None
-        if 0 < m <= _TABLED and held + 8 * m * 2 ** m <= TABLE_BYTES:
-            held += 8 * m * 2 ** m
-            patterns = (np.arange(2 ** m)[:, None] >> np.arange(m)) & 1
-            table = _leaf_shapley(patterns.astype(float), np.array(leaf.kept)) * leaf.value
-        out.append((leaf, table))
+    out = np.zeros(x.shape)
+    depth = np.zeros(len(tree.feature), np.int64)
+    for node in np.flatnonzero(tree.feature >= 0):  # children follow their parents
+        depth[tree.left[node]] = depth[tree.right[node]] = depth[node] + 1
+    most = min(int(depth.max()), x.shape[1])
+    if not most:
+        return out
+    place, weight = np.polynomial.legendre.leggauss(-(-most // 2))
+    place, weight = (place + 1) / 2, weight / 2
+    share = tree.cover / tree.cover[0]
+    # A frame of the walk: node, product so far, latest q of each feature on the way, sum over the leaves below, the edge
+    # that led here (feature, q, the q it replaced), and the children yet to be seen.
+    children = lambda node: [tree.left[node], tree.right[node]] if tree.feature[node] >= 0 else []
+    frames = [[0, np.ones((len(x), len(place))), {}, 0.0, None, children(0)]]
+    while True:
+        node, product, known, below, edge, rest = frames[-1]
+        if rest:
+            child, f = rest.pop(), tree.feature[node]
+            goes = (x[:, f] <= tree.cut[node]) == (child == tree.left[node])
+            old = known.get(f)
+            q = goes * (tree.cover[node] / tree.cover[child]) * (1.0 if old is None else old)
+            extended = product * (1 + (q - 1)[:, None] * place)
+            if old is not None:
+                extended /= 1 + (old - 1)[:, None] * place
+            frames.append([child, extended, {**known, f: q}, 0.0, (f, q, old), children(child)])
+            continue
+        frames.pop()
+        if tree.feature[node] < 0:
+            below = product * (tree.value[node] * share[node])
+        if edge is None:
+            return out
+        f, q, old = edge
+        out[:, f] += (q - 1) * ((below / (1 + (q - 1)[:, None] * place)) @ weight)
+        if old is not None:
+            out[:, f] -= (old - 1) * ((below / (1 + (old - 1)[:, None] * place)) @ weight)
+        frames[-1][3] = frames[-1][3] + below
+
+
+def _shapley(trees: list[tuple[int, float, Tree]], x: np.ndarray) -> np.ndarray:
+    out = np.zeros(x.shape)
+    for _, weight, tree in trees:
+        out += weight * tree_shapley(tree, x)
     return out
 
 
-def _shapley(leaves: Sequence[tuple[Leaf, np.ndarray | None]], x: np.ndarray) -> np.ndarray:
-    phi = np.zeros(x.shape)
-    for leaf, table in leaves:
-        if not leaf.features:
-            continue
-        inside = [(x[:, f] > lo) & (x[:, f] <= hi) for f, lo, hi in zip(leaf.features, leaf.low, leaf.high)]
-        if table is not None:
-            pattern = np.zeros(len(x), dtype=np.int64)
-            for i, on in enumerate(inside):
-                pattern |= on.astype(np.int64) << i
-            values = table[pattern]
-        else:
-            patterns, which = np.unique(np.column_stack(inside), axis=0, return_inverse=True)
-            values = (_leaf_shapley(patterns.astype(float), np.array(leaf.kept)) * leaf.value)[which.ravel()]
-        for i, f in enumerate(leaf.features):
-            phi[:, f] += values[:, i]
-    return phi
-
-
-def shap_values(model, frame: DataFrame, keep: Sequence[str] = ("row_id",)) -> tuple[DataFrame, float]:
+def shap_values(model: TreeModel, frame: DataFrame, keep: Sequence[str] = ("row_id",)) -> tuple[DataFrame, float]:
     """Path-dependent Shapley values of a tree model, as the array ``phi`` per row, and the base value.
 
     Base plus the sum of a row's values is the model's prediction for it.
     """
-    if not isinstance(model, TREE_MODELS):
+    if not isinstance(model, TreeModel):
         raise ValueError("tree models only; use shap_sampled for others")
-    spark = frame.sparkSession
-    out, base = frame.select(*keep, vector_to_array("features").alias("_x")), 0.0
-    for number, leaves in enumerate(leaf_groups(model, spark)):
-        base += sum(leaf.value * leaf.share for leaf in leaves)
-        # Trees of GROUP_NODES nodes and TABLE_BYTES of tables; a larger model adds up over several groups.
-        explained = _explainer(spark.sparkContext.broadcast(_with_tables(leaves)))(F.col("_x"))
-        out = out.withColumn("phi", explained if not number else F.zip_with("phi", explained, lambda a, b: a + b))
-    return out.drop("_x"), base
-
-
-def _explainer(shared):
-    @F.pandas_udf("array<double>")
-    def explain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series(list(_shapley(shared.value, np.vstack(batch))) if len(batch) else [], dtype=object)
-
-    return explain
+    return model.per_row(frame.select(*keep, "features"), _shapley, model.width, "phi").drop("features"), model.expected()
 
 
 def _mean_abs(values: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -342,10 +237,8 @@ def partial_dependence(model, frame: DataFrame, names: Sequence[str], feature: s
     spark = frame.sparkSession
     index = list(names).index(feature)
     grid = _grid(frame, index, points)
-    if isinstance(model, TREE_MODELS):
-        average = np.zeros(len(grid))
-        for leaves in leaf_groups(model, spark):
-            average += [_expected(leaves, index, g) for g in grid]
+    if isinstance(model, TreeModel):
+        average = model.partial_dependence(index, grid)
         return spark.createDataFrame([(float(g), float(v)) for g, v in zip(grid, average)], "value double, average double")
     x = vector_to_array("features")
     trials = frame.select("row_id", x.alias("x"), F.posexplode(F.array(*[F.lit(float(g)) for g in grid])).alias("at", "value"))
@@ -354,15 +247,3 @@ def partial_dependence(model, frame: DataFrame, names: Sequence[str], feature: s
                            (F.col("row_id") * len(grid) + F.col("at")).alias("row_id"))
     return model.transform(trials).groupBy("value").agg(F.avg("prediction").alias("average")).orderBy("value")
 
-
-def _expected(leaves: Sequence[Leaf], index: int, value: float) -> float:
-    """Expected prediction when one feature is known and the rest follow the node counts."""
-    total = 0.0
-    for leaf in leaves:
-        if index in leaf.features:
-            i = leaf.features.index(index)
-            if leaf.low[i] < value <= leaf.high[i]:
-                total += leaf.value * leaf.share / leaf.kept[i]
-        else:
-            total += leaf.value * leaf.share
-    return total

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import fields
 
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
-
 from tidewright.models.adaboost import AdaBoostRegressor
 from tidewright.models.knn import KnnRegressor
 from tidewright.models.mlp import MlpRegressor
+from tidewright.models.trees import BoostedRegressor, ForestRegressor, Limits
 
-# Trees of Spark end at this depth; "no limit" means this.
-DEEPEST = 30
-# Places at which a column may be split, at most: quantiles of its values, all values if they are fewer.
-MAX_BINS = 256
 SEED = 42
 
 # Grids used when none are configured.
@@ -32,15 +26,9 @@ NETWORK_NAMES = {"hidden_layers": "hidden", "dropout_rate": "dropout", "early_st
                  "validation_split": "validation_share"}
 
 
-def _tree_limits(params: dict) -> dict:
-    """Depth, node sizes and split places. A node of s rows may be split if both halves can hold s / 2."""
-    depth = params.pop("max_depth", None)
-    if depth is not None and depth > DEEPEST:
-        raise ValueError(f"max_depth {depth} is beyond {DEEPEST}, the deepest tree Spark grows")
-    leaf = params.pop("min_samples_leaf", 1)
-    split = params.pop("min_samples_split", 2)
-    return {"maxDepth": DEEPEST if depth is None else depth, "maxBins": params.pop("max_bins", MAX_BINS),
-            "minInstancesPerNode": max(leaf, math.ceil(split / 2))}
+def _limits(params: dict, names: dict[str, object]) -> Limits:
+    """The settings of ``params`` that limit a tree, by name and default, taken out of them."""
+    return Limits(**{name: params.pop(name, default) for name, default in names.items()})
 
 
 def _network(params: dict) -> dict:
@@ -57,25 +45,20 @@ def _network(params: dict) -> dict:
     return out
 
 
-def _share(value: float) -> str:
-    return "all" if value >= 1 else str(value)
-
-
 def make_estimator(name: str, **params):
     """An estimator with ``fit(frame)``; the fitted model has ``transform(frame)``."""
     params = dict(params)
-    if name == "RandomForest":
-        made = RandomForestRegressor(numTrees=params.pop("n_estimators", 100), featureSubsetStrategy="all",
-                                     seed=SEED, **_tree_limits(params))
-    elif name == "DecisionTree":
-        made = DecisionTreeRegressor(seed=SEED, **_tree_limits(params))
+    bins = {"max_bins": params.pop("max_bins")} if "max_bins" in params and name in ("RandomForest", "DecisionTree", "XGBoost") else {}
+    if name in ("RandomForest", "DecisionTree"):
+        limits = _limits(params, {"max_depth": None, "min_samples_split": 2, "min_samples_leaf": 1})
+        many = name == "RandomForest"
+        made = ForestRegressor(params.pop("n_estimators", 100) if many else 1, limits, bootstrap=many, seed=SEED, **bins)
     elif name == "XGBoost":
-        limits = _tree_limits({"max_depth": params.pop("max_depth", 6), "max_bins": params.pop("max_bins", MAX_BINS),
-                               "min_samples_leaf": params.pop("min_child_weight", 1)})
-        made = GBTRegressor(maxIter=params.pop("n_estimators", 100), stepSize=params.pop("learning_rate", 0.3),
-                            subsamplingRate=params.pop("subsample", 1.0),
-                            featureSubsetStrategy=_share(params.pop("colsample_bytree", 1.0)),
-                            seed=SEED, **limits)
+        limits = _limits({**params, "penalty": params.pop("reg_lambda", 1.0)}, {"max_depth": 6, "min_child_weight": 1.0, "penalty": 1.0})
+        for taken in ("max_depth", "min_child_weight"):
+            params.pop(taken, None)
+        made = BoostedRegressor(params.pop("n_estimators", 100), params.pop("learning_rate", 0.3), limits,
+                                params.pop("subsample", 1.0), params.pop("colsample_bytree", 1.0), seed=SEED, **bins)
     elif name == "AdaBoost":
         return AdaBoostRegressor(**params)
     elif name == "KNN":

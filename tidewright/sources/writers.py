@@ -58,14 +58,13 @@ def save_model(fitted, folder: str, model: str, period: str) -> str:
 
 def load_model(name: str, path: str):
     """The fitted model of the given name (as for ``make_estimator``) that ``save_model`` wrote."""
-    from pyspark.ml.regression import DecisionTreeRegressionModel, GBTRegressionModel, RandomForestRegressionModel
-
     from tidewright.models.adaboost import AdaBoostModel
     from tidewright.models.knn import KnnModel
     from tidewright.models.mlp import MlpModel
+    from tidewright.models.trees import TreeModel
 
-    kinds = {"RandomForest": RandomForestRegressionModel, "DecisionTree": DecisionTreeRegressionModel,
-             "XGBoost": GBTRegressionModel, "AdaBoost": AdaBoostModel, "KNN": KnnModel, "DNN": MlpModel}
+    kinds = {"RandomForest": TreeModel, "DecisionTree": TreeModel, "XGBoost": TreeModel,
+             "AdaBoost": AdaBoostModel, "KNN": KnnModel, "DNN": MlpModel}
     if name not in kinds:
         raise ValueError(f"unknown model {name!r}")
     return kinds[name].load(path)
