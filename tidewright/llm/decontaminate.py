@@ -26,6 +26,7 @@ repeat; an empty table on either side gives an empty result.
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.arrowtext import U64, Words, flat, mix, pieces, words
+from tidewright.llm.arrowtext import U64, Words, flat, mix, sized, words
 
 LEAST_WORDS = 8
 WALKS, SAMPLES, BITS = 4, 14, 5
@@ -47,8 +48,10 @@ _PLAIN[65:91] += 32
 for _c in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
     _PLAIN[_c] = 32
 _FILTER_BITS = 18
-#: Probes whose keys are held at once.
-_PROBES = 1 << 16
+#: Pairs whose distances are found together.
+_PAIRS = 1024
+#: Probes whose keys are held at once, and bytes of texts.
+_PROBES, _TEXT_BYTES = 1 << 14, 1 << 19
 
 
 def plain_words(column: pa.Array) -> Words:
@@ -66,6 +69,7 @@ def window_of(n_words: int) -> int:
     return size
 
 
+@lru_cache(None)
 def _places(size: int, walk: int) -> np.ndarray:
     """Sampled steps of each key, one from each of ``BITS`` equal parts of the walk.
 
@@ -77,11 +81,16 @@ def _places(size: int, walk: int) -> np.ndarray:
     return np.array([[rng.integers(a, max(b, a + 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)] for _ in range(SAMPLES)])
 
 
-def keys(hashes: np.ndarray, starts: np.ndarray, size: int, walk: int) -> np.ndarray:
-    """(``SAMPLES``, windows) keys of the embedded windows ``hashes[s:s + size]``."""
+def seeded(hashes: np.ndarray, size: int, walk: int) -> list[np.ndarray]:
+    """The words' hashes for each 64 steps of a walk."""
+    seeds = [mix(hashes ^ U64(1 + walk + 64 * part)) for part in range(int(_places(size, walk).max()) // 64 + 1)]
+    return [np.concatenate([s, np.zeros(size, U64)]) for s in seeds]  # a walk may end behind the last word
+
+
+def keys(seeds: list[np.ndarray], starts: np.ndarray, size: int, walk: int) -> np.ndarray:
+    """(``SAMPLES``, windows) keys of the embedded windows of ``size`` words from each start on; ``seeds`` as from ``seeded``."""
     places = _places(size, walk)
-    seeds = [mix(hashes ^ U64(1 + walk + 64 * part)) for part in range(int(places.max()) // 64 + 1)]
-    seeds = [np.concatenate([s, np.zeros(size, U64)]) for s in seeds]  # a walk may end behind the last word
+    # A key is the sum of its words' hashes. Which of the words stood where is left to the exact distance.
     at, stop = starts.astype(np.int64), starts + size
     out = np.zeros((SAMPLES, len(starts)), U64)
     for step in range(int(places.max()) + 1):
@@ -89,7 +98,6 @@ def keys(hashes: np.ndarray, starts: np.ndarray, size: int, walk: int) -> np.nda
         if step >= size:
             word[at >= stop] = 0
         for sample in np.flatnonzero((places == step).any(1)):
-            out[sample] *= U64(0x9E3779B97F4A7C15)
             out[sample] += word
         word >>= U64(step % 64)
         word &= U64(1)
@@ -118,20 +126,106 @@ def infix_distance(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def infix_distances(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
+    """For each pair the least edit distance of the item to a part of the text, both as code points; all pairs step by step together."""
+    out = np.zeros(len(items), np.int64)
+    order = sorted(range(len(items)), key=lambda i: (-(-len(items[i]) // 64), len(texts[i])))
+    for a in range(0, len(order), _PAIRS):
+        own = order[a:a + _PAIRS]
+        out[own] = _infix_distances([items[i] for i in own], [texts[i] for i in own])
+    return out
+
+
+def _infix_distances(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
+    n, size = len(items), np.array([len(x) for x in items])
+    letters = np.unique(np.concatenate(items))
+    last, steps = (size - 1) // 64, max(len(t) for t in texts)
+    least, blocks = int(last.min()), int(last.max()) + 1
+    # Bits of the item's places that hold a letter; the last line is of letters no item has.
+    masks = np.zeros((blocks, n, len(letters) + 1), U64)
+    coded = np.full((steps, n), len(letters))
+    for i, (item, text) in enumerate(zip(items, texts, strict=True)):
+        place = np.arange(len(item))
+        np.bitwise_or.at(masks[:, i], (place // 64, np.searchsorted(letters, item)), U64(1) << (place % 64).astype(U64))
+        found = np.minimum(np.searchsorted(letters, text), len(letters) - 1)
+        coded[:len(text), i] = np.where(letters[found] == text, found, len(letters))
+    coded += np.arange(n) * (len(letters) + 1)
+    masks, one, none = masks.reshape(blocks, -1), U64(1), np.zeros(n, U64)
+    up, down = np.full((blocks, n), ~U64(0)), np.zeros((blocks, n), U64)
+    top = [np.where(last == b, (size - 1) % 64, 63).astype(U64) for b in range(blocks)]
+    ends = [last == b for b in range(blocks)]
+    length = np.array([len(t) for t in texts])
+    score, best = size.copy(), size.copy()
+    for step in range(steps):
+        plus_in = minus_in = none  # a part may begin anywhere
+        for b in range(blocks):
+            eq, pv, mv = masks[b].take(coded[step]), up[b], down[b]
+            xv = eq | mv
+            eq |= minus_in
+            xh = eq & pv
+            xh += pv
+            xh ^= pv
+            xh |= eq
+            minus = xh & pv
+            xh |= pv
+            plus = ~xh
+            plus |= mv
+            plus_out, minus_out = plus >> top[b], minus >> top[b]
+            plus_out &= one
+            minus_out &= one
+            plus <<= one
+            plus |= plus_in
+            minus <<= one
+            minus |= minus_in
+            np.bitwise_and(plus, xv, out=mv)
+            xv |= plus
+            np.invert(xv, out=pv)
+            pv |= minus
+            if b >= least:
+                score += (plus_out - minus_out).view(np.int64) * ends[b]
+            plus_in, minus_in = plus_out, minus_out
+        score[step >= length] = size[step >= length]  # behind its text a pair changes no more
+        np.minimum(best, score, out=best)
+    return best
+
+
+class _Spelled:
+    """The words of some texts with a blank after each, in code points."""
+
+    def __init__(self, found: Words):
+        size = found.stop - found.start + 1
+        upto = np.cumsum(size)
+        data = np.append(found.data, np.uint8(32))[np.repeat(found.start - (upto - size), size) + np.arange(int(size.sum()))]
+        data[upto - 1] = 32
+        self.chars = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        #: Where each word begins, and at the end where one more would.
+        begins = np.cumsum(np.concatenate([[0], (data & 0xC0) != 0x80]))
+        self.word = begins[np.concatenate([[0], upto])]
+
+    def between(self, a: int, b: int) -> np.ndarray:
+        """Words a to b, without the blank at the end."""
+        return self.chars[self.word[a]:max(self.word[a], self.word[b] - 1)]
+
+
+def _text(chars: np.ndarray) -> str:
+    return chars.tobytes().decode("utf-32-le")
+
+
 class ItemIndex:
     """Keys of all windows of a block of items, by window size, walk and sample."""
 
     def __init__(self, items: list[tuple[int, str]]):
         found = plain_words(pa.array([t for _, t in items], pa.string()))
         hashes, first = found.hashes(), found.first
-        self.items: list[tuple[int, str, int]] = []
-        #: Per table the sorted keys, the items and the words at which their windows begin, and a filter of leading bits.
+        spelled = _Spelled(found)
+        #: Id, text in words with one blank between, and number of words of every item.
+        self.items: list[tuple[int, np.ndarray, int]] = []
+        #: Per table the sorted keys, the items and the words at which their windows begin, and which leading bits occur.
         self.tables: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         by_size = defaultdict(list)
         for i, (item_id, _) in enumerate(items):
             a, b = first[i], first[i + 1]
-            spelled = " ".join(found.data[found.start[k]:found.stop[k]].tobytes().decode("utf-8", "replace") for k in range(a, b))
-            self.items.append((item_id, spelled, b - a))
+            self.items.append((item_id, spelled.between(a, b), b - a))
             if b - a >= LEAST_WORDS:
                 by_size[window_of(b - a)].append(i)
         self.sizes = sorted(by_size)
@@ -139,12 +233,13 @@ class ItemIndex:
             at = np.concatenate([np.arange(first[i], first[i + 1] - size + 1) for i in members])
             owner = np.concatenate([np.full(first[i + 1] - first[i] - size + 1, i) for i in members])
             for walk in range(WALKS):
-                for sample, column in enumerate(keys(hashes, at, size, walk)):
+                for sample, column in enumerate(keys(seeded(hashes, size, walk), at, size, walk)):
                     order = np.argsort(column, kind="stable")
                     bits = np.zeros(1 << _FILTER_BITS, bool)
                     bits[column >> U64(64 - _FILTER_BITS)] = True
                     self.tables[size, walk, sample] = (
-                        column[order], owner[order].astype(np.int32), (at - first[owner])[order].astype(np.int32), bits)
+                        column[order], owner[order].astype(np.int32), (at - first[owner])[order].astype(np.int32),
+                        np.packbits(bits, bitorder="little"))
 
     def probe(self, found: Words) -> dict[int, set[tuple[int, int]]]:
         """Per text: the items it may hold, each with the words at which the item would begin."""
@@ -160,9 +255,11 @@ class ItemIndex:
             begin = np.repeat(np.cumsum(count) - count, count)
             at = first[text] + (np.arange(len(text)) - begin) * stride
             for walk, a in product(range(WALKS), range(0, len(at), _PROBES)):
-                for sample, column in enumerate(keys(hashes, at[a:a + _PROBES], size, walk)):
+                seeds = seeded(hashes, size, walk) if not a else seeds
+                for sample, column in enumerate(keys(seeds, at[a:a + _PROBES], size, walk)):
                     key, owner, offset, bits = self.tables[size, walk, sample]
-                    some = np.flatnonzero(bits.take((column >> U64(64 - _FILTER_BITS)).view(np.int64)))
+                    lead = (column >> U64(64 - _FILTER_BITS)).view(np.int64)
+                    some = np.flatnonzero(bits.take(lead >> 3) >> (lead & 7).astype(np.uint8) & 1)
                     low, high = (np.searchsorted(key, column[some], side) for side in ("left", "right"))
                     met = low < high
                     for k, i, j in zip((a + some[met]).tolist(), low[met].tolist(), high[met].tolist(), strict=True):
@@ -176,33 +273,33 @@ class ItemIndex:
         if not len(found.start):
             return {}
         _, offsets = flat(column)
-        out = {}
+        spelled = _Spelled(found)
+        places = []  # text, item, first and last word around the place at which the item may be
         for text, wanted in self.probe(found).items():
             base, total = int(found.first[text]), int(found.first[text + 1] - found.first[text])
-            best: dict[int, tuple[int, int, int]] = {}
             looked: dict[int, int] = {}
             for item, begin in sorted(wanted):
-                _, spelled, n = self.items[item]
+                n = self.items[item][2]
                 slack = 2 + int(share * n)
                 if begin <= looked.get(item, -total - n):
                     continue
                 looked[item] = begin + slack // 2
-                a, b = max(0, begin - slack), min(total, begin + n + 2 * slack)
-                parts = [found.data[found.start[base + k]:found.stop[base + k]].tobytes().decode("utf-8", "replace")
-                         for k in range(a, b)]
-                around = " ".join(parts)
-                distance, end = infix_distance(spelled, around)
-                if distance > share * len(spelled):
-                    continue
-                _, back = infix_distance(spelled[::-1], around[:end][::-1])
-                edges = np.cumsum([0] + [len(p) + 1 for p in parts])
-                w0 = int(np.searchsorted(edges, end - back, "right")) - 1
-                w1 = max(w0, int(np.searchsorted(edges, end, "left")) - 1)
-                here = (distance, int(found.start[base + a + w0] - offsets[text]), int(found.stop[base + a + w1] - offsets[text]))
-                best[item] = min(best.get(item, here), here)
-            if best:
-                out[text] = sorted((self.items[i][0], d, len(self.items[i][1]), a, b) for i, (d, a, b) in best.items())
-        return out
+                places.append((text, item, base + max(0, begin - slack), base + min(total, begin + n + 2 * slack)))
+        distances = infix_distances([self.items[i][1] for _, i, _, _ in places], [spelled.between(a, b) for _, _, a, b in places])
+        out = defaultdict(dict)
+        for (text, item, a, b), distance in zip(places, distances.tolist(), strict=True):
+            own = self.items[item][1]
+            if distance > share * len(own):
+                continue
+            around, wanted = _text(spelled.between(a, b)), _text(own)
+            _, end = infix_distance(wanted, around)
+            _, back = infix_distance(wanted[::-1], around[:end][::-1])
+            edges = spelled.word[a:b + 1] - spelled.word[a]
+            w0 = a + int(np.searchsorted(edges, end - back, "right")) - 1
+            w1 = max(w0, a + int(np.searchsorted(edges, end, "left")) - 1)
+            here = (distance, int(found.start[w0] - offsets[text]), int(found.stop[w1] - offsets[text]))
+            out[text][item] = min(out[text].get(item, here), here)
+        return {text: sorted((self.items[i][0], d, len(self.items[i][1]), a, b) for i, (d, a, b) in best.items()) for text, best in out.items()}
 
 
 def blocks(items: DataFrame, id: str = "item_id", text: str = "text") -> list[list[tuple[int, str]]]:
@@ -227,7 +324,7 @@ def find_items(df: DataFrame, items: DataFrame, share: float = SHARE) -> DataFra
 
         def run(batches):
             index = ItemIndex(sent.value)
-            for batch in pieces(batches):
+            for batch in sized(batches, 1, _TEXT_BYTES):
                 out = [[] for _ in names]
                 for text, found in index.matches(batch.column(1), share).items():
                     raw = batch.column(1)[text].as_py().encode()
@@ -254,7 +351,7 @@ def drop_contaminated(df: DataFrame, items: DataFrame, share: float = SHARE) ->
 
         def run(batches):
             index = ItemIndex(sent.value)
-            for batch in pieces(batches):
+            for batch in sized(batches, 0, _TEXT_BYTES):
                 held = index.matches(batch.column(0), share)
                 clean = np.ones(batch.num_rows, bool)
                 clean[list(held)] = False
