@@ -201,13 +201,6 @@ def test_forecast_regressor_and_periods(spark):
     assert none.columns == table.columns and none.count() == 1
 
 
-def test_forecast_interval_widens(spark):
-    df = season(spark, "additive").withColumn("y", F.col("y") + F.abs(F.hour("ds") - 12) + F.dayofmonth("ds") % 5)
-    model = fc.fit_forecast(df.where("ds < '2024-01-15'"), "ds", "y", fc.ForecastConfig(daily=True))
-    width = model.transform(df).select("ds", (F.col("yhat_upper") - F.col("yhat_lower")).alias("w")).orderBy("ds").toPandas()["w"].to_numpy()
-    assert np.allclose(width[:24 * 14], width[0]) and (np.diff(width[24 * 14 + 1:]) > 0).all()
-
-
 def readers_model(name, folder):
     return writers.load_model(name, writers.model_path(str(folder / "m"), name, "Jan A"))
 

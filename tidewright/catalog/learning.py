@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -442,6 +443,40 @@ def forecast_adds_up(spark, sf):
                     F.sum(F.col("ordered").cast("long")).alias("ordered"))
 
 
+@query("forecast_trend_optimal", """SELECT 25::BIGINT AS changes, 25::BIGINT AS optimal, count(*)::BIGINT AS rows
+    FROM (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, count(*) OVER () AS n, value FROM events)
+    WHERE pos < floor(n * 0.8) AND value IS NOT NULL""")
+def forecast_trend_optimal(spark, sf):
+    """Changes of the trend that meet the conditions of the most likely fit, from another pass over the rows.
+
+    The slope of the squared error is sign / prior width at a change, and at most that where there is none.
+    """
+    split, model = _forecast(spark, sf, FORECASTS[1])
+    rows = model.components(_train(split).where("value IS NOT NULL"))
+    error = (F.col("value") - F.col("yhat")) / F.lit(model.scale)
+    hinges = {n: c for n, c in model.trend_columns().items() if n.startswith("hinge")}
+    row = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c * error).alias(n) for n, c in hinges.items()],
+                   *[F.sum(F.abs(c * error)).alias(f"{n}_size") for n, c in hinges.items()]).first()
+    optimal = 0
+    for name in hinges:
+        slope, weight = row[name] / model.noise ** 2, model.trend_weights[name]
+        close = 1e-6 * row[f"{name}_size"] / model.noise ** 2
+        bound = 1 / model.config.changepoint_prior_scale
+        optimal += abs(slope) <= bound + close if weight == 0 else abs(slope - math.copysign(bound, weight)) <= close
+    return spark.createDataFrame([(len(hinges), int(optimal), row["n"])], "changes long, optimal long, rows long")
+
+
+@query("forecast_width", """SELECT count(*) FILTER (pos < floor(n * 0.8)) AS steady, count(*) FILTER (pos >= floor(n * 0.8)) AS wider
+    FROM (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, count(*) OVER () AS n FROM events)""")
+def forecast_width(spark, sf):
+    """Rows of the fit have the interval of the noise, those behind it one that is as wide or wider."""
+    split, model = _forecast(spark, sf, FORECASTS[1])
+    rows = model.transform(split).select("split", (F.col("yhat_upper") - F.col("yhat_lower")).alias("w"))
+    noise = 2 * 1.2815515655446004 * model.noise * model.scale  # four fifths of a normal spread
+    return rows.agg(F.sum(((F.col("split") == "train") & (F.abs(F.col("w") / F.lit(noise) - 1) < 0.01)).cast("long")).alias("steady"),
+                    F.sum(((F.col("split") == "test") & (F.col("w") >= F.lit(noise * 0.99))).cast("long")).alias("wider"))
+
+
 @query("forecast_metrics")
 def forecast_metrics(spark, sf):
     return fc.forecast_periods(events(spark, sf), "ts", "value", ["ts", "event_id"], RANGES, FORECASTS)

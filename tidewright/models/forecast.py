@@ -1,7 +1,9 @@
 """Forecasts from a piecewise-linear trend and Fourier seasons (Taylor and Letham 2018).
 
-The design matrix is a set of column expressions and the fit a ridge regression on it,
-where each column's penalty follows from the width of its prior.
+The design matrix is a set of column expressions. The fit is the most likely one: Gaussian priors on offset, slope,
+seasons and regressors, a Laplace prior on the changes of the trend's rate, which keeps most of them at zero, and a
+half-normal prior on the noise. All of it is found from the sums of products, one pass over the rows. Intervals come from
+paths of the trend with changes to come, as often and as large as those found, and noise around them.
 """
 
 from __future__ import annotations
@@ -10,12 +12,15 @@ import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.functions.draws import laplace, uniform
 from tidewright.functions.scalar import DAY_MICROS, micros
 from tidewright.operators.metrics import regression_metrics, wide_metrics
 from tidewright.operators.periods import filter_dates
@@ -30,8 +35,8 @@ CHANGEPOINTS = 25
 TREND_SCALE, REGRESSOR_SCALE = 5.0, 10.0
 
 
-# Standard deviations from the middle to either end of an interval that holds four fifths of a normal spread.
-INTERVAL_DEVIATIONS = 1.2815515655446004
+# Prior width of the noise, and number of paths behind an interval.
+NOISE_SCALE, PATHS = 0.5, 1000
 
 
 @dataclass(frozen=True)
@@ -45,6 +50,7 @@ class ForecastConfig:
     changepoint_range: float = 0.8
     interval_width: float = 0.8
     regressors: tuple[str, ...] = ()
+    seed: int = 42
 
     def __post_init__(self):
         if self.seasonality_mode not in ("additive", "multiplicative"):
@@ -100,7 +106,8 @@ class ForecastModel:
     regressor_stats: dict[str, tuple[float, float]]
     trend_weights: dict[str, float] = field(default_factory=dict)
     season_weights: dict[str, float] = field(default_factory=dict)
-    band: tuple[float, float] = (0.0, 0.0)
+    #: Standard deviation of the noise, as a part of ``scale``.
+    noise: float = 0.0
 
     def trend_columns(self) -> dict[str, Column]:
         t = (days_since_epoch(self.time) - F.lit(self.start)) / F.lit(self.span)
@@ -127,24 +134,53 @@ class ForecastModel:
         return df.withColumns({"trend": trend, **parts, "yhat": yhat})
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Add yhat and the interval around it, which widens behind the train rows.
+        """Add yhat and the interval around it.
 
-        Within them it is the residual band. Behind them the trend may change its rate as often and by as
-        much as it did; the spread such changes have reached is added in squares.
+        Its ends are quantiles over ``PATHS`` paths. Up to the last train row a path differs from the
+        forecast by noise alone, behind it by the changes of its rate as well. A path's changes and noise follow from its
+        number, so every row, wherever it is, sees the same paths.
         """
-        out = self.components(df).drop("trend", *self.season_columns())
-        ahead = F.greatest(self.trend_columns()["slope"] - 1, F.lit(0.0))
-        drift = F.pow(ahead, 3) * F.lit(self._drift_rate())
-        lower, upper = (F.sqrt(F.lit(b * b) + drift) * math.copysign(1.0, b) for b in (min(self.band[0], -0.0), max(self.band[1], 0.0)))
-        return out.withColumns({"yhat_lower": F.col("yhat") + lower, "yhat_upper": F.col("yhat") + upper})
-
-    def _drift_rate(self) -> float:
-        """Squared half-width of the trend's interval at one train span ahead, per its cube."""
-        if not self.changes or max(self.changes) <= 0:
-            return 0.0
+        t = self.trend_columns()["slope"]
+        out = self.components(df)
+        seasons = reduce(lambda a, b: a + b, [F.col(f"`{n}`") for n in self.season_columns()], F.lit(0.0))
+        level = F.lit(self.scale) * ((1 + seasons) if self.config.seasonality_mode == "multiplicative" else 1)
+        ends = F.arrow_udf(self._spread(), "array<double>")(F.greatest(t - 1, F.lit(0.0)), level.cast("double"))
+        out = out.withColumn("_ends", ends).drop("trend", *self.season_columns())
+        lower, upper = (F.col("yhat") + F.col("_ends")[i] for i in (0, 1))
+        return out.withColumns({"yhat_lower": lower, "yhat_upper": upper}).drop("_ends")
+
+    def _spread(self):
+        """For times behind the train rows, in train spans, and the level of the trend's unit: what quantiles of the paths differ by."""
         jumps = [abs(v) for n, v in self.trend_weights.items() if n not in ("offset", "slope")]
-        per_span = len(self.changes) / max(self.changes)
-        return 2 * (sum(jumps) / len(jumps) * self.scale) ** 2 * per_span / 3 * INTERVAL_DEVIATIONS ** 2
+        size, rate = (sum(jumps) / len(jumps), len(jumps)) if jumps else (0.0, 0)
+        tail, seed, width = (1 - self.config.interval_width) / 2, self.config.seed, self.noise * self.scale
+        number = np.arange(PATHS)
+        # Noise in equally likely steps, dealt to the paths at random.
+        order = np.argsort(uniform(number, seed, -1), kind="stable")
+        noise = np.empty(PATHS)
+        noise[order] = [width * NormalDist().inv_cdf((k + 0.5) / PATHS) for k in range(PATHS)]
+        still = np.quantile(noise, [tail, 1 - tail])
+
+        def spread(ahead: pa.Array, level: pa.Array) -> pa.Array:
+            far, unit = ahead.to_numpy(zero_copy_only=False), level.to_numpy(zero_copy_only=False)
+            out = np.tile(still, (len(far), 1))
+            later = np.flatnonzero(far > 0) if size else np.zeros(0, int)
+            for a in range(0, len(later), 256):
+                rows = later[a:a + 256]
+                off, place, change = np.zeros((len(rows), PATHS)), np.zeros(PATHS), 0
+                while True:  # change by change, until every path is past the last time
+                    place = place - np.log1p(-uniform(number, seed, 2 * change)) / rate
+                    seen = np.flatnonzero(place < far[rows].max())
+                    if not len(seen):
+                        break
+                    step = laplace(uniform(seen, seed, 2 * change + 1), size)
+                    off[:, seen] += np.maximum(far[rows][:, None] - place[seen], 0.0) * step
+                    change += 1
+                out[rows] = np.quantile(off * unit[rows][:, None] + noise, [tail, 1 - tail], axis=1).T
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(far) + 1, dtype=np.int32) * 2), pa.array(out.ravel()))
+
+        spread.__annotations__ = {"ahead": pa.Array, "level": pa.Array, "return": pa.Array}
+        return spread
 
 
 def _gram(design: DataFrame, combine) -> np.ndarray:
@@ -167,42 +203,89 @@ def _gram(design: DataFrame, combine) -> np.ndarray:
     return flat.reshape(math.isqrt(len(rows)), -1)
 
 
-def _solve(gram: np.ndarray, prior: np.ndarray, noise: float) -> tuple[np.ndarray, float]:
-    """Ridge weights from the sums of products, the target in the last place, and the squared error left."""
+def sparse_weights(products: np.ndarray, target: np.ndarray, penalty: np.ndarray, sweeps: int = 20_000) -> np.ndarray:
+    """Weights w that make w'Pw / 2 - w't + sum(penalty * |w|) least, weight by weight; those near the end are solved for at once."""
+    weights, rest, diagonal = np.zeros(len(target)), target.astype(float).copy(), np.maximum(np.diag(products), 1e-300)
+    for sweep in range(sweeps):
+        largest = 0.0
+        for j in range(len(target)):
+            pull = rest[j] + diagonal[j] * weights[j]
+            new = math.copysign(max(abs(pull) - penalty[j], 0.0), pull) / diagonal[j]
+            if new != weights[j]:
+                step = new - weights[j]
+                rest -= products[:, j] * step
+                largest = max(largest, abs(step) * math.sqrt(diagonal[j]))
+                weights[j] = new
+        if sweep % 50 == 49 or not largest:
+            solved = _on_support(products, target, penalty, weights)
+            if solved is not None:
+                return solved
+        if not largest:
+            break
+    return weights
+
+
+def _on_support(products, target, penalty, weights) -> np.ndarray | None:
+    """The solution with the signs of the given weights, if it is the best of all."""
+    some, signs = np.flatnonzero(weights), np.sign(weights)
+    out = np.zeros(len(weights))
+    if len(some):
+        out[some] = np.linalg.lstsq(products[np.ix_(some, some)], target[some] - penalty[some] * signs[some], rcond=1e-14)[0]
+    slope = target - products @ out
+    optimal = (np.sign(out[some]) == signs[some]).all() and (np.abs(slope) <= penalty * (1 + 1e-7)).all()
+    return out if optimal else None
+
+
+def _solve(gram: np.ndarray, prior: np.ndarray, sparse: np.ndarray, noise: float) -> tuple[np.ndarray, float]:
+    """Weights from the sums of products, the target in the last place, and the squared error left.
+
+    ``sparse`` marks weights with a Laplace prior. The others are their least squares given those, so they drop out of the search.
+    """
     xx, xy, yy = gram[:-1, :-1], gram[:-1, -1], gram[-1, -1]
-    weights = np.linalg.solve(xx + np.diag(noise * noise / prior ** 2), xy)
+    s, r = np.flatnonzero(sparse), np.flatnonzero(~sparse)
+    weights = np.zeros(len(prior))
+    own = xx[np.ix_(r, r)] + np.diag(noise * noise / prior[r] ** 2)
+    across, alone = np.linalg.solve(own, xx[np.ix_(r, s)]), np.linalg.solve(own, xy[r])
+    if len(s):
+        weights[s] = sparse_weights(xx[np.ix_(s, s)] - xx[np.ix_(s, r)] @ across, xy[s] - xx[np.ix_(s, r)] @ alone, noise * noise / prior[s])
+    weights[r] = alone - across @ weights[s]
     return weights, float(yy - 2 * weights @ xy + weights @ xx @ weights)
 
 
-def _fit_weights(design: DataFrame, rows: int, prior_t: np.ndarray, prior_s: np.ndarray, mode: str, rounds: int):
-    """(trend weights, season weights). The design holds trend columns, season columns and the target.
+def _most_likely(gram: np.ndarray, prior: np.ndarray, sparse: np.ndarray, rows: int, noise: float) -> tuple[np.ndarray, float]:
+    """Weights and noise, by turns until the noise stands still."""
+    for _ in range(100):
+        weights, sse = _solve(gram, prior, sparse, noise)
+        # The noise at which rows / noise = sse / noise^3 - noise / NOISE_SCALE^2.
+        square = NOISE_SCALE ** 2
+        found = math.sqrt(max((math.sqrt(rows ** 2 + 4 * max(sse, 0.0) / square) - rows) * square / 2, 0.0)) or 1e-6
+        if abs(found - noise) <= 1e-10 * noise:
+            break
+        noise = found
+    return weights, noise
+
+
+def _fit_weights(design: DataFrame, rows: int, prior_t: np.ndarray, prior_s: np.ndarray, sparse: np.ndarray, mode: str, rounds: int):
+    """(trend weights, season weights, noise). The design holds trend columns, season columns and the target.
 
-    The noise found by a first solution sets the penalty of the second. Sums are one pass
-    over the rows; additive models need one, multiplicative ones two per round.
+    Sums are one pass over the rows; additive models need one, multiplicative ones two per round.
     """
-    k = len(prior_t)
-    spread = lambda sse: math.sqrt(max(sse, 0.0) / rows) or 1e-6
-    noise = 0.25
+    k, noise = len(prior_t), 0.25
     if mode == "additive" or not len(prior_s):
-        gram, prior = _gram(design, lambda a: a), np.concatenate([prior_t, prior_s])
-        for _ in range(2):
-            weights, sse = _solve(gram, prior, noise)
-            noise = spread(sse)
-        return weights[:k], weights[k:]
+        both = np.concatenate([sparse, np.zeros(len(prior_s), bool)])
+        weights, noise = _most_likely(_gram(design, lambda a: a), np.concatenate([prior_t, prior_s]), both, rows, noise)
+        return weights[:k], weights[k:], noise
     shares = np.zeros(len(prior_s))
     for _ in range(rounds):
         gram = _gram(design, lambda a: np.column_stack([a[:, :k] * (1 + a[:, k:-1] @ shares)[:, None], a[:, -1]]))
-        for _ in range(2):
-            level, sse = _solve(gram, prior_t, noise)
-            noise = spread(sse)
+        level, noise = _most_likely(gram, prior_t, sparse, rows, noise)
 
         def seasonal(a):
             g = a[:, :k] @ level
             return np.column_stack([a[:, k:-1] * g[:, None], a[:, -1] - g])
 
-        shares, sse = _solve(_gram(design, seasonal), prior_s, noise)
-        noise = spread(sse)
-    return level, shares
+        shares, noise = _most_likely(_gram(design, seasonal), prior_s, np.zeros(len(prior_s), bool), rows, noise)
+    return level, shares, noise
 
 
 def fit_forecast(train: DataFrame, time: str, target: str, config: ForecastConfig = ForecastConfig(),
@@ -228,20 +311,19 @@ def fit_forecast(train: DataFrame, time: str, target: str, config: ForecastConfi
     season = {n: c for cols in groups.values() for n, c in cols.items()}
     prior = {n: TREND_SCALE if n in ("offset", "slope") else config.changepoint_prior_scale for n in trend}
     prior |= {n: REGRESSOR_SCALE if n in model.regressor_stats else config.seasonality_prior_scale for n in season}
-    known = known.persist()
+    once = config.seasonality_mode == "additive" or not season  # one pass over the rows then
+    known = known if once else known.persist()
     try:
         design = known.select(*trend.values(), *season.values(), F.col("_y") / F.lit(scale))
         design = design.toDF(*[f"c{i}" for i in range(len(trend) + len(season) + 1)])
-        level, shares = _fit_weights(design, stats["n"], np.array([prior[n] for n in trend]),
-                                     np.array([prior[n] for n in season]), config.seasonality_mode, rounds)
-        model = replace(model, trend_weights=dict(zip(trend, map(float, level))),
-                        season_weights=dict(zip(season, map(float, shares))))
-        errors = model.components(known).select((F.col("_y") - F.col("yhat")).alias("e"))
-        tail = (1 - config.interval_width) / 2
-        band = tuple(quantiles(errors, ["e"], [tail, 1 - tail], at_most=stats["n"])["e"])
+        level, shares, noise = _fit_weights(
+            design, stats["n"], np.array([prior[n] for n in trend]), np.array([prior[n] for n in season]),
+            np.array([n.startswith("hinge") for n in trend]), config.seasonality_mode, rounds)
     finally:
-        known.unpersist()
-    return replace(model, band=band)
+        if not once:
+            known.unpersist()
+    return replace(model, trend_weights=dict(zip(trend, map(float, level))),
+                   season_weights=dict(zip(season, map(float, shares))), noise=noise)
 
 
 def forecast_periods(df: DataFrame, time: str, target: str, order: Sequence[str],

@@ -25,6 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.functions.draws import uniform
 from tidewright.operators.quantiles import quantiles
 from tidewright.session import materialize
 
@@ -513,19 +514,6 @@ def collected(trees: DataFrame) -> list[tuple[int, float, Tree]]:
 
 # ---------------------------------------------------------------- draws
 
-def uniform(ids: np.ndarray, *keys: int) -> np.ndarray:
-    """A number below 1 for every row, the same wherever the row lies."""
-    x = ids.astype(np.uint64)
-    for key in keys:
-        x = x + np.uint64((key * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64))
-        x ^= x >> np.uint64(30)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(27)
-        x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-    return (x >> np.uint64(11)).astype(float) * 2.0 ** -53
-
-
 # How often a row is drawn into a sample as large as the table: chances that add up, of none, once, twice and so on.
 _DRAWS = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
 
