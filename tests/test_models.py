@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tidewright.catalog.learning import SENSOR_PLAN
@@ -78,6 +78,28 @@ def test_knn_equals_brute_force(spark, weights, metric, k, cells):
         np.testing.assert_allclose(got, brute_force(pdf, query, k, 1 if metric == "manhattan" else 2, weights), rtol=1e-9)
 
 
+@pytest.mark.parametrize("p", [0.5, 1.0, 2.0, 3.0])
+def test_blocks_are_passed_over_by_their_pivots(spark, monkeypatch, p):
+    """Twelve features, many blocks in few cells: the neighbours of a comparison of all pairs, with few of them compared."""
+    rng = np.random.default_rng(9)
+    centers = rng.normal(0, 20, (12, 12))
+    x = (centers[rng.integers(0, 12, 900)] + rng.normal(0, 1, (900, 12))).round(2)
+    x[:200] = x[0]
+    asked = np.vstack([x[rng.integers(0, 900, 60)] + rng.normal(0, 1, (60, 12)).round(2), x[:3], rng.normal(0, 40, (5, 12))])
+    frame = lambda x, y: spark.createDataFrame(
+        [(i, [float(v) for v in row], float(i)) for i, row in enumerate(x)], "row_id long, x array<double>, label double").select(
+        "row_id", array_to_vector("x").alias("features"), "label")
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 40)
+    model = KnnRegressor(4, metric="minkowski", p=p, cell_rows=400, broadcast_bytes=0).fit(frame(x, 0))
+    assert model.blocks.count() > 12
+    got = model._search_cells(frame(asked, 0).select(vector_to_array("features").alias("x")).distinct()).collect()
+    for r in got:
+        dist = knn._distances(np.array(r.x)[None], x, p)[0]
+        order = np.lexsort((np.arange(900), dist))[:4]
+        assert [e.id for e in r.near] == order.tolist() and [e.d for e in r.near] == pytest.approx(dist[order])
+    assert sum(r.compared for r in got) < 0.4 * len(got) * 900
+
+
 def test_knn_with_fewer_rows_than_neighbours(spark):
     pdf = pd.DataFrame({"x1": [0.0, 1.0], "x2": [0.0, 0.0], "y": [1.0, 3.0], "row_id": [0, 1]})
     model = KnnRegressor(5).fit(vectors(spark, pdf, NAMES[:2]))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewright.operators import correlate as cr
 from tidewright.operators.augment import add_noise
-from tidewright.operators.features import add_features, add_split_features, add_time_features
+from tidewright.operators.features import SlidingMedian, add_features, add_split_features, add_time_features
 from tidewright.operators.index import over_chunks, with_position
 from tidewright.operators.metrics import regression_metrics
 from tidewright.operators.periods import (
@@ -169,3 +169,54 @@ def test_metrics_of_a_constant_target(spark):
                                "g string, label double, prediction double")
     got = {r.g: r for r in regression_metrics(df, by=["g"]).collect()}
     assert got["a"].r2 == 1 and got["b"].r2 == 0 and got["b"].mae == 0.5
+
+
+@pytest.mark.parametrize("width", [1, 2, 5, 64])
+def test_sliding_median(width):
+    rng = np.random.default_rng(width)
+    values = [None if rng.uniform() < 0.2 else float(rng.integers(0, 9)) for _ in range(400)]
+    values[100:180] = [None] * 80
+    median = SlidingMedian(width)
+    for i, value in enumerate(values):
+        known = [v for v in values[max(0, i - width + 1):i + 1] if v is not None]
+        assert median.push(value) == (pytest.approx(np.median(known)) if known else None)
+
+
+def test_medians_by_chunk_and_scope(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, i, None if rng.uniform() < 0.1 else float(rng.normal())) for k in ("a", None) for i in range(90)]
+    df = spark.createDataFrame(rows, "k string, i long, v double")
+    plan = FeaturePlan(windows={"v": [4, 7]}, statistics=("mean", "median"), hour=False, day_of_year=False)
+    for full in (False, True):
+        got = {(r.k, r.i): r for r in add_features(df, plan, ["i"], ["k"], full=full, chunk_rows=11).collect()}
+        for k, i, _ in rows:
+            for w in (4, 7):
+                known = [v for kk, j, v in rows if kk == k and i - w < j <= i and v is not None]
+                want = np.median(known) if known and (not full or len(known) >= w) else None
+                found = got[k, i][f"v_roll{w}_median" if full else f"v_med{w}"]
+                assert found == (None if want is None else pytest.approx(want))
+
+
+@pytest.mark.parametrize("gap", [1_000_000, 37])
+def test_gaps_of_any_length(spark, gap):
+    """Two bins far apart, for one key of several, one of which is missing."""
+    rows = [("a", 0, 1.0), ("a", gap * 900, 3.0), (None, 1800, 5.0), (None, 4 * 900, 7.0), ("b", 50, 2.0)]
+    df = spark.createDataFrame(rows, "k string, s long, v double").selectExpr("k", "cast(timestamp_seconds(s + 86400 * 40) as timestamp_ntz) as ts", "v")
+    out = resample_mean(df, "15T", "ts", ["v"], keys=["k"])
+    sizes = {r.k: (r.n, r.known, r.total) for r in out.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("known"), F.sum("v").alias("total")).collect()}
+    assert sizes == {"a": (gap + 1, 2, 4.0), None: (3, 2, 12.0), "b": (1, 1, 2.0)}
+    steps = out.where("k = 'a'").agg(F.countDistinct("ts").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    assert steps.n == gap + 1 and (steps.hi - steps.lo).total_seconds() == gap * 900
+
+
+@pytest.mark.parametrize("chunk", [7, 60, 1000])
+def test_lagged_sums_by_definition(spark, chunk):
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(0, 1, 200), rng.normal(0, 1, 200)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "_pos long, a double, b double")
+    got = {r.lag: r for r in cr._lagged_sums(df, "a", "b", range(-60, 61), chunk).collect()}
+    assert len(got) == 121
+    for lag, r in got.items():
+        u, v = (x[lag:], y[:200 - lag]) if lag >= 0 else (x[:200 + lag], y[-lag:])
+        want = [len(u), u.sum(), v.sum(), (u * u).sum(), (v * v).sum(), (u * v).sum()]
+        assert [r.n, r.sx, r.sy, r.sxx, r.syy, r.sxy] == pytest.approx(want, abs=1e-9)

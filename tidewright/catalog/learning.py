@@ -139,11 +139,26 @@ _WIDE = {**{c: c for c in FEATURES}, "q2": "quantity * quantity / 100", "l2": "l
         SELECT q.key, min({{'d': {' + '.join(_square(c) for c in _WIDE)}, 'id': t.pos, 'y': t.amount}}, 5) AS list
         FROM test q, train t GROUP BY q.key)""", f"SELECT key, {_MEAN_OF_FIVE} AS prediction FROM near"))
 def knn_regress_wide(spark, sf):
+    """The search by joins, in which blocks around pivots are passed over."""
+    frame = _wide_frame(spark, sf)
+    model = make_estimator("KNN", n_neighbors=5, broadcast_bytes=0).fit(_train(frame))
+    return model.transform(frame.where(F.col("split") == "test")).select("key", "prediction")
+
+
+@query("knn_effort", sql(SENSORS, KNOWN, _VECTORS, "SELECT count(DISTINCT (quantity, discount, tax, lines)) AS queries, true AS under_a_tenth FROM test"))
+def knn_effort(spark, sf):
+    """Of all pairs of a different query and a train row, fewer than a tenth are compared."""
+    frame = _wide_frame(spark, sf)
+    model = make_estimator("KNN", n_neighbors=5, broadcast_bytes=0).fit(_train(frame))
+    asked = frame.where(F.col("split") == "test").select(vector_to_array("features").alias("x")).distinct()
+    return model._search_cells(asked).agg(F.count(F.lit(1)).alias("queries"), (
+        F.sum("compared") * 10 < F.count(F.lit(1)) * F.lit(model.rows)).alias("under_a_tenth"))
+
+
+def _wide_frame(spark, sf):
     wide = known_sensors(spark, sf).select("ts", "key", "amount", *[F.expr(e).alias(n) for n, e in _WIDE.items()])
     split = temporal_split(wide, ["ts", "key"], 0.8).withColumn("row_id", F.col("pos"))
-    frame = materialize(assemble(split, list(_WIDE), "amount", keep=["row_id", "key", "split"]), "vectors", spread="row_id")
-    model = make_estimator("KNN", n_neighbors=5).fit(_train(frame))
-    return model.transform(frame.where(F.col("split") == "test")).select("key", "prediction")
+    return materialize(assemble(split, list(_WIDE), "amount", keep=["row_id", "key", "split"]), "vectors", spread="row_id")
 
 
 # A tree of one split over a column of few values: the best place can be found in SQL.

@@ -88,6 +88,15 @@ def rolling_median(spark, sf):
     return rounded(out.select("event_id", "value_med3", "value_med24"), 6, "value_med3", "value_med24")
 
 
+@query("rolling_median_week", sql(READINGS, """
+    SELECT event_id, round(median(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 671 PRECEDING AND CURRENT ROW), 6) AS value_med672
+    FROM readings"""))
+def rolling_median_week(spark, sf):
+    """A window of a week of quarter hours, cut into several chunks."""
+    out = add_features(readings(spark, sf), _plan(windows={"value": [672]}, statistics=("median",)), ORDER, chunk_rows=3000)
+    return rounded(out.select("event_id", "value_med672"), 6, "value_med672")
+
+
 @query("rolling_full_window", sql(READINGS, """
     SELECT event_id, CASE WHEN count(value) OVER w >= 6 THEN round(avg(value) OVER w, 6) END AS value_roll6_mean,
         CASE WHEN count(value) OVER w >= 6 THEN round(stddev_samp(value) OVER w, 4) END AS value_roll6_std

@@ -401,18 +401,28 @@ def best_lag(spark, sf):
     return rounded(cr.best_lag(_cross(spark, sf)).select("lag", "corr"), 6, "corr")
 
 
-@query("autocorrelation", sql(READINGS, """placed AS (
-    SELECT row_number() OVER (ORDER BY ts, event_id) AS idx, value FROM readings WHERE value IS NOT NULL),
-    m AS (SELECT avg(value) AS mean, var_pop(value) * count(*) AS spread, count(*) AS n FROM placed)""", """
-    SELECT lag, round(sum((a.value - mean) * (b.value - mean)) / spread, 6) AS autocorr,
-        round(1.959963984540054 / sqrt(n), 6) AS band95, round(2.5758293035489004 / sqrt(n), 6) AS band99
-    FROM (SELECT unnest(range(1, 101)) AS lag), placed a, placed b, m WHERE b.idx = a.idx + lag
-    GROUP BY lag, spread, n"""))
+def _autocorrelation_sql(lags: int) -> str:
+    return sql(READINGS, """placed AS (
+        SELECT row_number() OVER (ORDER BY ts, event_id) AS idx, value FROM readings WHERE value IS NOT NULL),
+        m AS (SELECT avg(value) AS mean, var_pop(value) * count(*) AS spread, count(*) AS n FROM placed)""", f"""
+        SELECT lag, round(sum((a.value - mean) * (b.value - mean)) / spread, 6) AS autocorr,
+            round(1.959963984540054 / sqrt(n), 6) AS band95, round(2.5758293035489004 / sqrt(n), 6) AS band99
+        FROM (SELECT unnest(range(1, {lags + 1})) AS lag), placed a, placed b, m WHERE b.idx = a.idx + lag
+        GROUP BY lag, spread, n""")
+
+
+@query("autocorrelation", _autocorrelation_sql(100))
 def autocorrelation(spark, sf):
     out = cr.autocorrelation(readings(spark, sf), "value", ["ts", "event_id"], 100)
     return rounded(out, 6, "autocorr", "band95", "band99")
 
 
+@query("autocorrelation_long", _autocorrelation_sql(10_000))
+def autocorrelation_long(spark, sf):
+    out = cr.autocorrelation(readings(spark, sf), "value", ["ts", "event_id"], 10_000)
+    return rounded(out, 6, "autocorr", "band95", "band99")
+
+
 @query("resample_mean", sql(READINGS, """
     SELECT strftime(time_bucket(INTERVAL 30 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS start, round(avg(value), 6) AS value
     FROM readings GROUP BY time_bucket(INTERVAL 30 MINUTE, ts)"""))

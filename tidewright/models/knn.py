@@ -7,7 +7,12 @@ Equal queries are searched once, and the answer is joined back by their features
 
 Train rows whose size was found to fit ``broadcast_bytes`` are sent to the queries, which then
 move nowhere, however many cells they have to visit. Larger ones stay where they are: queries and
-train rows meet in packed blocks, and a cell that many queries visit is salted into many small tasks.
+train rows meet by cell, and a cell that many queries visit is salted into many small tasks.
+
+With many features a query's ball touches many boxes. So a cell is divided again, into blocks around a pivot each, in which
+points lie in the order of their distance to it. By the triangle inequality a point that is much nearer to the pivot, or much
+farther from it, than the query is no neighbour: whole blocks and the ends of others are passed over. There are as many blocks as
+the rows ask for, and none of them is on the driver.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -98,11 +104,21 @@ def _powered(diff: np.ndarray, p: float) -> np.ndarray:
     return diff * diff if p == 2 else np.abs(diff) if p == 1 else np.abs(diff) ** p
 
 
+def _rooted(powered: np.ndarray, p: float) -> np.ndarray:
+    """Distances that obey the triangle inequality, from sums of powers; for exponents below one the sums do."""
+    return np.sqrt(powered) if p == 2 else powered if p <= 1 else powered ** (1 / p)
+
+
+def _distances(x: np.ndarray, points: np.ndarray, p: float) -> np.ndarray:
+    out = np.zeros((len(x), len(points)))
+    for d in range(x.shape[1]):
+        out += _powered(x[:, d, None] - points[None, :, d], p)
+    return out
+
+
 def _nearest(x: np.ndarray, points: np.ndarray, ids: np.ndarray, kept: int, p: float):
     """(query, point, distance) of the nearest points of each query; of equally near ones the smallest ids."""
-    dist = np.zeros((len(x), len(points)))
-    for d in range(x.shape[1]):
-        dist += _powered(x[:, d, None] - points[None, :, d], p)
+    dist = _distances(x, points, p)
     limit = np.partition(dist, kept - 1, axis=1)[:, kept - 1]
     q, c = np.nonzero(dist <= limit[:, None])
     order = np.lexsort((ids[c], dist[q, c], q))
@@ -135,6 +151,51 @@ class _Nearest:
             self.d[own], self.id[own], self.y[own] = (np.take_along_axis(v, order, 1) for v in (d, i, y))
 
 
+    def table(self, asked: np.ndarray, compared: np.ndarray) -> pa.Table:
+        """One row per query: its number, the points found and the count of those it was compared with."""
+        known = np.isfinite(self.d)
+        points = pa.StructArray.from_arrays([pa.array(v[known]) for v in (self.d, self.id, self.y)], ["d", "id", "y"])
+        edges = np.concatenate([[0], known.sum(1).cumsum()]).astype(np.int32)
+        return pa.Table.from_arrays([pa.array(asked, pa.int64()), pa.ListArray.from_arrays(pa.array(edges), points), pa.array(compared, pa.int64())],
+                                    schema=_FOUND)
+
+
+_FOUND = pa.schema([("row_id", pa.int64()), ("near", pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64()), ("y", pa.float64())]))),
+                    ("compared", pa.int64())])
+
+
+class _Ball:
+    """A block of points in the order of their distance ``far`` to a pivot."""
+
+    def __init__(self, ids, xs, ys, pivot, far):
+        self.ids, self.points, self.ys, self.pivot, self.far = ids, xs.reshape(len(ids), -1), ys, pivot, far
+
+
+#: Queries that are compared with one stretch of a block, and how far rounding may put a distance off, as a part of it.
+STRETCH_QUERIES, SLACK = 32, 1e-9
+
+
+def _searched(x: np.ndarray, reach: np.ndarray, balls: list[_Ball], k: int, p: float) -> tuple[_Nearest, np.ndarray]:
+    """The best k of all balls for each query, none farther than ``reach`` (as a sum of powers), and the points compared."""
+    best, compared = _Nearest(len(x), k), np.zeros(len(x), np.int64)
+    away = _rooted(_distances(x, np.stack([b.pivot for b in balls]), p), p)
+    inner = np.array([b.far[-1] for b in balls])
+    for place in np.argsort((away - inner).min(axis=0), kind="stable"):
+        ball, own = balls[place], away[:, place]
+        limit = _rooted(np.minimum(best.d[:, -1], reach), p) * (1 + SLACK) + SLACK * (own + inner[place])
+        rows = np.flatnonzero(own - inner[place] <= limit)
+        rows = rows[np.argsort(own[rows], kind="stable")]
+        for at in range(0, len(rows), STRETCH_QUERIES):
+            some = rows[at:at + STRETCH_QUERIES]
+            # Meanwhile others of these rows have found nothing new, so the limit still holds.
+            low = np.searchsorted(ball.far, (own[some] - limit[some]).min(), "left")
+            high = np.searchsorted(ball.far, (own[some] + limit[some]).max(), "right")
+            if low < high:
+                best.meet(some, x, ball.points[low:high], ball.ids[low:high], ball.ys[low:high], p)
+                compared[some] += high - low
+    return best, compared
+
+
 def _box_distances(x: np.ndarray, low: np.ndarray, high: np.ndarray, p: float) -> np.ndarray:
     out = np.zeros((len(x), len(low)))
     for d in range(x.shape[1]):
@@ -186,9 +247,7 @@ class KnnRegressor:
             *[F.max(F.col("x")[i]).alias(f"hi{i}") for i in range(width)]).toPandas()
         low = bounds[[f"lo{i}" for i in range(width)]].to_numpy()
         high = bounds[[f"hi{i}" for i in range(width)]].to_numpy()
-        packed = _pack(placed, ["row_id", "x", "y"]).select(
-            "cell", F.col("m.row_id").alias("ids"), F.flatten("m.x").alias("xs"), F.col("m.y").alias("ys"))
-        return KnnModel(self, cells, bounds["cell"].to_numpy(), low, high, materialize(packed, "knn-blocks"), total)
+        return KnnModel(self, cells, bounds["cell"].to_numpy(), low, high, materialize(_in_balls(placed, self.power), "knn-blocks"), total)
 
 
 @dataclass(frozen=True)
@@ -206,7 +265,7 @@ class KnnModel:
         asked = queries.select(vector_to_array("features").alias("x")).distinct()
         if self.rows * (self.low.shape[1] + 2) * 8 <= self.params.broadcast_bytes:
             return self._search_all(asked)
-        return self._search_cells(asked)
+        return self._search_cells(asked).select("x", "near")
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``prediction``, the mean of the neighbours, plain or weighted by 1 / distance."""
@@ -261,16 +320,18 @@ class KnnModel:
         """Search by joins of packed queries and train blocks."""
         k = self.params.n_neighbors
         # The numbers are written with the rows, so every later step sees the same ones.
-        numbered = asked.withColumn("row_id", F.monotonically_increasing_id())
+        numbered = asked.withColumn("row_id", F.monotonically_increasing_id()).withColumn("reach", F.lit(None).cast("double"))
         home = materialize(_with_cell(numbered, self.cells), "knn-queries")
-        first = materialize(self._visit(home).join(home, "row_id", "right"), "knn-home")
+        first = materialize(self._visit(home).join(home.drop("reach"), "row_id", "right"), "knn-home")
         reach = F.when(F.size("near") >= k, F.get("near", F.lit(k - 1))["d"])
         others = first.select("row_id", "x", "cell", reach.alias("reach")).mapInPandas(
-            self._other_cells(), "row_id long, x array<double>, cell long")
+            self._other_cells(), "row_id long, x array<double>, cell long, reach double")
         more = self._visit(materialize(others, "knn-visits"))
-        both = first.select("row_id", "near").unionAll(more)
+        both = first.select("row_id", "near", "compared").unionAll(more)
+        # At most k entries per visited cell, so this list stays short.
         best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
-        return both.groupBy("row_id").agg(best.alias("near")).join(home.select("row_id", "x"), "row_id").select("x", "near")
+        return both.groupBy("row_id").agg(best.alias("near"), F.sum("compared").alias("compared")) \
+            .join(home.select("row_id", "x"), "row_id").select("x", "near", "compared")
 
     def _other_cells(self):
         """Cells besides the own one that can hold a nearer (or equally near) point."""
@@ -285,38 +346,36 @@ class KnnModel:
                     open_ = _box_distances(x, low, high, p) <= reach[:, None] * (1 + 1e-12)
                     open_ &= ids[None, :] != rows["cell"].to_numpy()[:, None]
                     q, c = np.nonzero(open_)
-                    yield pd.DataFrame({"row_id": rows["row_id"].to_numpy()[q],
-                                        "x": pd.Series(list(x[q]), dtype=object), "cell": ids[c]})
+                    yield pd.DataFrame({"row_id": rows["row_id"].to_numpy()[q], "x": pd.Series(list(x[q]), dtype=object),
+                                        "cell": ids[c], "reach": reach[q]})
         return choose
 
     def _visit(self, queries: DataFrame) -> DataFrame:
-        """Best k of the given cell for each (row_id, x, cell), merged per row."""
-        k, p = self.params.n_neighbors, self.params.power
+        """(``row_id``, ``near``, ``compared``): the best k of the given cell for each (row_id, x, cell), no farther than ``reach``
+        if that is known, and with how many points the query was compared."""
+        k, p, width = self.params.n_neighbors, self.params.power, self.low.shape[1]
 
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for row in batch.itertuples(index=False):
-                    ids, ys, asked = np.asarray(row.ids), np.asarray(row.ys), np.asarray(row.asked)
-                    points = np.asarray(row.xs).reshape(len(ids), -1)
-                    x = np.asarray(row.qs).reshape(len(asked), -1)
-                    kept, size = min(k, len(ids)), max(1, TILE // len(ids))
-                    for at in range(0, len(asked), size):
-                        q, c, dist = _nearest(x[at:at + size], points, ids, kept, p)
-                        yield pd.DataFrame({"row_id": asked[at + q], "d": dist, "id": ids[c], "y": ys[c]})
+        def search(packs: pa.Table, blocks: pa.Table) -> pa.Table:
+            balls = [_Ball(*(blocks.column(c)[i].values.to_numpy() for c in ("ids", "xs", "ys", "pivot", "far"))) for i in range(blocks.num_rows)]
+            out = []
+            for i in range(packs.num_rows if balls else 0):
+                asked, qs, reach = (packs.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("asked", "qs", "reaches"))
+                reach = np.where(np.isnan(reach), np.inf, reach)
+                best, compared = _searched(qs.reshape(-1, width), reach, balls, k, p)
+                out.append(best.table(asked, compared))
+            return pa.concat_tables(out) if out else _FOUND.empty_table()
 
         salt = F.expr(f"_block div {PACKS_PER_SALT}")
-        packs = materialize(_pack(queries.select("row_id", "x", "cell"), ["row_id", "x"]).select(
-            "cell", salt.alias("salt"), F.col("m.row_id").alias("asked"), F.flatten("m.x").alias("qs")), "knn-packs")
+        packs = materialize(_pack(queries.select("row_id", "x", "cell", "reach"), ["row_id", "x", "reach"]).select(
+            "cell", salt.alias("salt"), F.col("m.row_id").alias("asked"), F.flatten("m.x").alias("qs"), F.col("m.reach").alias("reaches")), "knn-packs")
         # One row per visited cell; a block is repeated for every salt of its cell.
         salts = packs.groupBy("cell").agg(F.max("salt").alias("last"))
         blocks = self.blocks.join(salts, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).drop("last")
         # Packs are few bytes but much work, so they are dealt by number rather than by size.
         tasks = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), packs.count() // PACKS_PER_SALT)
-        found = packs.repartition(tasks, "cell", "salt").join(blocks.repartition(tasks, "cell", "salt"), ["cell", "salt"]) \
-            .select("ids", "xs", "ys", "asked", "qs").mapInPandas(search, "row_id long, d double, id long, y double")
-        # At most k entries per visited block, so this list stays short.
-        best = F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "y"))), 1, k)
-        return found.groupBy("row_id").agg(best.alias("near"))
+        return packs.repartition(tasks, "cell", "salt").groupBy("cell", "salt").cogroup(
+            blocks.repartition(tasks, "cell", "salt").groupBy("cell", "salt")).applyInArrow(
+            lambda packs, blocks: search(packs, blocks), "row_id long, near array<struct<d:double,id:long,y:double>>, compared long")
 
     def save(self, path: str) -> None:
         spark = SparkSession.active()
@@ -349,6 +408,33 @@ def _with_cell(df: DataFrame, cells: Cells) -> DataFrame:
     return df.withColumn("cell", locate("x"))
 
 
+def _in_balls(placed: DataFrame, p: float) -> DataFrame:
+    """The rows of each cell in blocks of at most about BLOCK_ROWS points around a pivot, nearest to it first.
+
+    Cells hold a share of 1 / MAX_CELLS of all rows, or about ``cell_rows`` where that is more.
+    """
+    def divided(table: pa.Table) -> pa.Table:
+        n = table.num_rows
+        table = table.combine_chunks()
+        x = table.column("x").combine_chunks().flatten().to_numpy().reshape(n, -1)
+        ids, ys = table.column("row_id").to_numpy(), table.column("y").to_numpy()
+        parts = split_cells(x, -(-n // BLOCK_ROWS)).locate(x)
+        out = []
+        for part in np.unique(parts):
+            own = np.flatnonzero(parts == part)
+            pivot = x[own].mean(axis=0)
+            far = _rooted(_distances(x[own], pivot[None], p)[:, 0], p)
+            order = np.lexsort((ids[own], far))
+            own, far = own[order], far[order]
+            out.append((table.column("cell")[0].as_py(), ids[own], x[own].ravel(), ys[own], pivot, far))
+        kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.float64())] * 4]
+        return pa.table([pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)],
+                        names=["cell", "ids", "xs", "ys", "pivot", "far"])
+
+    return placed.select("cell", "row_id", "x", "y").groupBy("cell").applyInArrow(
+        lambda t: divided(t), "cell long, ids array<long>, xs array<double>, ys array<double>, pivot array<double>, far array<double>")
+
+
 def _pack(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of each cell packed into blocks of about BLOCK_ROWS rows, as arrays of structs.
 

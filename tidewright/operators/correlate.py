@@ -1,7 +1,8 @@
 """Cross-correlation and autocorrelation over many lags.
 
-Sums of lagged products are formed per chunk of consecutive rows with NumPy, then
-added up: one row per chunk and lag is shuffled, not one per row and lag.
+Sums of lagged products are formed per chunk of consecutive rows by Fourier transforms of the chunk and its
+halo, all lags at once, then added up: one row per chunk and lag is shuffled, not one per row and lag, and
+a chunk costs the same whether ten lags are asked for or ten thousand.
 """
 
 from __future__ import annotations
@@ -27,24 +28,34 @@ def _lagged_sums(placed: DataFrame, first: str, second: str, lags: Sequence[int]
     staged = chunks_with_halo(placed.select("_pos", F.col(first).alias("_x"), F.col(second).alias("_y")),
                               "_pos", halo, chunk_rows)
 
+    reach = np.abs(np.array(lags))
+    back = np.array(lags) < 0
+
     def sums(chunk: pd.DataFrame) -> pd.DataFrame:
         chunk = chunk.sort_values("_pos")
         x, y = chunk["_x"].to_numpy(), chunk["_y"].to_numpy()
         own = (chunk["_own"] == chunk["_chunk"]).to_numpy()
-        start = int(np.argmax(own)) if own.any() else len(x)
-        rows = []
-        for lag in lags:
-            # A pair belongs to the chunk of its later row, which is one of the chunk's own.
-            later, earlier = (x, y) if lag >= 0 else (y, x)
-            reach = abs(lag)
-            begin = max(start, reach)
-            a = later[begin:]
-            b = earlier[begin - reach:len(later) - reach]
-            if len(a) == 0:
-                continue
-            u, v = (a, b) if lag >= 0 else (b, a)
-            rows.append((lag, float(len(u)), u.sum(), v.sum(), (u * u).sum(), (v * v).sum(), (u * v).sum()))
-        return pd.DataFrame(rows, columns=["lag", *_SUMS])
+        size, start = len(x), int(np.argmax(own)) if own.any() else len(x)
+        # A pair belongs to the chunk of its later row, which is one of the chunk's own.
+        begin = np.maximum(start, reach)
+        some = np.flatnonzero(begin < size)
+        far, begin, turned = reach[some], begin[some], back[some]
+        upto = lambda v: np.concatenate([[0.0], np.cumsum(v)])
+        later = {c: upto(v) for c, v in (("x", x), ("y", y), ("xx", x * x), ("yy", y * y))}
+
+        def at(name: str, is_later: np.ndarray) -> np.ndarray:
+            v = later[name]
+            return np.where(is_later, v[size] - v[begin], v[size - far] - v[begin - far])
+
+        width = 1 << (2 * size - 1).bit_length()
+        fx, fy = np.fft.rfft(x, width), np.fft.rfft(y, width)
+        mask = np.arange(size) >= start
+        products = np.fft.irfft(np.fft.rfft(np.where(mask, x, 0.0), width) * fy.conj(), width)[far]
+        if turned.any():
+            other = np.fft.irfft(np.fft.rfft(np.where(mask, y, 0.0), width) * fx.conj(), width)[far]
+            products = np.where(turned, other, products)
+        return pd.DataFrame({"lag": np.array(lags)[some], "n": (size - begin).astype(float), "sx": at("x", ~turned), "sy": at("y", turned),
+                             "sxx": at("xx", ~turned), "syy": at("yy", turned), "sxy": products})
 
     parts = staged.groupBy("_chunk").applyInPandas(sums, _SCHEMA)
     return parts.groupBy("lag").agg(*[F.sum(s).alias(s) for s in _SUMS])

@@ -104,13 +104,13 @@ def chunks_with_halo(df: DataFrame, pos: str, halo: int, chunk_rows: int | None
 
 
 def over_chunks(df: DataFrame, build: Callable[[WindowSpec], list[Column]], pos: str,
-                scope: Sequence[str] = (), halo: int = 0,
-                chunk_rows: int | None = None) -> DataFrame:
+                scope: Sequence[str] = (), halo: int = 0, chunk_rows: int | None = None,
+                then: Callable[[DataFrame], DataFrame] = lambda staged: staged) -> DataFrame:
     """Add the columns ``build(window)`` makes, for windows that look back at most ``halo`` rows.
 
-    ``pos`` counts from 0 within ``scope``. All columns share one sort.
+    ``pos`` counts from 0 within ``scope``. All columns share one sort; ``then`` may add others that see whole chunks.
     """
     staged = chunks_with_halo(df, pos, halo, chunk_rows)
     window = Window.partitionBy(*scope, "_chunk").orderBy(pos)
-    added = staged.select("*", *build(window))
+    added = then(staged.select("*", *build(window)))
     return added.where(F.col("_chunk") == F.col("_own")).drop("_chunk", "_own")
