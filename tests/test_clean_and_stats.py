@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidewright.functions.chi2 import chi2_quantile
 from tidewright.operators import clean as cl
 from tidewright.operators import stats
-from tidewright.operators.quantiles import quantiles
+from tidewright.operators import quantiles as quantiles_module
+from tidewright.operators.quantiles import order_statistics, quantiles
 from tidewright.sources.readers import nan_to_null
 
 
@@ -104,3 +105,22 @@ def test_profile_of_tiny(tiny):
     assert stats.duplicate_count(tiny.select("ts").unionAll(tiny.select("ts").limit(3))).first().duplicates == 3
     one = stats.target_stats(tiny.where("w = 7"), "w").first()
     assert one["std"] is None and one.q50 == 7
+
+
+def test_many_ranks_of_skewed_values(spark, monkeypatch):
+    """Ranks in every kind of stretch: copies that fill a third, outliers, infinities; and a sketch that misses."""
+    rng = np.random.default_rng(4)
+    values = np.concatenate([np.full(1000, 2.0), rng.normal(0, 1, 1500), rng.pareto(0.5, 500), [np.inf, -np.inf]])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(3)
+    monkeypatch.setattr("tidewright.operators.quantiles.SKETCH_ACCURACY", 100)
+    ranks = [0, 1, 2, 700, 1500, 1501, 2400, 2999, 3000, 3001]
+    found = order_statistics(df, 3002, ranks, 50)
+    assert [found[r] for r in ranks] == np.sort(values)[ranks].tolist()
+    honest, calls = quantiles_module._stretches, []
+
+    def missing(values, n, ranks, slack):
+        calls.append(slack)
+        return honest(values, n, ranks, slack) if len(calls) > 1 else np.array([1e6, 2e6])
+
+    monkeypatch.setattr(quantiles_module, "_stretches", missing)
+    assert order_statistics(df, 3002, [10, 2000], 50) == {r: np.sort(values)[r] for r in (10, 2000)} and len(calls) == 2

@@ -104,6 +104,19 @@ def quantiles_narrowed(spark, sf):
     return rounded(spark.createDataFrame(list(zip(_PROBS, found)), "prob double, value double"), 6, "value")
 
 
+_FIFTY = [round((k + 0.5) / 50, 2) for k in range(50)]
+
+
+@query("quantiles_many", sql(READINGS, """SELECT unnest(range(50)) AS place, round(unnest(quantile_cont(value, [{}])), 6) AS value
+    FROM readings""".format(", ".join(map(str, _FIFTY)))))
+def quantiles_many(spark, sf):
+    """Fifty quantiles of a column that counts as long: the same two passes as for one."""
+    from tidewright.operators.quantiles import quantiles
+
+    found = quantiles(readings(spark, sf), ["value"], _FIFTY, exact_rows=500)["value"]
+    return rounded(spark.createDataFrame(list(enumerate(found)), "place long, value double"), 6, "value")
+
+
 _CORR = ["amount", "quantity", "discount", "lines"]
 
 

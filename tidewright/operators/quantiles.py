@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.session import materialize
+
 # Up to this many values are held at once by `percentile` aggregates.
 EXACT_ROWS = 4_000_000
 # Resolution of the sketch that narrows longer columns down.
@@ -69,85 +72,58 @@ def _interpolated(df, column, n, probs, limit) -> list[float]:
     return out
 
 
-@dataclass(frozen=True)
-class _Bracket:
-    """Value range that holds one rank: ``below`` rows lie under it and ``kept`` rows in it."""
-
-    rank: int
-    low: float
-    high: float
-    below: int
-    kept: int
-
-    @property
-    def inside(self):
-        return F.when(F.col("v").between(self.low, self.high), F.col("v"))
-
-
 def order_statistics(values: DataFrame, n: int, ranks: Sequence[int], limit: int) -> dict[int, float]:
-    """Values of the column ``v`` at 0-based ranks; every pass serves all ranks at once."""
-    low, high = values.agg(F.min("v"), F.max("v")).first()
-    brackets = [_Bracket(r, low, high, 0, n) for r in ranks]
-    while True:
-        wide = [b for b in brackets if b.kept > limit and b.low < b.high]
-        if not wide:
-            break
-        narrowed = _cut(values, wide, _sketched(values, wide))
-        stuck = [b for b, c in zip(wide, narrowed) if c.kept > b.kept / 2 and c.low < c.high]
-        if stuck:
-            # A sketch cannot part these; halving the value range always can.
-            halved = _cut(values, stuck, [((b.low + b.high) / 2,) for b in stuck])
-            narrowed = [dict(zip(stuck, halved)).get(b, c) for b, c in zip(wide, narrowed)]
-        brackets = [dict(zip(wide, narrowed)).get(b, b) for b in brackets]
-    open_ = [b for b in brackets if b.low < b.high]
-    at = {b.rank: b.low for b in brackets if b.low == b.high}
-    # As many brackets at a time as hold ``limit`` values together, so that bounds what a pass holds.
-    while open_:
-        held, n = 0, 0
-        while n < len(open_) and (not n or held + open_[n].kept <= limit):
-            held, n = held + open_[n].kept, n + 1
-        group, open_ = open_[:n], open_[n:]
-        row = values.agg(*[F.expr(
-            f"percentile_disc({(b.rank - b.below + 0.5) / b.kept!r}D) WITHIN GROUP "
-            f"(ORDER BY CASE WHEN v BETWEEN {b.low!r}D AND {b.high!r}D THEN v END)").alias(f"v{i}")
-            for i, b in enumerate(group)]).first()
-        at.update({b.rank: row[f"v{i}"] for i, b in enumerate(group)})
+    """Values of the column ``v`` at 0-based ranks, from two passes over the rows, whatever the number of ranks.
+
+    The first pass sketches all ranks and gives a stretch of values around each. The second counts the rows between the stretches
+    and the distinct values within them, which are put in order by ranges and written; there each rank is read at its position.
+    Should a sketch have missed its rank, wider stretches are tried; ``limit`` is about how many values one range holds.
+    """
+    spark, slack, at = values.sparkSession, 2.0 / SKETCH_ACCURACY, {}
+    while open_ := [r for r in ranks if r not in at]:
+        edges = _stretches(values, n, open_, slack)
+        counted = materialize(_counted(values, edges, n, limit), "ranked")
+        # One row per stretch, or space between two, and range.
+        sizes = sorted(map(tuple, counted.groupBy("region", "part").agg(F.sum("n")).collect()))
+        wanted, below = [], 0
+        for region, part, size in sizes:
+            for rank in open_:
+                if below <= rank < below + size and region % 2:
+                    wanted.append((part, region, rank - below, rank))
+            below += size
+        if wanted:
+            asked = F.broadcast(spark.createDataFrame(wanted, "part int, region int, offset long, rank long"))  # one row per rank
+            upto = F.sum("n").over(Window.partitionBy("part", "region").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+            read = counted.join(F.broadcast(asked.select("part", "region").distinct()), ["part", "region"]).withColumn("upto", upto)
+            found = read.join(asked, ["part", "region"]).where((F.col("offset") < F.col("upto")) & (F.col("offset") >= F.col("upto") - F.col("n")))
+            at.update({r["rank"]: r["v"] for r in found.select("rank", "v").collect()})
+        slack *= 8
     return at
 
 
-def _sketched(values, brackets):
-    """Two values per bracket between which its rank lies, up to the error of the sketch."""
-    slack = 2.0 / SKETCH_ACCURACY
-    aggregates = []
-    for i, b in enumerate(brackets):
-        share = (b.rank - b.below) / b.kept
-        aggregates.append(F.percentile_approx(
-            b.inside, [max(0.0, share - slack), min(1.0, share + slack)], SKETCH_ACCURACY).alias(f"s{i}"))
-    row = values.agg(*aggregates).first()
-    return [tuple(row[f"s{i}"]) for i in range(len(brackets))]
-
-
-def _cut(values, brackets, cuts):
-    """Cut each bracket at the given values and keep the piece that holds its rank."""
-    pieces = []
-    for b, at in zip(brackets, cuts):
-        edges = sorted({b.low, b.high, *at})
-        own = []
-        for e, following in zip(edges, [*edges[1:], None]):
-            own.append((e, e))
-            if following is not None and math.nextafter(e, math.inf) < following:
-                own.append((math.nextafter(e, math.inf), math.nextafter(following, -math.inf)))
-        pieces.append(own)
-    aggregates = [F.sum(F.col("v").between(lo, hi).cast("long")).alias(f"c{i}_{j}")
-                  for i, own in enumerate(pieces) for j, (lo, hi) in enumerate(own)]
-    row = values.agg(*aggregates).first()
-    out = []
-    for i, (b, own) in enumerate(zip(brackets, pieces)):
-        below = b.below
-        for j, (lo, hi) in enumerate(own):
-            count = row[f"c{i}_{j}"]
-            if b.rank < below + count:
-                out.append(replace(b, low=lo, high=hi, below=below, kept=count))
-                break
-            below += count
-    return out
+def _stretches(values: DataFrame, n: int, ranks: Sequence[int], slack: float) -> np.ndarray:
+    """Ends of disjoint stretches of values that hold the ranks, up to the error of the sketch: each one's first value, and the
+    first one behind it."""
+    shares = [min(1.0, max(0.0, r / max(n - 1, 1) + step)) for r in ranks for step in (-slack, slack)]
+    found = values.agg(F.percentile_approx("v", shares, SKETCH_ACCURACY).alias("s")).first()["s"]
+    out: list[list[float]] = []
+    for low, high in sorted(zip(found[::2], found[1::2], strict=True)):
+        if out and low <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], high)
+        else:
+            out.append([low, high])
+    # Not-a-number lies behind infinity, as nothing else does.
+    return np.array([e for low, high in out for e in (low, np.nextafter(high, np.inf) if high < np.inf else np.nan)])
+
+
+def _counted(values: DataFrame, edges: np.ndarray, n: int, limit: int) -> DataFrame:
+    """(``region``, ``v``, ``n``, ``part``): how often each value of a stretch (odd regions) occurs, how many rows lie between them."""
+    @F.arrow_udf("int")
+    def region_of(v: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(edges, v.to_numpy(zero_copy_only=False), "right").astype(np.int32))
+
+    placed = values.select(region_of("v").alias("region"), "v")
+    counts = placed.select("region", F.when(F.col("region") % 2 == 1, F.col("v")).alias("v")).groupBy("region", "v").agg(F.count(F.lit(1)).alias("n"))
+    # Stretches hold about this share of all values; ranges of equal values would hold fewer.
+    parts = max(1, math.ceil(n * len(edges) * 4 / SKETCH_ACCURACY / max(limit, 1)))
+    return counts.repartitionByRange(parts, "region", "v").select("*", F.spark_partition_id().alias("part"))
