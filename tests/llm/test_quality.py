@@ -51,6 +51,22 @@ def test_fences_follow_the_source(spark):
     assert all(kept[r[0]] for r in plain + code)
 
 
+def test_fences_come_from_the_corpus_alone(spark):
+    """The same text is judged by what its source is like: no cutoff is the same everywhere."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
+    text = lambda share: " ".join(word() + (" %" if rng.random() < share else "") for _ in range(80))
+    rows = [(i, text(0), "en", "clean") for i in range(300)] + [(1000 + i, text(rng.uniform(0.1, 0.4)), "en", "prices") for i in range(300)]
+    tenth, half, few = text(0.12), text(1.0), " ".join(["%"] * 3 + [word() for _ in range(80)])
+    rows += [(5000, tenth, "en", "clean"), (5001, tenth, "en", "prices"), (5002, few, "en", "clean"), (5003, half, "en", "clean")]
+    junk = [(6000 + i, " ".join("#$%&"[rng.randrange(4)] * 3 for _ in range(50)), "en", "clean") for i in range(45)]
+    df = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality.apply_rules(df).collect()}
+    assert not kept[5000] and kept[5001] and kept[5002] and not kept[5003]
+    assert not any(kept[i] for i, _, _, _ in junk)  # more than a tenth of the source
+    assert all(kept[i] for i, _, _, _ in rows[:600])
+
+
 def test_sketches_merge(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")

@@ -3,11 +3,16 @@
 Every text is measured once. For four measures a quantile sketch is kept per language and
 source: counts of values that agree in their five leading binary digits, so a quantile read
 from it is at most 1/16 too low. Such sketches merge by adding counts; a language's sketch is
-the sum of its sources', the corpus' the sum of all. Fences set by median and quartiles
-replace fixed cutoffs, and a join of measures and fences filters. A source with fewer than
+the sum of its sources', the corpus' the sum of all. Fences replace fixed cutoffs, and a join of measures and
+fences filters: a fence lies ``SPREAD`` times as far from the median as an outer quantile does, plus one bucket, which
+is what the sketch does not resolve. A source with fewer than
 ``MIN_DOCUMENTS`` documents takes the fences of its language, a language with fewer those of
 the corpus.
 
+Letters per word have fences on both sides. Symbols, repeated lines and repeated words have an upper one, and as most texts have none
+of them, ``SPARE`` occurrences do not count against a text. Their outer quantile says which share of a source may be junk
+without moving the fence: a quarter for symbols, of which junk consists, else a twentieth.
+
 Missing texts count as empty; they fail the base rules and are left out of the sketches, as
 all texts without a word are. Missing languages and sources form a group of their own. Every
 input row gives one row, also if its id occurs again; an empty table gives an empty result.
@@ -23,10 +28,12 @@ from tidewright.session import materialize
 BLANKS = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 MIN_DOCUMENTS = 50
-#: Distance of a fence from the median in units of median to quartile, and per measure what is added to it.
+#: Distance of a fence from the median in units of median to outer quantile; that quantile, in hundredths, per measure.
 SPREAD = 4
-SLACK = {"symbols": 150, "letters": 150, "lines": 300, "repeats": 100}
-MEASURES = tuple(SLACK)
+LEVELS = {"symbols": 75, "letters": 95, "lines": 95, "repeats": 95}
+MEASURES = tuple(LEVELS)
+#: Occurrences a text without any would have by chance at most, at a rate at which 5 % of such texts have none.
+SPARE = 3
 
 
 def _words(text: str) -> Column:
@@ -70,8 +77,9 @@ def measure(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines")
 
 
-def _ratios() -> dict[str, Column]:
-    part = lambda of, by, scale: F.when(F.col("n_words") > 0, F.floor(F.col(of) * scale / F.col(by)))
+def _ratios(spare: int = 0) -> dict[str, Column]:
+    counted = lambda of: F.greatest(F.col(of) - (spare if of != "word_chars" else 0), F.lit(0))
+    part = lambda of, by, scale: F.when(F.col("n_words") > 0, F.floor(counted(of) * scale / F.col(by)))
     return {"symbols": part("n_symbols", "n_words", 1000), "letters": part("word_chars", "n_words", 100),
             "lines": part("n_dup_lines", "n_lines", 1000), "repeats": part("n_repeat_words", "n_words", 1000)}
 
@@ -92,12 +100,16 @@ def fences(sketches: DataFrame, by: tuple[str, ...]) -> DataFrame:
     ranked = merged.select(
         *by, "measure", "bucket", F.sum("n").over(group).alias("total"),
         F.sum("n").over(group.orderBy("bucket")).alias("upto"))
+    level = F.create_map(*[F.lit(x) for pair in LEVELS.items() for x in pair])[F.col("measure")]
     at = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, F.col("bucket")))
     found = ranked.groupBy(*by, "measure").agg(
-        F.max("total").alias("total"), at(25).alias("low"), at(50).alias("mid"), at(75).alias("high"))
-    slack = F.create_map(*[F.lit(x) for pair in SLACK.items() for x in pair])[F.col("measure")]
-    return found.select(*by, "measure", "total", (F.col("mid") - SPREAD * (F.col("mid") - F.col("low")) - slack).alias("lo"),
-                        (F.col("mid") + SPREAD * (F.col("high") - F.col("mid")) + slack).alias("hi"))
+        F.max("total").alias("total"), at(100 - level).alias("low"), at(F.lit(50)).alias("mid"), at(level).alias("high"))
+    bucket = "shiftleft(1L, greatest(0, length(bin({})) - 5))".format
+    found = found.withColumn("reach", F.col("mid") + SPREAD * (F.col("high") - F.col("mid")))
+    return found.select(
+        *by, "measure", "total",
+        F.when(F.col("measure") == "letters", F.col("mid") - SPREAD * (F.col("mid") - F.col("low")) - F.expr(bucket("mid")))
+        .otherwise(F.lit(0)).cast("long").alias("lo"), (F.col("reach") + F.expr(bucket("reach"))).alias("hi"))
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
@@ -120,7 +132,7 @@ def apply_rules(df: DataFrame) -> DataFrame:
                            "left")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     within = F.lit(True)
-    for m, ratio in _ratios().items():
+    for m, ratio in _ratios(SPARE).items():
         within &= F.coalesce(ratio.between(F.col(f"lo_{m}"), F.col(f"hi_{m}")), F.lit(True))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          failed.alias("base_failed"), (~failed & within).alias("kept"))

@@ -23,18 +23,23 @@ _RATIOS = {"symbols": "n_symbols * 1000 // n_words", "letters": "word_chars * 10
 _LEVELS = (("own", "lang, source, "), ("of_lang", "lang, "), ("of_all", ""))
 
 
+_JUDGED = {k: e if k == "letters" else f"greatest({e.split(' *')[0]} - {quality.SPARE}, 0) *{e.split(' *', 1)[1]}" for k, e in _RATIOS.items()}
+
+
 def _fences(name: str, by: str) -> str:
     """DuckDB: fences of every measure at one level, from the sketch merged over the rest."""
+    level = "CASE measure " + " ".join(f"WHEN '{m}' THEN {p}" for m, p in quality.LEVELS.items()) + " END"
     at = "min(bucket) FILTER (WHERE upto * 100 >= total * {})".format
-    slack = " ".join(f"WHEN '{m}' THEN {s}" for m, s in quality.SLACK.items())
+    bucket = "(1::BIGINT << greatest(0, length(bin({})) - 5))".format
     return f"""{name} AS (
-        SELECT {by}measure, max(total) AS total,
-               {at(50)} - {quality.SPREAD} * ({at(50)} - {at(25)}) - (CASE measure {slack} END) AS lo,
-               {at(50)} + {quality.SPREAD} * ({at(75)} - {at(50)}) + (CASE measure {slack} END) AS hi
-        FROM (SELECT {by}measure, bucket, sum(n) OVER (PARTITION BY {by}measure) AS total,
-                     sum(n) OVER (PARTITION BY {by}measure ORDER BY bucket) AS upto
-              FROM (SELECT {by}measure, bucket, sum(n) AS n FROM sketch GROUP BY ALL))
-        GROUP BY {by}measure)"""
+        SELECT {by}measure, total, CASE WHEN measure = 'letters' THEN mid - {quality.SPREAD} * (mid - low) - {bucket('mid')} ELSE 0 END AS lo,
+               reach + {bucket('reach')} AS hi
+        FROM (SELECT *, mid + {quality.SPREAD} * (high - mid) AS reach FROM (
+            SELECT {by}measure, max(total) AS total, {at(f'(100 - {level})')} AS low, {at(50)} AS mid, {at(level)} AS high
+            FROM (SELECT {by}measure, bucket, sum(n) OVER (PARTITION BY {by}measure) AS total,
+                         sum(n) OVER (PARTITION BY {by}measure ORDER BY bucket) AS upto
+                  FROM (SELECT {by}measure, bucket, sum(n)::BIGINT AS n FROM sketch GROUP BY ALL))
+            GROUP BY {by}measure)))"""
 
 
 QUALITY_SQL = rf"""WITH d AS (
@@ -65,7 +70,7 @@ QUALITY_SQL = rf"""WITH d AS (
                FROM own o JOIN of_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure
                JOIN of_all a ON o.measure = a.measure),
     judged AS (SELECT doc_id, bool_and(x BETWEEN lo AND hi) AS fine FROM (
-               {' UNION ALL '.join(f"SELECT doc_id, lang, source, '{k}' AS measure, {e} AS x FROM m WHERE n_words > 0" for k, e in _RATIOS.items())}) j
+               {' UNION ALL '.join(f"SELECT doc_id, lang, source, '{k}' AS measure, {e} AS x FROM m WHERE n_words > 0" for k, e in _JUDGED.items())}) j
                JOIN chosen c ON j.lang IS NOT DISTINCT FROM c.lang AND j.source IS NOT DISTINCT FROM c.source AND j.measure = c.measure
                GROUP BY doc_id),
     based AS (SELECT m.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
