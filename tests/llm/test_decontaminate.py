@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidewright.llm import decontaminate
-from tidewright.llm.decontaminate import find_items, infix_distance
+from tidewright.llm.decontaminate import drop_contaminated, find_items, infix_distance
 
 
 def infix(item, text):
@@ -111,3 +111,18 @@ def test_words_of_a_slice():
     column = pa.array(["zz", "A b, c!", None, "d"]).slice(1)
     found = decontaminate.plain_words(column)
     assert [found.data[a:b].tobytes() for a, b in zip(found.start, found.stop, strict=True)] == [b"a", b"b", b"c", b"d"]
+
+
+def test_items_of_few_words_are_found_as_they_are(spark):
+    cjk = "人工智能模型在训练之前需要清理数据集"
+    items = [(1, "Who wrote the Principia Mathematica?"), (2, cjk), (3, "too short"), (4, "who wrote  the principia mathematica"), (5, "x" * 40)]
+    texts = {10: f"Question: WHO wrote, the Principia\nMathematica! Newton.", 11: f"前言{cjk}后记 end", 12: "who wrote the principia mathematicas",
+             13: "somebody who wrote the principia", 14: "too short", 15: "a " + "x" * 40, 16: "é who wrote the principia mathematica", 17: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    got = find_items(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(10, 1), (10, 4), (11, 2), (15, 5), (16, 1), (16, 4)}
+    shown = {(r.doc_id, r.item_id): texts[r.doc_id][r.start:r.stop] for r in got}
+    assert shown[10, 1] == "WHO wrote, the Principia\nMathematica" and shown[16, 1] == "who wrote the principia mathematica"
+    assert cjk in shown[11, 2] and {r.distance for r in got} == {0}
+    kept = {r.doc_id for r in drop_contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert kept == {12, 13, 14, 17}

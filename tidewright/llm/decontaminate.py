@@ -17,9 +17,11 @@ Typos that reach many more words than that, and items of few or long words witho
 whole words, while ``SHARE`` counts characters. Keys of fewer places would often be met by chance, by texts that repeat
 frequent words.
 
-Items are sent to the workers in blocks of bounded size, each compared with all texts. Items with fewer
-than ``LEAST_WORDS`` words prove nothing and are passed over, as are missing ones; missing texts
-hold nothing. Of several matches of an item in a text the nearest counts, then the first. Repeated rows
+Items of fewer than ``LEAST_WORDS`` words, such as a sentence in a script without blanks, are searched for exactly as they are, by one
+automaton for all. Below ``LEAST_BYTES`` bytes they prove nothing and are passed over.
+
+Items are sent to the workers in blocks of bounded size, each compared with all texts. Missing items and those without words are passed
+over; missing texts hold nothing. Of several matches of an item in a text the nearest counts, then the first. Repeated rows
 repeat; an empty table on either side gives an empty result.
 """
 
@@ -29,6 +31,7 @@ from collections import defaultdict
 from functools import lru_cache
 from itertools import product
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +39,8 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.arrowtext import U64, Words, flat, mix, sized, words
 
-LEAST_WORDS = 8
+#: Items with fewer words are searched for as they are, if they have so many bytes in UTF-8.
+LEAST_WORDS, LEAST_BYTES = 8, 30
 WALKS, SAMPLES, BITS = 4, 14, 5
 #: Steps of a walk from which places are taken, in words of the window.
 REACH = 1.25
@@ -222,12 +226,20 @@ class ItemIndex:
         self.items: list[tuple[int, np.ndarray, int]] = []
         #: Per table the sorted keys, the items and the words at which their windows begin, and which leading bits occur.
         self.tables: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: Items of few words, searched for as they are.
+        self.short = ahocorasick.Automaton()
         by_size = defaultdict(list)
         for i, (item_id, _) in enumerate(items):
             a, b = first[i], first[i + 1]
             self.items.append((item_id, spelled.between(a, b), b - a))
             if b - a >= LEAST_WORDS:
                 by_size[window_of(b - a)].append(i)
+            elif b > a and len((own := _text(self.items[i][1])).encode()) >= LEAST_BYTES:
+                # Whole words, or a part of one where the item has no blank, as in scripts that write none.
+                key = f" {own} " if " " in own else own
+                self.short.add_word(key, (*self.short.get(key, ()), i))
+        if len(self.short):
+            self.short.make_automaton()
         self.sizes = sorted(by_size)
         for size, members in by_size.items():
             at = np.concatenate([np.arange(first[i], first[i + 1] - size + 1) for i in members])
@@ -267,6 +279,16 @@ class ItemIndex:
                         out[int(text[k])].update((int(owner[m]), begin - int(offset[m])) for m in range(i, j))
         return out
 
+    def _short_matches(self, found: Words, spelled: _Spelled):
+        """(text, items, first and last word) wherever an item of few words stands."""
+        for text in range(len(found.first) - 1 if len(self.short) else 0):
+            a, b = spelled.word[found.first[text]], spelled.word[found.first[text + 1]]
+            for end, items in self.short.iter(" " + _text(spelled.chars[a:b])):
+                size = len(self.items[items[0]][1])
+                stop = a + end - (self.items[items[0]][1] == 32).any()  # a blank goes before the text, another behind the item
+                w0, w1 = (int(np.searchsorted(spelled.word, at, "right")) - 1 for at in (stop - size, stop - 1))
+                yield text, items, w0, w1
+
     def matches(self, column: pa.Array, share: float) -> dict[int, list[tuple[int, int, int, int, int]]]:
         """Per text: (item_id, distance, item length, first byte, end byte) of each item it holds."""
         found = plain_words(column)
@@ -299,6 +321,10 @@ class ItemIndex:
             w1 = max(w0, a + int(np.searchsorted(edges, end, "left")) - 1)
             here = (distance, int(found.start[w0] - offsets[text]), int(found.stop[w1] - offsets[text]))
             out[text][item] = min(out[text].get(item, here), here)
+        for text, items, w0, w1 in self._short_matches(found, spelled):
+            here = (0, int(found.start[w0] - offsets[text]), int(found.stop[w1] - offsets[text]))
+            for item in items:
+                out[text][item] = min(out[text].get(item, here), here)
         return {text: sorted((self.items[i][0], d, len(self.items[i][1]), a, b) for i, (d, a, b) in best.items()) for text, best in out.items()}
 
 
