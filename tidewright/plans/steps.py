@@ -1,4 +1,4 @@
-"""User steps: named functions from a frame to a frame, registered in code and chained lazily."""
+"""User steps: named functions from a frame to a frame, registered in code and chained."""
 
 from __future__ import annotations
 
@@ -69,7 +69,7 @@ class Registry:
         return df.transform(self._steps[name])
 
     def run_chain(self, names: Sequence[str], df: DataFrame) -> DataFrame:
-        """The steps one after the other; still one lazy plan."""
+        """The steps one after the other. Steps are lazy, but those that number rows count them, each for itself."""
         return reduce(lambda frame, name: self.run(name, frame), names, df)
 
     def invalid(self) -> list[str]:
