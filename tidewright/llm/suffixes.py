@@ -8,12 +8,12 @@ text. Texts that repeat each other repeat phrases, and a text is the list of its
 Dictionary. Triggers that occur in one text only are dropped first. Of the rest each distinct
 phrase is kept once, with the least id of a text that has it. All 50-byte strings around an
 occurrence of a phrase in a text with a larger id are repeats: no byte of them is looked at. Only
-phrases that share their trigger with other phrases are compared byte by byte: for every
-offset their suffixes, cut after 50 bytes, are put in order, and suffixes side by side that are equal take the
+phrases that share their trigger with other phrases are looked at byte by byte: for every
+offset their suffixes, cut after 50 bytes, are put in order by 64-bit hashes, and suffixes side by side that are equal take the
 least id.
 
-Corpus order. Sorted suffixes of the dictionary and the places of its phrases in the parse give the order of all
-suffixes of the corpus, as deep as 50 bytes, which is what the repeats need; a phrase with its
+Corpus order. The result asks which 50-byte strings of the corpus are equal, not which comes first. So no array
+of the dictionary's suffixes or of the parse is built: equality by hash takes the place of their order, and a phrase with its
 answer for each of the 25 offsets stands for all its places.
 
 Triggers, phrases and suffixes meet by hash, in buckets; no bucket grows with the copies of a
