@@ -54,7 +54,7 @@ def test_swapped_neighbours_are_one_edit(weights, words):
 
 
 def test_misspellings_that_the_query_matches():
-    match = toxicity._matcher({"worthless": 3.0, "idiot": 2.0, "scum": 1.0}).automaton.match
+    match = toxicity.LexiconAutomaton({"worthless": 3.0, "idiot": 2.0, "scum": 1.0}, swaps=True).match
     assert match("w0rthles5") == (2, 3.0) and match("wrothlses") == (2, 3.0)
     assert match("idoit") == (1, 2.0) and match("idito") == (1, 2.0) and match("idoti") is None
     assert match("scum") == (0, 1.0) and match("scm") is None

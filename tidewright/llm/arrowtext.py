@@ -152,6 +152,27 @@ def give_back() -> None:
         _trim(0)
 
 
+_slot: list = [None, None, None]
+
+
+def kept(name: str, of, build):
+    """What ``build()`` makes of ``of``, kept for the next task of this worker.
+
+    A worker keeps one such thing at a time: one of an operator whose stage is over makes room for that of the next.
+    """
+    if _slot[0] != name or not (_slot[1] is of or (isinstance(of, str) and _slot[1] == of)):
+        forget()
+        _slot[:] = name, of, build()
+    return _slot[2]
+
+
+def forget() -> None:
+    """Drop what this worker keeps."""
+    if _slot[0] is not None:
+        _slot[:] = None, None, None
+        give_back()
+
+
 def pieces(batches, rows: int = BATCH_ROWS):
     """The batches in slices of a few rows each, so that what is made of one stays small; at the end memory is given back."""
     try:

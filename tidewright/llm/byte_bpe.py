@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.arrowtext import pieces
+from tidewright.llm.arrowtext import kept, pieces, sized
 
 #: Bytes of text that are handed to the library at once; bounds the memory of its results.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 #: Splitting pattern of the byte-level vocabularies here, which the library has built in.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -62,8 +62,11 @@ def merges_of(tokens: list[bytes]) -> list[tuple[bytes, bytes]]:
     return pairs
 
 
-@lru_cache(2)
 def tokenizer(path: str):
+    return kept("tokenizer", path, lambda: _made(path))
+
+
+def _made(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
     from tokenizers.models import BPE
@@ -108,7 +111,7 @@ def encode(df: DataFrame, ranks: str, text: str = "text", keep: tuple[str, ...]
         made = tokenizer(ranks)
         many = made.encode_batch if offsets else made.encode_batch_fast
         table = np.array([*token_bytes(ranks)], object) if decoded else None
-        for batch in pieces(batches):
+        for batch in sized(batches, len(keep), BLOCK_BYTES):
             columns = [[] for _ in packed]
             for block in _blocks([t or "" for t in batch.column(len(keep)).to_pylist()]):
                 for got in many(block, add_special_tokens=False):

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.arrowtext import U64, Words, flat, mix, sized, words
+from tidewright.llm.arrowtext import U64, Words, flat, kept, mix, sized, words
 
 #: Items with fewer words are searched for as they are, if they have so many bytes in UTF-8.
 LEAST_WORDS, LEAST_BYTES = 8, 30
@@ -349,7 +349,7 @@ def find_items(df: DataFrame, items: DataFrame, share: float = SHARE) -> DataFra
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches):
-            index = ItemIndex(sent.value)
+            index = kept("items", sent.value, lambda: ItemIndex(sent.value))
             for batch in sized(batches, 1, _TEXT_BYTES):
                 out = [[] for _ in names]
                 for text, found in index.matches(batch.column(1), share).items():
@@ -376,7 +376,7 @@ def drop_contaminated(df: DataFrame, items: DataFrame, share: float = SHARE) ->
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches):
-            index = ItemIndex(sent.value)
+            index = kept("items", sent.value, lambda: ItemIndex(sent.value))
             for batch in sized(batches, 0, _TEXT_BYTES):
                 held = index.matches(batch.column(0), share)
                 clean = np.ones(batch.num_rows, bool)

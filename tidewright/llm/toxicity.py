@@ -35,7 +35,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.arrowtext import pieces
+from tidewright.llm.arrowtext import kept, pieces
 from tidewright.session import materialize
 
 #: Labelled rows of each label that are learned from at most.
@@ -228,16 +228,6 @@ class Matcher:
                 math.log1p(100 * (sums["plain"] + sums["misspelt"] / 2) / len(words))]
 
 
-_last: list = [None, None]
-
-
-def _matcher(weights: dict[str, float]) -> Matcher:
-    """The matcher of a lexicon, kept with all it has learned for the next task of this worker."""
-    if _last[0] is not weights:
-        _last[:] = weights, Matcher(LexiconAutomaton(weights, swaps=True))
-    return _last[1]
-
-
 def figures(df: DataFrame, weights: dict[str, float], text: str, keep: tuple[str, ...]) -> DataFrame:
     """``keep`` and the ``FEATURES`` of every text."""
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"`{f}` double" for f in FEATURES])
@@ -245,7 +235,8 @@ def figures(df: DataFrame, weights: dict[str, float], text: str, keep: tuple[str
     sent = df.sparkSession.sparkContext.broadcast(weights)  # MAX_TERMS words at most
 
     def run(batches):
-        matcher = _matcher(sent.value)
+        # The matcher stays with all it has learned for the next task of this worker.
+        matcher = kept("lexicon", sent.value, lambda: Matcher(LexiconAutomaton(sent.value, swaps=True)))
         for batch in pieces(batches):
             rows = [matcher.figures(t or "") for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
