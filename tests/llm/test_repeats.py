@@ -134,6 +134,20 @@ def test_empty_table(spark):
     assert suffixes.report(df).collect() == [] and substrings.report(df).collect() == []
 
 
+def test_long_words_that_differ_everywhere(spark):
+    """Thue-Morse words and their complements: polynomials modulo 2**64 take them for equal."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    around = [f"p{i}" for i in range(17)], [f"q{i}" for i in range(17)]
+    words = [word[:1024], word[1024:], word, word.translate(str.maketrans("ab", "ba")), "ab" * 600, "ba" * 600]
+    rows = [(i, " ".join([*around[0], w, *around[1]])) for i, w in enumerate(words)]
+    rows += [(20, " ".join(word)), (21, " ".join(word[1024:])), (22, " ".join("ba" * 40))]
+    want = repeated_words(rows)
+    assert [r[2] for r in want[:6]] == [0] * 6
+    assert sorted_rows(substrings.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == sorted_rows(want)
+
+
 def test_very_long_text(spark):
     rng = random.Random(3)
     long = " ".join(str(rng.randint(0, 10**6)) for _ in range(200_000))
