@@ -110,3 +110,24 @@ def test_links_within_a_crowd_of_one_template(spark, monkeypatch):
     assert all(got[a] == got[b] for a, b in pairs)
     linked = {x for pair in pairs for x in pair}
     assert all(got[i] == i for i in range(1500) if i not in linked)
+
+
+def test_links_within_a_crowd_that_shares_frequent_shingles_only(spark, monkeypatch):
+    """Texts of a template whose other words stand in 19 texts each; those of a pair share two of them, others one at most."""
+    monkeypatch.setattr(minhash, "REGION", 8)
+    p, rows, pairs = 19, [], []
+
+    def text(slots):
+        words = [f"t{i}" for i in range(242)]
+        for j, slot in enumerate(slots):
+            words[10 + 28 * j] = f"{j}s{slot}"
+        return " ".join(words)
+
+    for i in range(p * p):
+        rows.append((i, text([(i // p + j * (i % p)) % p for j in range(8)])))
+    for k in range(30):
+        a = 12 * k
+        rows.append((1000 + k, text([a // p, (a // p + a % p) % p] + [f"p{k}"] * 6)))
+        pairs.append((a, 1000 + k))
+    got = {r.doc_id: r.component_id for r in minhash.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i, _ in rows} | {b: a for a, b in pairs}

@@ -9,15 +9,17 @@ such a key, nodes that share a longer prefix stand closer, so a prefix names a r
 neighbours. A region begins at the least depth; while it has more than ``REGION`` nodes it
 is divided by the next hashes of the sequence, so crowded regions become deep and sparse
 ones stay shallow. What equal prefixes of the greatest depth still hold together is dealt by a
-hash of the node, another one in each tree, so that everyone meets others in every tree. As a
-link of low similarity is likelier to be cut by deep prefixes, all nodes that lay crowded are
-sorted by ``CROWDED_TREES`` further keys, and meet besides where they share a shingle that few others of them have, as two texts
-of one template do that are more alike than the rest.
+hash of the node, another one in each tree. That connects most of a crowd, but parts some that are linked.
+
+Crowds. So all nodes that lay in a region of more than ``REGION`` at the least depth are joined exactly. Shingles are put
+in one order, rare ones first. Of two linked sets, the smaller has one of their common shingles among its first few, the larger
+among a few more; how many follows from the sizes and the threshold. Nodes that share such a shingle meet, however many
+they are: a crowd is dealt to parts, and of the parts every two meet, other than those in which all are connected already.
 
 Links. Within a region the signatures tell which nodes might be linked though they are not
 connected yet; only those fetch their full sets, and all pairs among them are compared by
 one matrix product. Of the links found a forest is kept. A first wave of trees connects most
-groups; the second wave, of the other trees and those for crowded nodes, only looks at regions in
+groups; the second wave, of the other trees, and the third, of the crowds, only look at regions in
 which unconnected candidates are left.
 
 At the least depth d and t trees a pair of similarity s is missed with chance (1 - s^d)^t,
@@ -42,8 +44,6 @@ from tidewright.session import materialize
 
 #: Hashes of a tree's prefix at its least depth, and further hashes at each step into a crowded region.
 DEPTH, STEPS = 5, (3, 7, 11)
-#: Trees for the nodes of crowded regions, and the hashes of their prefixes.
-CROWDED_TREES, CROWDED_STEPS = 32, (8, 11, 16)
 #: Nodes of a region at most, before it is divided.
 REGION = 128
 #: Minimum hashes of a signature; the trees use them in turn.
@@ -54,6 +54,10 @@ ERRORS = 4.5
 FILTER_BITS = 1 << 26
 #: Trees of the first wave.
 FIRST = 4
+#: Leading bits of a shingle's hash by which it is counted: a megabyte of counts.
+COUNT_BITS = 20
+#: Kinds of nodes that have to meet in a crowd, see ``_paired``.
+_MEET = {0: (1, 3), 1: (0, 1, 2, 3), 2: (1,), 3: (0, 1)}
 _rng = np.random.default_rng(987654321)
 _A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | U64(1)).astype(np.uint32)[:, None]
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -128,13 +132,12 @@ def full_sets(rows: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
         .mapInArrow(run, "doc_id long, text_hash long, shingles binary")
 
 
-def _shared(rows: DataFrame, most: int | None = None) -> DataFrame:
-    """``rows`` whose ``key`` occurs again, in ``most`` rows at most if that is given, with the number ``n`` of rows that have it.
+def _shared(rows: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` occurs again, with the number ``n`` of rows that have it.
 
     The counts are written first, so that both sides of the join are tables.
     """
-    counts = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(
-        "n > 1" if most is None else f"n BETWEEN 2 AND {most}"), "region-sizes")
+    counts = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "region-sizes")
     return rows.join(counts.withColumnRenamed("key", "its key"), F.col("key") == F.col("its key")).drop("its key")
 
 
@@ -149,46 +152,93 @@ def regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _divided(rows, 0, STEPS), rows.where(F.col("n") > REGION).select("node", "sig").distinct()
 
 
-def crowded_regions(crowded: DataFrame) -> DataFrame:
-    """Regions of ``CROWDED_TREES`` further trees over the nodes that lay crowded, from other choices of their hashes."""
-    rng = np.random.default_rng(2718281828)
-    picks = np.array([rng.choice(HASHES, CROWDED_STEPS[-1], replace=False) for _ in range(CROWDED_TREES)])
-
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """For each class of shingles (``COUNT_BITS`` leading bits) a number that grows with its occurrences; 0: one at most."""
     def run(batches):
+        total = np.zeros(1 << COUNT_BITS, np.int64)
         for batch in pieces(batches):
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            paths = [[row[p].tobytes() for p in picks] for row in sig]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paths, pa.list_(pa.binary()))], names=["node", "sig", "paths"])
-
-    rows = crowded.select("node", "sig").mapInArrow(run, "node binary, sig binary, paths array<binary>") \
-        .select("node", "sig", F.posexplode("paths").alias("tree", "path"))
-    first = F.xxhash64("tree", F.substring("path", 1, CROWDED_STEPS[0]))
-    return _divided(materialize(_shared(rows.withColumn("key", first)), "regions"), CROWDED_STEPS[0], CROWDED_STEPS[1:])
+            held = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8")
+            total += np.bincount((held >> U64(64 - COUNT_BITS)).view(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    found = sets.select("shingles").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where("n > 1") \
+        .select(F.col("at").cast("int"), (1 + F.floor(8 * F.log2("n"))).cast("short").alias("level")).toArrow()
+    out = np.zeros(1 << COUNT_BITS, np.uint8)
+    out[found.column("at").to_numpy()] = found.column("level").to_numpy()
+    return out
 
 
-def shingle_regions(rows: DataFrame, nodes: DataFrame, crowded: DataFrame, size: int) -> DataFrame:
-    """A region for every shingle that 2 to ``REGION`` crowded nodes have in common.
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """``node``, ``key`` (a shingle) and ``first``: the shingles by which a node meets those its set may be linked to.
 
-    Texts of one template agree in most hashes, linked or not, so prefixes do not part them. What makes two of them more alike
-    than the rest are shingles that few others have.
+    In one order of all shingles, a set of n that shares c with another has one of these among its first n - c + 1. With
+    sets no smaller than itself it shares 2pn / (100 + p) at least, which makes the ``first``; with any, pn / 100.
     """
+    levels = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
+
     def run(batches):
         for batch in pieces(batches):
-            sets = [np.frombuffer(x, "<i8") for x in batch.column(1).to_pylist()]
-            sizes = np.array([len(x) for x in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(sets)), sizes))),
-                                              pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], names=["node", "key"])
+            keys, first, counts = [np.zeros(0, np.int64)], [np.zeros(0, bool)], []
+            for packed in batch.column(1).to_pylist():
+                own = np.frombuffer(packed, "<u8")
+                n, level = len(own), levels.value[(own >> U64(64 - COUNT_BITS)).view(np.int64)]
+                order = np.argsort(level, kind="stable")[:n + -percent * n // 100 + 1]
+                some = level[order] > 0  # others have nobody to share them with
+                keys.append(own[order][some].view(np.int64))
+                first.append((np.arange(len(order)) <= n + -2 * percent * n // (100 + percent))[some])
+                counts.append(len(keys[-1]))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts))), pa.array(np.concatenate(keys)),
+                pa.array(np.concatenate(first))], names=["node", "key", "first"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node binary, key long, first boolean")
+
+
+def exact_regions(rows: DataFrame, nodes: DataFrame, crowded: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
+    """Regions (``key``, ``node``, ``sig``, ``root``) in which all crowded nodes meet that may be linked and that ``labels`` do not connect."""
+    rooted = materialize(_rooted(crowded, labels), "rooted")
+    held = materialize(_prefixes(_sets(rows, nodes, crowded, size), percent), "prefixes")
+    # Shingles that the same nodes have in common make one region.
+    counts = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("first").alias("some"), F.bit_xor(F.xxhash64("node", "first")).alias("who"))
+    counts = materialize(counts.where("n > 1 AND some").groupBy("n", "who").agg(F.min("key").alias("its key")).drop("who"), "region-sizes")
+    met = held.join(counts, F.col("key") == F.col("its key")).drop("its key")
+    roots = rooted.select(F.col("node").alias("its node"), "root")
+    met = materialize(met.join(roots, F.col("node") == F.col("its node")).drop("its node"), "met")
+    several = materialize(met.groupBy(F.col("key").alias("its key")).agg(F.min("root").alias("a"), F.max("root").alias("b"))
+                          .where("a < b").select("its key"), "several-roots")
+    met = materialize(met.join(several, F.col("key") == F.col("its key")).drop("its key"), "unconnected")
+    found, crowds = met.where(F.col("n") <= REGION).select("key", "node"), met.where(F.col("n") > REGION)
+    if not crowds.isEmpty():
+        found = found.unionByName(_paired(crowds))
+    return found.join(rooted.withColumnRenamed("node", "its node"), F.col("node") == F.col("its node")).drop("its node")
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    """(``key``, ``node``): rows (key, node, first, root) of crowds dealt to parts of ``REGION``, with a new key for every two that have to meet.
+
+    Of two nodes one has to hold the key among its ``first``, and not both may belong to the crowd's greatest component:
+    its nodes are of the kinds 0 and 2, all others 1 and 3, the latter of each without ``first``.
+    """
+    main = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("key").alias("its key")).agg(F.max_by("root", "n").alias("main"))
+    kind = F.when(F.col("root") == F.col("main"), 0).otherwise(1) + F.when(F.col("first"), 0).otherwise(2)
+    rows = materialize(rows.join(materialize(main, "main-roots"), F.col("key") == F.col("its key")).select("key", "node", kind.alias("kind")), "kinds")
+    parts = materialize(rows.groupBy(F.col("key").alias("its key")).agg(*(
+        F.ceil(F.count_if(F.col("kind") == k) / REGION).cast("long").alias(f"parts{k}") for k in _MEET)), "parts")
+    rows = rows.join(parts, F.col("key") == F.col("its key"))
 
-    held = _sets(rows, nodes, crowded, size).select("node", "shingles").mapInArrow(run, "node binary, key long")
-    shared = _shared(materialize(held, "shingles"), REGION)
-    sig = crowded.select(F.col("node").alias("its node"), "sig")
-    return shared.join(sig, F.col("node") == F.col("its node")).select(F.lit(FIRST).alias("tree"), "key", "node", "sig")
+    base = {k: F.lit(k << 32).cast("long") for k in _MEET}
+    own = F.coalesce(*(F.when(F.col("kind") == k, base[k] + F.pmod(F.xxhash64("node"), F.col(f"parts{k}"))) for k in _MEET))
+    others = F.concat(*(F.when(F.col("kind").isin(*_MEET[k]) & (F.col(f"parts{k}") > 0), F.sequence(base[k], base[k] + F.col(f"parts{k}") - 1))
+                        .otherwise(F.array().cast("array<long>")) for k in _MEET))
+    rows = rows.select("key", "node", own.alias("own"), F.explode(others).alias("other"))
+    return rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node")
 
 
 def _divided(rows: DataFrame, begin: int, steps: tuple[int, ...]) -> DataFrame:
     """Regions of rows (key, node, sig, path, n): crowded ones are divided by ever more hashes of the path.
 
-    Keys hold ``begin`` hashes of the path; each step makes it so many.
+    Keys hold ``begin`` hashes of the path; each step makes it so many. Linked nodes that are parted here meet in ``exact_regions``.
     """
     found = [rows.where(F.col("n") <= REGION)]
     rest = rows.where(F.col("n") > REGION)
@@ -291,21 +341,24 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, trees: int
     nodes = materialize(signed.where("n_shingles > 0").dropDuplicates(["node"]), "nodes")
     found, crowded = regions(nodes)
     crowded = materialize(crowded, "crowded")
-    links = _confirmed(rows, nodes, found.where(F.col("tree") < FIRST), None, size, percent)
-    others = found.where(F.col("tree") >= FIRST)
+    links = _confirmed(rows, nodes, found.where(F.col("tree") < FIRST).withColumn("root", F.col("node")), size, percent)
+    others = _rooted(found.where(F.col("tree") >= FIRST), partial_components(links))
+    labels = components(links.unionByName(_confirmed(rows, nodes, others, size, percent)))
     if not crowded.isEmpty():
-        others = others.unionByName(crowded_regions(crowded)).unionByName(shingle_regions(rows, nodes, crowded, size))
-    links = links.unionByName(_confirmed(rows, nodes, others, links, size, percent))
-    return _labelled(signed, components(links))
-
-
-def _confirmed(rows: DataFrame, nodes: DataFrame, found: DataFrame, links: DataFrame | None, size: int, percent: int) -> DataFrame:
-    """Links (a, b) within the regions ``found`` between nodes that ``links`` do not connect yet."""
-    if links is None:
-        found = found.withColumn("root", F.col("node"))
-    else:
-        labels = partial_components(links).withColumnRenamed("node", "its node")
-        found = found.join(labels, F.col("node") == F.col("its node"), "left").withColumn("root", F.coalesce("root", "node"))
+        links = _confirmed(rows, nodes, exact_regions(rows, nodes, crowded, labels, size, percent), size, percent)
+        if not links.isEmpty():
+            labels = components(links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return _labelled(signed, labels)
+
+
+def _rooted(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the ``root`` of each node, which is the node itself if nothing is linked with it."""
+    labels = labels.withColumnRenamed("node", "its node")
+    return rows.join(labels, F.col("node") == F.col("its node"), "left").withColumn("root", F.coalesce("root", "node")).drop("its node")
+
+
+def _confirmed(rows: DataFrame, nodes: DataFrame, found: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) within the regions ``found`` (key, node, sig, root) between nodes of different roots."""
     grouped = found.groupBy("key").agg(F.collect_list(F.struct("node", "sig", "root")).alias("members"))
     asked = materialize(grouped.mapInArrow(_candidates(percent / 100), "key long, node binary, root binary"), "candidates")
     sets = _sets(rows, nodes, asked, size).withColumnRenamed("node", "its node")
