@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidewright.llm import minhash
 from tidewright.llm.components import components
 
@@ -112,22 +113,34 @@ def test_links_within_a_crowd_of_one_template(spark, monkeypatch):
     assert all(got[i] == i for i in range(1500) if i not in linked)
 
 
-def test_links_within_a_crowd_that_shares_frequent_shingles_only(spark, monkeypatch):
+def frequent_crowd(slots, n_words):
     """Texts of a template whose other words stand in 19 texts each; those of a pair share two of them, others one at most."""
-    monkeypatch.setattr(minhash, "REGION", 8)
     p, rows, pairs = 19, [], []
 
-    def text(slots):
-        words = [f"t{i}" for i in range(242)]
-        for j, slot in enumerate(slots):
+    def text(chosen):
+        words = [f"t{i}" for i in range(n_words)]
+        for j, slot in enumerate(chosen):
             words[10 + 28 * j] = f"{j}s{slot}"
         return " ".join(words)
 
     for i in range(p * p):
-        rows.append((i, text([(i // p + j * (i % p)) % p for j in range(8)])))
+        rows.append((i, text([(i // p + j * (i % p)) % p for j in range(slots)])))
     for k in range(30):
         a = 12 * k
-        rows.append((1000 + k, text([a // p, (a // p + a % p) % p] + [f"p{k}"] * 6)))
+        rows.append((1000 + k, text([a // p, (a // p + a % p) % p] + [f"p{k}"] * (slots - 2))))
         pairs.append((a, 1000 + k))
+    return rows, pairs
+
+
+def test_links_within_a_crowd_that_shares_frequent_shingles_only(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "REGION", 8)
+    rows, pairs = frequent_crowd(8, 242)
     got = {r.doc_id: r.component_id for r in minhash.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i for i, _ in rows} | {b: a for a, b in pairs}
+
+
+def test_stage_drops_all_of_such_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "REGION", 8)
+    rows, pairs = frequent_crowd(7, 244)
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted({i for i, _ in rows} - {b for _, b in pairs})
