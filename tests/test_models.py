@@ -100,6 +100,20 @@ def test_blocks_are_passed_over_by_their_pivots(spark, monkeypatch, p):
     assert sum(r.compared for r in got) < 0.4 * len(got) * 900
 
 
+def test_few_pairs_of_a_small_table_are_compared(spark):
+    """Three cells exclude little, so the blocks in them have to."""
+    rng = np.random.default_rng(8)
+    x, asked = rng.random((1200, 4)), rng.random((300, 4))
+    frame = lambda x: spark.createDataFrame(
+        [(i, row.tolist(), float(i)) for i, row in enumerate(x)], "row_id long, x array<double>, label double")
+    model = KnnRegressor(5, broadcast_bytes=0).fit(frame(x).withColumn("features", array_to_vector("x")))
+    got = model._search_cells(frame(asked).select("x")).collect()
+    for r in got:
+        dist = knn._distances(np.array(r.x)[None], x, 2)[0]
+        assert [e.id for e in r.near] == np.lexsort((np.arange(1200), dist))[:5].tolist()
+    assert len(got) == 300 and sum(r.compared for r in got) < 0.2 * 300 * 1200
+
+
 def test_knn_with_fewer_rows_than_neighbours(spark):
     pdf = pd.DataFrame({"x1": [0.0, 1.0], "x2": [0.0, 0.0], "y": [1.0, 3.0], "row_id": [0, 1]})
     model = KnnRegressor(5).fit(vectors(spark, pdf, NAMES[:2]))
