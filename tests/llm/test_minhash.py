@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +146,28 @@ def test_stage_drops_all_of_such_a_crowd(spark, monkeypatch):
     rows, pairs = frequent_crowd(7, 244)
     kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(r.doc_id for r in kept) == sorted({i for i, _ in rows} - {b for _, b in pairs})
+
+
+def test_a_group_of_several_regions_is_compared_once():
+    """Two groups in one region, and one of them again in another: each asks for its sets once, by one key."""
+    rng = np.random.default_rng(2)
+    first, second = rng.integers(0, 256, (2, minhash.HASHES)).astype(np.uint8)
+    node = {name: name.encode() * 16 for name in "abcd"}
+    member = lambda name, sig: {"node": node[name], "sig": sig.tobytes(), "root": node[name]}
+    regions = [[member("a", first), member("c", second), member("b", first), member("d", second)],
+               [member("b", first), member("a", first)], [member("a", first), member("c", second)]]
+    kind = pa.list_(pa.struct([("node", pa.binary()), ("sig", pa.binary()), ("root", pa.binary())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(regions, kind)], names=["members"])
+    out = pa.Table.from_batches(minhash._candidates(0.85)([batch])).to_pylist()
+    groups = {}
+    for r in out:
+        groups.setdefault(r["key"], set()).add(r["node"])
+    assert len(out) == 6 and sorted(map(sorted, groups.values())) == [[node["a"], node["b"]], [node["c"], node["d"]]]
+
+
+def test_groups_of_a_chain():
+    near = np.zeros((40, 40), bool)
+    order = np.random.default_rng(3).permutation(30)
+    near[order[1:], order[:-1]] = near[order[:-1], order[1:]] = True
+    near[35, 38] = near[38, 35] = True
+    assert minhash._groups(near).tolist() == [0] * 30 + [30, 31, 32, 33, 34, 35, 36, 37, 35, 39]

@@ -17,8 +17,8 @@ among a few more; how many follows from the sizes and the threshold. Nodes that
 they are: a crowd is dealt to parts, and of the parts every two meet, other than those in which all are connected already.
 
 Links. Within a region the signatures tell which nodes might be linked though they are not
-connected yet; only those fetch their full sets, and all pairs among them are compared by
-one matrix product. Of the links found a forest is kept. A first wave of trees connects most
+connected yet; only those fetch their full sets, in groups that might hang together. A group that several
+regions have is looked at once: all pairs in it are compared by one matrix product. Of the links found a forest is kept. A first wave of trees connects most
 groups; the second wave, of the other trees, and the third, of the crowds, only look at regions in
 which unconnected candidates are left.
 
@@ -115,21 +115,21 @@ def signatures(df: DataFrame, size: int, trees: int) -> DataFrame:
 
 
 def full_sets(rows: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
-    """``doc_id``, ``text_hash`` and ``shingles`` (sorted, packed) of the rows that pass the bitmap ``wanted``."""
+    """``node`` and ``shingles`` (sorted, packed) of the rows that pass the bitmap ``wanted``."""
     sent = rows.sparkSession.sparkContext.broadcast(wanted)
     probe = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(64 * len(wanted)))
 
     def run(batches):
         for batch in pieces(batches):
-            at = batch.column(2).to_numpy()
+            at = batch.column(0).to_numpy()
             held = (sent.value[at // 64] >> (at % 64).astype(U64)) & U64(1)
             batch = batch.filter(pa.array(held.astype(bool)))
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(
-                    [s.tobytes() for s in shingle_sets(batch.column(3), size)], pa.binary())], names=["doc_id", "text_hash", "shingles"])
+                sets = shingle_sets(batch.column(1), size)
+                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.binary()), pa.array(
+                    [s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
-    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), probe.alias("probe"), "text") \
-        .mapInArrow(run, "doc_id long, text_hash long, shingles binary")
+    return rows.select(probe.alias("probe"), "text").mapInArrow(run, "node binary, shingles binary")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -141,9 +141,32 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.join(counts.withColumnRenamed("key", "its key"), F.col("key") == F.col("its key")).drop("its key")
 
 
+def _shared_keys(nodes: DataFrame) -> DataFrame:
+    """``node``, ``tree``, ``key`` and ``n``, as ``_shared``, of all keys of ``nodes``.
+
+    Most keys are a single node's. A bitmap of the others keeps most of these from the shuffle; the join decides.
+    """
+    counts = materialize(nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "region-sizes")
+    bitmap = _bitmap(counts.select(F.col("key").alias("h")))
+    sent = nodes.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        for batch in batches:
+            keys = batch.column(1)
+            tree = np.arange(len(keys.flatten())) - np.repeat(keys.offsets.to_numpy()[:-1] - keys.offsets[0].as_py(), keys.value_lengths().to_numpy())
+            at = keys.flatten().to_numpy() % (64 * len(sent.value))
+            held = np.flatnonzero((sent.value[at // 64] >> (at % 64).astype(U64)) & U64(1))
+            owner = np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[held])), pa.array(tree[held].astype(np.int32)),
+                                              keys.flatten().take(pa.array(held))], names=["node", "tree", "key"])
+
+    rows = nodes.select("node", "keys").mapInArrow(run, "node binary, tree int, key long")
+    return rows.join(counts.withColumnRenamed("key", "its key"), F.col("key") == F.col("its key")).drop("its key")
+
+
 def regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The regions (``tree``, ``key``, ``node``, ``sig``) of all trees, and the nodes (``node``, ``sig``) that lay crowded."""
-    rows = _shared(nodes.select("node", F.posexplode("keys").alias("tree", "key")))
+    rows = _shared_keys(nodes)
     rows = rows.join(nodes.select(F.col("node").alias("its node"), "sig"), F.col("node") == F.col("its node")).drop("its node")
     # The hashes that follow those of the key in the signature, which begins again at its end.
     at = (F.col("tree") * DEPTH + DEPTH) % HASHES + 1
@@ -198,7 +221,8 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
 def exact_regions(rows: DataFrame, nodes: DataFrame, crowded: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
     """Regions (``key``, ``node``, ``sig``, ``root``) in which all crowded nodes meet that may be linked and that ``labels`` do not connect."""
     rooted = materialize(_rooted(crowded, labels), "rooted")
-    held = materialize(_prefixes(_sets(rows, nodes, crowded, size), percent), "prefixes")
+    sets = _sets(rows, nodes, crowded, size).join(crowded.select(F.col("node").alias("its node")), F.col("node") == F.col("its node"))
+    held = materialize(_prefixes(materialize(sets.select("node", "shingles"), "sets"), percent), "prefixes")
     # Shingles that the same nodes have in common make one region.
     counts = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("first").alias("some"), F.bit_xor(F.xxhash64("node", "first")).alias("who"))
     counts = materialize(counts.where("n > 1 AND some").groupBy("n", "who").agg(F.min("key").alias("its key")).drop("who"), "region-sizes")
@@ -261,21 +285,42 @@ def _united(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _groups(near: np.ndarray) -> np.ndarray:
+    """For each node the least one that it hangs together with by the symmetric matrix ``near``."""
+    label = np.arange(len(near))
+    while True:
+        least = np.minimum(label, np.where(near, label[None, :], len(near)).min(axis=1, initial=len(near)))
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
 def _candidates(share: float):
-    """For ``mapInArrow``: of each region the nodes that may be linked to one of another component."""
+    """For ``mapInArrow``: of each region the nodes that may be linked to one of another component.
+
+    Each group that may hang together has a key of its own, which is the same in all regions that hold the same group.
+    """
     least = HASHES * (share - ERRORS * (share * (1 - share) / HASHES) ** 0.5)
 
     def run(batches):
         for batch in pieces(batches):
-            keys, out = batch.column(0).to_pylist(), ([], [], [])
-            for key, members in zip(keys, batch.column(1).to_pylist(), strict=True):
+            out = ([], [], [])
+            for members in batch.column(0).to_pylist():
                 sig = np.frombuffer(b"".join(m["sig"] for m in members), np.uint8).reshape(len(members), -1)
                 root = np.array([m["root"] for m in members], object)
                 near = np.stack([(sig == row).sum(1) for row in sig]) >= least
-                for i in np.flatnonzero((near & (root[:, None] != root)).any(1)):
-                    out[0].append(key)
-                    out[1].append(members[i]["node"])
-                    out[2].append(members[i]["root"])
+                near &= root[:, None] != root
+                some = np.flatnonzero(near.any(1))
+                if not len(some):
+                    continue
+                own = np.frombuffer(b"".join(members[i]["node"] for i in some), "<u8").reshape(len(some), 2)
+                digest, label = mix(own[:, 0] ^ mix(own[:, 1])), _groups(near[np.ix_(some, some)])
+                key = np.zeros(len(some), U64)
+                np.add.at(key, label, digest)
+                out[0].extend(mix(key[label]).view(np.int64).tolist())
+                out[1].extend(members[i]["node"] for i in some)
+                out[2].extend(members[i]["root"] for i in some)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()),
                                               pa.array(out[2], pa.binary())], names=["key", "node", "root"])
     return run
@@ -360,7 +405,9 @@ def _rooted(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def _confirmed(rows: DataFrame, nodes: DataFrame, found: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) within the regions ``found`` (key, node, sig, root) between nodes of different roots."""
     grouped = found.groupBy("key").agg(F.collect_list(F.struct("node", "sig", "root")).alias("members"))
-    asked = materialize(grouped.mapInArrow(_candidates(percent / 100), "key long, node binary, root binary"), "candidates")
+    asked = grouped.select("members").mapInArrow(_candidates(percent / 100), "key long, node binary, root binary")
+    asked = materialize(asked.dropDuplicates(["key", "node"]), "candidates")
+    # The sets are dealt by node once, for the copies among them as for the join.
     sets = _sets(rows, nodes, asked, size).withColumnRenamed("node", "its node")
     filled = asked.join(sets, F.col("node") == F.col("its node"))
     return materialize(filled.groupBy("key").agg(F.collect_list(F.struct("node", "shingles", "root")).alias("members"))
@@ -368,13 +415,11 @@ def _confirmed(rows: DataFrame, nodes: DataFrame, found: DataFrame, size: int, p
 
 
 def _sets(rows: DataFrame, nodes: DataFrame, asked: DataFrame, size: int) -> DataFrame:
-    """Full sets of the nodes in ``asked``, from the text that stands for each."""
+    """Full sets of the nodes in ``asked``, from the text that stands for each, and of some others that the filter lets pass."""
     wanted = asked.select(F.col("node").alias("its node")).distinct()
     one = nodes.join(wanted, F.col("node") == F.col("its node"), "left_semi")
-    one = materialize(one.select("node", F.col("doc_id").alias("its id"), F.col("text_hash").alias("its hash")), "wanted")
-    passed = full_sets(rows, size, _bitmap(one.select(F.xxhash64("its id", "its hash").alias("h"))))
-    same = F.col("doc_id").eqNullSafe(F.col("its id")) & (F.col("text_hash") == F.col("its hash"))
-    return materialize(passed.join(one, same).select("node", "shingles").dropDuplicates(["node"]), "sets")
+    one = materialize(one.select(F.xxhash64("doc_id", "text_hash").alias("h")), "wanted")
+    return full_sets(rows, size, _bitmap(one)).dropDuplicates(["node"])
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
