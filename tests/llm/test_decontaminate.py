@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -126,3 +127,54 @@ def test_items_of_few_words_are_found_as_they_are(spark):
     assert cjk in shown[11, 2] and {r.distance for r in got} == {0}
     kept = {r.doc_id for r in drop_contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert kept == {12, 13, 14, 17}
+
+
+def test_keys_are_met_as_if_all_were_formed():
+    rng = random.Random(8)
+    words = [f"w{int(rng.paretovariate(0.6))}" for _ in range(4000)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, text(rng.choice([9, 12, 30, 60, 130, 210]))) for i in range(60)] + [(60, "la " * 40), (61, "la li " * 9)]
+    texts = [text(rng.randint(0, 600)) for _ in range(40)] + ["la " * 300, "", items[3][1], items[7][1] + " la la", "li la " * 40]
+    index, found = decontaminate.ItemIndex(items), decontaminate.plain_words(pa.array(texts))
+    hashes, first = found.hashes(), found.first
+    want = {}
+    for size in index.sizes:
+        for t in range(len(texts)):
+            at = np.arange(first[t], first[t + 1] - size + 1, max(1, size // 8))
+            for walk in range(decontaminate.WALKS) if len(at) else ():
+                for sample, column in enumerate(decontaminate.keys(decontaminate.seeded(hashes, size, walk), at, size, walk)):
+                    key, owner, offset, _ = index.tables[size, walk, sample]
+                    low, high = np.searchsorted(key, column, "left"), np.searchsorted(key, column, "right")
+                    for k in np.flatnonzero(low < high):
+                        want.setdefault(t, set()).update((int(owner[m]), int(at[k] - first[t] - offset[m])) for m in range(low[k], high[k]))
+    assert index.sizes == [4, 8, 16, 32, 64, 128] and dict(index.probe(found)) == want and len(want) > 30
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab ", min_size=15, max_size=400), st.text("ab ", max_size=60), st.data())
+def test_no_near_passage_is_ruled_out(item, around, data):
+    passage = list(item)
+    for _ in range(data.draw(st.integers(0, len(item) // 4))):
+        k = data.draw(st.integers(0, len(passage)))
+        passage[k:k + data.draw(st.integers(0, 1))] = data.draw(st.sampled_from(["", "a", "b", "c"]))
+    text = around + "".join(passage) + around[::-1]
+    codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (item, text)]
+    own, other = (decontaminate.grams(c) if len(c) > 2 else np.zeros(0, np.uint16) for c in codes)
+    held = decontaminate.may_hold([own, own[:20]], np.array([1, 0, 0]), [other[:5], other, other], 0.2)
+    assert held[1] == held[2] and (held[1] or infix(item, text) > 0.2 * len(item))
+
+
+def test_few_distances_are_found_for_nothing(monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(60)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, text(rng.randint(9, 70))) for i in range(40)]
+    texts = [text(500) for _ in range(100)] + [text(50) + " " + t for _, t in items]
+    found = []
+    one, many = decontaminate.infix_distance, decontaminate.infix_distances
+    monkeypatch.setattr(decontaminate, "infix_distance", lambda a, b: found.append(1) or one(a, b))
+    monkeypatch.setattr(decontaminate, "infix_distances", lambda a, b: found.extend(a) or many(a, b))
+    index = decontaminate.ItemIndex(items)
+    out = index.matches(pa.array(texts), 0.2)
+    assert {(t, i) for t, rows in out.items() for i, *_ in rows} == {(100 + i, i) for i in range(40)}
+    assert sum(map(len, index.probe(decontaminate.plain_words(pa.array(texts))).values())) > 1000 and len(found) < 400

@@ -4,13 +4,15 @@ Texts are compared as words: letters A-Z in lower case, ASCII punctuation as bla
 embedding walks over a window of words for three times its length and at each step writes the word
 it stands on; a random bit of that word and step decides whether it moves on. Windows within a small edit
 distance so agree in most places, whatever was inserted or left out. Repeated bit-sampling
-LSH takes ``BITS`` places as a key, ``SAMPLES`` times for each of ``WALKS`` walks.
+LSH takes ``BITS`` places as a key, ``SAMPLES`` times for each of ``WALKS`` walks. Equal samples count once, and a key
+is only formed where all of its words are words of items, as it meets none elsewhere.
 
 Windows are sized by the item: the largest power of two w with 1.5 w - 1 words or fewer than the item has.
 An item is indexed at every word, texts are probed at every eighth of a window, so a passage with a whole item holds
 four or more probes (two, of windows of four words) that begin where a window of the item begins. A probe that meets a key is followed by the exact
 edit distance (Myers' bit vectors, in characters, best place within the text around it); a
-passage counts if that is at most ``SHARE`` of the item's length.
+passage counts if that is at most ``SHARE`` of the item's length. Places whose trigrams rule so few edits out have none found:
+an edit spoils three trigrams at most, and k edits move a passage over k + 1 diagonals at most (see ``may_hold``).
 
 Of 300 passages each, of 8 to 62 words, all were met with a tenth of the words changed, and 97.7 % or more with a fifth.
 Typos that reach many more words than that, and items of few or long words without blanks, are met less often: keys are of
@@ -28,8 +30,7 @@ repeat; an empty table on either side gives an empty result.
 from __future__ import annotations
 
 from collections import defaultdict
-from functools import lru_cache
-from itertools import product
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -41,6 +42,7 @@ from tidewright.llm.arrowtext import U64, Words, flat, kept, mix, sized, words
 
 #: Items with fewer words are searched for as they are, if they have so many bytes in UTF-8.
 LEAST_WORDS, LEAST_BYTES = 8, 30
+#: Up to 16 samples, each a bit of a number.
 WALKS, SAMPLES, BITS = 4, 14, 5
 #: Steps of a walk from which places are taken, in words of the window.
 REACH = 1.25
@@ -52,10 +54,14 @@ _PLAIN[65:91] += 32
 for _c in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
     _PLAIN[_c] = 32
 _FILTER_BITS = 18
-#: Pairs whose distances are found together.
-_PAIRS = 1024
-#: Probes whose keys are held at once, and bytes of texts.
-_PROBES, _TEXT_BYTES = 1 << 14, 1 << 19
+#: Pairs whose distances are found together; fewer are done one by one.
+_PAIRS, _FEW = 1024, 256
+#: Words looked at together.
+_SPAN = 1 << 14
+#: Probes whose keys are held at once, bytes of texts, and places that meet before equal ones are dropped.
+_PROBES, _TEXT_BYTES, _MET = 1 << 14, 1 << 19, 1 << 18
+#: Letters of an item whose trigrams are compared together, and equal trigrams, as a multiple of all, that are compared at most.
+_PIECE, _REPEATS = 128, 16
 
 
 def plain_words(column: pa.Array) -> Words:
@@ -75,40 +81,175 @@ def window_of(n_words: int) -> int:
 
 @lru_cache(None)
 def _places(size: int, walk: int) -> np.ndarray:
-    """Sampled steps of each key, one from each of ``BITS`` equal parts of the walk.
+    """Sampled steps of each key, one from each of ``BITS`` equal parts of the walk; equal samples once.
 
     A walk stays on a word for two steps on average, so steps side by side say little. The latest steps mostly
     stand behind the window's end, and an edit is likelier to lie before a late step than an early one.
     """
     rng = np.random.default_rng([size, walk, 11])
     edges = np.linspace(0, REACH * size, BITS + 1).astype(int)
-    return np.array([[rng.integers(a, max(b, a + 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)] for _ in range(SAMPLES)])
+    drawn = [[rng.integers(a, max(b, a + 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)] for _ in range(SAMPLES)]
+    return np.unique(drawn, axis=0)
 
 
 def seeded(hashes: np.ndarray, size: int, walk: int) -> list[np.ndarray]:
-    """The words' hashes for each 64 steps of a walk."""
+    """The words' hashes for each 64 steps of a walk; they serve smaller windows as well."""
     seeds = [mix(hashes ^ U64(1 + walk + 64 * part)) for part in range(int(_places(size, walk).max()) // 64 + 1)]
     return [np.concatenate([s, np.zeros(size, U64)]) for s in seeds]  # a walk may end behind the last word
 
 
-def keys(seeds: list[np.ndarray], starts: np.ndarray, size: int, walk: int) -> np.ndarray:
-    """(``SAMPLES``, windows) keys of the embedded windows of ``size`` words from each start on; ``seeds`` as from ``seeded``."""
-    places = _places(size, walk)
-    # A key is the sum of its words' hashes. Which of the words stood where is left to the exact distance.
+def walked(seeds: list[np.ndarray], starts: np.ndarray, size: int, walk: int):
+    """(step, places, words) of the embedded windows of ``size`` words from each start on; ``seeds`` as from ``seeded``."""
     at, stop = starts.astype(np.int64), starts + size
-    out = np.zeros((SAMPLES, len(starts)), U64)
-    for step in range(int(places.max()) + 1):
-        word = seeds[step // 64].take(at)
+    for step in range(int(_places(size, walk).max()) + 1):
+        word = seeds[step // 64].take(at, mode="clip")
         if step >= size:
             word[at >= stop] = 0
-        for sample in np.flatnonzero((places == step).any(1)):
-            out[sample] += word
+        yield step, at, word
         word >>= U64(step % 64)
         word &= U64(1)
         at += word.view(np.int64)
+
+
+def keys(seeds: list[np.ndarray], starts: np.ndarray, size: int, walk: int) -> np.ndarray:
+    """(samples, windows) keys of the embedded windows of ``size`` words from each start on; ``seeds`` as from ``seeded``."""
+    places = _places(size, walk)
+    # A key is the sum of its words' hashes. Which of the words stood where is left to the exact distance.
+    out = np.zeros((len(places), len(starts)), U64)
+    for step, _, word in walked(seeds, starts, size, walk):
+        for sample in np.flatnonzero((places == step).any(1)):
+            out[sample] += word
     return out
 
 
+@lru_cache(None)
+def _others(size: int, walk: int) -> dict[int, np.uint16]:
+    """For each sampled step a bit for each of the samples that do not take it."""
+    places = _places(size, walk)
+    return {step: np.uint16(sum(1 << s for s, row in enumerate(places.tolist()) if step not in row)) for step in np.unique(places).tolist()}
+
+
+def possible(seeds: list[np.ndarray], size: int, walk: int, known: np.ndarray, behind: bool) -> np.ndarray:
+    """For the window from each word on, a bit for each sample of whose words each is one that items have in that sample.
+
+    ``known`` has these bits for each word. Found from the last step back to the first, for all words at once:
+    what holds from a word and step on holds from the same or the next word and the next step on. If the walk of some window of an item
+    is sampled ``behind`` its end, windows whose walk may go there have all bits.
+    """
+    others, every = _others(size, walk), np.uint16((1 << len(_places(size, walk))) - 1)
+    last, n = max(others), len(seeds[0])
+    out = np.empty(n, np.uint16)
+    for a in range(0, n, _SPAN):
+        own = slice(a, a + _SPAN + last + 1)
+        sure, moved = known[own], np.zeros(len(known[own]), np.uint16)
+        bits = sure | others[last]
+        for step in range(last - 1, -1, -1):
+            if step % 16 == 15 or step == last - 1:
+                part = np.ascontiguousarray(seeds[step // 64][own].view("<u2").reshape(-1, 4)[:, step % 64 // 16])
+            # All bits where the walk moves on.
+            moves = ((part << np.uint16(15 - step % 16)).view(np.int16) >> np.int16(15)).view(np.uint16)
+            for what in (bits, moved) if behind and step < size else (bits,):
+                change = what[1:] ^ what[:-1]
+                change &= moves[:-1]
+                what[:-1] ^= change
+            if behind and step < size:
+                moved -= moves
+            if step in others:
+                bits &= sure | others[step]
+        if behind:
+            bits[moved >= 2 * size - last] = every
+        out[a:a + _SPAN] = bits[:_SPAN] & every
+    return out
+
+
+def possible_keys(seeds: list[np.ndarray], starts: np.ndarray, size: int, walk: int, bits: np.ndarray):
+    """For each sample the windows with its bit, and their keys as from ``keys``."""
+    places = _places(size, walk)
+    sampled = set(places.ravel().tolist())
+    words_at = {step: word.copy() for step, _, word in walked(seeds, starts, size, walk) if step in sampled}
+    for sample, row in enumerate(places.tolist()):
+        some = np.flatnonzero(bits & np.uint16(1 << sample))
+        column = words_at[row[0]].take(some, mode="clip")
+        for step in row[1:]:
+            column += words_at[step].take(some, mode="clip")
+        yield some, column
+
+
+def grams(chars: np.ndarray) -> np.ndarray:
+    """A 16-bit hash of each three neighbouring code points."""
+    out = chars[:-2] * np.uint32(0x9E3779B1)
+    out += chars[1:-1] * np.uint32(0x85EBCA77)
+    out += chars[2:] * np.uint32(0xC2B2AE3D)
+    return (out >> np.uint32(16)).astype(np.uint16)
+
+
+def may_hold(items: list[np.ndarray], owner: np.ndarray, texts: list[np.ndarray], share: float) -> np.ndarray:
+    """For each text whether a part of it may be within ``share`` of its item's length in edits; items and texts as ``grams``.
+
+    Of pieces of an item at least one bears no more than its share of the edits. Of its trigrams all but three an edit stand in the
+    text, and the differences of their places there and in the piece lie within as many neighbours as there are edits, and one.
+    Where that cannot be ruled out, or trigrams repeat too often to be counted, the answer is true.
+    """
+    size = np.array([len(items[i]) + len(t) for i, t in zip(owner, texts, strict=True)], np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // (8 * _SPAN))) + 1), len(size)]
+    parts = [_may_hold(items, owner[a:b], texts[a:b], share) for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b]
+    return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+
+def _ranges(count: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return ((key.view(U64) * U64(0x9E3779B97F4A7C15)) >> U64(44)).view(np.int64)
+
+
+def _may_hold(items: list[np.ndarray], owner: np.ndarray, texts: list[np.ndarray], share: float) -> np.ndarray:
+    used, item = np.unique(owner, return_inverse=True)
+    n_grams = np.array([len(items[i]) for i in used])
+    length = n_grams + 2
+    edits = (share * length).astype(np.int64)
+    pieces = -(-length // _PIECE)
+    # The trigrams of all pieces, sorted; those across an edge belong to none.
+    of, place = np.repeat(np.arange(len(used)), n_grams), _ranges(n_grams)
+    piece, last = (((place + more) * pieces[of] - 1) // length[of] for more in (1, 3))
+    within = np.flatnonzero(piece == last)
+    key = (of << 16 | np.concatenate([items[i] for i in used]))[within]
+    order = within[np.argsort(key, kind="stable")]
+    key, place, piece = np.sort(key), place[order], piece[order]
+    # How many of a piece's trigrams must stand within how many neighbouring differences.
+    of_piece, nth = np.repeat(np.arange(len(used)), pieces), _ranges(pieces)
+    letters = (nth + 1) * length[of_piece] // pieces[of_piece] - nth * length[of_piece] // pieces[of_piece]
+    borne = edits[of_piece] * letters // length[of_piece]
+    least = letters - 2 - 3 * borne
+    # Each text has a line of counts for each piece of its item.
+    size = np.array([len(t) for t in texts])
+    width = size + length[item] + edits[item] + 1
+    lines = pieces[item]
+    begin = np.cumsum(lines * width) - lines * width
+    text, at = np.repeat(np.arange(len(texts)), size), _ranges(size)
+    wanted = item[text] << 16 | np.concatenate(texts)
+    seen = np.zeros(1 << 20, bool)
+    seen[_slot(key)] = True
+    some = np.flatnonzero(seen.take(_slot(wanted)))
+    text, at, wanted = text[some], at[some], wanted[some]
+    low, high = (np.searchsorted(key, wanted, side) for side in ("left", "right"))
+    count = high - low
+    many = np.bincount(text, count, len(texts)) > _REPEATS * width
+    count[many[text]] = 0
+    j = np.repeat(low, count) + _ranges(count)
+    text, at = np.repeat(text, count), np.repeat(at, count)
+    found = np.bincount(begin[text] + piece[j] * width[text] + at - place[j] + length[item[text]], minlength=int((lines * width).sum()))
+    upto = np.concatenate([[0], np.cumsum(found)])
+    of_line = np.repeat((np.cumsum(pieces) - pieces)[item], lines) + _ranges(lines)
+    line_width = np.repeat(width, lines)
+    ends = np.arange(len(found)) + np.repeat(borne[of_line] + 1, line_width)
+    near = upto.take(ends, mode="clip") - upto[:-1]
+    holds = np.maximum.reduceat(near, np.cumsum(line_width) - line_width) >= least[of_line]
+    return np.logical_or.reduceat(holds, np.cumsum(lines) - lines) | many
+
+
 def infix_distance(item: str, text: str) -> tuple[int, int]:
     """Least edit distance of ``item`` to a part of ``text``, and where the first such part ends."""
     m = len(item)
@@ -193,6 +334,19 @@ def _infix_distances(items: list[np.ndarray], texts: list[np.ndarray]) -> np.nda
     return best
 
 
+def _lead(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> U64(64 - _FILTER_BITS)).view(np.int64)
+
+
+def _once(parts: list[np.ndarray]) -> np.ndarray:
+    """Columns of all parts, equal ones once, in order."""
+    rows = np.concatenate(parts, 1)
+    rows = rows[:, np.lexsort(rows[::-1])]
+    new = np.ones(rows.shape[1], bool)
+    new[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)
+    return rows[:, new]
+
+
 class _Spelled:
     """The words of some texts with a blank after each, in code points."""
 
@@ -210,6 +364,14 @@ class _Spelled:
         """Words a to b, without the blank at the end."""
         return self.chars[self.word[a]:max(self.word[a], self.word[b] - 1)]
 
+    @cached_property
+    def _grams(self) -> np.ndarray:
+        return grams(self.chars)
+
+    def grams(self, a: int, b: int) -> np.ndarray:
+        """``grams`` of ``between``."""
+        return self._grams[self.word[a]:max(self.word[a], self.word[b] - 3)]
+
 
 def _text(chars: np.ndarray) -> str:
     return chars.tobytes().decode("utf-32-le")
@@ -224,6 +386,17 @@ class ItemIndex:
         spelled = _Spelled(found)
         #: Id, text in words with one blank between, and number of words of every item.
         self.items: list[tuple[int, np.ndarray, int]] = []
+        #: Trigrams of every item.
+        self.grams: list[np.ndarray] = []
+        #: A number for each of the leading bits that hashes of items' words have, 0 for all others.
+        self.word = np.zeros(1 << _FILTER_BITS, np.int32)
+        lead = np.unique(_lead(hashes))
+        self.word[lead] = np.arange(1, len(lead) + 1)
+        word, n_words = self.word[_lead(hashes)], len(lead) + 1
+        #: By window size and walk a bit for each sample in which items have a word of that number, at whatever step: keys are sums.
+        self.known: dict[tuple[int, int], np.ndarray] = {}
+        #: Window sizes and walks of which a sampled step stands behind the end of some item's window.
+        self.behind: set[tuple[int, int]] = set()
         #: Per table the sorted keys, the items and the words at which their windows begin, and which leading bits occur.
         self.tables: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         #: Items of few words, searched for as they are.
@@ -232,6 +405,7 @@ class ItemIndex:
         for i, (item_id, _) in enumerate(items):
             a, b = first[i], first[i + 1]
             self.items.append((item_id, spelled.between(a, b), b - a))
+            self.grams.append(spelled.grams(a, b))
             if b - a >= LEAST_WORDS:
                 by_size[window_of(b - a)].append(i)
             elif b > a and len((own := _text(self.items[i][1])).encode()) >= LEAST_BYTES:
@@ -245,10 +419,18 @@ class ItemIndex:
             at = np.concatenate([np.arange(first[i], first[i + 1] - size + 1) for i in members])
             owner = np.concatenate([np.full(first[i + 1] - first[i] - size + 1, i) for i in members])
             for walk in range(WALKS):
+                self.known[size, walk] = known = np.zeros(n_words, np.uint16)
+                for step, place, _ in walked(seeded(hashes, size, walk), at, size, walk):
+                    if step in _others(size, walk):
+                        here, inside = np.zeros(n_words, bool), place < at + size
+                        here[word[place[inside]]] = True
+                        known[here] |= ~_others(size, walk)[step]
+                        if not inside.all():
+                            self.behind.add((size, walk))
                 for sample, column in enumerate(keys(seeded(hashes, size, walk), at, size, walk)):
                     order = np.argsort(column, kind="stable")
                     bits = np.zeros(1 << _FILTER_BITS, bool)
-                    bits[column >> U64(64 - _FILTER_BITS)] = True
+                    bits[_lead(column)] = True
                     self.tables[size, walk, sample] = (
                         column[order], owner[order].astype(np.int32), (at - first[owner])[order].astype(np.int32),
                         np.packbits(bits, bitorder="little"))
@@ -256,27 +438,43 @@ class ItemIndex:
     def probe(self, found: Words) -> dict[int, set[tuple[int, int]]]:
         """Per text: the items it may hold, each with the words at which the item would begin."""
         hashes, first = found.hashes(), found.first
-        out = defaultdict(set)
+        word = self.word.take(_lead(hashes))
+        met, pending = [], 0
+        all_seeds = [seeded(hashes, self.sizes[-1], walk) for walk in range(WALKS)] if self.sizes else []
         for size in self.sizes:
             n = np.diff(first)
             stride = max(1, size // 8)
             count = np.maximum(0, (n - size) // stride + 1) * (n >= size)
             if not count.sum():
                 continue
-            text = np.repeat(np.arange(len(n)), count)
-            begin = np.repeat(np.cumsum(count) - count, count)
-            at = first[text] + (np.arange(len(text)) - begin) * stride
-            for walk, a in product(range(WALKS), range(0, len(at), _PROBES)):
-                seeds = seeded(hashes, size, walk) if not a else seeds
-                for sample, column in enumerate(keys(seeds, at[a:a + _PROBES], size, walk)):
-                    key, owner, offset, bits = self.tables[size, walk, sample]
-                    lead = (column >> U64(64 - _FILTER_BITS)).view(np.int64)
-                    some = np.flatnonzero(bits.take(lead >> 3) >> (lead & 7).astype(np.uint8) & 1)
-                    low, high = (np.searchsorted(key, column[some], side) for side in ("left", "right"))
-                    met = low < high
-                    for k, i, j in zip((a + some[met]).tolist(), low[met].tolist(), high[met].tolist(), strict=True):
-                        begin = int(at[k] - first[text[k]])
-                        out[int(text[k])].update((int(owner[m]), begin - int(offset[m])) for m in range(i, j))
+            text, at = np.repeat(np.arange(len(n)), count), np.repeat(first[:-1], count) + _ranges(count) * stride
+            for walk, seeds in enumerate(all_seeds):
+                known = np.concatenate([self.known[size, walk].take(word), np.zeros(self.sizes[-1], np.uint16)])
+                bits = possible(seeds, size, walk, known, (size, walk) in self.behind).take(at)
+                which = np.flatnonzero(bits)
+                for a in range(0, len(which), _PROBES):
+                    probes = which[a:a + _PROBES]
+                    for sample, (some, column) in enumerate(possible_keys(seeds, at[probes], size, walk, bits[probes])):
+                        key, owner, offset, filled = self.tables[size, walk, sample]
+                        lead = _lead(column)
+                        likely = np.flatnonzero(filled.take(lead >> 3) >> (lead & 7).astype(np.uint8) & 1)
+                        low, high = (np.searchsorted(key, column[likely], side) for side in ("left", "right"))
+                        count = high - low
+                        # The windows of items that windows of texts meet, a bounded number at once.
+                        edges = np.flatnonzero(np.diff(np.cumsum(count) // _MET)) + 1
+                        for b, c in zip([0, *edges], [*edges, len(count)], strict=True):
+                            own = count[b:c]
+                            if not own.any():
+                                continue
+                            j = np.repeat(low[b:c] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+                            k = np.repeat(probes[some[likely[b:c]]], own)
+                            met.append(np.stack([text[k], owner[j], at[k] - first[text[k]] - offset[j]]))
+                            pending += len(j)
+                            if pending > _MET:
+                                met, pending = [_once(met)], 0
+        out = defaultdict(set)
+        for k, item, begin in _once(met).T.tolist() if met else ():
+            out[k].add((item, begin))
         return out
 
     def _short_matches(self, found: Words, spelled: _Spelled):
@@ -306,16 +504,20 @@ class ItemIndex:
                 if begin <= looked.get(item, -total - n):
                     continue
                 looked[item] = begin + slack // 2
-                places.append((text, item, base + max(0, begin - slack), base + min(total, begin + n + 2 * slack)))
-        distances = infix_distances([self.items[i][1] for _, i, _, _ in places], [spelled.between(a, b) for _, _, a, b in places])
+                a, b = base + max(0, begin - slack), base + min(total, begin + n + 2 * slack)
+                places.append((text, item, a, b))
+        hold = may_hold(self.grams, np.array([i for _, i, _, _ in places], np.int64), [spelled.grams(a, b) for _, _, a, b in places], share)
+        places = [places[k] for k in np.flatnonzero(hold)]
+        if len(places) >= _FEW:
+            distances = infix_distances([self.items[i][1] for _, i, _, _ in places], [spelled.between(a, b) for _, _, a, b in places])
+            places = [p for p, distance in zip(places, distances.tolist(), strict=True) if distance <= share * len(self.items[p[1]][1])]
         out = defaultdict(dict)
-        for (text, item, a, b), distance in zip(places, distances.tolist(), strict=True):
-            own = self.items[item][1]
-            if distance > share * len(own):
+        for text, item, a, b in places:
+            around, wanted = _text(spelled.between(a, b)), _text(self.items[item][1])
+            distance, end = infix_distance(wanted, around)
+            if distance > share * len(wanted):
                 continue
-            around, wanted = _text(spelled.between(a, b)), _text(own)
-            _, end = infix_distance(wanted, around)
-            _, back = infix_distance(wanted[::-1], around[:end][::-1])
+            _, back = infix_distance(wanted[::-1], around[max(0, end - len(wanted) - distance):end][::-1])
             edges = spelled.word[a:b + 1] - spelled.word[a]
             w0 = a + int(np.searchsorted(edges, end - back, "right")) - 1
             w1 = max(w0, a + int(np.searchsorted(edges, end, "left")) - 1)
