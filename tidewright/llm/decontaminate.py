@@ -59,7 +59,7 @@ _PAIRS, _FEW = 1024, 256
 #: Words looked at together.
 _SPAN = 1 << 14
 #: Probes whose keys are held at once, bytes of texts, and places that meet before equal ones are dropped.
-_PROBES, _TEXT_BYTES, _MET = 1 << 14, 1 << 19, 1 << 18
+_PROBES, _TEXT_BYTES, _MET = 1 << 14, 1 << 21, 1 << 18
 #: Letters of an item whose trigrams are compared together, and equal trigrams, as a multiple of all, that are compared at most.
 _PIECE, _REPEATS = 128, 16
 
@@ -163,16 +163,18 @@ def possible(seeds: list[np.ndarray], size: int, walk: int, known: np.ndarray, b
 
 
 def possible_keys(seeds: list[np.ndarray], starts: np.ndarray, size: int, walk: int, bits: np.ndarray):
-    """For each sample the windows with its bit, and their keys as from ``keys``."""
+    """Each sample that windows have the bit of, those windows, and their keys as from ``keys``."""
     places = _places(size, walk)
     sampled = set(places.ravel().tolist())
     words_at = {step: word.copy() for step, _, word in walked(seeds, starts, size, walk) if step in sampled}
     for sample, row in enumerate(places.tolist()):
         some = np.flatnonzero(bits & np.uint16(1 << sample))
+        if not len(some):
+            continue
         column = words_at[row[0]].take(some, mode="clip")
         for step in row[1:]:
             column += words_at[step].take(some, mode="clip")
-        yield some, column
+        yield sample, some, column
 
 
 def grams(chars: np.ndarray) -> np.ndarray:
@@ -454,12 +456,16 @@ class ItemIndex:
                 which = np.flatnonzero(bits)
                 for a in range(0, len(which), _PROBES):
                     probes = which[a:a + _PROBES]
-                    for sample, (some, column) in enumerate(possible_keys(seeds, at[probes], size, walk, bits[probes])):
+                    for sample, some, column in possible_keys(seeds, at[probes], size, walk, bits[probes]):
                         key, owner, offset, filled = self.tables[size, walk, sample]
                         lead = _lead(column)
                         likely = np.flatnonzero(filled.take(lead >> 3) >> (lead & 7).astype(np.uint8) & 1)
+                        if not len(likely):
+                            continue
                         low, high = (np.searchsorted(key, column[likely], side) for side in ("left", "right"))
                         count = high - low
+                        if not count.any():
+                            continue
                         # The windows of items that windows of texts meet, a bounded number at once.
                         edges = np.flatnonzero(np.diff(np.cumsum(count) // _MET)) + 1
                         for b, c in zip([0, *edges], [*edges, len(count)], strict=True):
