@@ -417,6 +417,8 @@ class ItemIndex:
         if len(self.short):
             self.short.make_automaton()
         self.sizes = sorted(by_size)
+        #: Bytes of texts to be looked at together: fewer where the longest walk needs many hashes of a word.
+        self.text_bytes = _TEXT_BYTES // (1 + int(max((_places(size, 0).max() for size in self.sizes), default=0)) // 64)
         for size, members in by_size.items():
             at = np.concatenate([np.arange(first[i], first[i + 1] - size + 1) for i in members])
             owner = np.concatenate([np.full(first[i + 1] - first[i] - size + 1, i) for i in members])
@@ -442,16 +444,17 @@ class ItemIndex:
         hashes, first = found.hashes(), found.first
         word = self.word.take(_lead(hashes))
         met, pending = [], 0
-        all_seeds = [seeded(hashes, self.sizes[-1], walk) for walk in range(WALKS)] if self.sizes else []
+        probed = {}
         for size in self.sizes:
             n = np.diff(first)
             stride = max(1, size // 8)
             count = np.maximum(0, (n - size) // stride + 1) * (n >= size)
-            if not count.sum():
-                continue
-            text, at = np.repeat(np.arange(len(n)), count), np.repeat(first[:-1], count) + _ranges(count) * stride
-            for walk, seeds in enumerate(all_seeds):
-                known = np.concatenate([self.known[size, walk].take(word), np.zeros(self.sizes[-1], np.uint16)])
+            if count.any():
+                probed[size] = np.repeat(np.arange(len(n)), count), np.repeat(first[:-1], count) + _ranges(count) * stride
+        for walk in range(WALKS) if probed else ():
+            seeds = seeded(hashes, max(probed), walk)
+            for size, (text, at) in probed.items():
+                known = np.concatenate([self.known[size, walk].take(word), np.zeros(max(probed), np.uint16)])
                 bits = possible(seeds, size, walk, known, (size, walk) in self.behind).take(at)
                 which = np.flatnonzero(bits)
                 for a in range(0, len(which), _PROBES):
@@ -558,7 +561,7 @@ def find_items(df: DataFrame, items: DataFrame, share: float = SHARE) -> DataFra
 
         def run(batches):
             index = kept("items", sent.value, lambda: ItemIndex(sent.value))
-            for batch in sized(batches, 1, _TEXT_BYTES):
+            for batch in sized(batches, 1, max(1, index.text_bytes)):
                 out = [[] for _ in names]
                 for text, found in index.matches(batch.column(1), share).items():
                     raw = batch.column(1)[text].as_py().encode()
@@ -585,7 +588,7 @@ def drop_contaminated(df: DataFrame, items: DataFrame, share: float = SHARE) ->
 
         def run(batches):
             index = kept("items", sent.value, lambda: ItemIndex(sent.value))
-            for batch in sized(batches, 0, _TEXT_BYTES):
+            for batch in sized(batches, 0, max(1, index.text_bytes)):
                 held = index.matches(batch.column(0), share)
                 clean = np.ones(batch.num_rows, bool)
                 clean[list(held)] = False
