@@ -114,6 +114,28 @@ def test_grown_together_or_in_one_task(spark, monkeypatch, name, params, local):
     assert parts == whole
 
 
+@pytest.fixture
+def plain(spark):
+    """The session as others may set it up: tables of pandas are not taken by way of Arrow."""
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    yield spark
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+
+
+@pytest.mark.parametrize("name, params", [
+    ("DecisionTree", {"max_depth": 3}), ("RandomForest", {"n_estimators": 2, "max_depth": 2}), ("XGBoost", {"n_estimators": 2, "max_depth": 2}),
+    ("AdaBoost", {"n_estimators": 2})])
+def test_grown_together_in_any_session(plain, monkeypatch, name, params):
+    """Trees over more rows than one task takes need no setting of the session."""
+    x, y = table()
+    frame = framed(plain, x, y)
+    whole = make_estimator(name, **params).fit(frame)
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 60)
+    parts = make_estimator(name, **params).fit(frame)
+    want = {r.row_id: r.prediction for r in whole.transform(frame).collect()}
+    assert {r.row_id: r.prediction for r in parts.transform(frame).collect()} == pytest.approx(want)
+
+
 def test_adaboost_grown_together(spark, monkeypatch):
     x, y = table()
     frame = framed(spark, x, y)

@@ -124,7 +124,7 @@ class AdaBoostRegressor:
                         yield grown._pack_rows([_reweighted(replace(own, weight=own.weight * scale), steps, middle, rate)])
 
                 rows, pending, start = materialize(rows.mapInArrow(written, grown._PACK), "reweighted"), [], 1.0
-        return rows.sparkSession.createDataFrame(grown._tree_rows(out).to_pandas(), grown._TREE)
+        return rows.sparkSession.createDataFrame(grown._tree_rows(out), grown._TREE)
 
 
 @dataclass

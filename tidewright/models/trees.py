@@ -496,7 +496,7 @@ def _finished(packed, tops: dict[int, _Top], drawn, features, limits, units, wei
     parts = packed.rows.mapInArrow(dealt, "tree long, node long, codes binary, sums binary").groupBy("tree", "node").applyInArrow(
         lambda t: below(t), f"{_TREE}, node int")
     top_rows = _tree_rows([(t, weight, tree) for t, tree in tree_of.items()]).append_column("node", pa.array([-1] * len(tree_of), pa.int32()))
-    every = parts.unionByName(spark.createDataFrame(top_rows.to_pandas(), parts.schema))
+    every = parts.unionByName(spark.createDataFrame(top_rows, parts.schema))
 
     def merged(table: pa.Table) -> pa.Table:
         node = table.column("node").to_pylist()
@@ -747,7 +747,7 @@ class BoostedRegressor:
             if len(pending) == KEPT_ROUNDS:
                 current, pending = replace(current, rows=_with_state(current.rows, [t for _, _, t in pending], rate)), []
         spark = train.sparkSession
-        return TreeModel(materialize(spark.createDataFrame(_tree_rows(grown).to_pandas(), _TREE), "trees"), base, width, "sum")
+        return TreeModel(materialize(spark.createDataFrame(_tree_rows(grown), _TREE), "trees"), base, width, "sum")
 
 
 def _mean(packed: Packed, units: Units) -> float:
