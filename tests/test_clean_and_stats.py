@@ -124,3 +124,28 @@ def test_many_ranks_of_skewed_values(spark, monkeypatch):
 
     monkeypatch.setattr(quantiles_module, "_stretches", missing)
     assert order_statistics(df, 3002, [10, 2000], 50) == {r: np.sort(values)[r] for r in (10, 2000)} and len(calls) == 2
+
+
+def test_long_columns_are_ranked_at_once(spark, monkeypatch):
+    """Columns of one frame share two passes: copies, infinities, not-a-number, missing values, a column of nothing."""
+    rng = np.random.default_rng(5)
+    n = 6000
+    columns = {"a": rng.normal(0, 1, n), "b": np.where(rng.random(n) < 0.4, 2.0, rng.pareto(0.5, n)), "c": rng.integers(0, 3, n).astype(float),
+               "d": np.where(rng.random(n) < 0.1, np.inf, rng.normal(0, 1, n)), "e": np.where(rng.random(n) < 0.3, np.nan, rng.normal(0, 1, n))}
+    rows = [(*(float(v[i]) for v in columns.values()), None if i % 3 else float(i), None) for i in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*columns, "f", "g"])).repartition(3)
+    monkeypatch.setattr(quantiles_module, "CHUNK_VALUES", 500)
+    monkeypatch.setattr(quantiles_module, "CHUNK_POINTS", 50)
+    probs = [0.0, 0.001, *[j / 40 for j in range(1, 40)], 0.9995, 1.0]
+    monkeypatch.setattr(F, "percentile", None)
+    monkeypatch.setattr(quantiles_module, "order_statistics", None)  # which reads the rows anew for each column
+    got = quantiles(df, [*columns, "f", "g"], probs, exact_rows=100)
+    known = {**columns, "f": np.arange(0.0, n, 3)}
+    for c, v in known.items():
+        v = np.sort(v)
+        at = np.array(probs) * (len(v) - 1)
+        low, high = v[np.floor(at).astype(int)], v[np.ceil(at).astype(int)]
+        with np.errstate(invalid="ignore"):
+            want = np.where((low == high) | (np.isnan(low) & np.isnan(high)), low, (np.ceil(at) - at) * low + (at - np.floor(at)) * high)
+        np.testing.assert_array_equal(got[c], want, c)
+    assert got["g"] == [None] * len(probs)

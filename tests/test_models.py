@@ -13,8 +13,11 @@ from tidewright.models import knn
 from tidewright.models.knn import KnnRegressor, split_cells
 from tidewright.models.trees import collected
 from tidewright.models.tune import grid_points, grid_search
+from tidewright.operators.augment import add_noise
+from tidewright.operators.columns import assemble
 from tidewright.operators.metrics import metric_columns, regression_metrics
 from tidewright import session
+from tidewright.plans import experiment
 from tidewright.plans.experiment import ExperimentConfig, run_experiment
 from tidewright.sources import readers, writers
 from tidewright.spec import DateRange, FeaturePlan, Period, SeriesSpec
@@ -321,3 +324,12 @@ def test_experiment_with_features_first(spark):
 
 def test_sensor_plan_names():
     assert len(SENSOR_PLAN.names(["quantity", "lines"])) == 4 + 2 + 6
+
+
+def test_noise_is_made_once(spark):
+    """A fit reads its rows several times; their noise is in a table by then."""
+    rows = spark.range(40).selectExpr("id AS row_id", "double(id) AS a", "double(id % 7) AS label")
+    frame = assemble(rows, ["a"], "label", keep=["row_id", "a"])
+    noisy = experiment._noisy(frame, ["a"], 2, lambda df: add_noise(df, ["a"], ["row_id"], 2, 0.1))
+    assert "md5" not in noisy._jdf.queryExecution().toString()
+    assert noisy.count() == 120 and noisy.select("row_id").distinct().count() == 120

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from tidewright.session import materialize
 
 # Up to this many values are held at once by `percentile` aggregates.
-EXACT_ROWS = 4_000_000
+EXACT_ROWS = 200_000
+# Longer columns: values that are sorted at once, and how many of them tell where the others lie.
+CHUNK_VALUES, CHUNK_POINTS = 262_144, 8_192
 # Resolution of the sketch that narrows longer columns down.
 SKETCH_ACCURACY = 10_000
 
@@ -23,12 +25,12 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
     """Quantiles of each column without its missing values, as {column: [one per prob]}.
     ``at_most`` is a known bound of the row count and may spare the pass that counts.
 
-    Short columns share aggregates. A long column is narrowed by sketches to the
+    Short columns share aggregates. Long columns are narrowed, all at once, to the
     few values around each rank, which are then ranked exactly; no task ever holds
     all values of a long column.
     """
     limit = EXACT_ROWS if exact_rows is None else exact_rows
-    if at_most is not None and 0 < at_most <= limit:
+    if at_most:
         sizes = dict.fromkeys(columns, at_most)
     else:
         counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
@@ -40,9 +42,9 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                        for i, c in enumerate(group)]).first()
         for i, c in enumerate(group):
             out[c] = list(row[f"q{i}"] or out[c])
-    for c in columns:
-        if sizes[c] > limit:
-            out[c] = _interpolated(df, c, sizes[c], probs, limit)
+    long = [c for c in columns if sizes[c] > limit]
+    if long:
+        out |= _of_long_columns(df, long, probs)
     return out
 
 
@@ -60,18 +62,115 @@ def _groups(sizes: dict[str, int], limit: int) -> list[list[str]]:
     return out
 
 
-def _interpolated(df, column, n, probs, limit) -> list[float]:
-    places = [p * (n - 1) for p in probs]
-    ranks = sorted({min(math.floor(x) + step, n - 1) for x in places for step in (0, 1)})
-    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    at = order_statistics(values, n, ranks, limit)
-    out = []
-    for x in places:
-        low, high = at[math.floor(x)], at[min(math.floor(x) + 1, n - 1)]
-        out.append(low + (high - low) * (x - math.floor(x)))
+def _places(n: int, probs: Sequence[float]) -> list[tuple[float, int, int]]:
+    """Where the quantiles of ``n`` values lie, and the 0-based ranks on both sides."""
+    at = [p * (n - 1) for p in probs]
+    return [(x, math.floor(x), math.ceil(x)) for x in at]
+
+
+def _of_long_columns(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Quantiles of all columns from two passes over the rows, whatever the number of columns.
+
+    The first pass sorts chunks of each column and keeps evenly spaced values of them, which give for every rank two values it
+    is certain to lie between. The second counts the rows between these stretches and the distinct values within; a column's meet
+    in one task, which holds about two values of ``CHUNK_POINTS`` per rank.
+    """
+    values = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+
+    def points(batches):
+        for i, v in _chunks(batches, len(columns)):
+            v = np.sort(v)
+            step = -(-len(v) // CHUNK_POINTS)
+            yield pa.RecordBatch.from_pydict({"c": [i], "n": [len(v)], "step": [step], "top": [v[-1]], "v": [v[::step].tobytes()]})
+
+    def stretches(table: pa.Table) -> pa.Table:
+        n, edges = _certain(table, probs)
+        return pa.table({"c": table["c"][:1], "n": [n], "edges": [edges.tobytes()]})
+
+    found = values.mapInArrow(points, "c long, n long, step long, top double, v binary").groupBy("c").applyInArrow(
+        lambda t: stretches(t), "c long, n long, edges binary").collect()
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
+    if not found:
+        return out
+    sizes, edges = {r["c"]: r["n"] for r in found}, {r["c"]: np.frombuffer(r["edges"]).reshape(2, -1) for r in found}
+
+    def within(batches):
+        for i, v in _chunks(batches, len(columns)):
+            low, high = edges[i]
+            stretch = np.searchsorted(high, v, "left")
+            inside = np.searchsorted(low, v, "right") - 1 == stretch
+            regions = np.bincount(2 * stretch + inside, minlength=2 * len(low) + 1)
+            some, counts = np.unique(v[inside], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"c": [i], "regions": [regions.tobytes()], "v": [some.tobytes()], "n": [counts.tobytes()]})
+
+    def ranked(table: pa.Table) -> pa.Table:
+        i = table["c"][0].as_py()
+        regions = sum(np.frombuffer(b.as_buffer(), np.int64) for b in table["regions"])
+        v, counts = (np.concatenate([np.frombuffer(b.as_buffer(), kind) for b in table[c]]) for c, kind in (("v", float), ("n", np.int64)))
+        v, which = np.unique(v, return_inverse=True)
+        counts = np.bincount(which, counts, len(v)).astype(np.int64)
+        # The first rank of each value: those of its stretch are counted on from the rows before the stretch.
+        stretch = np.searchsorted(edges[i][1], v, "left")
+        before, own = np.cumsum(regions)[2 * stretch], np.cumsum(counts)
+        at_first = np.searchsorted(stretch, stretch, "left")
+        last = before + own - np.where(at_first > 0, own[at_first - 1], 0)
+        value = lambda rank: v[np.searchsorted(last, rank, "right")]
+        got = []
+        for x, low, high in _places(sizes[i], probs):
+            a, b = value(low), value(high)
+            got.append(float(a) if low == high or a == b else float((high - x) * a + (x - low) * b))
+        return pa.table({"c": table["c"][:1], "q": pa.array([got], pa.list_(pa.float64()))})
+
+    for r in values.mapInArrow(within, "c long, regions binary, v binary, n binary").groupBy("c").applyInArrow(
+            lambda t: ranked(t), "c long, q array<double>").collect():
+        out[columns[r["c"]]] = list(r["q"])
     return out
 
 
+def _chunks(batches, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(column, known values) of a task's rows, about ``CHUNK_VALUES`` rows at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= CHUNK_VALUES:
+            yield from _columns(held, width)
+            held, n = [], 0
+    if held:
+        yield from _columns(held, width)
+
+
+def _columns(batches: list[pa.RecordBatch], width: int) -> Iterator[tuple[int, np.ndarray]]:
+    for i in range(width):
+        v = np.concatenate([b.column(i).drop_null().to_numpy(zero_copy_only=False) for b in batches])
+        if len(v):
+            yield i, v
+
+
+def _certain(table: pa.Table, probs: Sequence[float]) -> tuple[int, np.ndarray]:
+    """The number of values of a column, and ends of disjoint stretches that hold its ranks, both ends included.
+
+    Where ``k`` of a chunk's points, each ``step`` values from the next, lie below a value, (k - 1) * step + 1 to k * step of its values do.
+    """
+    step, n = table["step"].to_numpy(), int(table["n"].to_numpy().sum())
+    parts = [np.frombuffer(b.as_buffer()) for b in table["v"]]
+    v, which = np.unique(np.concatenate(parts), return_inverse=True)
+    upto = np.bincount(which, np.repeat(step, [len(p) for p in parts]), len(v)).cumsum()
+    below, slack = np.concatenate([[0], upto[:-1]]), int((step - 1).sum())
+    ranks = np.unique([r for _, *both in _places(n, probs) for r in both])
+    first = np.searchsorted(below, ranks, "right") - 1
+    last = np.searchsorted(upto - slack, ranks + 1, "left")
+    top = np.sort(table["top"].to_numpy())[-1]
+    low, high = v[first], np.append(v, top)[last]
+    joined = [[low[0], high[0]]]
+    for a, b in zip(low[1:], high[1:], strict=True):
+        if np.searchsorted(joined[-1][1:], a, "left") == 0:  # not-a-number lies behind all others
+            joined[-1][1] = b
+        else:
+            joined.append([a, b])
+    return n, np.array(joined).T.copy()
+
+
 def order_statistics(values: DataFrame, n: int, ranks: Sequence[int], limit: int) -> dict[int, float]:
     """Values of the column ``v`` at 0-based ranks, from two passes over the rows, whatever the number of ranks.
 

@@ -222,4 +222,5 @@ def _noisy(frame: DataFrame, features: Sequence[str], copies: int, augmented) ->
     noisy = augmented(frame.drop("features"))
     # Copies are rows of their own, so they get ids of their own.
     distinct = noisy.withColumn("row_id", F.col("row_id") * F.lit(copies + 1) + F.col("copy"))
-    return assemble(distinct, features, "label", keep=["row_id"])
+    # Written, as a fit reads its rows several times and the noise costs more than all that.
+    return materialize(assemble(distinct, features, "label", keep=["row_id"]), "noisy")
