@@ -114,6 +114,20 @@ def test_grown_together_or_in_one_task(spark, monkeypatch, name, params, local):
     assert parts == whole
 
 
+@pytest.mark.parametrize("times, jobs", [(10, False), (1, True)])
+def test_boosted_in_one_task_or_by_jobs(spark, monkeypatch, times, jobs):
+    """More rows than a task should grow a single tree over stay in one for all rounds, up to a bound; no bit of a tree depends on it."""
+    x, y = table()
+    params = {"n_estimators": 5, "max_depth": 3, "subsample": 0.7, "colsample_bytree": 0.6, "min_child_weight": 3}
+    whole = shapes(make_estimator("XGBoost", **params).fit(framed(spark, x, y, 1)))
+    for name, value in (("LOCAL_ROWS", 100), ("PACK_ROWS", 50), ("KEPT_ROUNDS", 4), ("BOOSTED_TIMES", times)):
+        monkeypatch.setattr(trees, name, value)
+    levels, honest = [], trees._grow_level
+    monkeypatch.setattr(trees, "_grow_level", lambda *a: (levels.append(1), honest(*a)))
+    assert shapes(make_estimator("XGBoost", **params).fit(framed(spark, x, y, 2))) == whole
+    assert bool(levels) == jobs
+
+
 @pytest.fixture
 def plain(spark):
     """The session as others may set it up: tables of pandas are not taken by way of Arrow."""
