@@ -251,6 +251,22 @@ def test_shapley_values_by_definition(spark, name, params):
         assert base + sum(r.phi) == pytest.approx(r.prediction)
 
 
+@pytest.mark.parametrize("name, params, small", [
+    ("XGBoost", {"n_estimators": 9, "max_depth": 3}, True), ("DecisionTree", {"max_depth": 0}, False), ("DecisionTree", {"max_depth": 9}, False)])
+def test_small_trees_are_explained_by_cells(spark, monkeypatch, name, params, small):
+    """Rows between the same cuts share their values, also those at a cut, behind all, or without a number."""
+    x, y = table()
+    held = trees.collected(make_estimator(name, **params).fit(framed(spark, x, y)).trees)
+    cuts = np.concatenate([tree.cut[tree.feature >= 0] for _, _, tree in held] or [[]])
+    rows = np.concatenate([x, np.repeat(cuts[:40, None], 4, axis=1), np.array([[np.inf] * 4, [-np.inf] * 4, [np.nan, 1, np.nan, 0]])])
+    want = sum(weight * at.tree_shapley(tree, rows) for _, weight, tree in held)
+    walks, honest = [], at.tree_shapley
+    monkeypatch.setattr(at, "tree_shapley", lambda tree, x: (walks.append(len(x)), honest(tree, x))[1])
+    for _ in range(3):
+        np.testing.assert_allclose(at._shapley(held, rows), want, atol=1e-9)
+    assert (len(walks) == len(held) and max(walks) < len(rows)) == small
+
+
 def test_groups_of_trees_add_up(spark, monkeypatch):
     x, y = table()
     frame = framed(spark, x, y).withColumn("phi_0", F.lit("other column"))
